@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, langid, lm, packing, quality, rules, sharding
+from siltstone.llm import decontaminate, jaccard, langid, lm, packing, pii, quality, rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.query,
+        "op2_jaccard_join": jaccard.query,
         "op3_sharding": sharding.query,
         "op4_decontamination": decontaminate.query,
         "op5_lm_scoring": lm.query,
+        "op7_personal_data": pii.query,
         "op8_best_fit_packing": packing.query,
         "op9_quality_rules": rules.query,
         "op10_quality_classifier": quality.query,
