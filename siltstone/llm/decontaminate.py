@@ -32,6 +32,8 @@ EDITS = 0.08
 #: Bytes of benchmark text in one broadcast slice.
 SLICE_BYTES = 8 << 20
 FILTER_BITS = 21
+#: Pairs of a chunk's documents and windows are counted in a plain array up to so many cells, else by sorting.
+DENSE_CELLS = 1 << 21
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,15 +125,24 @@ class Index:
         entry = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
         window = self.window[entry]
         hit_doc, diagonal = np.repeat(doc, n), np.repeat(at, n) - self.place[entry]
-        pair, of, count = np.unique(hit_doc * len(self.windows) + window, return_inverse=True, return_counts=True)
-        enough = (count >= self.bound[pair % len(self.windows)])[of] if len(pair) else np.zeros(0, bool)
-        hit_doc, window, diagonal = hit_doc[enough], window[enough], diagonal[enough]
+        pair = hit_doc * len(self.windows) + window
+        cells = (len(offsets) - 1) * len(self.windows)
+        if cells <= DENSE_CELLS:
+            times = np.bincount(pair, minlength=cells)[pair]
+        else:
+            _, of, count = np.unique(pair, return_inverse=True, return_counts=True)
+            times = count[of]
+        enough = times >= self.bound[window]
+        hit_doc, window, diagonal, pair = hit_doc[enough], window[enough], diagonal[enough], pair[enough]
         if not len(window):
             return
         band = (diagonal + WINDOW) // self.band[window]
-        both = np.stack([np.tile(hit_doc, 2), np.tile(window, 2), np.concatenate([band, band - 1])])
-        key, count = np.unique(both, axis=1, return_counts=True)
-        for d, w, k in key[:, count >= self.bound[key[1]]].T.tolist():
+        bands = int(band.max()) + 2
+        key, count = np.unique(np.concatenate([pair * bands + band, pair * bands + band - 1]) + 1, return_counts=True)
+        pair, band = np.divmod(key, bands)
+        doc, window = np.divmod(pair, len(self.windows))
+        full = count >= self.bound[window]
+        for d, w, k in zip(doc[full].tolist(), window[full].tolist(), (band[full] - 1).tolist()):
             yield d, w, int(k * self.band[w] - WINDOW)
 
 
@@ -199,21 +210,23 @@ def _slices(benchmark: DataFrame, bound: int = SLICE_BYTES) -> Iterator[list[tup
 SCHEMA = "item_id long, n_windows long, edits long, char_start long, char_end long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
-    """One row per document and benchmark item found in it: doc_id, item_id, n_windows (of the item, found), edits (of the
+def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, edits: float = EDITS) -> DataFrame:
+    """One row per document and benchmark item found in it: doc_id, the columns ``keep``, item_id, n_windows (of the item, found), edits (of the
     closest window), and the span of code points from the first to the last window found."""
-    kind = dict(docs.dtypes)["doc_id"]
+    types = dict(docs.dtypes)
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), SCHEMA])
     spark = docs.sparkSession
     passes = []
     for items in _slices(benchmark):
         shared = spark.sparkContext.broadcast(Index([w for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])) for w in windows_of(i, t, edits)]))
-        passes.append(docs.select("doc_id", "text").mapInArrow(_searcher(shared), f"doc_id {kind}, {SCHEMA}"))
+        passes.append(docs.select(*names, "text").mapInArrow(_searcher(shared, names), schema))
     if not passes:
-        return docs.select("doc_id").where(F.lit(False)).selectExpr("doc_id", *(f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split() for x in SCHEMA.split(", "))))
+        return docs.select(*names).where(F.lit(False)).select(*names, *(F.expr(f"CAST(NULL AS {t})").alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))))
     return reduce(DataFrame.unionByName, passes)
 
 
-def _searcher(shared):
+def _searcher(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -228,7 +241,8 @@ def _searcher(shared):
                 point = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (min(h[1] for h in hits), max(h[2] for h in hits))]
                 for column, v in zip(out, (d, item, len(hits), min(h[0] for h in hits), *point)):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *(pa.array(c, pa.int64()) for c in out[1:])], [*names, *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return run
 
