@@ -130,24 +130,25 @@ def frequent(docs: DataFrame, k: int, num: int, den: int, hot: int = HOT, most:
     return table.column("h").to_numpy().astype(np.int64).view(np.uint64)
 
 
-def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (its name) and prefix of each document."""
+def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int, *keep: str) -> DataFrame:
+    """doc_id, the columns ``keep``, n (size of the set), cls (its name) and prefix of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
-    kind = dict(docs.dtypes)["doc_id"]
+    types = dict(docs.dtypes)
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n long, cls long, prefix array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = Marked(shared.value)
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            ids = batch.column("doc_id")
             for i, j, b, o in chunks(data, offsets):
                 h, first = sets_of(b, o, k)
                 n = np.diff(first)
                 own, at = _first_of(h, first, np.where(n > 0, prefix_length(n, num, den), 0), marked.test(h))
                 prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(classes_of(h, first).view(np.int64)), prefix], ["doc_id", "n", "cls", "prefix"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(n.astype(np.int64)), pa.array(classes_of(h, first).view(np.int64)), prefix], [*names, "n", "cls", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, prefix array<long>")
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def _cell(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -378,10 +379,11 @@ def _crossed(close: DataFrame, star: DataFrame, sets: DataFrame, num: int, den:
     return _blocks(rows, sets, num, den).where("link").select("a", "b")
 
 
-def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, hot: int = HOT, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least id of the documents reachable by links), cls."""
+def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, the columns ``keep``, n_shingles, component_id (least id of the documents reachable
+    by links) and component (a name of the component that null ids don't share; null for the empty set)."""
     late = frequent(docs, k, num, den, hot)
-    own = stored(summaries(docs, late, k, num, den), "prefixes")
+    own = stored(summaries(docs, late, k, num, den, *keep), "prefixes")
     # One document speaks for its class.
     classes = own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     spread = classes.select(F.explode("prefix").alias("h"), "cls", "n").repartition(F.col("h"))
@@ -392,10 +394,12 @@ def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, hot: i
     sets = stored(chosen_sets(docs, wanted, k), "sets")
     com = stored(components(links(tokens, sets, num, den, block)), "components")
     named = com.join(least.withColumnRenamed("cls", "node"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = com.join(named, "component").select(F.col("node").alias("cls"), "component_id")
-    whole = least.select("cls", F.col("doc_id").alias("least_id")).join(of, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"))
-    rows = own.select("doc_id", "n", "cls").join(whole, "cls", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    of = com.join(named, "component").select(F.col("node").alias("cls"), "component_id", "component")
+    whole = least.select("cls", F.col("doc_id").alias("least_id")).join(of, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "cls").alias("component"))
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    rows = own.select(*names, "n", "cls").join(whole, "cls", "left")
+    least_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select(*names, F.col("n").alias("n_shingles"), least_id.alias("component_id"), "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

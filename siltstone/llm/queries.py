@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from siltstone.llm import decontaminate, jaccard, langid, lm, packing, pii, quality, rules, sharding
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.query,
         "op9_quality_rules": rules.query,
         "op10_quality_classifier": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
