@@ -7,9 +7,18 @@ meet in blocks: the least class that holds the shared shingle, the lead, and the
 a trie, ordered from common to rare, so that near copies share their paths; each set descends it with the overlap counted so
 far, and subtrees are pruned that can't reach the overlap that their sizes need, or that are connected already.
 
-A lead with more than ``BLOCK`` others is split into blocks that each hold the lead.  Pairs that these blocks keep apart
-are decided afterwards, exactly: what isn't linked to the lead goes on to a next round with another lead, and what is nearly
-linked to it meets the lead's own (by the triangle inequality of the Jaccard distance nothing else can link to those).
+Before sets are fetched, blocks are screened by sketches of about one bit per shingle: bits that differ are at most the
+shingles that differ, so sets whose sketches are too far apart can't link.  Sets that are left without a partner drop
+out, and only the others' sets travel.
+
+A lead whose block would grow beyond ``BLOCK`` sets or ``BLOCK_SHINGLES`` is split into blocks that each hold the lead.  If
+that leaves more than one component, the pairs that these blocks kept apart are decided exactly: what isn't linked to the
+lead meets block by block, and what is nearly linked to it meets the lead's own (by the triangle inequality of the Jaccard
+distance nothing else can link to those).
+
+Before sets are fetched, blocks are screened by sketches of about one bit per shingle: bits that differ are at most the
+shingles that differ, so sets whose sketches are too far apart can't link.  Sets that are left without a partner drop
+out, and only the others' sets travel.
 
 Counts are exact and only order the search.  Broadcasts are bounded: at most MAX_HOT frequent shingles and a bitmap of
 at most 2**MAX_BITMAP bits, which only lets more rows pass when it is full.
@@ -34,8 +43,11 @@ from siltstone.llm.textops import LOWER, chunks, mix, shingle_hashes, spans_hash
 #: A shingle in the prefixes of more documents than this comes late in the global order.
 HOT = 32
 MAX_HOT = 1 << 20
-BLOCK = 200
+BLOCK = 3000
+BLOCK_SHINGLES = 4_000_000
 BUCKET_ROWS = 400
+SKETCH_ROWS = 4000
+SKETCH_BITS = (64, 1 << 14)
 MAX_BITMAP = 27
 
 
@@ -82,6 +94,19 @@ def _first_of(h: np.ndarray, first: np.ndarray, length: np.ndarray, late: np.nda
     return h[rank < length[doc]], np.concatenate([[0], np.cumsum(np.minimum(length, np.diff(first)))])
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """Parity bits of a set, about as many as it has members.  Folding the halves of a sketch together gives the next smaller one."""
+    low, high = SKETCH_BITS
+    bits = min(high, max(low, 1 << max(len(h) - 1, 0).bit_length()))
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(s: np.ndarray, size: int) -> np.ndarray:
+    while len(s) > size:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
+
+
 class Marked:
     """Membership in a sorted array, behind a small bitmap."""
 
@@ -135,7 +160,7 @@ def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int, *ke
     shared = docs.sparkSession.sparkContext.broadcast(late)
     types = dict(docs.dtypes)
     names = list(dict.fromkeys(["doc_id", *keep]))
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n long, cls long, prefix array<long>"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n long, cls long, prefix array<long>, sketch binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = Marked(shared.value)
@@ -146,7 +171,8 @@ def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int, *ke
                 n = np.diff(first)
                 own, at = _first_of(h, first, np.where(n > 0, prefix_length(n, num, den), 0), marked.test(h))
                 prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(own.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(n.astype(np.int64)), pa.array(classes_of(h, first).view(np.int64)), prefix], [*names, "n", "cls", "prefix"])
+                sketches = pa.array([sketch(h[s:e]) if e > s else b"" for s, e in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in names), pa.array(n.astype(np.int64)), pa.array(classes_of(h, first).view(np.int64)), prefix, sketches], [*names, "n", "cls", "prefix", "sketch"])
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
@@ -298,85 +324,171 @@ def joined(names: list[int], sets: list[np.ndarray], num: int, den: int) -> list
     return links
 
 
-OUT = "lead long, sub int, a long, b long, overlap long, link boolean"
+def screened(n: np.ndarray, sketches: list[bytes], wide: bool, num: int, den: int) -> np.ndarray:
+    """Part of each set of a block, by sketches that are near enough to link; -1 for sets without a partner.  In a wide block what
+    is within twice the distance of the first set shares its part too."""
+    m = len(n)
+    raw = [np.frombuffer(s, np.uint8) for s in sketches]
+    part = np.arange(m)
+    alone = np.ones(m, bool)
+    by_size = {size: (at := [i for i in range(m) if len(raw[i]) >= size], np.stack([folded(raw[i], size) for i in at])) for size in sorted({len(r) for r in raw})}
+    for i in range(m):
+        at, rows = by_size[len(raw[i])]
+        own = np.array(at)
+        apart = np.bitwise_count(rows ^ raw[i]).sum(axis=1, dtype=np.int64)
+        total = n[own] + n[i]
+        near = (apart <= total - 2 * needed(n[own], n[i], num, den)) & (np.minimum(n[own], n[i]) * den >= np.maximum(n[own], n[i]) * num)
+        if wide:
+            near |= ((own == 0) | (i == 0)) & (apart <= total - 2 * needed(n[own], n[i], 2 * num - den, den))
+        near &= own != i
+        if near.any():
+            alone[own[near]] = False
+            alone[i] = False
+            for k in np.unique(part[own[near]]).tolist():
+                part[part == k] = part[i]
+    part[alone] = -1
+    return part
+
+
+PARTS = "lead long, sub int, part int, cls long, first boolean, wide boolean"
+
+
+def _parts(members: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Screens blocks: members (lead, sub, cls, first, wide), classes (cls, n, sketch).  Leaves the sets with a possible partner, and their part of the block."""
+    buckets = max(1, members.count() // SKETCH_ROWS)
+    rows = members.join(classes.select("cls", "n", "sketch"), "cls")
+    rows = rows.withColumn("bucket_", F.pmod(F.xxhash64("lead", "sub"), F.lit(buckets)).cast("int"))
+    names = [x.split()[0] for x in PARTS.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks: dict[tuple[int, int], list[tuple]] = {}
+        for lead, sub, *x in zip(*(table.column(c).to_pylist() for c in ("lead", "sub", "first", "cls", "wide", "n", "sketch"))):
+            blocks.setdefault((lead, sub), []).append((not x[0], *x[1:]))
+        out: list[tuple] = []
+        for (lead, sub), own in sorted(blocks.items()):
+            if len(own) < 2:
+                continue
+            own.sort(key=lambda x: x[:2])
+            part = screened(np.array([x[3] for x in own]), [x[4] for x in own], own[0][2], num, den)
+            out += [(lead, sub, int(p), x[1], not x[0], x[2]) for p, x in zip(part, own) if p >= 0]
+        columns = list(zip(*out)) or [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_()))], names)
+
+    return stored(rows.groupBy("bucket_").applyInArrow(run, PARTS), "parts")
+
+
+OUT = "lead long, a long, b long, overlap long, link boolean"
 
 
 def _blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """members (lead, sub, cls, first boolean, wide boolean): joins each block (lead, sub) and returns its links; of wide blocks also each set's overlap with the first."""
-    rows = members.join(sets, "cls")
+    """members (lead, sub, part, cls, first, wide): joins each part and returns its links; of wide ones also each set's overlap with the first."""
     buckets = max(1, members.count() // BUCKET_ROWS)
-    rows = rows.withColumn("bucket_", F.pmod(F.xxhash64("lead", "sub"), F.lit(buckets)).cast("int"))
+    rows = members.join(sets.select("cls", "members"), "cls")
+    rows = rows.withColumn("bucket_", F.pmod(F.xxhash64("lead", "sub", "part"), F.lit(buckets)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
-        blocks: dict[tuple[int, int], list[tuple[bool, int, np.ndarray, bool]]] = {}
-        for lead, sub, cls, first, wide, m in zip(*(table.column(c).to_pylist() for c in ("lead", "sub", "cls", "first", "wide", "members"))):
-            blocks.setdefault((lead, sub), []).append((not first, cls, np.frombuffer(m, np.uint64), wide))
+        blocks: dict[tuple[int, int, int], list[tuple[bool, int, np.ndarray, bool]]] = {}
+        for lead, sub, part, cls, first, wide, m in zip(*(table.column(c).to_pylist() for c in ("lead", "sub", "part", "cls", "first", "wide", "members"))):
+            blocks.setdefault((lead, sub, part), []).append((not first, cls, np.frombuffer(m, np.uint64), wide))
         out: list[tuple] = []
-        for (lead, sub), own in sorted(blocks.items()):
+        for (lead, _, _), own in sorted(blocks.items()):
             own.sort(key=lambda x: x[:2])
             names, sets_ = [x[1] for x in own], [x[2] for x in own]
             if len(own) > 1:
-                out += [(lead, sub, a, b, None, True) for a, b in joined(names, sets_, num, den)]
+                out += [(lead, a, b, None, True) for a, b in joined(names, sets_, num, den)]
             if own[0][3] and own[0][1] == lead:
                 for name, s in zip(names[1:], sets_[1:]):
                     common = len(np.intersect1d(sets_[0], s, assume_unique=True))
-                    out.append((lead, sub, lead, name, common, common >= needed(len(sets_[0]), len(s), num, den)))
-        columns = list(zip(*out)) or [[]] * 6
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["lead", "sub", "a", "b", "overlap", "link"])
+                    out.append((lead, lead, name, common, common >= needed(len(sets_[0]), len(s), num, den)))
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], [x.split()[0] for x in OUT.split(", ")])
 
     return stored(rows.groupBy("bucket_").applyInArrow(run, OUT), "block-links")
 
 
-def links(tokens: DataFrame, sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """tokens (h, cls, n): classes and their prefixes.  Returns links (a, b) whose components are those of all links."""
-    found = None
-    while True:
-        least = tokens.groupBy("h").agg(F.min(F.struct("cls", "n")).alias("l"), F.max("cls").alias("other"))
-        own = tokens.join(least.where(F.col("l.cls") != F.col("other")), "h").where(F.col("cls") != F.col("l.cls"))
-        pairs = stored(own.select(F.col("l.cls").alias("lead"), "cls").distinct(), "pairs")
-        parts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-        sub = F.pmod(F.xxhash64("cls", "lead"), F.col("parts")).cast("int")
-        others = pairs.join(parts, "lead").select("lead", sub.alias("sub"), "cls", F.lit(False).alias("first"), (F.col("parts") > 1).alias("wide"))
-        leads = parts.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), F.col("lead").alias("cls"), F.lit(True).alias("first"), (F.col("parts") > 1).alias("wide"))
-        out = _blocks(others.unionByName(leads), sets, num, den)
-        now = out.where("link").select("a", "b")
-        found = now if found is None else found.unionByName(now)
-        wide = out.where(F.col("overlap").isNotNull())
-        if not wide.head(1):
-            return found
-        # The lead is settled with all others.  Of those not linked to it, pairs in different blocks are still open.
-        com = components(found)
-        size = sets.select("cls", "n")
-        seen = wide.select("lead", "sub", F.col("b").alias("cls"), "overlap", "link").join(size, "cls").join(size.select(F.col("cls").alias("lead"), F.col("n").alias("lead_n")), "lead")
-        seen = seen.join(com.select(F.col("node").alias("cls"), F.col("component").alias("own")), "cls", "left").join(com.select(F.col("node").alias("lead"), F.col("component").alias("its")), "lead", "left")
-        seen = stored(seen.withColumn("own", F.coalesce("own", "cls")).withColumn("its", F.coalesce("its", "lead")), "wide")
-        # Within twice the distance of a link from the lead, and not connected with it yet: these may link to the lead's own.
-        close = seen.where(~F.col("link") & (F.col("own") != F.col("its")) & (F.col("overlap") * den >= (2 * num - den) * (F.col("n") + F.col("lead_n") - F.col("overlap"))))
-        if close.head(1):
-            found = found.unionByName(_crossed(close, seen.where("link"), sets, num, den, block))
-        rest = seen.where(~F.col("link")).select("lead", "cls", "own")
-        back = tokens.join(least.select("h", F.col("l.cls").alias("lead")), "h").join(rest, ["lead", "cls"]).select("h", "cls", "n", "own")
-        open_ = back.groupBy("h").agg(F.min("own").alias("x"), F.max("own").alias("y")).where(F.col("x") != F.col("y")).select("h")
-        tokens = stored(back.join(open_, "h", "left_semi").select("h", "cls", "n").distinct(), "open-prefixes")
-        if not tokens.head(1):
-            return found
-
-
-def _crossed(close: DataFrame, star: DataFrame, sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links between the classes near a lead and the lead's own: every part of either side meets every part of the other."""
-    half = max(1, block // 2)
-
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        n = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("parts"))
-        return rows.select("lead", "cls").join(n, "lead").select("lead", "cls", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part")), n
-
-    (left, n_left), (right, n_right) = parted(close), parted(star)
-    both = n_left.withColumnRenamed("parts", "l").join(n_right.withColumnRenamed("parts", "r"), "lead")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = left.join(both, "lead").select("lead", "cls", "part", "r", every("r").alias("to")).select("lead", (F.col("part") * F.col("r") + F.col("to")).alias("sub"), "cls")
-    two = right.join(both, "lead").select("lead", "cls", "part", "r", every("l").alias("to")).select("lead", (F.col("to") * F.col("r") + F.col("part")).alias("sub"), "cls")
-    rows = one.unionByName(two).select("lead", "sub", "cls", F.lit(False).alias("first"), F.lit(False).alias("wide"))
-    return _blocks(rows, sets, num, den).where("link").select("a", "b")
+class Sets:
+    """Sets of classes, fetched once each."""
+
+    def __init__(self, fetch):
+        self.fetch, self.held = fetch, None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        if self.held is None:
+            self.held = stored(self.fetch(wanted), "sets")
+            return self.held
+        more = stored(wanted.join(self.held.select("cls"), "cls", "left_anti"), "wanted")
+        if more.head(1):
+            self.held = self.held.unionByName(stored(self.fetch(more), "sets"))
+        return self.held
+
+
+def _joined_blocks(members: DataFrame, classes: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
+    """Screens the blocks, fetches what is left, joins it."""
+    left = _parts(members, classes, num, den)
+    return _blocks(left, sets.of(left.select("cls").distinct()), num, den)
+
+
+def _parted(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """rows (lead, cls, n): the part of each, and the number of parts of each lead, by sets and by shingles."""
+    size = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)
+    parts = rows.groupBy("lead").agg(F.ceil(size).cast("int").alias("parts"))
+    return rows.join(parts, "lead").select("lead", "cls", "parts", F.pmod(F.xxhash64("cls", "lead"), F.col("parts")).cast("int").alias("part")), parts
+
+
+def links(tokens: DataFrame, classes: DataFrame, fetch, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """tokens (h, cls): prefixes; classes (cls, n, sketch); fetch: frame of cls -> frame (cls, members).  Returns links (a, b) whose components are those of all links."""
+    sets, size = Sets(fetch), classes.select("cls", "n")
+    least = tokens.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("other"))
+    own = tokens.join(least.where(F.col("lead") != F.col("other")), "h").where(F.col("cls") != F.col("lead"))
+    pairs = stored(own.select("lead", "cls").distinct().join(size, "cls"), "pairs")
+    dealt, parts = _parted(pairs, block)
+    wide = F.col("parts") > 1
+    others = dealt.select("lead", F.col("part").alias("sub"), "cls", F.lit(False).alias("first"), wide.alias("wide"))
+    leads = parts.select("lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub"), F.col("lead").alias("cls"), F.lit(True).alias("first"), wide.alias("wide"))
+    out = _joined_blocks(others.unionByName(leads), classes, sets, num, den)
+    found = out.where("link").select("a", "b")
+    split = parts.where("parts > 1").select("lead")
+    if not split.head(1):
+        return found
+    # A split lead is settled with all others.  Of those not linked to it, pairs in different blocks are still open.
+    com = stored(components(found), "components")
+    component = lambda rows, c, name: rows.join(com.select(F.col("node").alias(c), F.col("component").alias("c_")), c, "left").withColumn(name, F.coalesce("c_", c)).drop("c_")
+    seen = out.where(F.col("overlap").isNotNull()).select("lead", F.col("b").alias("cls"), "overlap", "link")
+    members = pairs.join(split, "lead", "left_semi").join(seen, ["lead", "cls"], "left").join(size.select(F.col("cls").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    members = component(component(members.withColumn("link", F.coalesce("link", F.lit(False))), "cls", "own"), "lead", "its")
+    members = stored(members, "split")
+    open_ = members.where(F.col("own") != F.col("its")).select("lead").distinct()
+    members = members.join(open_, "lead", "left_semi")
+    if not members.head(1):
+        return found
+    rest = members.where(~F.col("link"))
+    more = _joined_blocks(_squared(rest, block), classes, sets, num, den)
+    found = found.unionByName(more.where("link").select("a", "b"))
+    # Within twice the distance of a link from the lead, and not connected with it: these may link to the lead's own.
+    close = rest.where((F.col("own") != F.col("its")) & (F.col("overlap") * den >= (2 * num - den) * (F.col("n") + F.col("lead_n") - F.col("overlap"))))
+    more = _joined_blocks(_crossed(close, members.where("link"), block), classes, sets, num, den)
+    return found.unionByName(more.where("link").select("a", "b"))
+
+
+def _every(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _squared(rows: DataFrame, block: int) -> DataFrame:
+    """Blocks in which every part of a lead's rows meets every part, itself included."""
+    dealt, _ = _parted(rows, max(1, block // 2))
+    each = dealt.select("lead", "cls", "parts", "part", _every("parts").alias("to"))
+    low, high = F.least("part", "to"), F.greatest("part", "to")
+    return each.select("lead", (low * F.col("parts") + high).alias("sub"), "cls", F.lit(False).alias("first"), F.lit(False).alias("wide"))
+
+
+def _crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
+    """Blocks in which every part of a lead's left rows meets every part of its right ones."""
+    (one, l), (two, r) = (_parted(x, max(1, block // 2)) for x in (left, right))
+    both = l.withColumnRenamed("parts", "l").join(r.withColumnRenamed("parts", "r"), "lead")
+    first = one.join(both, "lead").select("lead", "cls", "part", "r", _every("r").alias("to")).select("lead", (F.col("part") * F.col("r") + F.col("to")).alias("sub"), "cls")
+    second = two.join(both, "lead").select("lead", "cls", "part", "r", _every("l").alias("to")).select("lead", (F.col("to") * F.col("r") + F.col("part")).alias("sub"), "cls")
+    return first.unionByName(second).select("lead", "sub", "cls", F.lit(False).alias("first"), F.lit(False).alias("wide"))
 
 
 def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -385,14 +497,18 @@ def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep:
     late = frequent(docs, k, num, den, hot)
     own = stored(summaries(docs, late, k, num, den, *keep), "prefixes")
     # One document speaks for its class.
-    classes = own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"))
-    spread = classes.select(F.explode("prefix").alias("h"), "cls", "n").repartition(F.col("h"))
+    full = own.where(F.col("n") > 0)
+    least = full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    spread = full.groupBy("cls").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("h"), "cls").repartition(F.col("h"))
     shared = spread.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where(F.col("x") != F.col("y")).select("h")
     tokens = stored(spread.join(shared, "h", "left_semi"), "shared-prefixes")
-    least = own.where(F.col("n") > 0).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stored(least.join(tokens.select("cls").distinct(), "cls", "left_semi"), "wanted")
-    sets = stored(chosen_sets(docs, wanted, k), "sets")
-    com = stored(components(links(tokens, sets, num, den, block)), "components")
+    sketches = full.groupBy("cls").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(sketches.join(tokens.select("cls").distinct(), "cls", "left_semi"), "sketches")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        return chosen_sets(docs, stored(least.join(wanted, "cls", "left_semi"), "wanted"), k)
+
+    com = stored(components(links(tokens, classes, fetch, num, den, block)), "components")
     named = com.join(least.withColumnRenamed("cls", "node"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = com.join(named, "component").select(F.col("node").alias("cls"), "component_id", "component")
     whole = least.select("cls", F.col("doc_id").alias("least_id")).join(of, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "cls").alias("component"))
