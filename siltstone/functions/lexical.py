@@ -62,10 +62,21 @@ def confidence(score: Column) -> Column:
     return F.when(score >= 2.5, "high").when(score >= 1.0, "medium").otherwise("low")
 
 
+def flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def summary(text: Column, fallback: Column | None = None) -> Column:
-    """White space collapsed; over 200 characters, the first 197 and three dots.  An empty text falls back."""
-    flat = F.trim(F.regexp_replace(F.coalesce(F.nullif(text, F.lit("")), fallback if fallback is not None else F.lit("")), r"\s+", " "))
-    return F.when(F.length(flat) > 200, F.concat(F.rtrim(F.left(flat, F.lit(197))), F.lit("..."))).otherwise(flat)
+    """White space collapsed; over 200 characters, the first 197 and three dots.  A blank text falls back."""
+    own = flat(text)
+    if fallback is not None:
+        own = F.when(own != "", own).otherwise(flat(fallback))
+    return F.when(F.length(own) > 200, F.concat(F.left(own, F.lit(197)), F.lit("..."))).otherwise(own)
+
+
+def symbol(package: Column, owners: Column, name: Column) -> Column:
+    """The qualified name; null without a name."""
+    return F.when(F.trim(name) != "", qualified(F.trim(package), owners, F.trim(name)))
 
 
 def qualified(package: Column, owners: Column, name: Column) -> Column:
@@ -93,16 +104,16 @@ def bias(kind: Column, name: Column, modifiers: Column, source: Column, text: Co
         .when(has(source, " class ", " record ", " enum "), F.lit(0.5))
         .otherwise(F.lit(0.0))
     )
-    type_reason = F.when(of_type == -1.2, "annotation_type").when(of_type == -0.75, "interface_type").when(of_type == -0.35, "abstract_type").otherwise("concrete_type")
+    type_reason = F.when(of_type == -1.2, "implementation:annotation_penalty").when(of_type == -0.75, "implementation:interface_penalty").when(of_type == -0.35, "implementation:abstract_penalty").otherwise("implementation:concrete_type")
     looks = F.arrays_overlap(terms, words(LOOKUP_TERMS))
     return [
-        (code, F.lit(0.7), F.lit("implementation_callable")),
+        (code, F.lit(0.7), F.lit("implementation:callable")),
         (~code & (of_type != 0), of_type, type_reason),
-        (F.coalesce(name.startswith("Default"), F.lit(False)), F.lit(0.3), F.lit("default_implementation")),
-        (looks & has(low, "get", "find", "lookup", "resolve"), F.lit(0.35), F.lit("lookup_callable")),
-        (looks & has(text, "getbean", "resolve", "lookup", "find"), F.lit(0.15), F.lit("lookup_text")),
-        (looks & (kind == "type") & F.arrays_overlap(name_terms, words(GENERIC_NAMES)), F.lit(-0.45), F.lit("generic_infrastructure")),
-        (looks & has(low, "provider"), F.lit(-0.25), F.lit("provider")),
+        (F.coalesce(name.startswith("Default"), F.lit(False)), F.lit(0.3), F.lit("implementation:default_impl")),
+        (looks & has(low, "get", "find", "lookup", "resolve"), F.lit(0.35), F.lit("implementation:resolver_name")),
+        (looks & has(text, "getbean", "resolve", "lookup", "find"), F.lit(0.15), F.lit("implementation:resolver_text")),
+        (looks & (kind == "type") & F.arrays_overlap(name_terms, words(GENERIC_NAMES)), F.lit(-0.45), F.lit("implementation:generic_type_penalty")),
+        (looks & has(low, "provider"), F.lit(-0.25), F.lit("implementation:provider_penalty")),
     ]
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.lexical import confidence, hybrid, qualified, summary
+from siltstone.functions.lexical import confidence, hybrid, summary
+from siltstone.functions.lexical import symbol as symbol_of
 from siltstone.functions.vectors import dot, sane
 
 #: Query vectors in one broadcast.
@@ -83,7 +84,7 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
     source_set, has_more.  A blank query has no hits."""
     own = queries.where(F.trim("query") != "").select("query_id", "query")
     wide = found.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(documents, "chunk_id").join(F.broadcast(own), "query_id")
-    symbol = qualified(F.col("package"), F.col("owner_chain"), F.col("name"))
+    symbol = symbol_of(F.col("package"), F.col("owner_chain"), F.col("name"))
     score, reasons = hybrid(
         F.col("query"), F.col("semantic"), name=F.coalesce("name", F.lit("")), symbol=F.coalesce("symbol", F.lit("")), signature=F.coalesce("signature", F.lit("")), path=F.coalesce("file_path", F.lit("")),
         text=F.coalesce("retrieval_text", F.lit("")), kind=F.coalesce("chunk_kind", F.lit("")), modifiers=F.col("modifiers"), source=F.coalesce("source_text", F.lit("")),
@@ -128,11 +129,11 @@ def neighbours(targets: DataFrame, documents: DataFrame, limit: int = 2) -> Data
 def read(documents: DataFrame, chunk_id: str, *, surrounding: bool = True, limit: int = 2) -> DataFrame:
     """One row: the chunk, its context and its neighbours; no row if the id is unknown."""
     one = documents.where(F.col("chunk_id") == chunk_id).limit(1)
-    context = F.struct("package", "owner_chain", "source_set", "indexed_at").alias("context")
-    out = one.select("chunk_id", F.col("chunk_kind").alias("kind"), qualified(F.col("package"), F.col("owner_chain"), F.col("name")).alias("symbol"), "file_path", "start_line", "end_line", "signature", F.col("source_text").alias("code"), context)
+    context = F.struct(F.col("package").alias("package_name"), "owner_chain", "source_set", "indexed_at").alias("surrounding_context")
+    out = one.select("chunk_id", F.col("chunk_kind").alias("kind"), symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")).alias("symbol"), "file_path", "start_line", "end_line", "source_text", summary(F.col("source_text"), F.col("retrieval_text")).alias("summary"), context)
     none = F.expr("cast(array() as array<struct<rank:int,chunk_id:string,kind:string,symbol:string,start_line:int,end_line:int>>)")
     if not surrounding:
-        return out.withColumn("surrounding", none)
+        return out.withColumn("neighbors", none)
     near = neighbours(one, documents.join(F.broadcast(one.select("file_path")), "file_path", "left_semi"), limit)
-    listed = near.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("chunk_kind").alias("kind"), qualified(F.col("package"), F.col("owner_chain"), F.col("name")).alias("symbol"), "start_line", "end_line"))).alias("surrounding"))
-    return out.join(listed, out["chunk_id"] == listed["target_id"], "left").drop("target_id").withColumn("surrounding", F.coalesce("surrounding", none))
+    listed = near.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.col("chunk_kind").alias("kind"), symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")).alias("symbol"), "start_line", "end_line"))).alias("neighbors"))
+    return out.join(listed, out["chunk_id"] == listed["target_id"], "left").drop("target_id").withColumn("neighbors", F.coalesce("neighbors", none))
