@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from siltstone.llm import decontaminate, jaccard, langid, lm, packing, pii, quality, rules, sharding
+from siltstone.llm import decontaminate, jaccard, langid, license, lm, packing, pii, quality, rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.query,
         "op4_decontamination": decontaminate.query,
         "op5_lm_scoring": lm.query,
+        "op6_license_scan": license.query,
         "op7_personal_data": pii.query,
         "op8_best_fit_packing": packing.query,
         "op9_quality_rules": rules.query,
