@@ -112,10 +112,10 @@ def first_of_groups(rows: DataFrame, group: Column, rank: str, limit: int | None
 
 
 def enclosing_group() -> Column:
-    """Group of a chunk for first_of_groups: its enclosing type; types and skeletons are their own."""
-    return F.when(F.col("kind").isin("type", "skeleton"), F.concat_ws(":", "filepath", F.array_join("owner_chain", "."), "name", F.col("span.lo").cast("string"))).otherwise(
-        F.coalesce(F.concat_ws(":", "filepath", F.array_join(F.slice("owner_chain", 1, F.greatest(F.size("owner_chain") - 1, F.lit(0))), "."), F.element_at("owner_chain", -1), F.col("type_span.lo").cast("string")), F.col("chunk_id"))
-    )
+    """Group of a parsed chunk for first_of_groups: the skeleton of its enclosing type; a type and its skeleton are one group."""
+    owner = F.coalesce(F.nullif(F.array_join("owner_chain", "."), F.lit("")), F.lit("-"))
+    skeleton = F.concat_ws(":", F.coalesce("filepath", F.lit("<memory>")), F.lit("skeleton"), owner, "name", F.col("span.lo").cast("string"), F.col("span.hi").cast("string"))
+    return F.when(F.col("kind").isin("type", "skeleton"), skeleton).otherwise(F.coalesce("parent_chunk_id", "chunk_id"))
 
 
 def neighbours(targets: DataFrame, documents: DataFrame, limit: int = 2) -> DataFrame:

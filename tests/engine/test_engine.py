@@ -72,6 +72,16 @@ def test_group_dedup(spark):
     assert [r.rank for r in S.first_of_groups(rows, F.col("g"), "rank", 1).collect()] == [1]
 
 
+def test_chunks_of_one_type_are_one_group(spark, tmp_path):
+    (tmp_path / "X.java").write_text("class X { void a() { } void b() { } class Y { int c; } }")
+    rows = files.chunks(files.java_files(spark, [str(tmp_path)])).where("kind <> 'file'").withColumn("rank", F.col("chunk_ord"))
+    groups = {(r.kind, r.name): r.g for r in rows.withColumn("g", S.enclosing_group()).collect()}
+    own = {r.name: r.chunk_id for r in rows.where("kind = 'skeleton'").collect()}
+    assert {groups[k] for k in (("type", "X"), ("skeleton", "X"), ("method", "a"), ("method", "b"))} == {own["X"]}
+    assert {groups[k] for k in (("type", "Y"), ("skeleton", "Y"), ("field", "c"))} == {own["Y"]}
+    assert [(r.kind, r.name) for r in S.first_of_groups(rows, S.enclosing_group(), "rank").collect()] == [("type", "X"), ("type", "Y")]
+
+
 def test_verdicts(spark):
     empty = ([], [], [], [], [], [])
     cases = [("symbol", [], ["Foo.run"], [], [[40, 45]], [], []), ("second", ["p"], [], [], [], ["s"], []), ("outside", [], ["Foo.run"], [], [[80, 90]], [], []), ("file", ["f"], [], [], [[1, 5]], [], []), ("late", [], ["Foo"], [], [], [], []), ("none", *empty), ("anchor", ["f"], [], [10], [], [], [])]
