@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Results depend on exactly these words and weights.
@@ -117,28 +117,39 @@ def bias(kind: Column, name: Column, modifiers: Column, source: Column, text: Co
     ]
 
 
-def hybrid(query: Column, semantic: Column, *, name: Column, symbol: Column, signature: Column, path: Column, text: Column, kind: Column, modifiers: Column, source: Column) -> tuple[Column, Column]:
-    """(score, reasons): the semantic score with the lexical boosts added in a fixed order, and what was added."""
-    query = F.trim(query)
-    own = significant(query)
-    terms = expanded(own)
-    sets = {k: F.array_distinct(tokens(v)) for k, v in (("name", name), ("symbol", symbol), ("signature", signature), ("path", path), ("text", text))}
-    steps: list[tuple[Column, Column, Column]] = []
+PARTS = ("name", "symbol", "signature", "path", "text")
+LABELS = {"name": "name_terms:", "symbol": "symbol_terms:", "signature": "signature_terms:", "path": "path_terms:", "text": "terms:"}
+
+
+def hybrid(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds score and why_matched: the semantic score with the lexical boosts added in a fixed order, and what was added.
+
+    columns: query, semantic, name, symbol, signature, path, text, kind, modifiers and source, none of them null but modifiers.
+    Token arrays are columns of their own on the way, so that each text is tokenised once.
+    """
+    kept = rows.columns
+    wide = rows.withColumns({f"h_{k}": v for k, v in columns.items()}).withColumn("h_query", F.trim("h_query"))
+    wide = wide.withColumn("h_own", significant(F.col("h_query")))
+    wide = wide.withColumns({"h_terms": expanded(F.col("h_own"))} | {f"h_set_{k}": F.array_distinct(tokens(F.col(f"h_{k}"))) for k in PARTS})
+    wide = wide.withColumns({f"h_common_{k}": F.array_sort(F.array_intersect("h_terms", f"h_set_{k}")) for k in PARTS})
+    wide = wide.withColumn("h_signal", F.array_intersect("h_common_text", words(SIGNAL_TERMS))).withColumn("h_asks", asks_implementation(F.col("h_own")))
+    query, name, symbol_, signature, text = (F.col(f"h_{k}") for k in ("query", "name", "symbol", "signature", "text"))
     same = F.coalesce((name != "") & (F.lower(query) == F.lower(name)), F.lit(False))
-    steps.append((same, F.lit(1.0), F.concat(F.lit("name:"), name)))
-    steps.append((~same & holds(query, name), F.lit(0.4), F.concat(F.lit("name_fragment:"), name)))
-    steps.append((holds(query, symbol), F.lit(0.8), F.concat(F.lit("symbol:"), symbol)))
-    steps.append((holds(signature, query), F.lit(0.6), F.lit("signature")))
+    steps = [
+        (same, F.lit(1.0), F.concat(F.lit("name:"), name)),
+        (~same & holds(query, name), F.lit(0.4), F.concat(F.lit("name_fragment:"), name)),
+        (holds(query, symbol_), F.lit(0.8), F.concat(F.lit("symbol:"), symbol_)),
+        (holds(signature, query), F.lit(0.6), F.lit("signature")),
+    ]
     for key, weight, most in TERM_WEIGHTS:
-        common = F.array_sort(F.array_intersect(terms, sets[key]))
+        common = F.col(f"h_common_{key}")
         n = F.size(common)
-        label = {"name": "name_terms:", "symbol": "symbol_terms:", "signature": "signature_terms:", "path": "path_terms:", "text": "terms:"}[key]
-        steps.append((n > 0, (F.least(n, F.lit(most)) if most else n) * F.lit(weight), F.concat(F.lit(label), F.array_join(common, ", "))))
-    signal = F.array_sort(F.array_intersect(F.array_intersect(terms, sets["text"]), words(SIGNAL_TERMS)))
-    steps.append((F.size(signal) > 0, F.size(signal) * F.lit(SIGNAL_WEIGHT), F.concat(F.lit("lookup_terms:"), F.array_join(signal, ", "))))
+        steps.append((n > 0, (F.least(n, F.lit(most)) if most else n) * F.lit(weight), F.concat(F.lit(LABELS[key]), F.array_join(common, ", "))))
+    steps.append((F.size("h_signal") > 0, F.size("h_signal") * F.lit(SIGNAL_WEIGHT), F.concat(F.lit("lookup_terms:"), F.array_join("h_signal", ", "))))
     steps.append((holds(text, query), F.lit(0.6), F.lit("query_phrase")))
-    asks = asks_implementation(own)
-    steps += [(asks & c, d, r) for c, d, r in bias(kind, name, modifiers, source, text, sets["name"], terms)]
-    score = reduce(lambda s, x: s + F.when(x[0], x[1]).otherwise(F.lit(0.0)), steps, semantic.cast("double"))
-    reasons = F.filter(F.array(F.lit("semantic"), *(F.when(c, r) for c, _, r in steps)), lambda r: r.isNotNull())
-    return score, reasons
+    steps += [(F.col("h_asks") & c, d, r) for c, d, r in bias(F.col("h_kind"), name, F.col("h_modifiers"), F.col("h_source"), text, F.col("h_set_name"), F.col("h_terms"))]
+    wide = wide.withColumns({f"h_step_{i}": F.when(c, d) for i, (c, d, _) in enumerate(steps)})
+    taken = [F.col(f"h_step_{i}") for i in range(len(steps))]
+    score = reduce(lambda total, delta: total + F.coalesce(delta, F.lit(0.0)), taken, F.col("h_semantic").cast("double"))
+    reasons = F.filter(F.array(F.lit("semantic"), *(F.when(t.isNotNull(), r) for t, (_, _, r) in zip(taken, steps))), lambda r: r.isNotNull())
+    return wide.select(*kept, score.alias("score"), reasons.alias("why_matched"))

@@ -1,20 +1,24 @@
 """Late-interaction vector search, hybrid reranking and neighbour reads.
 
-Queries come in batches: a table (query_id, q_row, vec) of query vectors.  Its size is fixed by the user's queries, and it is
-broadcast only below QUERY_ROWS; beyond that the batch is cut into passes.
+Queries come in batches: a table (query_id, q_row, vec) of query vectors.  Its size is fixed by the user's queries; it goes to the tasks in
+slices of QUERY_ROWS vectors, one pass over the vectors each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.lexical import confidence, hybrid, summary
 from siltstone.functions.lexical import symbol as symbol_of
-from siltstone.functions.vectors import dot, sane
+from siltstone.functions.vectors import sane
 
 #: Query vectors in one broadcast.
 QUERY_ROWS = 20_000
@@ -28,30 +32,85 @@ def matching(documents: DataFrame, *, kind: str | None = None, source_set: str |
     return documents
 
 
-def dots(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """vectors (chunk_id, vec, ...) x queries (query_id, q_row, vec): every product, NaN ones left out.  The queries are a stated set."""
-    rows = queries.select("query_id", "q_row", F.col("vec").alias("q_vec"))
-    n = rows.count()
-    passes = max(1, -(-n // QUERY_ROWS))
-    out = []
-    for k in range(passes):
-        own = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("query_id", "q_row"), F.lit(passes)) == k)
-        packed = own.groupBy().agg(F.collect_list(F.struct("query_id", "q_row", "q_vec")).alias("q"))
-        met = vectors.join(F.broadcast(packed), F.lit(True)).select(*vectors.columns, F.explode("q").alias("q"))
-        out.append(met.select(*vectors.columns, F.col("q.query_id").alias("query_id"), F.col("q.q_row").alias("q_row"), dot(F.col("vec"), F.col("q.q_vec")).alias("dot")))
-    return reduce(DataFrame.unionByName, out).where(~F.isnan("dot") & F.col("dot").isNotNull())
+def _passes(queries: DataFrame) -> Iterator[pa.Table]:
+    """The query vectors in slices of about QUERY_ROWS, each small enough to send to every task."""
+    rows = queries.select("query_id", "q_row", "vec")
+    n = max(1, -(-rows.count() // QUERY_ROWS))
+    for k in range(n):
+        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id", "q_row"), F.lit(n)) == k)).toArrow()
+        if part.num_rows:
+            yield part.combine_chunks()
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The vectors of a list column as rows of doubles; all must be equally long."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.unique(array.value_lengths().to_numpy(zero_copy_only=False)) if len(array) else np.array([0])
+    if len(sizes) != 1 or np.isnan(sizes[0]):
+        raise ValueError("vectors of different lengths")
+    return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), int(sizes[0]))
+
+
+def _best(vectors: DataFrame, queries: DataFrame, *by: str, most: int | None = None) -> DataFrame:
+    """(by..., query_id, q_row, chunk_id, dot): per batch of vectors, the best product of each chunk with each query row, NaN ones left out; with
+    ``most`` only the first so many vectors per ``by`` and query row count (of equal ones those of greater chunk_id), batch by batch.
+    One matrix product per batch; what comes back is a partial result, to be aggregated further."""
+    kinds = dict(vectors.dtypes) | {f"q_{k}": v for k, v in queries.dtypes}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"query_id {kinds['q_query_id']}", "q_row int", f"chunk_id {kinds['chunk_id']}", "dot double"])
+    names = [*by, "query_id", "q_row", "chunk_id", "dot"]
+
+    def searcher(part: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = _matrix(part.column("vec"))
+            step = max(1, (1 << 22) // len(q))
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    own = _matrix(batch.column("vec"))
+                    if own.shape[1] != q.shape[1]:
+                        raise ValueError("vectors of different lengths")
+                    dots = own @ q.T
+                    dots[np.isnan(dots)] = -np.inf
+                    if most is None:
+                        code = batch.column("chunk_id").dictionary_encode().indices.to_numpy()
+                        order = np.argsort(code, kind="stable")
+                        first = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0]))
+                        best, row = np.maximum.reduceat(dots[order], first, axis=0), order[first]
+                        at, col = np.nonzero(best > -np.inf)
+                        row, value = row[at], best[at, col]
+                    else:
+                        group = batch.column(by[0]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                        place = np.empty(len(own), np.int64)
+                        place[pyarrow.compute.array_sort_indices(batch.column("chunk_id"), order="descending").to_numpy()] = np.arange(len(own))
+                        keep = []
+                        for g in np.unique(group):
+                            rows = np.flatnonzero(group == g)
+                            for j in range(len(q)):
+                                near = rows[np.lexsort((place[rows], -dots[rows, j]))[:most]]
+                                keep += [(r, j) for r in near.tolist() if dots[r, j] > -np.inf]
+                        row, col = (np.array(x, np.int64) for x in (zip(*keep) if keep else ((), ())))
+                        value = dots[row, col]
+                    rows, cols = pa.array(row), pa.array(col)
+                    data = [*(batch.column(c).take(rows) for c in by), part.column("query_id").take(cols).combine_chunks(), part.column("q_row").take(cols).cast(pa.int32()).combine_chunks(), batch.column("chunk_id").take(rows), pa.array(value)]
+                    yield pa.RecordBatch.from_arrays(data, names)
+
+        return run
+
+    out = [vectors.select(*dict.fromkeys([*by, "chunk_id", "vec"])).mapInArrow(searcher(part), schema) for part in _passes(queries)]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, out)
 
 
 def maxsim(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): the sum over query rows of the best product with the chunk's vectors."""
-    best = dots(vectors.select("chunk_id", "vec"), queries).groupBy("query_id", "chunk_id", "q_row").agg(F.max("dot").alias("best"))
+    best = _best(vectors.select("chunk_id", "vec"), queries).groupBy("query_id", "chunk_id", "q_row").agg(F.max("dot").alias("best"))
     return best.groupBy("query_id", "chunk_id").agg(F.sum("best").alias("score"))
 
 
 def shortlist(vectors: DataFrame, queries: DataFrame, per_row: int, keep: int) -> DataFrame:
-    """(query_id, chunk_id): per shard and query row the ``per_row`` best vectors count; chunks are ranked by the sum over rows and
-    shards of their best.  vectors: (chunk_id, vec, shard).  Row limits apply before the shuffle."""
-    rows = dots(vectors.select("chunk_id", "vec", "shard"), queries.withColumn("vec", sane(F.col("vec"))))
+    """(query_id, chunk_id, total): per shard and query row the ``per_row`` best vectors count; chunks are ranked by the sum over rows and
+    shards of their best.  vectors: (chunk_id, vec, shard).  Each batch sends at most ``per_row`` vectors per shard and query row."""
+    rows = _best(vectors, queries.withColumn("vec", sane(F.col("vec"))), "shard", most=per_row)
     near = W.partitionBy("query_id", "shard", "q_row").orderBy(F.desc("dot"), F.desc("chunk_id"))
     top = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_row)
     best = top.groupBy("query_id", "shard", "q_row", "chunk_id").agg(F.max("dot").alias("best"))
@@ -84,12 +143,9 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
     source_set, has_more.  A blank query has no hits."""
     own = queries.where(F.trim("query") != "").select("query_id", "query")
     wide = found.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(documents, "chunk_id").join(F.broadcast(own), "query_id")
-    symbol = symbol_of(F.col("package"), F.col("owner_chain"), F.col("name"))
-    score, reasons = hybrid(
-        F.col("query"), F.col("semantic"), name=F.coalesce("name", F.lit("")), symbol=F.coalesce("symbol", F.lit("")), signature=F.coalesce("signature", F.lit("")), path=F.coalesce("file_path", F.lit("")),
-        text=F.coalesce("retrieval_text", F.lit("")), kind=F.coalesce("chunk_kind", F.lit("")), modifiers=F.col("modifiers"), source=F.coalesce("source_text", F.lit("")),
-    )
-    scored = wide.withColumn("symbol", symbol).withColumn("score", score).withColumn("why_matched", reasons)
+    wide = wide.withColumn("symbol", symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")))
+    given = {"name": "name", "symbol": "symbol", "signature": "signature", "path": "file_path", "text": "retrieval_text", "kind": "chunk_kind", "source": "source_text"}
+    scored = hybrid(wide, query=F.col("query"), semantic=F.col("semantic"), modifiers=F.col("modifiers"), **{k: F.coalesce(c, F.lit("")) for k, c in given.items()})
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     all_ = scored.withColumn("rank", F.row_number().over(order)).withColumn("has_more", F.count(F.lit(1)).over(W.partitionBy("query_id")) > top_k)
     return all_.where(F.col("rank") <= top_k).select(
