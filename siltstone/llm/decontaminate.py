@@ -30,7 +30,7 @@ WINDOW = 120
 STEP = 60
 EDITS = 0.08
 #: Bytes of benchmark text in one broadcast slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 FILTER_BITS = 21
 #: Pairs of a chunk's documents and windows are counted in a plain array up to so many cells, else by sorting.
 DENSE_CELLS = 1 << 21
@@ -99,8 +99,8 @@ class Index:
         codes = [grams(np.frombuffer(w.text, np.uint8)) for w in windows]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
-        self.window = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order]
-        self.place = np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else order
+        self.window = np.repeat(np.arange(len(codes)), [len(c) for c in codes])[order].astype(np.int32)
+        self.place = (np.concatenate([np.arange(len(c)) for c in codes])[order] if codes else order).astype(np.int32)
         self.codes, self.first = np.unique(code[order], return_index=True)
         self.first = np.append(self.first, len(code))
         self.filter = np.zeros(1 << FILTER_BITS, bool)
@@ -123,7 +123,7 @@ class Index:
         at, doc, found = (x[self.codes[found] == code[at]] for x in (at, doc, found)) if len(at) else (at, doc, found)
         n = self.first[found + 1] - self.first[found] if len(at) else np.zeros(0, np.int64)
         entry = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(at) else np.zeros(0, np.int64)
-        window = self.window[entry]
+        window = self.window[entry].astype(np.int64)
         hit_doc, diagonal = np.repeat(doc, n), np.repeat(at, n) - self.place[entry]
         pair = hit_doc * len(self.windows) + window
         cells = (len(offsets) - 1) * len(self.windows)
