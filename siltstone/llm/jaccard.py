@@ -431,15 +431,14 @@ def _joined_blocks(members: DataFrame, classes: DataFrame, sets: Sets, num: int,
 def _parted(rows: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """rows (lead, cls, n): the part of each, and the number of parts of each lead, by sets and by shingles."""
     size = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)
-    parts = rows.groupBy("lead").agg(F.ceil(size).cast("int").alias("parts"))
+    parts = stored(rows.groupBy("lead").agg(F.ceil(size).cast("int").alias("parts")), "block-counts")
     return rows.join(parts, "lead").select("lead", "cls", "parts", F.pmod(F.xxhash64("cls", "lead"), F.col("parts")).cast("int").alias("part")), parts
 
 
 def links(tokens: DataFrame, classes: DataFrame, fetch, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """tokens (h, cls): prefixes; classes (cls, n, sketch); fetch: frame of cls -> frame (cls, members).  Returns links (a, b) whose components are those of all links."""
     sets, size = Sets(fetch), classes.select("cls", "n")
-    least = tokens.groupBy("h").agg(F.min("cls").alias("lead"), F.max("cls").alias("other"))
-    own = tokens.join(least.where(F.col("lead") != F.col("other")), "h").where(F.col("cls") != F.col("lead"))
+    own = tokens.join(stored(tokens.groupBy("h").agg(F.min("cls").alias("lead")), "leads"), "h").where(F.col("cls") != F.col("lead"))
     pairs = stored(own.select("lead", "cls").distinct().join(size, "cls"), "pairs")
     dealt, parts = _parted(pairs, block)
     wide = F.col("parts") > 1
@@ -496,14 +495,14 @@ def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep:
     by links) and component (a name of the component that null ids don't share; null for the empty set)."""
     late = frequent(docs, k, num, den, hot)
     own = stored(summaries(docs, late, k, num, den, *keep), "prefixes")
-    # One document speaks for its class.
+    # One document speaks for its class.  What is joined on a key that may be hot is stored first, so that Spark can split the hot side.
     full = own.where(F.col("n") > 0)
-    least = full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    spread = full.groupBy("cls").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("h"), "cls").repartition(F.col("h"))
-    shared = spread.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where(F.col("x") != F.col("y")).select("h")
+    reps = stored(full.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
+    least = reps.select("cls", "doc_id")
+    spread = reps.select(F.explode("prefix").alias("h"), "cls")
+    shared = stored(spread.groupBy("h").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where(F.col("x") != F.col("y")).select("h"), "shared")
     tokens = stored(spread.join(shared, "h", "left_semi"), "shared-prefixes")
-    sketches = full.groupBy("cls").agg(F.max("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stored(sketches.join(tokens.select("cls").distinct(), "cls", "left_semi"), "sketches")
+    classes = stored(reps.select("cls", "n", "sketch").join(tokens.select("cls").distinct(), "cls", "left_semi"), "sketches")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return chosen_sets(docs, stored(least.join(wanted, "cls", "left_semi"), "wanted"), k)
@@ -512,6 +511,7 @@ def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep:
     named = com.join(least.withColumnRenamed("cls", "node"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = com.join(named, "component").select(F.col("node").alias("cls"), "component_id", "component")
     whole = least.select("cls", F.col("doc_id").alias("least_id")).join(of, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "cls").alias("component"))
+    whole = stored(whole, "component-names")
     names = list(dict.fromkeys(["doc_id", *keep]))
     rows = own.select(*names, "n", "cls").join(whole, "cls", "left")
     least_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
