@@ -73,7 +73,7 @@ def label(kind: Column, package: Column, owners: Column, name: Column) -> Column
     return F.when(kind == "behavior", qualified(package, owners, none)).when(name.isNotNull(), qualified(package, owners, name))
 
 
-LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085  ]"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029]"
 
 
 def declaration(kind: Column, source: Column, signature_: Column) -> Column:
