@@ -200,15 +200,18 @@ def identified(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def learn(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
     """Learns from rows outside fold 0 that have a lang: the first texts of each language by a hash of the id."""
     usable = docs.where(F.col("lang").isNotNull() & (fold_of() != 0) & F.octet_length("text").between(1, TRAINING_TEXT_BYTES))
-    order = F.struct(F.xxhash64("doc_id"), F.xxhash64("text"))
-    ids = usable.select("doc_id", "lang", order.alias("o"))
-    # Few rows: per_language for each language, cut down before the shuffle.
-    first = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("o"))).where(F.col("r") <= per_language)
-    frequent = first.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    chosen = first.join(F.broadcast(frequent), "lang").select("doc_id", "lang", "o").dropDuplicates()
-    known = usable.withColumn("o", order).join(F.broadcast(chosen), ["doc_id", "lang", "o"], "left_semi")
+    mark = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")))
+    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not frequent:
+        return trained({})
+    # A threshold on the hash leaves about three times as many as wanted, however many there are; of these the first are taken.
+    share = F.create_map(*(x for r in frequent for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 3 * per_language / r["count"]) * (1 << 24)) + 1))))
+    ids = usable.select("lang", mark.alias("mark")).where(F.pmod("mark", F.lit(1 << 24)) < F.element_at(share, F.col("lang"))).distinct()
+    order = W.partitionBy("lang").orderBy(F.xxhash64("mark"), "mark")
+    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "mark")
+    known = usable.select("lang", "text", mark.alias("mark")).join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
     texts: dict[str, list[bytes]] = {}
-    for r in known.select("lang", F.col("text").cast("binary").alias("text")).dropDuplicates().collect():
+    for r in known.select("lang", F.col("text").cast("binary").alias("text")).distinct().collect():
         texts.setdefault(r["lang"], []).append(bytes(r["text"]))
     return trained({k: sorted(v) for k, v in texts.items()})
 
