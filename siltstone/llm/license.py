@@ -94,3 +94,22 @@ def scanned(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_canonical(text: str) -> str:
+    flat = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '', 'g'), '{SIGNS}', ' ', 'g')) || ' '"
+    for a, b in SPELLINGS:
+        flat = f"replace({flat}, ' {a} ', ' {b} ')"
+    return f"trim({flat})"
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for the rows of ``query``."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    texts = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in KNOWN)
+    return f"""WITH k AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(n) AS license FROM (VALUES {texts}) AS v(n, t) GROUP BY 1),
+    d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+    p AS (SELECT rn, text, string_split_regex(text, '\\n[ \\t\\r]*\\n\\s*') AS p FROM d WHERE regexp_matches(text, '(?i){'|'.join(w.replace(' ', SIGNS) for w in WORDS)}')),
+    u AS (SELECT rn, unnest(list_concat(string_split(text, chr(10)), CASE WHEN len(p) > 1 THEN list_filter(p, lambda x: contains(x, chr(10))) ELSE [] END)) AS unit FROM p),
+    m AS (SELECT rn, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM u JOIN k ON sha256({_sql_canonical('unit')}) = digest GROUP BY 1)
+    SELECT doc_id, sha256({_sql_canonical('text')}) AS text_sha256, license, coalesce(notices, '') AS notices, coalesce(n, 0) AS n_notices FROM d LEFT JOIN k ON sha256({_sql_canonical('text')}) = digest LEFT JOIN m USING (rn)"""
