@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, chunks, text_buffers
+from siltstone.llm.textops import LOWER, batched, chunks, text_buffers
 
 Q = 8
 WINDOW = 120
@@ -213,7 +213,7 @@ SCHEMA = "item_id long, n_windows long, edits long, char_start long, char_end lo
 def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, edits: float = EDITS) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, the columns ``keep``, item_id, n_windows (of the item, found), edits (of the
     closest window), and the span of code points from the first to the last window found."""
-    types = dict(docs.dtypes)
+    types = dict(batched(docs).dtypes)
     names = list(dict.fromkeys(["doc_id", *keep]))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), SCHEMA])
     spark = docs.sparkSession

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.textops import LOWER, chunks, mix, shingle_hashes, spans_hash, stored, text_buffers, words
+from siltstone.llm.textops import LOWER, batched, chunks, mix, shingle_hashes, spans_hash, stored, text_buffers, words
 
 #: A shingle in the prefixes of more documents than this comes late in the global order.
 HOT = 32
@@ -493,7 +493,7 @@ def _crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
 def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, the columns ``keep``, n_shingles, component_id (least id of the documents reachable
     by links) and component (a name of the component that null ids don't share; null for the empty set)."""
-    late = frequent(docs, k, num, den, hot)
+    late = frequent(batched(docs), k, num, den, hot)
     own = stored(summaries(docs, late, k, num, den, *keep), "prefixes")
     # One document speaks for its class.  What is joined on a key that may be hot is stored first, so that Spark can split the hot side.
     full = own.where(F.col("n") > 0)

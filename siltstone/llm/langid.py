@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, chunks, fold_of, text_buffers
+from siltstone.llm.textops import LOWER, batched, chunks, fold_of, text_buffers
 
 ORDER = 4
 #: The classifier learns from at most so many texts of each of so many languages, each text of at most so many bytes.
@@ -194,7 +194,7 @@ def identified(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             new = [pa.array(lang, pa.string()), *(pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (score, rate))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return batched(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:

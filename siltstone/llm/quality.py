@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.rules import labelled
-from siltstone.llm.textops import MAX_SENDERS, SPACE, added_up, chunks, fold_of, mix, owners, spans_hash, text_buffers
+from siltstone.llm.textops import MAX_SENDERS, SPACE, added_up, batched, chunks, fold_of, mix, owners, spans_hash, text_buffers
 
 DIMS = 32
 WORD_BUCKETS = 1 << 13
@@ -115,7 +115,7 @@ def word_vectors(docs: DataFrame) -> list[np.ndarray]:
         blocks = np.split(np.concatenate(total), PARTS)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "block": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
-    sums = added_up(docs.select("text").coalesce(MAX_SENDERS).mapInArrow(run, "part int, block binary"))
+    sums = added_up(batched(docs).select("text").coalesce(MAX_SENDERS).mapInArrow(run, "part int, block binary"))
     size = sum(n for n, _ in STREAMS) * DIMS
     flat = np.concatenate([sums[k] for k in range(PARTS)]) if sums else np.zeros(size)
     out, at = [], 0
@@ -209,7 +209,7 @@ def _features(rows: DataFrame, vectors: list[np.ndarray], name: str, columns: li
             flat = [v for p in parts for v in p]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flat, kind)], [*columns, name])
 
-    return rows.select(*columns, "text").mapInArrow(run, schema)
+    return batched(rows).select(*columns, "text").mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, vectors: list[np.ndarray], bound: int = LABELLED_ROWS) -> Network:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import MULTIPLIERS, SPACE, chunks, mix, owners, pieces, spans_hash, text_buffers, words
+from siltstone.llm.textops import MULTIPLIERS, SPACE, batched, chunks, mix, owners, pieces, spans_hash, text_buffers, words
 
 #: Labelled rows that the learner sees: all of them, or about so many chosen by a hash of the id.
 LABELLED_ROWS = 20_000
@@ -97,7 +97,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     names = list(dict.fromkeys(["doc_id", *keep]))
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"{k} long" for k in COUNTS)])
-    return docs.select(*names, "text").mapInArrow(run, schema)
+    return batched(docs).select(*names, "text").mapInArrow(run, schema)
 
 
 def features() -> dict[str, Column]:

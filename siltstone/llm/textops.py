@@ -6,6 +6,8 @@ depend on the number of rows in an Arrow batch.  A chunk always holds whole docu
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Rows in one Arrow batch of texts, at most.  Off-heap buffers grow with it.
+ARROW_ROWS = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -89,6 +93,21 @@ def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES) -> I
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    _trim()
+
+
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batched(frame: DataFrame) -> DataFrame:
+    """The frame; from now on its session sends Arrow batches of at most ARROW_ROWS rows."""
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return frame
 
 
 def pieces(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
