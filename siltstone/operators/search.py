@@ -143,6 +143,8 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
     source_set, has_more.  A blank query has no hits."""
     own = queries.where(F.trim("query") != "").select("query_id", "query")
     wide = found.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(documents, "chunk_id").join(F.broadcast(own), "query_id")
+    # Few rows, but each with much to tokenise: spread them, as adaptive execution goes by bytes alone.
+    wide = wide.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "chunk_id")
     wide = wide.withColumn("symbol", symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")))
     given = {"name": "name", "symbol": "symbol", "signature": "signature", "path": "file_path", "text": "retrieval_text", "kind": "chunk_kind", "source": "source_text"}
     scored = hybrid(wide, query=F.col("query"), semantic=F.col("semantic"), modifiers=F.col("modifiers"), **{k: F.coalesce(c, F.lit("")) for k, c in given.items()})
