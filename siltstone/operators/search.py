@@ -101,6 +101,32 @@ def _best(vectors: DataFrame, queries: DataFrame, *by: str, most: int | None = N
     return reduce(DataFrame.unionByName, out)
 
 
+def products(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, dot): each query vector with each vector, NaN products included; one matrix product per batch, and no join."""
+    kinds = dict(vectors.dtypes) | {f"q_{k}": v for k, v in queries.dtypes}
+    schema = f"query_id {kinds['q_query_id']}, chunk_id {kinds['chunk_id']}, dot double"
+
+    def scorer(part: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = _matrix(part.column("vec"))
+            step = max(1, (1 << 18) // len(q))
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    own = _matrix(batch.column("vec"))
+                    if own.shape[1] != q.shape[1]:
+                        raise ValueError("vectors of different lengths")
+                    row, col = (pa.array(x.ravel()) for x in np.indices((len(own), len(q))))
+                    data = [part.column("query_id").take(col).combine_chunks(), batch.column("chunk_id").take(row), pa.array((own @ q.T).ravel())]
+                    yield pa.RecordBatch.from_arrays(data, ["query_id", "chunk_id", "dot"])
+
+        return run
+
+    out = [vectors.select("chunk_id", "vec").mapInArrow(scorer(part), schema) for part in _passes(queries)]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, out)
+
+
 def maxsim(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): the sum over query rows of the best product with the chunk's vectors."""
     best = _best(vectors.select("chunk_id", "vec"), queries).groupBy("query_id", "chunk_id", "q_row").agg(F.max("dot").alias("best"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
-from siltstone.functions.vectors import dot, sane
+from siltstone.functions.vectors import sane
 from siltstone.operators import evaluate as E
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
@@ -125,9 +125,20 @@ MAXSIM = f"{V}, b AS (SELECT query_id, chunk_id, q_row, max(dot) AS best FROM d
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot FROM v a JOIN v b ON b.vec_id % 20 = a.vec_id % 20 AND a.vec_id % 20 = 0")
 def vector_dot(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id"), "embedding")
-    met = own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(0).alias("k")).join(own.withColumn("k", F.lit(0)), "k")
-    return met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("embedding")), 6).alias("dot"))
+    own = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return _dots(own, own)
+
+
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot FROM v a CROSS JOIN v b WHERE a.vec_id % 20 = 0")
+def vector_dot_all(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings")
+    return _dots(own, own.where("vec_id % 20 = 0"))
+
+
+def _dots(vectors, queries):
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_row"), F.col("embedding").alias("vec"))
+    met = S.products(vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")), asked)
+    return met.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("dot", 6).alias("dot"))
 
 
 @query(f"WITH {MAXSIM} SELECT query_id, chunk_id, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 50")

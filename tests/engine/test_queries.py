@@ -55,3 +55,9 @@ def test_segments_of_whole_texts(spark):
 def test_entry(spark):
     frame = queries.entry(spark)
     assert "score" in frame.columns and frame.count() > 0
+
+
+def test_every_query_vector_meets_every_vector(spark):
+    ids = [r.vec_id for r in queries.table(spark, SF, "embeddings").select("vec_id").collect()]
+    got = sorted((r.query_id, r.vec_id) for r in queries.vector_dot_all(spark, SF).collect())
+    assert got == sorted((q, v) for q in ids if q % 20 == 0 for v in ids)
