@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are normalised (A-Z lower-cased, every run of signs and spaces one space).  Benchmark items are cut into overlapping
-windows; a window of L bytes lies in a document within k edits only if some band of diagonals holds at least
+windows of two lengths: long ones, and short ones so dense that each verbatim passage of LEAST_PASSAGE bytes of an item
+holds one of them whole, wherever in the item it begins.  A window of L bytes lies in a document within k edits only if some band of diagonals holds at least
 (L + 1 - q) - k q of its q-grams.  Bands overlap so that each run of 2k + 1 diagonals lies in one whole.  Bands that reach
 the bound are verified by banded alignment.
 
@@ -28,12 +29,18 @@ from siltstone.llm.textops import LOWER, batched, chunks, text_buffers
 Q = 8
 WINDOW = 120
 STEP = 60
+SHORT_WINDOW = 64
+SHORT_STEP = 12
+#: Verbatim passages of so many normalised bytes (about 13 words) are found at every offset of an item.
+LEAST_PASSAGE = SHORT_WINDOW + SHORT_STEP - 1
 EDITS = 0.08
 #: Bytes of benchmark text in one broadcast slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 FILTER_BITS = 21
 #: Pairs of a chunk's documents and windows are counted in a plain array up to so many cells, else by sorting.
 DENSE_CELLS = 1 << 21
+#: Bands that are verified together.
+ALIGNED_AT_ONCE = 1 << 11
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,10 +89,9 @@ def windows_of(item: int | None, text: str | None, edits: float = EDITS) -> list
     b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
     if len(b) < Q:
         return []
-    starts = sorted({*range(0, max(1, len(b) - WINDOW + 1), STEP), max(0, len(b) - WINDOW)})
+    spans = {(s, b[s : s + size]) for size, step in ((WINDOW, STEP), (SHORT_WINDOW, SHORT_STEP)) for s in (*range(0, max(1, len(b) - size + 1), step), max(0, len(b) - size))}
     out = []
-    for s in starts:
-        own = b[s : s + WINDOW]
+    for s, own in sorted(spans):
         k = min(int(edits * len(own)), (len(own) - Q) // Q)
         out.append(Window(item, s, own, k, len(own) + 1 - Q - k * Q))
     return out
@@ -147,52 +153,90 @@ class Index:
 
 
 def aligned(pattern: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of ``pattern`` in ``text`` whose path stays on the diagonals low..high, if within ``most``.
-
-    Row i of the table holds, for each diagonal d, the least edits of pattern[:i] against a text piece ending at i + d.
-    """
+    """(edits, start, end) of the best place of ``pattern`` in ``text`` whose path stays on the diagonals low..high, if within ``most``."""
     exact = text.find(pattern, max(0, low))
     if 0 <= exact <= high:
         return 0, exact, exact + len(pattern)
-    width, m = high - low + 1, len(pattern)
-    far = m + 1
-    t = np.frombuffer(text, np.uint8)
-    lane = np.arange(width)
+    one = lambda x: np.array([x])
+    _, cost, start, end = aligned_many(np.frombuffer(text, np.uint8), np.frombuffer(pattern, np.uint8)[None], one(low), high - low + 1, one(0), one(len(text)), most)
+    return (int(cost[0]), int(start[0]), int(end[0])) if len(cost) else None
+
+
+def aligned_many(b: np.ndarray, patterns: np.ndarray, low: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Which of the equally long patterns lie within ``most`` edits in their text b[lo:hi] on the ``width`` diagonals from ``low`` on, and the
+    (edits, start, end) of the best place of each, all by places of ``b``.
+
+    Row i of the table holds, for each pattern and diagonal d, the least edits of pattern[:i] against a text piece ending at i + d.
+    """
+    m = patterns.shape[1]
+    far, lane, live = m + 1, np.arange(width), np.arange(len(patterns))
     # cost * 2**32 + (start counted from low): the least number has the least cost and the first start.
     unit = 1 << 32
-    ends = low + lane
-    row = np.where((ends >= 0) & (ends <= len(t)), lane, far * unit)
+    at = low[:, None] + np.arange(m + width)
+    inside = (at >= lo[:, None]) & (at < hi[:, None])
+    text = np.full(at.shape, -1, np.int16)
+    text[inside] = b[at[inside]]
+    begun, ok = at >= lo[:, None], (at >= lo[:, None]) & (at <= hi[:, None])
+    row = np.where(ok[:, :width], lane, far * unit)
     for i in range(1, m + 1):
-        ends = i + low + lane
-        ok = (ends >= 0) & (ends <= len(t))
-        same = np.zeros(width, bool)
-        inside = (ends >= 1) & (ends <= len(t))
-        same[inside] = t[ends[inside] - 1] == pattern[i - 1]
-        new = np.where(ends >= 1, row + np.where(same, 0, unit), far * unit)
-        new[:-1] = np.minimum(new[:-1], row[1:] + unit)
-        new = np.where(ok, new, far * unit)
-        row = np.minimum.accumulate(new - lane * unit) + lane * unit
-        row = np.where(ok, row, far * unit)
-        if row.min() >= (most + 1) * unit:
-            return None
-    best = int(row.argmin())
-    cost, start = divmod(int(row[best]), unit)
-    return (cost, low + start, m + low + best) if cost <= most else None
+        here = ok[:, i : i + width]
+        same = text[:, i - 1 : i - 1 + width] == patterns[:, i - 1, None]
+        new = np.where(begun[:, i - 1 : i - 1 + width], row + np.where(same, 0, unit), far * unit)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + unit)
+        new = np.where(here, new, far * unit)
+        row = np.minimum.accumulate(new - lane * unit, axis=1) + lane * unit
+        row = np.where(here, row, far * unit)
+        left = row.min(axis=1) < (most + 1) * unit
+        if not left.all():
+            live, low, row, text, begun, ok, patterns = (x[left] for x in (live, low, row, text, begun, ok, patterns))
+            if not len(live):
+                break
+    if not len(live):
+        return live, live, live, live
+    best = row.argmin(axis=1)
+    cost, start = np.divmod(row[np.arange(len(row)), best], unit)
+    return live, cost, low + start, low + m + best
 
 
 def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, window, edits, start byte, end byte) of every verified window of a chunk, the best band of each."""
     b, at_doc, place = normalised(data, offsets)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    open_: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
+
+    def take(d: int, w: int, hit: tuple[int, int, int]) -> None:
+        if hit < best.get((d, w), (len(index.windows[w].text) + 1, 0, 0)):
+            best[d, w] = hit
+
+    def verify(rows: list[tuple[int, int, int, int, int]]) -> None:
+        d, w, low, lo, hi = (np.array(x) for x in zip(*rows))
+        own = index.windows[rows[0][1]]
+        patterns = np.frombuffer(b"".join(index.windows[x].text for x in w.tolist()), np.uint8).reshape(len(rows), -1)
+        k, *hits = aligned_many(b, patterns, low, 2 * (2 * own.edits + 1) + 2 * own.edits, lo, hi, own.edits)
+        for x, y, *hit in zip(d[k].tolist(), w[k].tolist(), *(x.tolist() for x in hits)):
+            take(x, y, tuple(hit))
+
     for d, w, diagonal in index.regions(b, at_doc):
+        # Bands come in order, so a window found without edits has its first such place.
+        if best.get((d, w), (1,))[0] == 0:
+            continue
         own = index.windows[w]
-        lo, hi = int(at_doc[d]), int(at_doc[d + 1])
         width = 2 * int(index.band[w])
-        start = max(lo, diagonal - own.edits)
-        text = b[start : min(hi, diagonal + width + len(own.text) + own.edits)].tobytes()
-        hit = aligned(own.text, text, diagonal - own.edits - start, diagonal + width - 1 + own.edits - start, own.edits)
-        if hit and (hit := (hit[0], start + hit[1], start + hit[2])) < best.get((d, w), (len(own.text) + 1, 0, 0)):
-            best[d, w] = hit
+        low, high = diagonal - own.edits, diagonal + width - 1 + own.edits
+        start = max(int(at_doc[d]), low)
+        stop = min(int(at_doc[d + 1]), diagonal + width + len(own.text) + own.edits)
+        exact = b[start:stop].tobytes().find(own.text)
+        if 0 <= exact <= high - start:
+            take(d, w, (0, start + exact, start + exact + len(own.text)))
+            continue
+        rows = open_.setdefault((len(own.text), own.edits), [])
+        rows.append((d, w, low, start, stop))
+        if len(rows) >= ALIGNED_AT_ONCE:
+            verify(rows)
+            rows.clear()
+    for rows in open_.values():
+        if rows:
+            verify(rows)
     for (d, w), (edits, s, e) in best.items():
         yield d, w, edits, int(place[s] - offsets[d]), int(place[e - 1] + 1 - offsets[d])
 

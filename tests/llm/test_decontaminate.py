@@ -75,3 +75,11 @@ def test_against_brute_force(spark):
     whole = next(r for r in rows if r.doc_id == 102)
     assert (whole.char_start, whole.char_end, whole.edits) == (0, len(items[9][1]), 0)
     assert contaminated(frame.limit(0), bench).count() == 0 and contaminated(frame, bench.limit(0)).count() == 0
+
+
+def test_passages_of_a_long_item_at_every_offset(spark):
+    item = norm(prose(70)).decode()
+    cuts = [(n, o) for n in (75, 80, 110, 130) for o in range(len(item) - n + 1)]
+    docs = [(i, f"{prose(12)} {item[o : o + n]} {prose(12)}") for i, (n, o) in enumerate(cuts)]
+    rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(cuts)))
