@@ -33,8 +33,7 @@ MEMBERS = 32
 SLOTS = 1 << 12
 FEATURES = 3
 MEMBER_ROWS = 1 << 14
-#: Gradients are taken at every STRIDE-th token of each training document, in batches of BATCH.
-STRIDE = 4
+#: Gradients are taken at every token of each training document, in batches of BATCH.
 BATCH = 4096
 ROUNDS = 1
 RATE = 0.1
@@ -107,7 +106,7 @@ class Model:
             out += self.member_weights[at[:, j]]
         return out
 
-    def bucket_log10(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    def bucket_log10(self, tokens: np.ndarray, one: np.ndarray, two: np.ndarray, step: int = 1 << 11) -> np.ndarray:
         """log10 probability of each token's bucket given the tokens before it."""
         out = np.empty(len(tokens))
         for i in range(0, len(tokens), step):
@@ -138,14 +137,14 @@ def _shares(logits: np.ndarray) -> np.ndarray:
 
 def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray, rate: float) -> None:
     """One adaptive gradient step on the rows of a table; error: logit errors of each token of the batch."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    sorted_rows = flat[order]
-    new = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    grad = np.add.reduceat(error[order // FEATURES], new, axis=0)
-    at = sorted_rows[new]
-    squares[at] += np.square(grad).mean(axis=1)
-    table[at] -= rate * grad / np.sqrt(squares[at] + 1.0)[:, None]
+    used = np.zeros(len(table), bool)
+    used[rows] = True
+    at = np.flatnonzero(used)
+    place = (np.cumsum(used) - 1)[rows.T.ravel()]
+    own = error.T.astype(np.float64, order="C")
+    grad = np.array([np.bincount(place, np.concatenate([x] * rows.shape[1]), len(at)) for x in own]).astype(np.float32)
+    squares[at] += np.square(grad).mean(axis=0)
+    table[at] -= (rate * grad / np.sqrt(squares[at] + 1.0)).T
 
 
 def trained_on(model: Model, tokens: np.ndarray, one: np.ndarray, two: np.ndarray, squares: tuple[np.ndarray, np.ndarray], rate: float = RATE) -> None:
@@ -226,9 +225,8 @@ def updated(docs: DataFrame, train, model: Model) -> Model:
             for _, _, b, o in chunks(data, offsets):
                 tokens, first = token_hashes(b, o)
                 one, two = history(tokens, first)
-                at = np.arange(seen % STRIDE, len(tokens), STRIDE)
-                trained_on(own, tokens[at], one[at], two[at], squares)
-                seen += len(at)
+                trained_on(own, tokens, one, two, squares)
+                seen += len(tokens)
         if seen:
             flat = np.concatenate([own.class_weights.ravel(), own.member_weights.ravel()]) * np.float32(seen)
             blocks = [x.tobytes() for x in np.split(flat, PARTS)] + [np.array([seen], np.float32).tobytes()]

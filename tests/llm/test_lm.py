@@ -54,3 +54,15 @@ def test_empty_and_untrained(spark):
     rows = lm.scored(docs, model, counts).collect()
     assert len(rows) == 5 and all(r.base_score == 0 and r.n_known == 0 and r.score < 0 for r in rows)
     assert lm.scored(docs.limit(0), model, counts).count() == 0
+
+
+def test_every_training_token_is_learned_from(spark):
+    """Each context of a training text, wherever it stands, gets weights."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(41)))], "doc_id long, text string")
+    train = fold_of(modulus=7) != 9
+    model, _ = lm.learn(docs, train)
+    text = docs.first().text.encode()
+    own, first = lm.token_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    rows = lm.feature_rows(*lm.history(own, first))
+    cls, _ = lm.bucket_of(own)
+    assert model.class_weights[rows].any(axis=2).all() and model.member_weights[lm.member_rows(rows, cls)].any(axis=2).all()
