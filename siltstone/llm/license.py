@@ -2,7 +2,7 @@
 
 A text's canonical form is lower-case, without copyright lines, with every run of signs and spaces one space and
 equivalent spellings made one.  Entire texts are joined with known licences by the sha256 of this form; the known side is a
-fixed list, so it is broadcast.  Paragraphs and lines of a text are compared in the same way, each entire, against the same list, so a
+fixed list, so it is broadcast: the texts of KNOWN, and the digests of common full texts and headers.  Paragraphs and lines of a text are compared in the same way, each entire, against the same list, so a
 notice on a line of its own is found too; only those with a word that every known notice has one of are digested, and
 nothing that could match is left out.
 
@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.license_digests import DIGESTS
+
 # Known notices and texts by licence name.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -51,6 +53,8 @@ SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "
 WORDS = ("licen", "rights reserved", "public domain", "permission")
 # End of fixed values.
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:\n|\z)"
+#: Further words, of which the texts behind DIGESTS may have no other.
+DIGEST_WORDS = ("redistribution and use",)
 SIGNS = r"[^\p{L}\p{N}]+"
 
 
@@ -67,15 +71,17 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """(license, digest) of the known texts."""
-    lines = spark.range(1, numPartitions=1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in texts))).alias("k"))
-    return lines.select("k.license", digest(F.col("k.text")).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
+    """(license, digest) of the known texts and of DIGESTS."""
+    listed = lambda rows: spark.range(1, numPartitions=1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("license"), F.lit(t).alias("text")) for n, t in rows))).alias("k"))
+    given = listed(texts).select("k.license", digest(F.col("k.text")).alias("digest"))
+    more = listed([(n, d) for n, own in DIGESTS.items() for d in own]).select("k.license", F.col("k.text").alias("digest"))
+    return given.union(more).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scanned(docs: DataFrame, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
     """doc_id, text_sha256 (of the canonical whole text), license (of the whole text; null if unknown), notices (licences of its
     paragraphs and lines, sorted, distinct, comma-joined) and n_notices (how many of these matched)."""
-    words = "|".join(map(re.escape, WORDS))
+    words = "|".join(map(re.escape, WORDS + DIGEST_WORDS))
     if not all(re.search(words, t.lower()) for _, t in texts):
         raise ValueError(f"every known text must hold one of {WORDS}")
     spoken = lambda x: F.regexp_like(F.lower(F.regexp_replace(x, SIGNS, " ")), F.lit(words))

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import unicodedata
 
@@ -32,3 +33,29 @@ def test_digests_and_names(spark):
 def test_every_known_text_is_found_whole(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(KNOWN)], "doc_id long, text string")
     assert {r.doc_id: r.license for r in scanned(docs).collect()} == {i: n for i, (n, _) in enumerate(KNOWN)}
+
+
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+GPL3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+MPL2 = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_common_full_texts_and_headers(spark):
+    texts = [BSD2.format(""), "BSD 3-Clause License\n\nCopyright (c) 2020, A. B.\nAll rights reserved.\n\n" + BSD2.format(NAMES), GPL3, MPL2, "SPDX-License-Identifier: LGPL-2.1-or-later"]
+    want = ["BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "MPL-2.0", "LGPL-2.1"]
+    if os.path.isdir(TEXTS := "/usr/share/common-licenses"):
+        for name in ("Apache-2.0", "MPL-2.0", "LGPL-3", "GPL-2", "GPL-3", "CC0-1.0"):
+            texts.append(open(f"{TEXTS}/{name}", encoding="utf-8").read())
+            want.append(name if "." in name else name + ".0")
+    texts.append(f"prose\n{GPL3}\nmore")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.notices) for r in scanned(docs).collect()}
+    assert [got[i][0] for i in range(len(want))] == want
+    assert got[len(texts) - 1] == (None, "GPL-3.0")
