@@ -16,16 +16,13 @@ that leaves more than one component, the pairs that these blocks kept apart are
 lead meets block by block, and what is nearly linked to it meets the lead's own (by the triangle inequality of the Jaccard
 distance nothing else can link to those).
 
-Before sets are fetched, blocks are screened by sketches of about one bit per shingle: bits that differ are at most the
-shingles that differ, so sets whose sketches are too far apart can't link.  Sets that are left without a partner drop
-out, and only the others' sets travel.
-
 Counts are exact and only order the search.  Broadcasts are bounded: at most MAX_HOT frequent shingles and a bitmap of
 at most 2**MAX_BITMAP bits, which only lets more rows pass when it is full.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; equal rows form one class; a
-null id never names a component unless all ids of it are null; an empty table gives an empty result; columns beyond doc_id
-and text are ignored.
+null id never names a component unless all ids of it are null; ties (similarity exactly at the bound) link; very long texts count
+whole, as one set, in one task's memory; an empty table gives an empty result; ids may be of any type; columns beyond doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
-from siltstone.llm.textops import LOWER, batched, chunks, mix, shingle_hashes, spans_hash, stored, text_buffers, words
+from siltstone.llm.textops import LOWER, Shared, bitmap, chunks, in_bitmap, mix, prepared, shingle_hashes, spans_hash, stored, text_buffers, words
 
 #: A shingle in the prefixes of more documents than this comes late in the global order.
 HOT = 32
@@ -157,7 +154,7 @@ def frequent(docs: DataFrame, k: int, num: int, den: int, hot: int = HOT, most:
 
 def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int, *keep: str) -> DataFrame:
     """doc_id, the columns ``keep``, n (size of the set), cls (its name) and prefix of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)
+    shared = Shared(docs.sparkSession, late)
     types = dict(docs.dtypes)
     names = list(dict.fromkeys(["doc_id", *keep]))
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "n long, cls long, prefix array<long>, sketch binary"])
@@ -177,63 +174,26 @@ def summaries(docs: DataFrame, late: np.ndarray, k: int, num: int, den: int, *ke
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def _cell(ids: np.ndarray, bits: int) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
-
-
 def chosen_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(cls, n, members): the sets of the classes in ``wanted`` (doc_id of one document, cls); a null id stands for any."""
     spark = docs.sparkSession
     count = wanted.count()
     bits = min(MAX_BITMAP, max(10, int(count * 16).bit_length()))
-    bitmap = _bitmap(wanted.select("doc_id"), bits)
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = Shared(spark, bitmap(wanted.select(F.xxhash64("doc_id").alias("id_")), "id_", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            cell = _cell(ids, bits)
-            pick = np.flatnonzero((shared.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1)
+            pick = np.flatnonzero(in_bitmap(shared.value, batch.column("id_").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits))
             data, offsets = text_buffers(batch.column("text").take(pa.array(pick)))
             for _, _, b, o in chunks(data, offsets):
                 h, first = sets_of(b, o, k)
                 members = [h[s:e].tobytes() for s, e in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(classes_of(h, first).view(np.int64)), pa.array(np.diff(first)), pa.array(members, pa.binary())], ["cls", "n", "members"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "cls long, n long, members binary")
+    found = docs.select(F.xxhash64("doc_id").alias("id_"), "text").mapInArrow(run, "cls long, n long, members binary")
     return found.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits cells of the ids; each task sends the blocks of cells it has set, added up by block."""
-    block_bits = min(bits, 19)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = [_cell(b.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False), bits) for b in batches]
-        if not cells:
-            return
-        cells = np.unique(np.concatenate(cells))
-        part = (cells >> np.uint64(block_bits)).astype(np.int64)
-        for p in np.unique(part).tolist():
-            own = np.zeros(1 << (block_bits - 3), np.uint8)
-            c = cells[part == p] & np.uint64((1 << block_bits) - 1)
-            np.bitwise_or.at(own, (c >> np.uint64(3)).astype(np.int64), np.uint8(1) << (c & np.uint64(7)).astype(np.uint8))
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([own.tobytes()], pa.binary())})
-
-    def join(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << (block_bits - 3), np.uint8)
-        for block in table.column("block"):
-            total |= np.frombuffer(block.as_py(), np.uint8)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "block": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    schema = "part int, block binary"
-    for r in ids.mapInArrow(run, schema).groupBy("part").applyInArrow(join, schema).collect():
-        size = 1 << (block_bits - 3)
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["block"], np.uint8)
-    return out
-
-
 class Trie:
     """Sets as paths of ranks, common ones first; equal beginnings are stored once, and runs without a fork are one node."""
 
@@ -267,6 +227,18 @@ class Trie:
                 a = end
         return out
 
+    def overlaps(self, flags: np.ndarray) -> np.ndarray:
+        """How many ranks each set, in trie order, has in common with the probe; sets that begin alike share the count."""
+        out = np.zeros(len(self.paths), np.int64)
+        todo = [(i, 0) for i in self.roots]
+        while todo:
+            index, overlap = todo.pop()
+            ranks, a, b, children, *_ = self.nodes[index]
+            overlap += int(flags[ranks].sum())
+            out[a : self.nodes[children[0]][1] if children else b] = overlap
+            todo += [(c, overlap) for c in children]
+        return out
+
     def near(self, flags: np.ndarray, behind: np.ndarray, size: int, num: int, den: int, open_: np.ndarray) -> Iterator[int]:
         """Sets among ``open_`` that link with the probe: flags[r] tells whether it has rank r, behind[r] how many of its ranks are r or later.  open_ may be cleared meanwhile."""
         todo = [(i, 0) for i in reversed(self.roots)]
@@ -291,28 +263,38 @@ class Trie:
             todo += [(c, overlap) for c in reversed(children)]
 
 
-def joined(names: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the sets, the first set's own first."""
-    sizes = np.array([len(s) for s in sets])
+def _trie(sets: list[np.ndarray]) -> tuple[Trie, list[np.ndarray], int]:
+    """The trie of the sets, the path of each, and the number of ranks; what only one set has can't be common and is left out."""
     value, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.lexsort((value, -count))
     rank = np.empty(len(value), np.int64)
     rank[order] = np.arange(len(value))
-    shared = int((count > 1).sum())  # what only one set has can't be common
-    ends = np.cumsum(sizes)
-    paths = [np.sort(r[r < shared]) for r in np.split(rank[of], ends[:-1])]
-    trie = Trie(paths, sizes)
+    shared = int((count > 1).sum())
+    sizes = np.array([len(s) for s in sets])
+    paths = [np.sort(r[r < shared]) for r in np.split(rank[of], np.cumsum(sizes)[:-1])]
+    return Trie(paths, sizes), paths, shared
+
+
+def joined(names: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what is connected among the sets, the first set's own first; and the overlap of each set with the first."""
+    sizes = np.array([len(s) for s in sets])
+    trie, paths, shared = _trie(sets)
     where = {i: at for at, i in enumerate(trie.order)}
     root = np.arange(len(sets))  # component of each set, in trie order
     done = np.zeros(len(sets), bool)
     links = []
+
+    def probe(i: int) -> np.ndarray:
+        flags = np.zeros(shared + 1, bool)
+        flags[paths[i]] = True
+        return flags
+
     for i in range(len(sets)):
         me = where[i]
         done[me] = True
         if len(paths[i]) < needed(sizes[i], 0, num, den) or (root == root[me]).all():
             continue
-        flags = np.zeros(shared + 1, bool)
-        flags[paths[i]] = True
+        flags = probe(i)
         behind = np.zeros(shared + 2, np.int64)
         behind[: shared + 1] = np.cumsum(flags[::-1])[::-1]
         open_ = (root != root[me]) & ~done
@@ -321,7 +303,9 @@ def joined(names: list[int], sets: list[np.ndarray], num: int, den: int) -> list
                 links.append((names[i], names[trie.order[at]]))
                 root[root == root[at]] = root[me]
                 open_ &= root != root[me]
-    return links
+    common = np.empty(len(sets), np.int64)
+    common[trie.order] = trie.overlaps(probe(0))
+    return links, common
 
 
 def screened(n: np.ndarray, sketches: list[bytes], wide: bool, num: int, den: int) -> np.ndarray:
@@ -394,12 +378,12 @@ def _blocks(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
         for (lead, _, _), own in sorted(blocks.items()):
             own.sort(key=lambda x: x[:2])
             names, sets_ = [x[1] for x in own], [x[2] for x in own]
-            if len(own) > 1:
-                out += [(lead, a, b, None, True) for a, b in joined(names, sets_, num, den)]
+            if len(own) < 2:
+                continue
+            found, overlap = joined(names, sets_, num, den)
+            out += [(lead, a, b, None, True) for a, b in found]
             if own[0][3] and own[0][1] == lead:
-                for name, s in zip(names[1:], sets_[1:]):
-                    common = len(np.intersect1d(sets_[0], s, assume_unique=True))
-                    out.append((lead, lead, name, common, common >= needed(len(sets_[0]), len(s), num, den)))
+                out += [(lead, lead, name, int(c), int(c) >= needed(len(sets_[0]), len(s), num, den)) for name, s, c in zip(names[1:], sets_[1:], overlap[1:])]
         columns = list(zip(*out)) or [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], [x.split()[0] for x in OUT.split(", ")])
 
@@ -493,7 +477,7 @@ def _crossed(left: DataFrame, right: DataFrame, block: int) -> DataFrame:
 def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep: str, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, the columns ``keep``, n_shingles, component_id (least id of the documents reachable
     by links) and component (a name of the component that null ids don't share; null for the empty set)."""
-    late = frequent(batched(docs), k, num, den, hot)
+    late = frequent(docs, k, num, den, hot)
     own = stored(summaries(docs, late, k, num, den, *keep), "prefixes")
     # One document speaks for its class.  What is joined on a key that may be hot is stored first, so that Spark can split the hot side.
     full = own.where(F.col("n") > 0)
@@ -519,4 +503,4 @@ def clustered(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, *keep:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustered(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return clustered(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

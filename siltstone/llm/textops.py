@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
@@ -102,12 +105,31 @@ def _trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batched(frame: DataFrame) -> DataFrame:
-    """The frame; from now on its session sends Arrow batches of at most ARROW_ROWS rows."""
-    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session, sending Arrow batches of at most ARROW_ROWS rows.  Called by registered queries and stages, not by operators."""
+    conf, key = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= ARROW_ROWS:
         conf.set(key, str(ARROW_ROWS))
-    return frame
+    return spark
+
+
+class Shared:
+    """A broadcast value.  It travels as bytes that hold its classes too, so executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = pickle.loads(self.sent.value)
+        return self.held
+
+    def release(self) -> None:
+        self.sent.unpersist()
 
 
 def pieces(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +182,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the session names; local sessions without one get a folder under /tmp."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file:///tmp/siltstone-scratch-{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -176,19 +200,75 @@ def fold_of(column: str = "doc_id", modulus: int = 5):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-#: At most so many tasks send a block of numbers to be added up, whatever the size of the input.
-MAX_SENDERS = 1024
+def numbered(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """``rows``, stored, with copy_: how many rows of the same key (a long) come before each, from 0.
+
+    Rows of one key are counted within each stored part and shifted by the parts before, so a key that holds a third of all rows
+    spreads over as many tasks as it had parts.
+    """
+    own = stored(rows.withColumn("key_", key).withColumn("part_", F.spark_partition_id()), name)
+    counts = own.groupBy("key_", "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(W.partitionBy("key_").orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    shifts = counts.select("key_", "part_", before.alias("shift_")).where("shift_ > 0")
+    place = F.row_number().over(W.partitionBy("key_", "part_").orderBy(F.lit(0))) - 1
+    wide = own.withColumn("place_", place).join(shifts, ["key_", "part_"], "left")
+    return wide.withColumn("copy_", (F.col("place_") + F.coalesce("shift_", F.lit(0))).cast("long")).drop("key_", "part_", "place_", "shift_")
+
+
+#: Blocks are added up in so many groups of tasks, then over the groups.
+SENDER_GROUPS = 256
 
 
 def added_up(blocks: DataFrame, dtype: str = "float64") -> dict[int, np.ndarray]:
-    """Adds equally long binary blocks by ``part``: frame (part int, block binary) -> {part: sum}.  Blocks come from at most MAX_SENDERS tasks."""
+    """Adds equally long binary blocks by ``part``: frame (part int, block binary) -> {part: sum}, in two levels, so that no task holds the blocks of all tasks."""
 
     def add(table: pa.Table) -> pa.Table:
         total = None
         for block in table.column("block"):
             value = np.frombuffer(block.as_py(), dtype)
-            total = value.copy() if total is None else total + value
+            total = value.copy() if total is None else np.add(total, value, out=total)
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "block": pa.array([total.tobytes()], pa.binary())})
 
-    rows = blocks.groupBy("part").applyInArrow(add, "part int, block binary").collect()
+    schema = "part int, block binary"
+    grouped = blocks.withColumn("sender_", F.pmod(F.spark_partition_id(), F.lit(SENDER_GROUPS)))
+    rows = grouped.groupBy("part", "sender_").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
     return {r["part"]: np.frombuffer(r["block"], dtype).copy() for r in rows}
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits cells of the hashes in a long column; each task sends the blocks of cells it has set, joined by block."""
+    block_bits = min(bits, 19)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = [cell_of(b.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits) for b in batches]
+        if not cells:
+            return
+        cells = np.unique(np.concatenate(cells))
+        part = (cells >> np.uint64(block_bits)).astype(np.int64)
+        for p in np.unique(part).tolist():
+            own = np.zeros(1 << (block_bits - 3), np.uint8)
+            c = cells[part == p] & np.uint64((1 << block_bits) - 1)
+            np.bitwise_or.at(own, (c >> np.uint64(3)).astype(np.int64), np.uint8(1) << (c & np.uint64(7)).astype(np.uint8))
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "block": pa.array([own.tobytes()], pa.binary())})
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << (block_bits - 3), np.uint8)
+        for block in table.column("block"):
+            total |= np.frombuffer(block.as_py(), np.uint8)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "block": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    schema = "part int, block binary"
+    for r in hashes.select(column).mapInArrow(run, schema).groupBy("part").applyInArrow(join, schema).collect():
+        size = 1 << (block_bits - 3)
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["block"], np.uint8)
+    return out
+
+
+def cell_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return mix(hashes) >> np.uint64(64 - bits)
+
+
+def in_bitmap(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    cell = cell_of(hashes, bits)
+    return ((table[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

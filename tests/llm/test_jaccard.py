@@ -86,7 +86,7 @@ def test_trie_finds_every_component():
                 s.add(r.randrange(2000, 2020))
             sets.append(np.array(sorted(s), np.uint64))
         root = list(range(len(sets)))
-        for a, b in joined(list(range(len(sets))), sets, 85, 100):
+        for a, b in joined(list(range(len(sets))), sets, 85, 100)[0]:
             assert 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))
             x, y = root[a], root[b]
             root = [x if v == y else v for v in root]
