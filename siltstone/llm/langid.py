@@ -9,9 +9,13 @@ Since the statistics are frozen, a byte's cost depends only on it and the ORDER
 byte groups seen in training are laid out once, as sorted arrays; a group outside them is priced exactly by escaping
 order by order.
 
+Learning takes a bounded number of pieces of each language, drawn by a hash from all its texts, long ones included.  However many
+languages there are, all are learned: in slices of SLICE, one model each.  With several slices the texts pass by once
+for each, carrying the shortest code so far, and no more than one model is in memory at a time.
+
 Defined results: null, empty and letterless texts are ``und`` with score 0; whole texts count, whatever their length;
-repeated rows each get their row; an empty table, or one without usable rows to learn from, makes every text ``und``;
-columns beyond doc_id, text and, for learning, lang are ignored.
+of equally short codes the language first by name wins; repeated rows each get their row; an empty table, or one without usable
+rows to learn from, makes every text ``und``; columns beyond doc_id, text and, for learning, lang are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, batched, chunks, fold_of, text_buffers
+from siltstone.llm.textops import LOWER, Shared, chunks, fold_of, prepared, stored, text_buffers
 
 ORDER = 4
-#: The classifier learns from at most so many texts of each of so many languages, each text of at most so many bytes.
-TEXTS_PER_LANGUAGE = 400
-LANGUAGES = 200
-TRAINING_TEXT_BYTES = 1 << 16
+#: The classifier learns from at most so many pieces of each language, of so many characters each.
+PIECES = 400
+PIECE_CHARS = 4096
+#: Languages in one model.
+SLICE = 16
 UNKNOWN = "und"
 #: Code lengths are compared as if the text had so many bytes, so that scores don't all saturate.
 SCORED_BYTES = 64
@@ -159,63 +164,105 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def weight(n_bytes: np.ndarray) -> np.ndarray:
+    """What one bit counts in the score of a text of so many bytes."""
+    return np.minimum(1.0, SCORED_BYTES / np.maximum(n_bytes, 1))
+
+
 def decided(bits: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the shortest code and its share of probability, 0 to 1."""
-    best = bits.argmin(axis=1)
-    over = bits - bits.min(axis=1, keepdims=True)
-    over *= np.minimum(1.0, SCORED_BYTES / np.maximum(n_bytes, 1))[:, None]
-    return best, 1.0 / np.exp2(-over).sum(axis=1)
+    """Index of the shortest code, and the weight of all codes against it (1 or more)."""
+    over = (bits - bits.min(axis=1, keepdims=True)) * weight(n_bytes)[:, None]
+    return bits.argmin(axis=1), np.exp2(-over).sum(axis=1)
 
 
-def identified(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """lang_pred, score and bits_per_byte of each text, beside doc_id and the columns ``keep``."""
-    names = list(dict.fromkeys(["doc_id", *keep]))
+STATE = "lang_pred string, bits_ double, mass_ double, bytes_ long"
+COLUMNS = [x.split()[0] for x in STATE.split(", ")]
+
+
+def _priced(docs: DataFrame, model: Model, names: list[str], begun: bool, last: bool) -> DataFrame:
+    """One slice: the shortest code so far (lang_pred, bits_), the weight of all codes against it (mass_) and the text's bytes."""
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "lang_pred string", "score double", "bits_per_byte double"])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    carried = [*names, *([] if last else ["text"])]
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), STATE])
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            lang, score, rate = [], [], []
-            for _, _, b, o in chunks(data, offsets):
+            n = len(offsets) - 1
+            lang, bits, mass = batch.column("lang_pred").to_pylist() if begun else [None] * n, np.full(n, np.inf), np.zeros(n)
+            if begun:
+                bits, mass = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("bits_", "mass_"))
+            for i, j, b, o in chunks(data, offsets):
                 size, letters = np.diff(o), has_letter(b, o)
-                if not model.languages:
-                    letters[:] = False
-                    best, share, least = np.zeros(len(size), int), np.zeros(len(size)), np.zeros(len(size))
-                else:
-                    bits = code_lengths(model, b, o)
-                    best, share = decided(bits, size)
-                    least = bits.min(axis=1)
-                lang += [model.languages[j] if ok else UNKNOWN for j, ok in zip(best, letters)]
-                score.append(np.where(letters, share, 0.0))
-                rate.append(np.where(letters, least / np.maximum(size, 1), 0.0))
-            new = [pa.array(lang, pa.string()), *(pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (score, rate))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, "lang_pred", "score", "bits_per_byte"])
-
-    return batched(docs).select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
-
-
-def learn(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Learns from rows outside fold 0 that have a lang: the first texts of each language by a hash of the id."""
-    usable = docs.where(F.col("lang").isNotNull() & (fold_of() != 0) & F.octet_length("text").between(1, TRAINING_TEXT_BYTES))
+                if not model.languages or not letters.any():
+                    continue
+                all_bits = code_lengths(model, b, o)
+                best, share = decided(all_bits, size)
+                own, w = all_bits[np.arange(j - i), best], weight(size)
+                old_bits, old_mass = bits[i:j].copy(), mass[i:j].copy()
+                low = np.minimum(own, old_bits)
+                for d in np.flatnonzero(letters & (own < old_bits)):
+                    lang[i + d] = model.languages[best[d]]
+                with np.errstate(invalid="ignore"):
+                    both = share * np.exp2(-(own - low) * w) + np.where(old_mass > 0, old_mass * np.exp2(-(old_bits - low) * w), 0.0)
+                bits[i:j], mass[i:j] = np.where(letters, low, old_bits), np.where(letters, both, old_mass)
+            new = [pa.array(lang, pa.string()), pa.array(bits), pa.array(mass), pa.array(np.diff(offsets))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *new], [*carried, *COLUMNS])
+
+    return docs.select(*dict.fromkeys([*names, "text"]), *(COLUMNS if begun else [])).mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, models: Model | list[Model], *keep: str) -> DataFrame:
+    """lang_pred, score and bits_per_byte of each text, beside doc_id and the columns ``keep``."""
+    models = [models] if isinstance(models, Model) else models
+    names = list(dict.fromkeys(["doc_id", *keep]))
+    # Columns to keep travel under names of their own, so that none clashes with the state.
+    kept = [f"k{i}_" for i in range(len(names))]
+    own = docs.select(*(F.col(c).alias(k) for c, k in zip(names, kept)), "text")
+    for i, model in enumerate(models):
+        last = i == len(models) - 1
+        own = _priced(own, model, kept, i > 0, last)
+        own = own if last else stored(own, "languages")
+    size = F.greatest("bytes_", F.lit(1))
+    known = F.col("lang_pred").isNotNull()
+    score = F.when(known, 1 / F.col("mass_")).otherwise(0.0)
+    rate = F.when(known, F.col("bits_") / size).otherwise(0.0)
+    return own.select(*(F.col(k).alias(c) for c, k in zip(names, kept)), F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"), rate.alias("bits_per_byte"))
+
+
+def learn(docs: DataFrame, pieces: int = PIECES, piece_chars: int = PIECE_CHARS, slice_: int = SLICE) -> list[Model]:
+    """Learns from rows outside fold 0 that have a lang: of each language the first pieces by a hash of the id and the place.
+
+    The driver holds the names of the languages, and the pieces and the model of one slice of them at a time while it learns.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & (fold_of() != 0) & (F.octet_length("text") > 0))
     mark = F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary")))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not frequent:
-        return trained({})
-    # A threshold on the hash leaves about three times as many as wanted, however many there are; of these the first are taken.
-    share = F.create_map(*(x for r in frequent for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 3 * per_language / r["count"]) * (1 << 24)) + 1))))
-    ids = usable.select("lang", mark.alias("mark")).where(F.pmod("mark", F.lit(1 << 24)) < F.element_at(share, F.col("lang"))).distinct()
-    order = W.partitionBy("lang").orderBy(F.xxhash64("mark"), "mark")
-    chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "mark")
-    known = usable.select("lang", "text", mark.alias("mark")).join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
-    texts: dict[str, list[bytes]] = {}
-    for r in known.select("lang", F.col("text").cast("binary").alias("text")).distinct().collect():
-        texts.setdefault(r["lang"], []).append(bytes(r["text"]))
-    return trained({k: sorted(v) for k, v in texts.items()})
+    n = F.ceil(F.char_length("text") / piece_chars).cast("long")
+    own = usable.select("lang", mark.alias("mark"), n.alias("n"))
+    total = sorted((r["lang"], r["n"]) for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect())
+    if not total:
+        return [trained({})]
+    models = []
+    order = W.partitionBy("lang").orderBy(F.xxhash64("mark", "piece", F.lit(1)), "mark", "piece")
+    for i in range(0, len(total), slice_):
+        part = total[i : i + slice_]
+        # A threshold on the hash leaves about three times as many as wanted, however many there are; of these the first are taken.
+        share = F.create_map(*(x for lang, count in part for x in (F.lit(lang), F.lit(int(min(1.0, 3 * pieces / count) * (1 << 24)) + 1))))
+        spread = own.where(F.col("lang").isin(*(lang for lang, _ in part))).select("lang", "mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("piece"))
+        ids = spread.where(F.pmod(F.xxhash64("mark", "piece"), F.lit(1 << 24)) < F.element_at(share, F.col("lang"))).distinct()
+        chosen = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pieces).select("lang", "mark", "piece")
+        # At most ``slice_ * pieces`` rows of three values are broadcast, and as many pieces collected.
+        met = usable.select("lang", "text", mark.alias("mark")).join(F.broadcast(chosen), ["lang", "mark"])
+        cut = met.select("lang", "mark", "piece", F.substring(F.col("text"), F.col("piece").cast("int") * piece_chars + 1, F.lit(piece_chars)).cast("binary").alias("text"))
+        texts: dict[str, list[bytes]] = {}
+        for r in cut.groupBy("lang", "mark", "piece").agg(F.min("text").alias("text")).collect():
+            texts.setdefault(r["lang"], []).append(bytes(r["text"]))
+        models.append(trained({k: sorted(v) for k, v in texts.items()}))
+    return models
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     return identified(docs, learn(docs)).select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")

@@ -55,3 +55,22 @@ def test_predictions_and_odd_texts(spark):
     assert got == {900: "und", 901: "und", 902: "und", None: "en", 903: "en", 904: got[904]} and got[904] != "und"
     assert identified(docs.limit(0), learn(docs.limit(0))).count() == 0
     assert {r.lang_pred for r in identified(docs, learn(docs.limit(0))).collect()} == {"und"}
+
+
+def test_any_number_of_languages(spark):
+    """Languages in slices give the rows of one model of them all; texts longer than a piece are learned from too."""
+    words = {f"l{k:02}": [f"{chr(97 + k)}{chr(97 + (k * j) % 26)}{chr(97 + j % 26)}" for j in range(12)] for k in range(23)}
+    rows = [(i * 23 + k, " ".join(words[lang][(i * j) % 12] for j in range(25)), lang) for i in range(12) for k, lang in enumerate(words)]
+    rows += [(9000 + k, " ".join(f"{lang}only " for _ in range(30000)), f"long{k}") for k, lang in enumerate(("xq", "zw"))] + [(9100, None, "en"), (9101, "", "en"), (None, "12", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS bits_")
+    whole, parts = learn(docs, slice_=100), learn(docs, slice_=4)
+    assert len(whole) == 1 and len(parts) > 5 and sum(len(m.languages) for m in parts) == len(whole[0].languages)
+    one, many = ({(r.doc_id, r.lang): (r.lang_pred, round(r.score, 9), round(r.bits_per_byte, 9)) for r in identified(docs, m, "lang").collect()} for m in (whole, parts))
+    assert one == many and len(one) == len(rows)
+    assert all(v[0] == lang for (d, lang), v in one.items() if d is not None and d < 9000) and {one[9000, "long0"][0], one[9001, "long1"][0]} <= {"long0", "long1"}
+
+
+def test_pieces_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "abc def " * 50, "en") for i in range(300)], "doc_id long, text string, lang string")
+    (model,) = learn(docs, pieces=5, piece_chars=16)
+    assert int(model.codes[0].size) <= 7
