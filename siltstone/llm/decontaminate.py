@@ -6,25 +6,27 @@ holds one of them whole, wherever in the item it begins.  A window of L bytes li
 (L + 1 - q) - k q of its q-grams.  Bands overlap so that each run of 2k + 1 diagonals lies in one whole.  Bands that reach
 the bound are verified by banded alignment.
 
-The benchmark is broadcast in slices of bounded size, one pass over the documents each; usually there is one.
-
-Defined results: null and empty texts match nothing; an item of fewer than q bytes after normalisation holds no q-gram
-and is not searched for; repeated documents each get their rows; repeated items each match under their own id (null included);
-an empty table on either side gives an empty result; columns beyond doc_id, text and item_id, text are ignored.
+A benchmark of up to SLICE_BYTES is broadcast and met in one pass.  A larger one is cut into slices, and the texts still pass by only
+once: a bitmap of all its q-grams tells which documents hold any; these are joined, by q-gram, with the slices whose bound
+they may reach, and each meets only those, in groups of bounded bytes.
+
+Defined results: null and empty texts match nothing; an item of fewer than q bytes after normalisation matches the documents whose
+whole normalised text it is; repeated documents each get their rows; repeated items each match under their own id (null included);
+of equally close places the first counts; very long texts are searched whole; an empty table on either side gives an empty
+result; columns beyond doc_id, text and item_id, text are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, batched, chunks, text_buffers
+from siltstone.llm.textops import LOWER, Shared, bitmap, chunks, in_bitmap, prepared, stored, text_buffers
 
 Q = 8
 WINDOW = 120
@@ -34,8 +36,12 @@ SHORT_STEP = 12
 #: Verbatim passages of so many normalised bytes (about 13 words) are found at every offset of an item.
 LEAST_PASSAGE = SHORT_WINDOW + SHORT_STEP - 1
 EDITS = 0.08
-#: Bytes of benchmark text in one broadcast slice.
+#: Bytes of benchmark text in one slice; a benchmark of one slice is broadcast.
 SLICE_BYTES = 1 << 20
+#: Bits of the bitmap of all q-grams of a larger benchmark; when it fills up, more documents pass on to the exact join.
+BITMAP_BITS = 27
+#: Bytes of documents that meet one slice in one task, about.
+GROUP_BYTES = 32 << 20
 FILTER_BITS = 21
 #: Pairs of a chunk's documents and windows are counted in a plain array up to so many cells, else by sorting.
 DENSE_CELLS = 1 << 21
@@ -97,10 +103,21 @@ def windows_of(item: int | None, text: str | None, edits: float = EDITS) -> list
     return out
 
 
+def short_of(item: int | None, text: str | None) -> list[tuple[bytes, int | None]]:
+    """The whole normalised text of an item too short for a q-gram."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
+    return [(b, item)] if 0 < len(b) < Q else []
+
+
 class Index:
     """The q-grams of a slice of windows: sorted, with the windows and places of each."""
 
-    def __init__(self, windows: list[Window]):
+    def __init__(self, windows: list[Window], short: list[tuple[bytes, int | None]] = ()):
+        # Items too short for a q-gram are looked up as whole texts.
+        self.whole: dict[bytes, set[int | None]] = {}
+        for text, item in short:
+            self.whole.setdefault(text, set()).add(item)
         self.windows = windows
         codes = [grams(np.frombuffer(w.text, np.uint8)) for w in windows]
         code = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
@@ -198,9 +215,15 @@ def aligned_many(b: np.ndarray, patterns: np.ndarray, low: np.ndarray, width: in
     return live, cost, low + start, low + m + best
 
 
-def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, window, edits, start byte, end byte) of every verified window of a chunk, the best band of each."""
+def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
+    """(document, item, edits, start byte, end byte) of every verified window of a chunk, the best band of each."""
     b, at_doc, place = normalised(data, offsets)
+    for d in np.flatnonzero(np.diff(at_doc) < Q + 2) if index.whole else ():
+        text = b[at_doc[d] : at_doc[d + 1]].tobytes()
+        bare = text.strip(b" ")
+        for item in index.whole.get(bare, ()):
+            s = int(at_doc[d]) + len(text) - len(text.lstrip(b" "))
+            yield int(d), item, 0, int(place[s] - offsets[d]), int(place[s + len(bare) - 1] + 1 - offsets[d])
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     open_: dict[tuple[int, int], list[tuple[int, int, int, int, int]]] = {}
 
@@ -238,58 +261,125 @@ def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
         if rows:
             verify(rows)
     for (d, w), (edits, s, e) in best.items():
-        yield d, w, edits, int(place[s] - offsets[d]), int(place[e - 1] + 1 - offsets[d])
+        yield d, index.windows[w].item, edits, int(place[s] - offsets[d]), int(place[e - 1] + 1 - offsets[d])
 
 
-def _slices(benchmark: DataFrame, bound: int = SLICE_BYTES) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark in slices of about ``bound`` bytes (or a single longer item), so that neither driver nor executors hold more."""
-    own = benchmark.where(F.length("text") > 0).select("item_id", "text")
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // bound)
-    for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect() if n > 1 else own.collect()
-        yield [(r["item_id"], r["text"]) for r in rows]
+SCHEMA = "item_id long, n_windows long, edits long, char_start long, char_end long"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-SCHEMA = "item_id long, n_windows long, edits long, char_start long, char_end long"
+def _index(items: list[tuple[int | None, str]], edits: float) -> Index:
+    items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    return Index([w for i, t in items for w in windows_of(i, t, edits)], [x for i, t in items for x in short_of(i, t)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, edits: float = EDITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, edits: float = EDITS, slice_bytes: int = SLICE_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, the columns ``keep``, item_id, n_windows (of the item, found), edits (of the
     closest window), and the span of code points from the first to the last window found."""
-    types = dict(batched(docs).dtypes)
+    types = dict(docs.dtypes)
     names = list(dict.fromkeys(["doc_id", *keep]))
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), SCHEMA])
+    kept = [f"k{i}_" for i in range(len(names))]
+    own = docs.select(*(F.col(c).alias(k) for c, k in zip(names, kept)), "text")
+    schema = ", ".join([*(f"{k} {types[c]}" for c, k in zip(names, kept)), SCHEMA])
+    items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total <= slice_bytes:
+        shared = Shared(docs.sparkSession, _index([(r["item_id"], r["text"]) for r in items.collect()], edits))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _hits(shared.value, batch, kept)
+
+        out = own.mapInArrow(run, schema)
+    else:
+        out = _routed(own, items, kept, schema, edits, -(-total // slice_bytes), group_bytes)
+    return out.select(*(F.col(k).alias(c) for c, k in zip(names, kept)), *NAMES)
+
+
+def _hits(index: Index, batch: pa.RecordBatch | pa.Table, kept: list[str]) -> pa.RecordBatch:
+    """One row per text of the batch and item found in it."""
+    data, offsets = text_buffers(batch.column("text"))
+    rows: dict[tuple[int, int | None], list[tuple[int, int, int]]] = {}
+    for i, _, b, o in chunks(data, offsets):
+        for d, item, cost, s, e in found(index, b, o):
+            rows.setdefault((i + d, item), []).append((cost, s, e))
+    out: list[list] = [[], [], [], [], [], []]
+    for (d, item), hits in rows.items():
+        text = data[offsets[d] : offsets[d + 1]]
+        point = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (min(h[1] for h in hits), max(h[2] for h in hits))]
+        for column, v in zip(out, (d, item, len(hits), min(h[0] for h in hits), *point)):
+            column.append(v)
+    at = pa.array(out[0], pa.int64())
+    columns = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).take(at) for c in (batch.column(k) for k in kept)]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in out[1:])], [*kept, *NAMES])
+
+
+def _marks(item: int | None, text: str, edits: float) -> tuple[np.ndarray, int]:
+    """The distinct q-grams of an item's windows (of a short item a number for the whole), and the least number of them a match must hold."""
+    codes = [(np.unique(grams(np.frombuffer(w.text, np.uint8))), w.edits) for w in windows_of(item, text, edits)]
+    codes += [(np.array([_short(b)]), 0) for b, _ in short_of(item, text)]
+    # Each edit destroys at most Q places, so at most Q different q-grams.
+    least = min((max(1, len(c) - k * Q) for c, k in codes), default=1)
+    return np.unique(np.concatenate([c for c, _ in codes])) if codes else np.zeros(0, np.uint64), least
+
+
+def _short(text: bytes) -> np.uint64:
+    """A number for a text of fewer than Q bytes; no q-gram has a zero first byte."""
+    return np.uint64(int.from_bytes(text, "big"))
+
+
+def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edits: float, n_slices: int, group_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    passes = []
-    for items in _slices(benchmark):
-        shared = spark.sparkContext.broadcast(Index([w for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])) for w in windows_of(i, t, edits)]))
-        passes.append(docs.select(*names, "text").mapInArrow(_searcher(shared, names), schema))
-    if not passes:
-        return docs.select(*names).where(F.lit(False)).select(*names, *(F.expr(f"CAST(NULL AS {t})").alias(c) for c, t in (x.split() for x in SCHEMA.split(", "))))
-    return reduce(DataFrame.unionByName, passes)
-
-
-def _searcher(shared, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+    items = stored(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)).cast("int")), "items")
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, item, text in zip(*(batch.column(c).to_pylist() for c in ("slice", "item_id", "text"))):
+                codes, least = _marks(item, text, edits)
+                n = len(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_, np.int32)), pa.array(codes.view(np.int64)), pa.array(np.full(n, least, np.int32))], ["slice", "code", "least"])
+
+    known = stored(items.mapInArrow(marks, "slice int, code long, least int").groupBy("slice", "code").agg(F.min("least").alias("least")), "q-grams")
+    least = stored(known.groupBy("slice").agg(F.min("least").alias("least")), "bounds")
+    shared = Shared(spark, bitmap(known, "code", BITMAP_BITS))
+    types = dict(docs.dtypes)
+    own_schema = ", ".join([*(f"{k} {types[k]}" for k in kept), "text string, codes array<long>"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            rows: dict[tuple[int, int | None], list[tuple[int, int, int]]] = {}
-            for i, _, b, o in chunks(data, offsets):
-                for d, w, cost, s, e in found(index, b, o):
-                    rows.setdefault((i + d, index.windows[w].item), []).append((cost, s, e))
-            out: list[list] = [[], [], [], [], [], []]
-            for (d, item), hits in rows.items():
-                text = data[offsets[d] : offsets[d + 1]]
-                point = [int(((text[:x] & 0xC0) != 0x80).sum()) for x in (min(h[1] for h in hits), max(h[2] for h in hits))]
-                for column, v in zip(out, (d, item, len(hits), min(h[0] for h in hits), *point)):
-                    column.append(v)
-            at = pa.array(out[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *(pa.array(c, pa.int64()) for c in out[1:])], [*names, *(x.split()[0] for x in SCHEMA.split(", "))])
-
-    return run
+            at, codes = [], []
+            for i, j, b, o in chunks(data, offsets):
+                norm, first, _ = normalised(b, o)
+                for d in range(j - i):
+                    text = norm[first[d] : first[d + 1]]
+                    code = grams(text)
+                    bare = text.tobytes().strip(b" ")
+                    code = np.append(np.unique(code), _short(bare)) if 0 < len(bare) < Q else np.unique(code)
+                    code = code[in_bitmap(shared.value, code, BITMAP_BITS)]
+                    if len(code):
+                        at.append(i + d)
+                        codes.append(code.view(np.int64))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in (*kept, "text")), pa.array(codes, pa.list_(pa.int64()))], [*kept, "text", "codes"])
+
+    rows = docs.mapInArrow(screen, own_schema)
+    # A row is named by its place in the stored table, as ids may repeat.
+    rows = stored(rows.withColumn("row_", F.monotonically_increasing_id()), "screened")
+    common = rows.select("row_", F.explode("codes").alias("code")).join(known.select("slice", "code"), "code").groupBy("row_", "slice").agg(F.count(F.lit(1)).alias("n"))
+    pairs = common.join(least, "slice").where("n >= least").select("row_", "slice")
+    met = stored(rows.drop("codes").join(pairs, "row_"), "routed")
+    size = met.groupBy("slice").agg(F.ceil(F.sum(F.octet_length("text")) / group_bytes).cast("int").alias("parts"))
+    size = stored(size, "groups")
+    left = met.join(size, "slice").withColumn("part", F.pmod(F.xxhash64("row_"), F.col("parts")).cast("int")).drop("parts", "row_")
+    right = items.join(size, "slice").select("slice", "item_id", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def search(texts: pa.Table, own: pa.Table) -> pa.Table:
+        index = _index(list(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), edits)
+        return pa.Table.from_batches([_hits(index, texts, kept)])
+
+    return left.groupBy("slice", "part").cogroup(right.groupBy("slice", "part")).applyInArrow(search, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -83,3 +83,19 @@ def test_passages_of_a_long_item_at_every_offset(spark):
     docs = [(i, f"{prose(12)} {item[o : o + n]} {prose(12)}") for i, (n, o) in enumerate(cuts)]
     rows = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(cuts)))
+
+
+def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark):
+    """Routed by q-grams to slices, in small groups: the same rows as in one broadcast pass."""
+    items = [(i, prose(R.choice([3, 12, 40, 90]))) for i in range(60)] + [(100, "abc"), (101, "Yes!"), (None, prose(20)), (102, None), (103, "aaaaaaaaaaaaaaaaaaaaaaaa" * 5)]
+    items.append((104, items[5][1]))
+    docs = [(d, " ".join([prose(20), edited(R.choice(items[:60])[1], R.choice([0, 0, 2, 6])), prose(20)])) for d in range(80)]
+    docs += [(200, " ABC. "), (201, "yes"), (202, "the abc"), (203, None), (204, ""), (None, items[62][1]), (205, items[5][1]), (205, items[5][1]), (206, "a" * 500), (207, prose(20000) + items[7][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'e' AS edits", "1 AS k0_", "2 AS slice").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **o: sorted((str(tuple(r)) for r in contaminated(frame, bench, **o).collect()))
+    one = rows()
+    assert rows(slice_bytes=2000, group_bytes=20_000) == one and len(one) > 60
+    short = sorted((r.doc_id, r.item_id, r.char_start, r.char_end) for r in contaminated(frame, bench).collect() if r.item_id in (100, 101))
+    assert short == [(200, 100, 1, 4), (201, 101, 0, 3)]
+    assert contaminated(frame.limit(0), bench, slice_bytes=2000).count() == 0
