@@ -6,8 +6,9 @@ for it.  Costs are set jointly for all capacities: a bin costs its capacity plus
 the share of it that the pieces still to come can fill.  In the end each bin is downsized to the
 smallest capacity that holds its contents.
 
-Defined results: a text's tokens are its words and one end, so null and empty texts are one token; texts longer than the
-largest capacity are cut into consecutive pieces, none lost; repeated rows are packed each; ids may be null;
+Defined results: a text's tokens are its words and one end, so null and empty texts are one token; very long texts, longer
+than the largest capacity, are cut into consecutive pieces, none lost; repeated rows are packed each, and dealt to groups by their copy number,
+so that they spread like others; of bins with equal room the one last filled takes the piece; ids may be null and of any type;
 an empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import WORD
+from siltstone.llm.textops import WORD, numbered, prepared, stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
@@ -101,16 +102,15 @@ def pieces(docs: DataFrame, largest: int = CAPACITIES[-1]) -> DataFrame:
 
 def packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row per piece: doc_id, piece, token_start, n_tokens, bin_group and bin (together the bin's name), capacity, bin_offset."""
-    own = pieces(docs, max(capacities))
+    own = stored(numbered(pieces(docs, max(capacities)), F.xxhash64("doc_id", "piece", "n_tokens"), "pieces"), "numbered-pieces")
     n = max(1, -(-own.count() // group_pieces))
-    # Rows that are equal in all columns are told apart by chance only; any split of them is as good.
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(n)) if n > 1 else F.lit(0)
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "copy_"), F.lit(n)) if n > 1 else F.lit(0)
     dealt = own.withColumn("bin_group", salt.cast("int"))
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece long, token_start long, n_tokens long, bin_group int, bin long, capacity long, bin_offset long"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "n_tokens")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "n_tokens", "copy_")]).drop_columns(["copy_"])
         bins, offset, capacity = packed(table.column("n_tokens").to_numpy(), capacities, overhead)
         for name, v in (("bin", bins), ("capacity", capacity[bins]), ("bin_offset", offset)):
             table = table.append_column(name, pa.array(v))
@@ -120,6 +120,6 @@ def packing(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -48,3 +48,43 @@ def test_every_token_is_packed_once(spark):
         for own in bins.values():
             assert sum(r.n_tokens for r in own) <= own[0].capacity and len({r.bin_offset for r in own}) == len(own)
     assert packing(docs.limit(0), CAPS).count() == 0
+
+
+def plain(sizes, capacities, overhead):
+    """Best fit by looking through all bins; equal rooms: the bin last filled."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    rooms, stamp, used, out, now = [], [], [], {}, 0
+    for at, p in enumerate(order):
+        size, now = sizes[p], now + 1
+        rest = [sizes[q] for q in order[at + 1 :]]
+        fits = [b for b in range(len(rooms)) if rooms[b] >= size]
+        if fits:
+            b = min(fits, key=lambda b: (rooms[b], -stamp[b]))
+        else:
+            def cost(c):
+                room = c - size
+                return (c + overhead) / (size + min(room, sum(rest), sum(s for s in sizes if s <= min(room, size))))
+
+            b = len(rooms)
+            rooms.append(min((c for c in capacities if c >= size), key=lambda c: (cost(c), c)))
+            used.append(0)
+            stamp.append(0)
+        out[p] = (b, used[b])
+        used[b] += size
+        rooms[b] -= size
+        stamp[b] = now
+    return [out[i] for i in range(len(sizes))], [min(c for c in capacities if c >= u) for u in used]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=50))
+def test_against_a_plain_packer(sizes):
+    bins, offset, capacity = packed(np.array(sizes, dtype=np.int64), CAPS, 1)
+    assert (list(zip(bins.tolist(), offset.tolist())), capacity.tolist()) == plain(sizes, CAPS, 1)
+
+
+def test_equal_rows_spread_over_groups(spark):
+    docs = spark.range(50_000).selectExpr("cast(1 AS long) AS doc_id", "'a b c' AS text").repartition(7)
+    rows = packing(docs, group_pieces=1000)
+    sizes = [r["count"] for r in rows.groupBy("bin_group").count().collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 2000
