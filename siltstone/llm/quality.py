@@ -7,7 +7,8 @@ The corpus pass adds up blocks of a fixed size; the network learns on the driver
 of labelled rows; its probabilities are calibrated by a temperature fitted on rows it didn't learn from.
 
 Defined results: null and empty texts pool to zeros and are scored like any other text; repeated rows each get their
-row; an empty table gives an empty result; without labels of both classes every score is the labels' mean
+row, and an id on several rows teaches by one of them; very long texts are pooled whole; equal texts get equal scores; ids may be of any type;
+an empty table gives an empty result; without labels of both classes every score is the labels' mean
 (0.5 without labels); columns beyond doc_id and text are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.rules import labelled
-from siltstone.llm.textops import MAX_SENDERS, SPACE, added_up, batched, chunks, fold_of, mix, owners, spans_hash, text_buffers
+from siltstone.llm.textops import SPACE, Shared, added_up, chunks, fold_of, mix, owners, prepared, spans_hash, text_buffers
 
 DIMS = 32
 WORD_BUCKETS = 1 << 13
@@ -103,7 +104,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def word_vectors(docs: DataFrame) -> list[np.ndarray]:
-    """Unit vectors of all buckets of both streams, from the whole corpus: a fixed number of bytes from each of at most MAX_SENDERS tasks."""
+    """Unit vectors of all buckets of both streams, from the whole corpus: a fixed number of bytes from each task, added up in two levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = [np.zeros(n * DIMS) for n, _ in STREAMS]
@@ -115,7 +116,7 @@ def word_vectors(docs: DataFrame) -> list[np.ndarray]:
         blocks = np.split(np.concatenate(total), PARTS)
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "block": pa.array([b.tobytes() for b in blocks], pa.binary())})
 
-    sums = added_up(batched(docs).select("text").coalesce(MAX_SENDERS).mapInArrow(run, "part int, block binary"))
+    sums = added_up(docs.select("text").mapInArrow(run, "part int, block binary"))
     size = sum(n for n, _ in STREAMS) * DIMS
     flat = np.concatenate([sums[k] for k in range(PARTS)]) if sums else np.zeros(size)
     out, at = [], 0
@@ -199,7 +200,7 @@ def fitted(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 60,
 
 def _features(rows: DataFrame, vectors: list[np.ndarray], name: str, columns: list[str], then, schema: str) -> DataFrame:
     """Applies ``then`` to the pooled vectors of each chunk; the result is column ``name`` beside ``columns``."""
-    shared = rows.sparkSession.sparkContext.broadcast(vectors)
+    shared = Shared(rows.sparkSession, vectors)
     kind = pa.binary() if schema.endswith("binary") else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,16 +210,17 @@ def _features(rows: DataFrame, vectors: list[np.ndarray], name: str, columns: li
             flat = [v for p in parts for v in p]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(flat, kind)], [*columns, name])
 
-    return batched(rows).select(*columns, "text").mapInArrow(run, schema)
+    return rows.select(*columns, "text").mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, vectors: list[np.ndarray], bound: int = LABELLED_ROWS) -> Network:
     """Learns from labelled rows outside fold 0, all of them or about ``bound``."""
     sample = labelled(labels.where(fold_of() != 0), "quality", bound)
-    # At most about ``bound`` rows of two numbers.
+    # At most about ``bound`` ids, and one vector for each: an id on very many rows is reduced before it is collected.
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = _features(known, vectors, "x", ["doc_id", "label"], lambda p: [v.tobytes() for v in p], "doc_id long, label int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
+    kind = dict(known.dtypes)["doc_id"]
+    rows = _features(known, vectors, "x", ["doc_id", "label"], lambda p: [v.tobytes() for v in p], f"doc_id {kind}, label int, x binary")
+    rows = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("doc_id", "r.*").collect(), key=lambda r: r["doc_id"])
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]).astype(float) if rows else np.zeros((0, 2 * DIMS + 1))
     return fitted(x, np.array([r["label"] for r in rows], float))
 
@@ -231,7 +233,7 @@ def scored(docs: DataFrame, vectors: list[np.ndarray], net: Network) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     vectors = word_vectors(docs)
     net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), vectors)
     return scored(docs, vectors, net).select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted")

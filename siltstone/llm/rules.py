@@ -4,7 +4,9 @@ Statistics of each whole text are counted in numpy batches; the learned rules ar
 ratios of these counts and run as one CASE expression.
 
 Defined results: a null or empty text has zero in every count, fails the base rule and is not kept; repeated rows each
-get their row; ids may be null; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+get their row; ids may be null; very long texts are counted whole; of rules that hold the first decides, and of equally good
+conditions the first in feature order is grown; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+An id labelled more than once counts as good if one label says so, and an id on several rows teaches by one of them.
 Without labels of both classes the list is empty, so the base rule alone decides.
 """
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import MULTIPLIERS, SPACE, batched, chunks, mix, owners, pieces, spans_hash, text_buffers, words
+from siltstone.llm.textops import MULTIPLIERS, SPACE, chunks, mix, owners, pieces, prepared, spans_hash, text_buffers, words
 
 #: Labelled rows that the learner sees: all of them, or about so many chosen by a hash of the id.
 LABELLED_ROWS = 20_000
@@ -97,7 +99,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     names = list(dict.fromkeys(["doc_id", *keep]))
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), *(f"{k} long" for k in COUNTS)])
-    return batched(docs).select(*names, "text").mapInArrow(run, schema)
+    return docs.select(*names, "text").mapInArrow(run, schema)
 
 
 def features() -> dict[str, Column]:
@@ -210,11 +212,12 @@ def labelled(labels: DataFrame, column: str, bound: int = LABELLED_ROWS) -> Data
 def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, **options) -> list[Rule]:
     """The decision list for rejecting quality 0, from at most about ``bound`` labelled rows."""
     sample = labelled(labels, "quality", bound)
-    # At most about ``bound`` rows of two numbers.
+    # At most about ``bound`` ids, and one row of numbers for each: an id on very many rows is reduced before it is collected.
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     own = features()
     stats = statistics(known, "label").where(~base_failed())
-    rows = stats.select("doc_id", "label", *(e.alias(k) for k, e in own.items())).toPandas().sort_values(["doc_id", "label", *own], ignore_index=True)
+    numbers = F.struct("label", *(e.alias(k) for k, e in own.items()))
+    rows = stats.groupBy("doc_id").agg(F.min(numbers).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id", ignore_index=True)
     order = np.argsort(mix(rows["doc_id"].to_numpy(np.int64).astype(np.uint64)), kind="stable")
     return learned({k: rows[k].to_numpy(float)[order] for k in own}, rows["label"].to_numpy()[order] == 0, **options)
 
@@ -243,6 +246,6 @@ def judged(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     rules = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
