@@ -1,385 +1,60 @@
-"""Digests of the canonical forms of common licence texts, their standard headers and SPDX tags, by licence; see ``license.canonical``."""
+"""Digests of the canonical forms of long licence texts, whole and without what follows their terms; see ``license.canonical``."""
 
+# Fixed values.
 DIGESTS = {
     "Apache-2.0": (
-        "4210f2214e68ef832dbf5f42e73f05d8fc3767f74a1e061dc00b4a630b93e44a",
-        "4a2113efebb26d73cd2aaaeeb5e145a2eb6823625a041b5597daaf97b8b0f36d",
-        "78b478714cb77eb79ff29a931a6157b0153f497a212bb78949ae0b46b59cd1a2",
-        "bb9b9809799dde483dd255c759a87cd240b7c00fdd56de34e1e2af5eba9be6f7",
-        "c40235f98e8998f2e4f5fc5131b16fb3c6c5f8ce252d3e6e08daf233725c2073",
-        "dc4f958a872f0358d4e99b21760f9fe0e2c8bcf0faa091363db5ec70c7d829ad",
-        "f65c47c888eca11af47162f111af86084ae4340c25fd110c7694833a2049fcb1",
+        "4a6318c7afd8feed8c4463ea5ae0f2f609d433928a8b17f31104c8e7743de2c5",
+        "4d82b1bff1ec74deb3a29bbe890a43fcd5d6d11ae4b24b20d2c0ef74a1b12809",
+        "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93",
     ),
     "Artistic-1.0-Perl": (
-        "64caa863a014ced5a19878968026b7ed048dade5f4100313d358f6c3072f1cd1",
-        "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42",
-    ),
-    "BSD-2-Clause": (
-        "117fa84a7ffb2cb3a2ba7d18dd284e7283b034d6fb6c6419721ee4e28b5306fe",
-        "218f5b650f149e23f159537f8b1ab16d0ff44722e0038a34bb90a58b3442864a",
-        "239190ee903aca2851ccd5099cd7954d026d60f9b9f98e391ca652499c6aaae1",
-        "23d7258e25bd67982ccec4b5bfc05631a20f8ee5bd5fe7eb70694c100aae88d2",
-        "2bbe1638c7a6f76c36f79582146b108b4b5e8ccc26b0fbc25f3e6fd6bed52e5d",
-        "2bfab67fd08a288050e6f725dc171b3e356dc50a4b04b23b6d5e27b6fe7ff639",
-        "3938f828c79910468f483f925e6a33217162693f71035d6044cbd04dc6fd1bd5",
-        "39bf1f2d26ae8c366dc83591039be7f0d61a26df3e0791f80c2e7dea787c89cb",
-        "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2",
-        "4a5b45ed3ca9ae854c5505a774b3659d3852be9a3412b822802b3cdbe5dc7b0a",
-        "5151319f99abfc15f9a1aab05c799faf3b0e5715fac5a5812b9d3566ae984374",
-        "522ca21da6c91f518da5deae481d3ef6f116d24b0e8c08390bb4d1fd1ee3bc9c",
-        "5d123f3d2076a6b22f7b17a92623627ef50d1584e8cf13b7d4040f1c6e8a0424",
-        "60f16c0da00f56775f1c3d6f9311b0e5f29ed6dd2f77116f234901743ce04e48",
-        "63151a500234e07ef3e50814b0d1d07db92c9481191003b577fbf42336ed40a0",
-        "68f54bd97d77aa7c6d7a3706ff20555e202ff9393a9e5eaf4f0ebede2ff51a1f",
-        "6a5d49c15e02e9e94957d78177d86e8631be9a19549a7cfd2e8c3be2699f00b9",
-        "759fbc88d1a61bf63640c42d23a213634de667f3d7ae64bc844d566a6cb7dd57",
-        "7be8178e4e9d0dea6ff4b04bd52bd086d7ea8386a5a6e09760df916bae5d42d2",
-        "85c46767b6234227cebe127f5c22b9ede02ee48dda5f148ccefe8432c4d93221",
-        "8906363799dbe7a6aff07f665d7698ad3e34b029f09df3d473bf1118a17a2f1f",
-        "89ca91930ea55aff34ba4afee0eaa74b51a1b961b85435e5e171c210eeda6c49",
-        "8b28f63734bf310903015ecd26ae5c979f31743ca170703b95426d7203774453",
-        "9065833a6eaafa5a9c5469b09a210e06f425c9bd898ba15ba1282ba620445276",
-        "957c3854a3d72e069e7f5e48857ad9ab76135f14c70d60fa9ec6ef9a928d45dd",
-        "986c3c3199a93b916c8f2e0aeed57819bcbdcb2cd9d99902dcc9d74b53f93a74",
-        "9c47a682ef64c4e02c50c208384916c7f80087d4e4395b2b06e65a4c4b08b152",
-        "a11471bc40750a21bd4508891b5626642657a09eaa0ef1ec576be7d37fe5ada8",
-        "a56fee4b2f66331ed54da4950ef9c9391453fd1490b4d8ea202bc29683bcbd30",
-        "a78184b2c67ed3906485a7e9161d724c95e04261082e06a27869e1753384b18c",
-        "add68477e31f4c39352b96a5ed22128c47aa7c46de62e8bac51e8b390c6b215c",
-        "b070fd5d70d88d2dc201bf62e27cd5c1a36261a7b51912e5e4f044a2081fc2be",
-        "b265945940ccdc41492a8c56728fe75bfaf767b67d176e33b2649c7dcf426893",
-        "b27ae1244cfe7ac22545c64d69df9d6f21fefc643e67fffab979dcb62c1df56b",
-        "b7d49d651647319f38c254df78d020e1c773cbac121d97b17eb70bf3149e7233",
-        "b9578a124b7f83b06b28da656e009d5188b5c664c402b7c018c56cfaeb24b00a",
-        "bf4cd629bb8a70e349537e8ca530dc88576938ec375a2ede8054a0ebaf7ae836",
-        "c5cb44b340dfa97436d18371e401686dddf3451388afa1a24c0e410cd7a38b24",
-        "cb19805eac283bd8cea786373cc0e19cabbf15bc4cbd572dc1efb3dbd05ca91d",
-        "d8273d18414549823077df21707b29ce7fb0661f8dd82fdb4b3632c3d07901fe",
-        "d9360b475bb35dc9bce111eec4d3be1faa67ed2a3a561f03ad44e73b4993919a",
-        "dfb735646da984cb814b2aab18aef097d6e575950073bd82353f618e44014642",
-        "e90608a663ae638023eb95a6ae359f7b6b865e6237fa832c48500c4e1af035b9",
-        "e965bfe15cdcf092706da02c38cbf69ef02a729b58c76bb3557eec7c8c198a59",
-        "eda2ad636e738f6a26a2fea902bb734ee48c789a5b40035b8db3659bd951e5bc",
-        "ef3c818b28792f48774a4d16b461004c5e21338f9f74f2664f41f86803c30d60",
-        "f4befedc01589c90d5effeae5f64453726c8fded8e4b6fe6c36f99d303581f1f",
-        "f9c0de945db946a0b06e8587a80b1b35b3f3e48a0f63cb64860eb4e433d32c7b",
-        "ffa754873c41d90555a063155f2480774210362f654be12e178a3a313002cf3d",
-    ),
-    "BSD-3-Clause": (
-        "007fde9b266f35183b511c8c01994581175bfdaa48438967e905c31fb50ba523",
-        "02cbb88221e507a296bab4438d8c41fc55a45c1e486982b72971ef667bab440e",
-        "07002ede2e559c6e97a5ba89a53d7ded83eda46c54cea64eb39745675c2aabfc",
-        "08736309e21ef4f4f04fe8d65d940170f6dead365ae956175f9f925b68835df1",
-        "0a693a9b0f9f456ac1a8ead8338f14410fa65b203bbad63be901a84d32b36eaf",
-        "0b2aaa555a09bedb59b13174f70d854d4af2a1c43de1c06a711b73a76e8b0ec6",
-        "0bb4b4733a3cfaa66449b54a6bf7cfc08a34deb9d05b255b85958518e3bff849",
-        "0d9569accbee32dd3a420896d10f915d23071d627b49ca2f194661b3fa6aa139",
-        "0f4b00e6a717888a6af01dee97d72faf0f967aca58d345a5bc57dce7f9c4e399",
-        "0fbd7c43c4bb3e398d262b8e39f58ee0a8709a2b3b6b4bee4e033b3d5755f58d",
-        "117486ce9f9f2dfbea3859a0a62815b6306d8e9467d7ef1ab352a209f7813c26",
-        "1238550805feaeec7ac6f60c2a1b7b3828c3fb1e9d9d52c718c3b75c7b5ff98e",
-        "145df9b6b3ae334aaede429d7eb8fd29a4c46cdd8d75f35e74a4cd287a5bf108",
-        "15b03ef135fda7bdc026f239555d663d1b16473622b88f9d3e513e1cfe9a4ecb",
-        "15ba3bb4a22d3c1ddbec2cb04085b8d86c36f59b433249f59e2feaf9fe331c65",
-        "162537e34c6214aef31257756ea7a4ab5da6e66501fa71992fd77a9200816951",
-        "17bbb60c28cb61b5ab8955b8a5e3d27094b0fc17f7591820a1f6a1dc63b89daa",
-        "17cee9607d52bb6198c43a77342f2bc0c845514239755c9bf1128943d2ad3783",
-        "183524b652ea5f40f82f469e2b5d718613f620720976654410fd1b77e05b33e0",
-        "189c3227b3453c9b65fceda8658fa77fe183c162184e1001de53b798c4683e00",
-        "1e350dc6c2d8da7bca0156ae532678cbfb4baa698831489ad313d2783a9635fa",
-        "2197427e156dd704210ae726a3807f7deae35bc31d7243168c575348f6a5419b",
-        "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
-        "227b58ed55eb11134be02d4fb5e11d8a4d6cb227663808ace8436e3a4955dd5a",
-        "25e8b4ca173574a7bc7b23a01c7a7b4f50b15e06f5adf5cf8a44de3752bc4516",
-        "263f705665002e7fac9fc048e74b7e63419cabab0cdbb1f6fc37afde327ebdd2",
-        "26ceb0a978fd83d209cd22081d8636f2b41a1635ce06d61210c1380663ab7eca",
-        "2862502b8c0b9e2898bddc193550da25efbe12dcc633cf5c250c8acd75d2fcfc",
-        "288b16dd057d359a81060ebda0feda90773042673f2755ed83de86dba322bba8",
-        "313c935ce5fdf872007e05073f3b7c337787f38b64c73d34362a706e66357338",
-        "326c317935b3409d9750fd4ad5326ce15c9b75d313b4baf2cb9ff54accf8d903",
-        "327c5e5dbdcb38c74f897ed3425771a235fa5ee6ea207d96a7a95bf80740ce3f",
-        "334239264ef811f8c689bbf963dc1324d2da10b588bf2be3d8d44b93626fa39c",
-        "33aaf48a1bc03ef399d5b9c0fc83f491c4104c082f5234085e033b8a7d558c26",
-        "3558940b39dab78a471fb340f6a46d9c8ab5a19df8f738e5c348b2d5f130d23d",
-        "35991cc02bec8e2d37cc7c74941246b4fd136823bffa72417e29a4ba648e25e1",
-        "36320377bc712df0228f7cd02a978b1639d095cf14c52e5a4eba4e1b3f56ca0c",
-        "39bc19d2e32c4824fe446a931672e4ee8ceee7bf191f76bf6c99140b01c64550",
-        "3b0a78fc5ae179cc03e1b8b04dd778e68e6c3681ac57a6aa8a968bab4dd72f5a",
-        "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9",
-        "3d3aa00cd4c03ba994d65a6afb82e790c85e8004bf260cdac9044933d97c2dfc",
-        "3f60f0cdf78f0a92c80fac67aa6cd8641363b5b786d18f78a1122a6db9a6b96b",
-        "4374949f6799deec21e8872c62ca5922e55c4e56f9e9c87ef45b9a7cb53fadd2",
-        "439b47ad2badc685d1f839d73c108dd2fc0f485a8fa1d8f722dc90570de9a0a9",
-        "44d5f2122976da667c376147638bbb5901091365c00f6f5710982f5b3f67d59c",
-        "46799f15b76137b52727335ee9084a9c75b2898459107e3dd27593929fcd4b0f",
-        "491f49d0415b993dc6768897df5e7883078940c54392a8dbf118987091d73c49",
-        "496a88fb77f7cf55994de8bd2b87ac0e9302e2dc1b11f567dd0447f8f0648ab1",
-        "4a28e38c08b92fc6bdaa30147f25eefad1c4645e38a5d0f1bad6f462a55c6200",
-        "4af3efd27cc12d2146661de254afc90bde9fc2c708eddbfe69013f2c8cf24654",
-        "4bfb244e03bb8ff80f6efb1a78cded6cfd77aefc484bcea2baaf4096ac8e1f60",
-        "4dca118fcf8557d8ebe826c91520df502fdc017fec0fed23de1a09626fe8b164",
-        "4f8c431c971d670e355968be484975c70966ada9d41a7e0d22ae7202524f37cd",
-        "4fec7901c0764f1c632da504aa28d5de5e7e5f0783c88d1e3fd21de4f97e315d",
-        "50292c16dd94e50af59f3486a35f112c8973abbe468faa4b17503f1e7dc59d0c",
-        "50a52e525bbbad18027648f0544c1dd2bc68264eb5e968d6584aae1c35716535",
-        "5112931d0912b35d46ee49f15e1854f6f26db48b1683933184025de1c54052c9",
-        "51217464054513d69ac6654b877b23cd1bd0ede566a5316ae2c0c42f63b5762a",
-        "52488cdfc29bfa2ef46ddfd827785f0ad9e9fd9759af5bebe456aba62c7f867d",
-        "52c8e1f1387429e4ac2e46a159e2b2d17320de20b05dce03cbd7a7cf9be73702",
-        "53075742228962c7ea381b8242c64602fa32e7b8f52facb6d13ee4f9c596ddfa",
-        "566414393171255b64d311606c5bdb34afaacdcb147d1ee12aef747968128f7c",
-        "5787dbd3df382df7472e10d16f6756443147e46d8040bc8c1cb5a8fe0c011be4",
-        "58553ade7532181c78fbc000f83db782f9cc955f1a3aefd48b5a405c173555a9",
-        "598a67411ed0f51ebe0e82984ca16b4bdc02f9f6373f41d0ba5cc8c3d9f6bd00",
-        "5a2a789d3e539c6419b99449d506cdb442ff86f4bc70a376a2dbf45467861f83",
-        "5a6bdcb75ad1f31024f021a962221fed60cec42eae83569a48e7258a5a70ca3b",
-        "5ac3409b403b0bcb66bf0dca152705ae0e3293c0b0718b2bce0b545907aa413a",
-        "5b425c7def920919df8ee92a47fd3fdd131c5a31d01b1f550700681b8af315f1",
-        "5c6054e89f76c085070bf14dee3beff656492c2db78564162aa39da6b083cf29",
-        "5e1ecd488a751b906a60c3a8a118848440c2b9de21f254acc7a7bad0d8cea70f",
-        "60f2f6ba1d2895b1cdbedbb82f220ba09c824563bfdc6f02893d8aa22b39d68c",
-        "63f1a1afe8d6092ebc502e379c0aab9035457d5e49edd68393b6767d1ba46f73",
-        "6879a2e5a31cfbe41662378bd0e807b54603e40ba10bfbeb55484d803ae67da2",
-        "69083549410d2f63af7724cabe9383c3da756a9875b71a13bdf06f218d41d7cc",
-        "6a794051fca3bb53638164340f6c2263e652d548fea0d01b009536b223272ba1",
-        "6c04b5ba14baabb47f84448f7fee193f4030d8628ca2f755a9ed49d6c3a27b0f",
-        "6cded2d64ede823606e0ad912d43ef7cf641160926310fa31217c3749fa32aee",
-        "6ce850d8928315fe772e46ec60288837667fd6a0866b2ea114f45938a5772e7a",
-        "6e5ff3a5e17bf78bc2302e3f5b9d296c357ef3a5760035e625deb6e953d1e58b",
-        "6fc618780b44cdca4b29e5e2df831e67dfee9bade4a4996c59b815c2bfdb566c",
-        "70e29a5acb29bc1a91295cfe0532eed880b869282421182fac73309f47dc34c9",
-        "734c53b66b7214ba9433f9e0ae4ceb8d797c62547655f5fb4fd640109dbb1571",
-        "73a15ef51d0f74bce7fc4d1287b8d8a639c37581de7f63863957aea115dca7da",
-        "74ce6b9d5c7e3cc4e84a3b0b500e8cdbb9da0bf6e0d91736f50a6dedc65750ff",
-        "7504134220627f7b5b39f4b02b29fc6fad09c4b55ad1a0a2434f4a549d97e41d",
-        "7668aff13b074ee8ff72fe4d1e7a5866b755b8fc00cd0239e4e80aec12f32127",
-        "78bc60ad3b19f3f03be6f4865a4cc2f9d0d1a95f8608482b4670210e08b79387",
-        "793740d7d3fd9b9d9922ac2e7e49aad03e20274b63036ea46facceb598e42494",
-        "7aea53c0d7a37e67b5b48bc0173358fa13cce6248e39e0f781aa1f29758b4c03",
-        "7aeeeae04683ca2146c56bd853a6dc04ba697e70531fd43f1b6923042fd1d204",
-        "7b57614be5d1abd5826bb4b7096a1d2f91fdc92e36f49112bf162ea0ced57045",
-        "7b7201cf032f38971a1f8037cc095a2953b5708e1c8efd7003b7f475148a0c2f",
-        "7bf5713ca296b08ea88a5ab4dc815cb078bc97d56fec2034952bc7d8ba65b4dd",
-        "7c16b387b2fd67aea7403110df9457eea9844b938eda62df5f98a56797001ccf",
-        "7cd749a629e1ddf50c0e4c507338eecb902c7f13fe0e93f05f6795aafda2c85f",
-        "7ce349f3219cb7a62107654d36e72eeb19a2e605f7f53bb3be957df5ad87eba2",
-        "7e7382b6461a6f92161aff0b8651e636ed5d14e0d63eeb92333bcf38ada81f90",
-        "7ea4cb26971c20c55fa864dc747d47304218d8acf220c036dfe248ae70413c6d",
-        "8078ca96ff592b24ba127e14c7f110f54057dcde2c6023deb34983ec3e23196c",
-        "81653dbd1b33c168008776e703a2f44797b88841e2758ddeea5e632652a79a9e",
-        "85e6883ea72af3943bc37780c84ecc17cd39acd62e2adb278b2f8dbc209cc735",
-        "88b15678873be432c85a65aba7f6e3c7e1be78e34de2f53f78c3e18d9e589b7e",
-        "8a69b3ae3c37b6cf9ce330b5e5e3050e29100621d05ba8c828ff817e2e6556ef",
-        "8ade638323b06be3951b2c6a8ac27489a02d9bce0b9baa223586a0136cc01098",
-        "8c43033e30638dbf655a64e3b9cb5ad496739e3265cd1173bf9de626f4c07b0d",
-        "8d3ca0373e28daf90fd19456545db29fd6ab2817f5bbb6f80818d50de181d626",
-        "8d60c9679d45778c2377aff296af4e40b12088036a388311311575e2960b5743",
-        "8daafb52633012c89cb7d69b91cb803859fb5cd5020eecaf429b992ee55f23ce",
-        "8e06f3eb8c471515579052a428e5ab2d0777573b150dcfaf3c8b86b61989c907",
-        "8e6a00da3b41501414630318cd39ab4b24a7f05ff2efaef3b6ad87f3b1745747",
-        "92784a4e0c9136689e30e1e962fafcacf62763a36fc6fc2b8af05fd978094511",
-        "92e3c98fc15d0298f0c36931e5a3996fc3af6dec70fc824d89c18c1a2daf8196",
-        "93facae17cbb1a8c467683819001c40939dafdd0d006162da0ba18d04bafa3c5",
-        "94a0a44b170114affb7b3975c6987906dca819b6cbd93510aa70be57345a1e3f",
-        "96064c6ca672ab3190383fbdbaa98491ed058c95b63540b7e9c2a8aff6da96a0",
-        "996fcdcd0b074b11a3dff7b498f3161486f8a22048ea512aba55e9a416be022b",
-        "9ac2a8d687f8f027199caeb75375c6df77a9682afac572cb60e9731941c458f2",
-        "9b83d3dee0616d07b82a272dd9bf5134a9f402b750f5ee6188458073b0a32ff2",
-        "9b95e6b9046b171ce23146e7b8a5beb0beede2c854f304cee079a2b9eeeada77",
-        "9b9ac51f5ca1f4f99ccf94a0770c77723a9b4a5eaf09e0de3f8c9ec65b1f396d",
-        "9bdbe33e381970bf5ea78bded1c8096f0d0a487319b02d50b87ea94aef3d3952",
-        "a028c593fb2952ff1313c8383bf23eda940de9c568af1c7a4e798d349bdd3237",
-        "a196d630887c3a343519ccd5e202cc4617ac5f655e4a52ae5116272f816d6073",
-        "a2873b453183add3e99dd4198a65a1e0ff9944a934623fba2891c17994e7da8b",
-        "a29ace37fb31210264d486c1b044ccf0f4742a554de7720ac5708b4f3f0850fc",
-        "a2ec481ad273e32b9116be38e2a471834cea10b21644709e6000a0341ee6c5b2",
-        "a3027a49a3a3b421dcc74cac1b19ee96aab1ccb2212aa9ab817443a60f9a856d",
-        "a41e25204ce120d16472a9dbecaa89b58562c3a76aaf8c93fb614d2e15abf9ef",
-        "a56bc397db71dd0e38e476dd3b908e60e53634e2adafda1f1b6672e57be1ef0a",
-        "a772d5818791ac44ca752b2f36a65bd691fb6827311afedbcb995bbfc44c149c",
-        "a9387e8ef58f7adf41d686fe6099d7d8081a442198d313756d6f3cbafa9b2bb4",
-        "afc81ee99a150bf9ad976d1b4b3bae3ec8fb30e82c7f9ec18d0048b070d2ebc8",
-        "aff44d9f03d145272cb59e063b396ac9a551dcde6719d47a519325add9919133",
-        "b6ab7953b6c80a72261014244324a70663f1807fa212f52461b24c95eb16b4a9",
-        "bb9673c5222873ae20b44ed8adee0126945a8168f2e943b5cf751ffd142f5f76",
-        "bce13016c7bfb7779b427be4b7d74217395b892ca97484bf41a9f44d1e1160d5",
-        "bd7d910c4d2db198970b03aa0712c2453834c2245727445d4d1552208efbd9be",
-        "bd94445edc95cbdb06319239b46d212ea1db1512b63c6fae78de8cbbbfb99328",
-        "c19e45e4caf36d04a07032e4291ae19dfa1ba7a438b4d073c576d8271eb7dbd1",
-        "c20bd9e9a48d3165b5e500f6c32225194e99d15723430c8466d4b6390aeb0488",
-        "c40e1b17ae4c0807286fe53911e6e6f4f9c179932585ed71938b78004a0ff14c",
-        "c544350f03f72e209c4f5dc6de5a67e442377ced3da16530054b3a4ad387ac82",
-        "c8012ecdc98567ec54e2b030074e432895d7623fb2d59c3d2c05dec47887e809",
-        "cc3432eb2f19bb6fe96706bad75b6fce1039db64fb70486899bf6425dea4d9cb",
-        "cc65957a28f15bbcef5b0c23770aae3bd8462cb25904250f77a812ab3b2efe15",
-        "cd6f54f8043eb2e58f20b56997704b853109085563d84d6313b655b2804be685",
-        "cf77ee3d20f4076cecdb58fc53aa7204c9f5c0651621abbc85e028f5b2ffa6b4",
-        "d18a9cf83a168e0fb64a5d254735362137270d0a1260161abd56a7a28c5933cb",
-        "d1ecc0a46c23dad7f9e13b19b877e5be7ec9d2b9bb05a2dfde2e47be83438590",
-        "d3c826e703903409a9872986b9be88801a6c28027cb8f1a0bda16d9c3bdbf96d",
-        "d4542b2c750ddc48ef799c19992beedb965469683f3ad3c4ecfee120fcf832c5",
-        "d6257db4781e8531fee85c1cd8fe8adf06a6b7763ed73da1906a14d24925fc1d",
-        "d82109ca031904db888330a0ab8c8987685e71f8dbff7393792df6d32b4ae712",
-        "d8e6c805d983d78be03b040fd27b637d000d749ef8133d58acb67d17c14cbf2f",
-        "d909d66f1d054232d3a4e7e20422b25eab668d5fd71c0df084323915917cc316",
-        "da336ff5d6bbb6a30ad59a0dd798c7e6e1e57d719bbb6300725786c3648c658d",
-        "da4ef29ad2b72e87dfb232418f89799e96070bae83bab194c479fb81577c5362",
-        "dabdbdcb25e5432de092766dfc0f247a3cf5e5f05bbe52cadeee2cd33cf171b9",
-        "db493d43eb799fc9a0d232338f9158a2dbf8fe2cbf2a986bf8ec9364fd459611",
-        "dc06088169d82bfb3bf20fa94566038849b41f0c772ebdf6cc13a92263873a65",
-        "dc4d5134c964e004931f093e62245e46181f326f13bb71cd54b9555b835fe7b4",
-        "dd9c572087f92a74232343008a70468eeee08d97112450db549eb0fb33a8d29e",
-        "df3b193a4f85c590037080c30f47cfcdbf25233523cdbb8afd225ef7b9556ec3",
-        "e12a7e81897620533ba2eb2a4b8eba4acda2534133c94a35a730cbd7d09c374e",
-        "e16232133565da1c02ccbe6ab1aa386e795270c664550bcb1e462f4e31ad5ae6",
-        "e327b35e2b01d84b108447cf1bd62958a3a0431b96631ab4f225c0b10e274f1f",
-        "e5943fa049bbbbefd223e5966f442f299861000b5121337ac2d297187420006e",
-        "e60143686f94bbff438ca8d1ec28b93f48dab068c458d943110c425586e89f38",
-        "e7e4fb63adbcac46bad9c18e3c6baa663738c178b7651bd3dc45515b3fa0ae9c",
-        "e911b250d03141e6fbfc0564bd0ffaa641b36d0def8ae80127c21add98da2f5d",
-        "e989b2fa4a8515f8b29a0f0274aac18a81c6b26b8de0b98c8fdec021c03e34fd",
-        "eabe215ff5a2cf5b1c090915b7cabdf511f70fc79fb8fde85247ebe3038a9658",
-        "eac1b63f081439ba1dd7ed03bfdcff40baddb0ec681a08f4f4259cb7187485e9",
-        "ee1272d8cad2d4f1f17a86492b5fda63916d16cd9ee63b13b60ec207be84ba66",
-        "ef197951cf761f46373e5a59f3deb30defb205740b4e88bf9b566a06abb0f003",
-        "ef8ac24af610d366eb6782dc350def12860ed20c0ccb8441d3fd0d3899373ed7",
-        "f032b2f9ad7ac1bba875e180d1bcb9641ef3e523dd4280a960ab2d95b275ed6b",
-        "f1416b901ed553d9cf4a1a12f5e8c1b0cb38d16251484d307582d8740ab29b07",
-        "f2c55a04899c09988a9c348cb59f3a3c9d15d04791bce2ea847b925ee78b649b",
-        "f2f49b468edc6b1259a03d37c9635c3525e11ce7388ab69d63d77cf3755741f2",
-        "f7134498627c5124675978fad5a9ab87b43ab92038d523cefc04c2c26c6c8e9b",
-        "f797d8bcfec14f42f9eb6fe202623e1ffcbe267e5f375ebc41152fa6035935fd",
-        "f7b87f46594b7b93eba7ccf5bb02131348255794a2d52e59b0d40e2751f2042d",
-        "f94931e221f919e6cec5ca99e0ea7da1912b2c7d805cdaee8baf508c248bc1af",
-        "f98028cc7c3c5c96e6538b46b438420b3f4a813a11e6b1d3166189abbb3c2457",
-        "fbeba36b4c19ff4a85738ee084a1b651a5d6086b7158a6f2d8ef7fee909a6113",
-        "fc428d6bc292781b9fd73562f2d3ceae684be2679190b5b6bb7346cb50d4e2dd",
-        "fc9d58c8af07b9a6ba35f540ddd88c2047588738f644216a3e7682344718beb9",
-        "fcb1a0c380058f809b25ca0554186822cecbeb28b5371f0da772f68c251ff826",
-        "fcfaca9856c9d06723391332be070f14157dc455699d40c8852a50b70f45fada",
-        "fd12fe7a476142533f7a2cc6ae0f12ed30bf2f661027b73ae69bc05118c1bac8",
-        "fd6f933ea400df745b007217b1fe081c0915d890b3376cb976c145afa4da433a",
-        "fe6d93c1924e715d2762b6363b22bcf84bf77677d4938e19cb0b7688a4c236df",
-    ),
-    "CC-BY-4.0": (
-        "3b8fab3911ebb6c44af0dc74eb9b61a55e76f15a69fdeba891a997639d84e2ba",
-    ),
-    "CC-BY-NC-4.0": (
-        "2e78ab9360304d5b2e1045aaecbdf5dc97ed56a2fd8039ed720a49e4ac15bfdb",
-    ),
-    "CC-BY-SA-4.0": (
-        "f3d3c7d830563272cb5aee52bd7b52e6932ea9ed9de229fd3b3a8390f2461880",
+        "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
     ),
     "CC0-1.0": (
-        "96915353d7a84082bcbf6b803c99c651e279a832da34fbea4ba84c9005155395",
         "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
     ),
     "GFDL-1.2": (
-        "20e1fd3e8cb6a8d05d4182764f039c8478d886d77e4eb45c3847198e308bae8e",
-        "d2d7fada3e2eecea90543820aa357340495c5cac8928f44398de3480cf9cba09",
-        "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86",
+        "0d85992b194c7a8f42f3c09cd4f2fce26c85b84312da877a95f283fc01be659e",
+        "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71",
+        "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1",
     ),
     "GFDL-1.3": (
-        "3ad78df95b040dd31d3e68d1b86e1dab0aaf2108cfb79736b213c31d6366f2ad",
-        "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb",
+        "59654aeac1342c4c089f14cf55f567a683bbc21b4b3ce81b6b855cd9b20ee944",
+        "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008",
+        "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6",
     ),
     "GPL-1.0": (
-        "175f511abd0d3fd5f48cd40e0aaac24652ada233ca289e42f8ffdc9dd5eb8a0e",
-        "230eeee75b07fa71e4b1823e952c8e16292a543503bddcf2c8167da4b47a93d5",
-        "255479d33b1b1ec34002dedf71d92b92a479e5b2ac4e133471af98008626be0e",
-        "37a8d6ceffb74a4cd60be1028e4d7d9cc0b1682c4aa3c1d9efd628dc5460f60b",
         "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc",
         "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70",
-        "9679cb8f8a7c25e849b925136d793d1bec010b8b9270e6ba898e2cefcb3e1f6d",
-        "995c79d2934a7b8ab4a62e4088591c1da9eadb5b9ccdbd805e5a1343dd8112c3",
-        "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
-        "a94c8ba17407040ba342fd3a13d84c51aa38a3436929cec72c706b75f9b910ab",
-        "a9fcd96dafedafd2d7f57bfbe49af8e83f5f7eaac045e1653a556376d84512dc",
-        "e24d0cd6163cbcbd554df6d9f87bd1fee415217b4c7d5e00b56474803e14e78f",
-        "e9b881d9fa59c9f21150a745318ca5add23cba9ecf972474beced409ebab838d",
+        "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
     ),
     "GPL-2.0": (
-        "0e6b0d8ae1640cddb38957b1a08b80e984c3f0eb62267c6ca3442ac53a559235",
-        "19329ee16e4a9fb2e74ce40708e49f5c315b4f0ac4653c556ca42027ba79f9f5",
-        "3606e919f92e4862a5628788f284c07f5a0ca41b819f88414d7e825dca4facc4",
-        "38ffab62bd28ed3342b63c910e010e26f434baafe102a70f142f584fe62cf6d8",
-        "a1e7ba14d8d85807f384435b77f91e925decc43da128311c991c4f2337e44017",
-        "a311bfb80ef013414e08cf2ea0128d424ffe3b22888612edd81cc8f04be43f8d",
-        "b7f81dc9aaaa645304fde476859dc46db4e23b83ec1c50bd8462652ff46110c9",
-        "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
-        "c928252f428993b646c70c671425ec87aab1bc5abf42e7a179685a96469bd918",
-        "d23b02db0ea4788524c1e2555abcb0ca2b2d96c2b500b050847a5a76e3d3ef26",
-        "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999",
-        "ee542c08990694552f514702b476482d1f53954da90ddb0d74a9f36c7ab8d7da",
-        "ee767ef3a599b72320b8b8b2bc3668ad48821d4c817f69d9335b81ce11cfe787",
-        "f0136363ca0a17ca60023fc11dcda57599609bfee6f0a37e8f57cae3fdafbb82",
+        "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808",
+        "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34",
+        "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
     ),
     "GPL-3.0": (
-        "3e0639e2a9692446a12737e1e8a22455de0cf05c81a22cf39ea6cc1d2e85581b",
-        "3f5f817483efbffb26e869e09a7c038be5cfefaee344419606b463e6909d08da",
-        "45c34eadc75c338cdb10211ee6f4d0ba1b99b4cbcb9721b0f7640ed84ece56e0",
-        "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30",
-        "66237b20dfaa335f5c003a3da64555538643deb65ca015c0d5fa588527312c4e",
-        "bda82f3a202b0f0ebf2cc2ab21865abcd306566ed767f7335ad3f831da3f456a",
-        "bf7aa8a8497e60d2ca37f349ea796baaaf6027a4cf333ed91b6fe03b3714e7ad",
-        "c5e87067a934f14b42245bff4c396099cb75da59bc29ab2e82b40be4a8396cd6",
-        "f37d587507fc579524cb06d1130d5899891a978ee008cfc033b3b4d95da28bee",
-        "f4ef841ad817ef1f3aa483ee10cda8ce0398c1afa483f6ed9a3594bfd0ee9957",
-        "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975",
-    ),
-    "ISC": (
-        "adc57f08417ed17a8ab63cb2d6aa8a9d4a7ccc34008f14f335a1ec54b6800d95",
+        "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191",
+        "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+        "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636",
     ),
     "LGPL-2.0": (
-        "004d4fb86336431e702b5d3ff6998385cbd8903621a2cfc92beada6f593a5d3f",
-        "052bf540c98a4842bad8d9f2b372e7225b1eb1d38da3916a60bc288db5e37152",
-        "07c514ba3c1f2a84ac7473a9840bc8b249b08f4c593715bb61571f488e3682cd",
-        "11bef2fd1e8f19d847a8137cb72e3b700797a85dc408a75e7364e70ebeda6b98",
-        "13b51bca90791ffbfdb062cc149385c8412d357c1bb14d07ea9b5b2aea79c0c3",
-        "5fec6ec96782458fa84e4a0345698c8e56bd899232a40e066bc2feca7e1f3f5a",
-        "86555761b3697ca3034296115eee9072d42105446ae2b8f8bb45b737f72ca384",
-        "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
-        "c43dfbfc98e82261cca55e0f23ef1f050e26d0c829a70e80ef1e1d02c19576cc",
-        "e0de5033b5ad2a24c0a1a8b04f09e33038ffa62d2bef7178de2a3c6f5d56f499",
-        "e6f0c2e0077b52fb40322c6d921a296aa3c9f307068d6b79e98d196d2bf84577",
-        "e7ecb08f240f58455c2c9090ab912b4bb92385869e21cf6d5eddcdcfc74a1731",
-        "f51728eb856e51e6247d4a023256f9cb9322abe784bdb65ecb82131ef29bfcee",
-        "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c",
+        "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2",
+        "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260",
+        "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
     ),
     "LGPL-2.1": (
-        "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
-        "38fd334a43235dc3cc9b4054ff7eda2187759f1748f276e846fe99c0d3225c0f",
-        "3d43f3599cd8306a5e9c7255077f3c826a7543312eda4ecf9d50975abeb8e95f",
-        "4a756078c03f1bcc95b7e8fea9ee311b088dbf119ddca53410009bcc3e09136c",
-        "6d05f602d7a9f9950f9537100bd504a7fdab92cfe89f4f94b0d15721ee014b1f",
-        "8ef29f7ceae179835f69369b48873938e2ee17c325560c887ec408856e4336b7",
-        "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c",
-        "98ee2ec068a51049ed400919bcc9b031bd9fcb4141726f51e23b5f0196a2d37a",
-        "9bf9c99aeafbdbccd7456a00d574699e3deb41868375496cacbf170be719bebd",
-        "9c8aea52ac2706a35452528904b5cef7c0aa4140e5ec04d54ba60f53c4a5c78b",
-        "a74b936909ab0dd8b634d9f48b3fce02368974912956b0d06a71e95e5118beb1",
-        "a860127a2ff0005b04d90052e1f9172ce7db1b8d534d137dc79aef7e0181260f",
-        "d7fd9fe036e8f274f14a8d6246284daff913551896bd7154d0b9eccd00b3aa5e",
-        "e5643cdbb6a469b6c8640acc0735b3cc4ee27066b6290c87e59a7d382ffc2d05",
+        "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4",
+        "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+        "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df",
     ),
     "LGPL-3.0": (
-        "11a7eabf884f5575b70a6cff6628e05126a0a629a3b4fb202a995d21f65452b8",
-        "26a2d582faf58185e991b7ac687ad265df7f70630b3fa29ed58df5a81c9e84ca",
-        "3fb4aecf0c6eb4f5aebb042c6cc1b9d675906ede73b6337c2fc1cf64c21d126a",
-        "45adc89be8a4836f8a2968630184a4905190dadddbe0e3a4c88c01ccc6ec7820",
-        "4e5077df4ee9d81f1beff35e6054e6f88124dc1bc19482731bf653b13d14d8ea",
-        "980cc775a502ef5664e72f0c39f8e2ea5a33f3f7d58052fc92d6ac81f60667ef",
         "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
     ),
     "MPL-1.1": (
-        "5f8f627db3aa242fae7199c9fc802104eb49e826b386a02d67329ea044e6926c",
-        "ef0f519d6b36a6ee4471c15afcf2f765321db910ec37142221b6393bee2a1f44",
-        "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354",
+        "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1",
     ),
     "MPL-2.0": (
-        "15d9d39b9899a45bf810a3418301f271cb5c1d7bd61153ec978c50af3b4546b2",
-        "4389b7c80c5d1ae93b31c4594939d7de1a2cd8cbb91d63f692c81d1ebd9cf507",
-        "9d299cc532b9868f3f8a9efd71918375cf44ec4a9d5a17b34c5d81da4f0b7096",
-        "ce53eb284c9d57ac4a476b3183e6e444a165979706dcdea62aa9e8920f0aad60",
+        "4544af666fc42fe3ea03e86d5db9fef4f4c41c50c15f04550119fdb67822747b",
     ),
 }

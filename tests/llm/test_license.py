@@ -1,18 +1,29 @@
 import hashlib
 import os
-import re
-import unicodedata
+import textwrap
 
-from siltstone.llm.license import ISC, KNOWN, MIT, SPELLINGS, scanned
+import duckdb
+import regex
+
+from siltstone.llm import license as L
+from siltstone.llm.license import ISC, MIT, SPELLINGS, TEXTS, known_texts, scanned
+
+SF = "/root/testdata/sf0.001"
+NAME = r"(?:The[ \t]+)?\p{Lu}[\p{L}.]*\p{Ll}.*(?i:authors|contributors|developers|foundation|project|team|inc|ltd|llc|gmbh)[.]?[ \t\r]*"
+MARKED = regex.compile(r"[^\p{L}\p{N}]*(?:(?i:copyright)[ \t]*(?:\([cC]\)|©|[0-9:<\[{]|(?i:by)[ \t]).*|(?i:copyright)[ \t]+" + NAME + r"|\([cC]\)[ \t]*(?:[0-9]|(?i:copyright)).*|©.*)")
 
 
 def form(text):
-    text = re.sub(r"(?im)^[^\w\n]*(?:copyright|\(c\)|©)[^\n]*(?:\n|\Z)", "", text.lower())
-    flat = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text)
-    flat = f" {' '.join(flat.split())} "
-    for a, b in SPELLINGS:
+    """The canonical form, line by line and word by word."""
+    kept = "\n".join(line for line in text.split("\n") if not MARKED.fullmatch(line))
+    flat = f" {' '.join(regex.findall(r'[\p{L}\p{N}]+', kept.lower()))} "
+    for a, b in SPELLINGS * 2:
         flat = flat.replace(f" {a} ", f" {b} ")
-    return flat.strip()
+    flat = flat.strip()
+    if any(w in text.lower() for w in ("liable", "neither", "acknowledg")):
+        for a, b in L.HOLDERS:
+            flat = regex.sub(a, b, flat)
+    return flat
 
 
 def test_digests_and_names(spark):
@@ -31,8 +42,8 @@ def test_digests_and_names(spark):
 
 
 def test_every_known_text_is_found_whole(spark):
-    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(KNOWN)], "doc_id long, text string")
-    assert {r.doc_id: r.license for r in scanned(docs).collect()} == {i: n for i, (n, _) in enumerate(KNOWN)}
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(known_texts())], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in scanned(docs).collect()} == {i: n for i, (n, _) in enumerate(known_texts())}
 
 
 BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -59,3 +70,55 @@ def test_common_full_texts_and_headers(spark):
     got = {r.doc_id: (r.license, r.notices) for r in scanned(docs).collect()}
     assert [got[i][0] for i in range(len(want))] == want
     assert got[len(texts) - 1] == (None, "GPL-3.0")
+
+
+WIDTHS = (40, 60, 72, 100)
+
+
+def wrapped(text, width):
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in regex.split(r"\n\s*", text))
+
+
+def rewrapped(paragraph, width):
+    """A copyright line stays a line of its own, the other lines flow together."""
+    own = [line for line in paragraph.split("\n") if regex.match(r"\s*Copyright ([(\[]|[0-9])", line)]
+    rest = " ".join(line for line in paragraph.split("\n") if line not in own)
+    return "\n".join([*own, *textwrap.wrap(rest, width, break_long_words=False, break_on_hyphens=False)])
+
+
+def test_any_wrapping_and_holder(spark):
+    """Each licence, wrapped to several widths, under a copyright line, with a holder's own name; and inside a longer text."""
+    rows, want = [], []
+    for name, titles, text in TEXTS:
+        own = text.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "JANE ROE AND FRIENDS").replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "JANE ROE").replace("the copyright holder nor the names of its contributors", "Roe Labs Inc. nor the names of its staff")
+        for width in WIDTHS:
+            rows.append(f"{titles[0]}\n\nCopyright (c) 2019-2024, Jane Roe\n\n{wrapped(own, width)}\n")
+            want.append((name, None))
+            rows.append(f"Some prose.\n\n{wrapped(own, width)}\n\nMore prose.")
+            want.append((None, name))
+    long = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "GFDL-1.3"}
+    for name in long if os.path.isdir("/usr/share/common-licenses") else ():
+        file = name.removesuffix(".0") if "GPL" in name else name
+        text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+        for width in WIDTHS:
+            rows.append("\n\n".join(rewrapped(p, width) for p in regex.split(r"\n[ \t]*\n", text)))
+            want.append((name, None))
+    got = {r.doc_id: (r.license, r.notices.split(",")) for r in scanned(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, (whole, part) in enumerate(want):
+        assert got[i][0] == whole, (want[i], rows[i][:300])
+        assert part is None or part in got[i][1], (want[i], got[i])
+    assert len({n for n, _ in want if n}) >= 15
+
+
+def test_planted_whole_texts_change_the_query(spark, tmp_path):
+    """Whole licences among ordinary documents; the query and its SQL agree on them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted = [(10_000 + i, f"Copyright 2020 A. B.\n{wrapped(t, 66)}") for i, (_, _, t) in enumerate(TEXTS)] + [(None, MIT), (20_000, None), (20_001, "")] + [(30_000, ISC)] * 3
+    docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = L.query(spark, str(tmp_path)).collect()
+    assert sum(r.license is not None for r in rows) == len(TEXTS) + 4
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(L.oracle_sql())
+    key = lambda rows: sorted(map(str, rows))
+    assert key(tuple(r[c] for c in sorted(want.columns)) for r in rows) == key(tuple(dict(zip(want.columns, r))[c] for c in sorted(want.columns)) for r in want.fetchall())
