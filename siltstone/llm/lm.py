@@ -398,9 +398,11 @@ def scored(docs: DataFrame, model: Model, train, *keep: str) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)).cast("int")
     kept = [f"k{i}_" for i in range(len(names))]
     dealt = docs.select(block.alias("block_"), *(F.col(c).alias(k) for c, k in zip(names, kept)), F.coalesce(train, F.lit(False)).alias("train_"), text.alias("text_"))
-    asked = dealt.select("block_", "train_", "text_").groupBy("block_").applyInArrow(_asking(bits), ASKED)
+    # Dealt once, with all columns, for both passes over the texts; small inputs too are spread over many tasks.
+    dealt = dealt.repartition(n_blocks, "block_")
+    asked = dealt.groupBy("block_").applyInArrow(_asking(bits), ASKED)
     shared = Shared(docs.sparkSession, model)
-    given = asked.groupBy("part").applyInArrow(_answering(shared), GIVEN)
+    given = asked.repartition(1 << bits, "part").groupBy("part").applyInArrow(_answering(shared), GIVEN)
     types = dict(docs.dtypes)
     results = "n_tokens long, n_known long, base_score double, score double"
     schema = ", ".join([*(f"{k} {types[c]}" for c, k in zip(names, kept)), results])
@@ -411,12 +413,12 @@ def scored(docs: DataFrame, model: Model, train, *keep: str) -> DataFrame:
         counts = np.concatenate([unpacked_counts(x.as_py()) for x in right.column("counts")])
         logs = np.concatenate([np.frombuffer(x.as_py(), np.float16).reshape(-1, 2) for x in right.column("logs")])
         seen = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in right.column("seen")])
-        hashes, places = [], []
-        for _, _, tokens, _, one, _ in _block_tokens(left):
-            hashes.append(np.unique(tokens))
-            places.append(np.unique(pair_keys(tokens, one)))
-        every, pairs = np.unique(np.concatenate(hashes)), np.unique(np.concatenate(places))
-        parts = [_scored_chunk(m, *x, every, counts, pairs, logs, seen) for _, _, *x in _block_tokens(left)]
+        held = []
+        for _, _, tokens, first, one, two in _block_tokens(left):
+            own = [(x[0], x[1].astype(np.int32)) for x in (np.unique(v, return_inverse=True) for v in (tokens, pair_keys(tokens, one)))]
+            held.append((bucket_of(tokens).astype(np.int16), one, two, first, *own))
+        every, pairs = (np.unique(np.concatenate([x[k][0] for x in held])) for k in (4, 5))
+        parts = [_scored_chunk(m, *x, every, counts, pairs, logs, seen) for x in held]
         new = [np.concatenate(x) for x in zip(*parts)]
         out = [pa.array(x, t) for x, t in zip(new, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
         return pa.table([*(left.column(x) for x in kept), *out], [*kept, *(x.split()[0] for x in results.split(", "))])
@@ -425,17 +427,17 @@ def scored(docs: DataFrame, model: Model, train, *keep: str) -> DataFrame:
     return out.select(*(F.col(k).alias(c) for c, k in zip(names, kept)), "n_tokens", "n_known", "base_score", "score")
 
 
-def _scored_chunk(m: Model, tokens, first, one, two, every, counts, pairs, logs, seen) -> tuple[np.ndarray, ...]:
-    count = counts[np.searchsorted(every, tokens)]
-    at = np.searchsorted(pairs, pair_keys(tokens, one))
-    bucket = bucket_of(tokens)
-    share = np.log10(count + 1.0)
-    trust = seen[at] / (seen[at] + TRUST)
-    own = logs[at].astype(float)
-    cls = trust * 10 ** own[:, 0] + (1 - trust) * m.class_share(bucket >> MEMBER_BITS, one, two)
-    full = np.log10(cls) + own[:, 1] + share - m.log_room[bucket]
+def _scored_chunk(m: Model, bucket, one, two, first, word, pair, every, counts, pairs, logs, seen) -> tuple[np.ndarray, ...]:
+    count = counts[np.searchsorted(every, word[0])]
+    at = np.searchsorted(pairs, pair[0])
+    class_log, member, trust = logs[at, 0].astype(float), logs[at, 1].astype(float), seen[at] / (seen[at] + TRUST)
+    class_log = trust * 10**class_log
+    bucket = bucket.astype(np.int64)
+    share, of = np.log10(count + 1.0)[word[1]], pair[1]
+    cls = class_log[of] + (1 - trust)[of] * m.class_share(bucket >> MEMBER_BITS, one, two)
+    full = np.log10(cls) + member[of] + share - m.log_room[bucket]
     n, begin = np.diff(first), first[:-1]
-    return n, np.add.reduceat((count > 0).astype(np.int64), begin), np.add.reduceat(share, begin) - n * math.log10(m.room), np.add.reduceat(full, begin)
+    return n, np.add.reduceat((count > 0)[word[1]].astype(np.int64), begin), np.add.reduceat(share, begin) - n * math.log10(m.room), np.add.reduceat(full, begin)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
