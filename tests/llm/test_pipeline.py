@@ -1,13 +1,15 @@
 import importlib
 from collections import Counter
 
-import corpus_pipeline as cp
+import corpus_pipeline
+from siltstone.llm import pipeline as cp
 from siltstone.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages_and_registry():
+    assert (corpus_pipeline.STAGES, corpus_pipeline.ORACLE_SQL, corpus_pipeline.run) == (cp.STAGES, cp.ORACLE_SQL, cp.run)
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "packing"] and cp.ORACLE_SQL is None
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
@@ -44,3 +46,23 @@ def test_personal_data_is_replaced(spark):
 def test_whole_run(spark):
     rows = cp.run(spark, SF).collect()
     assert rows and len({(r.bin_group, r.bin, r.bin_offset) for r in rows}) == len(rows)
+
+
+def test_empty_tables(spark, tmp_path):
+    """No documents, no benchmark, or nothing left after a stage."""
+    docs = spark.createDataFrame([(1, "12 34", "en", "s", 5), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for i, own in enumerate((docs, docs.limit(0))):
+        path = str(tmp_path / str(i))
+        own.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        assert cp.run(spark, path).count() == 0
+
+
+def test_a_very_long_text_stays_whole(spark, tmp_path):
+    long = " ".join(f"the word{i} of this" for i in range(60_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " end", "en", "s", len(long) + 4)] + [(10 + i, f"the quick {i} brown fox of this {' '.join(f'w{i}x{j}' for j in range(50))}", "en", "s", 1) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of the kind stands anywhere here at all, so no document is dropped")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = cp.run(spark, str(tmp_path)).groupBy("doc_id").sum("n_tokens").collect()
+    got = {r[0]: r[1] for r in out}
+    assert got[1] == 240_001 and 2 not in got and len(got) == 13
