@@ -102,7 +102,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         result = retrieval.run_suite(spark, store, args.fixture, repo_root=root, top_k=args.top_k)
         if args.output:
-            retrieval.write_artifact(result, args.output)
+            retrieval.write_artifact(spark, result, args.output)
         print(json.dumps(result, default=str) if args.json else "\n".join(f"{k}: {v}" for k, v in result.items() if k != "results"))
     return 0
 

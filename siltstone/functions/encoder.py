@@ -1,7 +1,9 @@
 """Token encoders.  An encoder turns a text into one vector per token; any object with this protocol will do.
 
 The default needs no model: each token's vector is drawn from its hash and normalised, so equal tokens have a product of 1 and others one
-near 0.  It makes results repeatable; it doesn't claim the quality of a trained model.
+near 0.  It makes results repeatable; it doesn't claim the quality of a trained model.  A text is cut at the encoder's length (DOCUMENT_TOKENS,
+QUERY_TOKENS), and a token that comes again in it gives no second vector, since an equal vector can't change a maximum.
+``TrainedEncoder`` wraps a late-interaction model where one is installed.
 """
 
 from __future__ import annotations
@@ -59,8 +61,44 @@ class HashedEncoder:
         pass
 
 
+class TrainedEncoder:
+    """A trained late-interaction model, by the optional package ``pylate``; loaded once per task."""
+
+    def __init__(self, name: str, device: str | None = None):
+        self.name, self.device, self.model = name, device, None
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "device": self.device, "model": None}
+
+    def prepare(self) -> None:
+        if self.model is None:
+            try:
+                from pylate import models
+            except ImportError as error:
+                raise RuntimeError("a trained encoder needs the package pylate") from error
+            self.model = models.ColBERT(model_name_or_path=self.name, device=self.device, query_length=QUERY_TOKENS, document_length=DOCUMENT_TOKENS)
+
+    def _matrices(self, texts: list[str], is_query: bool) -> list[list[list[float]]]:
+        self.prepare()
+        return [[list(map(float, v)) for v in m] for m in self.model.encode(texts, is_query=is_query, show_progress_bar=False)]
+
+    def documents(self, texts: list[str]) -> list[list[list[float]]]:
+        return self._matrices(texts, False)
+
+    def queries(self, texts: list[str]) -> list[list[list[float]]]:
+        return self._matrices(texts, True)
+
+    def close(self) -> None:
+        self.model = None
+
+
+# What the messages of memory errors say.
+MEMORY_MESSAGES = ("out of memory", "oom", "invalid buffer size", "not enough memory", "insufficient memory")
+# End of fixed values.
+
+
 def out_of_memory(error: BaseException) -> bool:
-    return isinstance(error, MemoryError) or "out of memory" in str(error).lower() or "invalid buffer size" in str(error).lower()
+    return isinstance(error, MemoryError) or any(m in str(error).lower() for m in MEMORY_MESSAGES)
 
 
 def bisected(embed, texts: list[str]) -> list:

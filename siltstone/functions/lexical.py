@@ -121,18 +121,29 @@ PARTS = ("name", "symbol", "signature", "path", "text")
 LABELS = {"name": "name_terms:", "symbol": "symbol_terms:", "signature": "signature_terms:", "path": "path_terms:", "text": "terms:"}
 
 
+def term_sets(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds the distinct tokens of each of PARTS, as h_set_ columns, for ``hybrid``."""
+    return rows.withColumns({f"h_set_{k}": F.array_distinct(tokens(columns[k])) for k in PARTS})
+
+
+def query_terms(rows: DataFrame, query: Column) -> DataFrame:
+    """Adds the terms of a query, with and without synonyms, for ``hybrid``."""
+    own = rows.withColumn("h_own", significant(F.trim(query)))
+    return own.withColumns({"h_terms": expanded(F.col("h_own")), "h_asks": asks_implementation(F.col("h_own"))})
+
+
 def hybrid(rows: DataFrame, **columns: Column) -> DataFrame:
     """Adds score and why_matched: the semantic score with the lexical boosts added in a fixed order, and what was added.
 
     columns: query, semantic, name, symbol, signature, path, text, kind, modifiers and source, none of them null but modifiers.
-    Token arrays are columns of their own on the way, so that each text is tokenised once.
+    What ``term_sets`` and ``query_terms`` have added beforehand is taken from there; the rest is tokenised here, each text once.
     """
-    kept = rows.columns
+    kept = [c for c in rows.columns if not c.startswith("h_")]
     wide = rows.withColumns({f"h_{k}": v for k, v in columns.items()}).withColumn("h_query", F.trim("h_query"))
-    wide = wide.withColumn("h_own", significant(F.col("h_query")))
-    wide = wide.withColumns({"h_terms": expanded(F.col("h_own"))} | {f"h_set_{k}": F.array_distinct(tokens(F.col(f"h_{k}"))) for k in PARTS})
+    wide = wide if "h_own" in rows.columns else query_terms(wide, F.col("h_query"))
+    wide = wide if "h_set_text" in rows.columns else term_sets(wide, {k: F.col(f"h_{k}") for k in PARTS})
     wide = wide.withColumns({f"h_common_{k}": F.array_sort(F.array_intersect("h_terms", f"h_set_{k}")) for k in PARTS})
-    wide = wide.withColumn("h_signal", F.array_intersect("h_common_text", words(SIGNAL_TERMS))).withColumn("h_asks", asks_implementation(F.col("h_own")))
+    wide = wide.withColumn("h_signal", F.array_intersect("h_common_text", words(SIGNAL_TERMS)))
     query, name, symbol_, signature, text = (F.col(f"h_{k}") for k in ("query", "name", "symbol", "signature", "text"))
     same = F.coalesce((name != "") & (F.lower(query) == F.lower(name)), F.lit(False))
     steps = [

@@ -89,14 +89,24 @@ def retrieval_text(kind: Column, label_: Column, declaration_: Column, annotatio
 
 
 def segments(text: Column, most: int = SEGMENT_CHARS) -> Column:
-    """Lines gathered greedily into segments of at most ``most`` characters; a longer line is a segment of its own."""
-    start = F.expr(f"named_struct('done', {STRINGS}, 'now', cast(null as string))")
+    """Lines gathered greedily into segments of at most ``most`` characters; a longer line is a segment of its own.
 
-    def step(a: Column, line: Column) -> Column:
-        full = a["now"].isNotNull() & (F.length(a["now"]) + F.length(line) + 1 > most)
-        return F.when(full, F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), line.alias("now"))).otherwise(F.struct(a["done"].alias("done"), F.when(a["now"].isNull(), line).otherwise(F.concat_ws("\n", a["now"], line)).alias("now")))
+    The fold carries one number per segment, not the text: at which line each begins.  The lines are then sliced.
+    """
+    lines = F.split(text, LINE_ENDS)
+    start = F.expr("named_struct('at', 0, 'size', -1, 'begins', cast(array() as array<int>))")
 
-    return F.aggregate(F.split(text, LINE_ENDS), start, step, lambda a: F.concat(a["done"], F.filter(F.array(a["now"]), lambda x: x.isNotNull())))
+    def step(a: Column, n: Column) -> Column:
+        full = (a["size"] < 0) | (a["size"] + n + 1 > most)
+        begins = F.when(full, F.concat(a["begins"], F.array(a["at"] + 1))).otherwise(a["begins"])
+        return F.struct((a["at"] + 1).alias("at"), F.when(full, n).otherwise(a["size"] + n + 1).alias("size"), begins.alias("begins"))
+
+    def cut(both: Column) -> Column:
+        ends = F.concat(F.slice(both["begins"], F.lit(2), F.size(both["begins"])), F.array(F.size(both["lines"]) + 1))
+        return F.zip_with(both["begins"], ends, lambda a, b: F.array_join(F.slice(both["lines"], a, b - a), "\n"))
+
+    bound = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.aggregate(F.transform(x, F.char_length), start, step, lambda a: a["begins"]).alias("begins")))
+    return F.when(text.isNotNull(), F.element_at(F.transform(bound, cut), 1))
 
 
 def chunk_id(repo_root: Column, file_path: Column, kind: Column, package: Column, owners: Column, name: Column, parameters: Column, position: Column) -> Column:
@@ -113,3 +123,8 @@ def payload(columns: dict[str, str]) -> Column:
         c = F.col(name)
         own.append((blank_to_null(c) if kind == "string" else F.when(F.size(c) > 0, c) if kind.startswith("array") else c).alias(name))
     return F.to_json(F.struct(*own))
+
+
+def payload_value(payload_: Column | str, name: str) -> Column:
+    """A value of a payload as text; null where it was left out."""
+    return F.get_json_object(payload_, f"$.{name}")

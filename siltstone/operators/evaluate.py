@@ -47,8 +47,3 @@ def summarised(results: DataFrame) -> DataFrame:
     score = F.when(F.count(F.lit(1)) > 0, (2 * n["strong_pass"] + n["pass"]) / (2 * F.count(F.lit(1)))).otherwise(F.lit(0.0))
     return results.agg(F.count(F.lit(1)).alias("cases"), *(c.alias(k) for k, c in n.items()), score.alias("score"))
 
-
-def one_version(column: str) -> Column:
-    """Aggregate: the one value; "unknown" without any, "mixed" with several."""
-    n = F.count_distinct(column)
-    return F.when(n == 0, "unknown").when(n == 1, F.max(column)).otherwise("mixed")

@@ -36,14 +36,6 @@ def ordered(symbols: DataFrame) -> DataFrame:
     return symbols.orderBy("qualified_name", "origin_kind", F.coalesce("container", F.lit("")), F.coalesce("filepath", F.lit("")))
 
 
-def names_of(symbols: DataFrame, origin: str | None = None, containers: DataFrame | None = None) -> DataFrame:
-    """Distinct qualified names of an origin, in the containers (container)."""
-    own = symbols.where(F.col("origin_kind") == origin) if origin else symbols
-    if containers is not None:
-        own = own.join(containers, "container", "left_semi")
-    return own.select("qualified_name").distinct()
-
-
 def visible_names(symbols: DataFrame, visibility: DataFrame) -> DataFrame:
     """(source_set, qualified_name): sources and binaries by visibility (source_set, container, origin_kind), and the JDK for all."""
     seen = symbols.where("origin_kind <> 'jdk'").join(visibility, ["container", "origin_kind"]).select("source_set", "qualified_name")

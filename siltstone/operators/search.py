@@ -1,7 +1,10 @@
 """Late-interaction vector search, hybrid reranking and neighbour reads.
 
 Queries come in batches: a table (query_id, q_row, vec) of query vectors.  Its size is fixed by the user's queries; it goes to the tasks in
-slices of QUERY_ROWS vectors, one pass over the vectors each.
+slices of QUERY_ROWS vectors, one pass over the vectors each, the rows of a query in one slice.
+
+The exact search brings the vectors of a chunk together, adds up the maxima in the kernel, and each task sends its best rows of each query
+alone.  Beyond LARGE vectors a search goes by the shortlist: no vectors move but those of shortlisted chunks.
 """
 
 from __future__ import annotations
@@ -16,12 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.functions.lexical import confidence, hybrid, summary
+from siltstone.functions.lexical import confidence, hybrid, query_terms, summary, term_sets
 from siltstone.functions.lexical import symbol as symbol_of
 from siltstone.functions.vectors import sane
+from siltstone.scratch import stored
 
 #: Query vectors in one broadcast.
 QUERY_ROWS = 20_000
+#: Vectors beyond which a search goes by the shortlist, unless it is asked to be exact.
+LARGE = 5_000_000
+#: Shards of a shortlist over vectors that have none.
+SHARDS = 8
+#: Chunks that a task scores before it keeps the best of them.
+PRUNED_AT = 1 << 14
 
 
 def matching(documents: DataFrame, *, kind: str | None = None, source_set: str | None = None, file_path: str | None = None) -> DataFrame:
@@ -37,7 +47,7 @@ def _passes(queries: DataFrame) -> Iterator[pa.Table]:
     rows = queries.select("query_id", "q_row", "vec")
     n = max(1, -(-rows.count() // QUERY_ROWS))
     for k in range(n):
-        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id", "q_row"), F.lit(n)) == k)).toArrow()
+        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toArrow()
         if part.num_rows:
             yield part.combine_chunks()
 
@@ -101,36 +111,124 @@ def _best(vectors: DataFrame, queries: DataFrame, *by: str, most: int | None = N
     return reduce(DataFrame.unionByName, out)
 
 
-def products(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, dot): each query vector with each vector, NaN products included; one matrix product per batch, and no join."""
-    kinds = dict(vectors.dtypes) | {f"q_{k}": v for k, v in queries.dtypes}
-    schema = f"query_id {kinds['q_query_id']}, chunk_id {kinds['chunk_id']}, dot double"
+class _Scores:
+    """Scores of whole chunks for all queries of a slice; with ``k`` only the best of each query are kept (of equal ones the least ids)."""
+
+    def __init__(self, part: pa.Table, k: int | None):
+        part = part.take(pyarrow.compute.sort_indices(part, [("query_id", "ascending"), ("q_row", "ascending")]))
+        self.q, ids = _matrix(part.column("vec")), part.column("query_id").to_numpy()
+        self.first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        self.queries, self.k = part.column("query_id").take(pa.array(self.first)).combine_chunks(), k
+        self.ids: list = []
+        self.scores: list[np.ndarray] = []
+        self.n = 0
+        self.kept: list[tuple[np.ndarray, list, np.ndarray]] = []
+        self.open: tuple[object, np.ndarray] | None = None
+
+    def add(self, chunk_ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors in order of their chunks; the last chunk may go on in the next batch."""
+        if vectors.shape[1] != self.q.shape[1]:
+            raise ValueError("vectors of different lengths")
+        dots = vectors @ self.q.T
+        dots[np.isnan(dots)] = -np.inf
+        at = np.flatnonzero(np.concatenate([[True], chunk_ids[1:] != chunk_ids[:-1]]))
+        best, names = np.maximum.reduceat(dots, at, axis=0), chunk_ids[at]
+        if self.open is not None:
+            if self.open[0] == names[0]:
+                best[0] = np.maximum(best[0], self.open[1])
+            else:
+                self._whole([self.open[0]], self.open[1][None])
+        self._whole(list(names[:-1]), best[:-1])
+        self.open = names[-1], best[-1]
+
+    def _whole(self, names: list, best: np.ndarray) -> None:
+        if not names:
+            return
+        known = best > -np.inf
+        score = np.add.reduceat(np.where(known, best, 0.0), self.first, axis=1)
+        score[np.add.reduceat(known, self.first, axis=1, dtype=np.int64) == 0] = -np.inf
+        self.ids += names
+        self.scores.append(score)
+        self.n += len(names)
+        if self.n >= PRUNED_AT:
+            self._prune()
+
+    def _prune(self) -> None:
+        if not self.n:
+            return
+        score, ids = np.concatenate(self.scores), np.array(self.ids)
+        place = np.unique(ids, return_inverse=True)[1]
+        for j in range(len(self.queries)):
+            rows = np.flatnonzero(score[:, j] > -np.inf)
+            if self.k is not None and len(rows) > self.k:
+                least = np.partition(score[rows, j], len(rows) - self.k)[len(rows) - self.k]
+                rows = rows[score[rows, j] >= least]
+                rows = rows[np.lexsort((place[rows], -score[rows, j]))[: self.k]]
+            self.kept.append((np.full(len(rows), j), [self.ids[r] for r in rows.tolist()], score[rows, j]))
+        self.ids, self.scores, self.n = [], [], 0
+
+    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
+        if self.open is not None:
+            self._whole([self.open[0]], self.open[1][None])
+        self._prune()
+        return (np.concatenate([x[0] for x in self.kept]), [i for x in self.kept for i in x[1]], np.concatenate([x[2] for x in self.kept])) if self.kept else (np.zeros(0, np.int64), [], np.zeros(0))
+
+
+def maxsim(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, chunk_id, score): the sum over query rows of the best product with the chunk's vectors, NaN ones left out; with ``k`` only the
+    best of each task, which are to be ranked further.  The vectors of a chunk are brought into one task."""
+    kinds = dict(vectors.dtypes) | {f"q_{c}": v for c, v in queries.dtypes}
+    schema = f"query_id {kinds['q_query_id']}, chunk_id {kinds['chunk_id']}, score double"
+
+    def scorer(part: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores, kind = _Scores(part, k), None
+            step = max(1, (1 << 22) // len(scores.q))
+            for whole in batches:
+                kind = whole.schema.field("chunk_id").type
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    scores.add(batch.column("chunk_id").to_numpy(zero_copy_only=False), _matrix(batch.column("vec")))
+            at, ids, value = scores.rows()
+            for i in range(0, len(at), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([scores.queries.take(pa.array(at[s])), pa.array(ids[s], kind), pa.array(value[s])], ["query_id", "chunk_id", "score"])
+
+        return run
+
+    together = vectors.select("chunk_id", "vec").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    out = [together.mapInArrow(scorer(part), schema) for part in _passes(queries)]
+    if not out:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, out)
+
+
+def dot_totals(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, n, total, best): how many vectors each query row met, the sum of all products and the greatest.  Every vector meets every
+    query row, in blocks; a batch sends one row per query row."""
+    kinds = {f"q_{c}": v for c, v in queries.dtypes}
+    schema = f"query_id {kinds['q_query_id']}, n long, total double, best double"
 
     def scorer(part: pa.Table):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = _matrix(part.column("vec"))
-            step = max(1, (1 << 18) // len(q))
+            n, total, best = 0, np.zeros(len(q)), np.full(len(q), -np.inf)
+            step = max(1, (1 << 22) // len(q))
             for whole in batches:
                 for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
                     own = _matrix(batch.column("vec"))
                     if own.shape[1] != q.shape[1]:
                         raise ValueError("vectors of different lengths")
-                    row, col = (pa.array(x.ravel()) for x in np.indices((len(own), len(q))))
-                    data = [part.column("query_id").take(col).combine_chunks(), batch.column("chunk_id").take(row), pa.array((own @ q.T).ravel())]
-                    yield pa.RecordBatch.from_arrays(data, ["query_id", "chunk_id", "dot"])
+                    dots = own @ q.T
+                    n, total, best = n + len(own), total + dots.sum(axis=0), np.maximum(best, dots.max(axis=0))
+            if n:
+                yield pa.RecordBatch.from_arrays([part.column("query_id").combine_chunks(), pa.array(np.full(len(q), n)), pa.array(total), pa.array(best)], ["query_id", "n", "total", "best"])
 
         return run
 
-    out = [vectors.select("chunk_id", "vec").mapInArrow(scorer(part), schema) for part in _passes(queries)]
+    out = [vectors.select("vec").mapInArrow(scorer(part), schema) for part in _passes(queries)]
     if not out:
         return vectors.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, out)
-
-
-def maxsim(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): the sum over query rows of the best product with the chunk's vectors."""
-    best = _best(vectors.select("chunk_id", "vec"), queries).groupBy("query_id", "chunk_id", "q_row").agg(F.max("dot").alias("best"))
-    return best.groupBy("query_id", "chunk_id").agg(F.sum("best").alias("score"))
+    return reduce(DataFrame.unionByName, out).groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
 
 
 def shortlist(vectors: DataFrame, queries: DataFrame, per_row: int, keep: int) -> DataFrame:
@@ -156,9 +254,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, top_k: int, *, two_sta
         return maxsim(vectors, queries).withColumn("rank", F.lit(0)).where(F.lit(False))
     if two_stage:
         short = shortlist(vectors, queries, max(8 * top_k, 32), max(20 * top_k, 100))
-        scores = maxsim(vectors.join(short.select("chunk_id").distinct(), "chunk_id", "left_semi"), queries).join(short.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+        short = stored(short.select("query_id", "chunk_id"), "shortlist")
+        scores = maxsim(vectors.join(short.select("chunk_id").distinct(), "chunk_id", "left_semi"), queries).join(short, ["query_id", "chunk_id"], "left_semi")
     else:
-        scores = maxsim(vectors, queries)
+        scores = maxsim(vectors, queries, top_k)
     return ranked(scores, "score", top_k)
 
 
@@ -167,11 +266,15 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
 
     Columns: query_id, rank, chunk_id, kind, symbol, file_path, score, confidence, summary, why_matched, start_line, end_line,
     source_set, has_more.  A blank query has no hits."""
-    own = queries.where(F.trim("query") != "").select("query_id", "query")
-    wide = found.select("query_id", "chunk_id", F.col("score").alias("semantic")).join(documents, "chunk_id").join(F.broadcast(own), "query_id")
-    # Few rows, but each with much to tokenise: spread them, as adaptive execution goes by bytes alone.
-    wide = wide.repartition(int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id", "chunk_id")
-    wide = wide.withColumn("symbol", symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")))
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = query_terms(queries.where(F.trim("query") != "").select("query_id", "query"), F.col("query"))
+    wanted = stored(found.select("query_id", "chunk_id", F.col("score").alias("semantic")), "candidates")
+    # Each document is tokenised once, for however many queries it is a candidate.  Few rows with much to do: spread
+    # them, as adaptive execution goes by bytes alone.
+    chosen = documents.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").repartition(tasks, "chunk_id")
+    chosen = chosen.withColumn("symbol", symbol_of(F.col("package"), F.col("owner_chain"), F.col("name")))
+    chosen = stored(term_sets(chosen, {"name": F.col("name"), "symbol": F.col("symbol"), "signature": F.col("signature"), "path": F.col("file_path"), "text": F.col("retrieval_text")}), "terms")
+    wide = wanted.join(chosen, "chunk_id").join(F.broadcast(own), "query_id").repartition(tasks, "query_id", "chunk_id")
     given = {"name": "name", "symbol": "symbol", "signature": "signature", "path": "file_path", "text": "retrieval_text", "kind": "chunk_kind", "source": "source_text"}
     scored = hybrid(wide, query=F.col("query"), semantic=F.col("semantic"), modifiers=F.col("modifiers"), **{k: F.coalesce(c, F.lit("")) for k, c in given.items()})
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
@@ -182,11 +285,15 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
     )
 
 
-def search(documents: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, **filters) -> DataFrame:
-    """Filter, exact vector search for max(10 k, 50) candidates, rerank, first k."""
+def search(documents: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, *, exact: bool | None = None, **filters) -> DataFrame:
+    """Filter, vector search for max(10 k, 50) candidates, rerank, first k.  The vector search is exact, or goes by the shortlist, as
+    ``exact`` says; by default it is exact up to LARGE vectors."""
     own = matching(documents, **filters)
     left = vectors.join(own.select("chunk_id"), "chunk_id", "left_semi") if any(filters.values()) else vectors
-    return hits(vector_search(left, query_vectors, max(10 * top_k, 50)), own, queries, top_k)
+    two_stage = vectors.count() > LARGE if exact is None else not exact
+    if two_stage and "shard" not in left.columns:
+        left = left.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARDS)).cast("int"))
+    return hits(vector_search(left, query_vectors, max(10 * top_k, 50), two_stage=two_stage), own, queries, top_k)
 
 
 def first_of_groups(rows: DataFrame, group: Column, rank: str, limit: int | None = None) -> DataFrame:

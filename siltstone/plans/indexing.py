@@ -1,4 +1,5 @@
-"""Index builds: scan, parse, resolve, document, embed, store - one distributed job for all pending files."""
+"""Index builds: scan, parse, resolve, document, embed, store.  Pending files go in batches, each a distributed job that ends in a staged
+manifest and a note of its files, so a build that dies goes on after its last batch; the new index is published at the end."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from siltstone.observe import Timings, event, logger, measured
 from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
 from siltstone.operators.resolve import merged, resolved_chunks, type_index, visible_names
 from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, source_symbols
+from siltstone.scratch import stored
 from siltstone.sources.store import Store, upserted
 from siltstone.sources.workspace import Workspace, owners
 
@@ -85,7 +87,7 @@ class SymbolCache:
 
     def _get(self, key: str, make) -> DataFrame:
         if key not in self.held:
-            self.held[key] = make().cache()
+            self.held[key] = stored(make(), "symbols")
         return self.held[key]
 
     def source(self, roots: list[str], workspace: Workspace) -> DataFrame:
@@ -119,37 +121,55 @@ def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *
 
 def build(files: DataFrame, repo_root: str, workspace: Workspace | None, spark: SparkSession, indexed_at: str, **options) -> tuple[DataFrame, DataFrame]:
     """(documents, failures (path, error)): files that don't parse or whose ids clash fail whole."""
-    rows = parsed(files, workspace, spark, **options).withColumn("repo_root", F.lit(repo_root)).cache()
+    rows = parsed(files, workspace, spark, **options).withColumn("repo_root", F.lit(repo_root))
+    rows = stored(rows, "chunks")
     documents = index_documents(rows.where("kind <> 'failed'"), indexed_at)
     clash = twice_named(documents)
     failed = rows.where("kind = 'failed'").select(F.col("filepath").alias("path"), "error").unionByName(clash.select(F.concat_ws("/", F.lit(repo_root), "file_path").alias("path"), "error"))
     return documents.join(clash.select("file_path"), "file_path", "left_anti").select(documents.columns), failed
 
 
-def index_workspace(spark: SparkSession, store: Store, *, repo_root: str, workspace: Workspace, encoder: Encoder | None = None, binaries: bool = False, jdk_home: str | None = None, batch: int = 32) -> dict:
+#: Files in one batch of a build, about.
+BATCH_FILES = 50_000
+
+
+def pending(files: DataFrame, done: DataFrame) -> DataFrame:
+    """The files whose path isn't among those done."""
+    return files.join(done.select("path"), "path", "left_anti")
+
+
+def index_workspace(spark: SparkSession, store: Store, *, repo_root: str, workspace: Workspace, encoder: Encoder | None = None, binaries: bool = False, jdk_home: str | None = None, batch: int = 32, batch_files: int = BATCH_FILES) -> dict:
     """Builds or resumes the index of the main source sets.  Returns the build state, with what was deferred and the timings."""
     encoder, times, at = encoder or HashedEncoder(), Timings(), now()
     main = workspace.main_only()
     with measured() as watch:
         chosen = selected(spark, workspace)
-        state = store.start(repo_root, signature(chosen.files), encoder.name, at, chosen.files.select("path").distinct().count())
+        total = chosen.files.select("path").distinct().count()
+        state = store.start(repo_root, signature(chosen.files), encoder.name, at, total)
     times.add("select", watch.seconds)
     done = spark.createDataFrame([(p,) for p in state["completed_files"]], "path STRING")
-    pending = chosen.files.join(done, "path", "left_anti")
-    with measured() as watch:
-        documents, failures = build(pending, repo_root, main, spark, at, binaries=binaries, jdk_home=jdk_home)
-        failed = {r["path"]: r["error"] for r in failures.collect()}
-    times.add("parse", watch.seconds)
-    with measured() as watch:
-        changed = pending.select(F.substr("path", F.lit(len(repo_root.rstrip("/")) + 2)).alias("file_path"))
-        ok = [r["path"] for r in pending.select("path").toLocalIterator() if r["path"] not in failed]
-        if ok or failed:
-            store.replace_files(changed, documents, embedded(documents, encoder, batch), encoder.name, at)
-    times.add("embed_and_persist", watch.seconds)
-    stored = store.read("documents")
-    state = store.progress(ok, failed, stored.count() if stored is not None else 0)
+    left = pending(chosen.files, done)
+    n = max(1, -(-(total - len(state["completed_files"])) // batch_files))
+    cache, indexed, failures_ = SymbolCache(spark), 0, 0
+    for k in range(n):
+        own = left.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k) if n > 1 else left
+        with measured() as watch:
+            documents, failures = build(own, repo_root, main, spark, at, binaries=binaries, jdk_home=jdk_home, cache=cache)
+            failed = {r["path"]: r["error"] for r in failures.collect()}
+        times.add("parse", watch.seconds)
+        with measured() as watch:
+            changed = own.select(F.substr("path", F.lit(len(repo_root.rstrip("/")) + 2)).alias("file_path"))
+            ok = [r["path"] for r in own.select("path").toLocalIterator() if r["path"] not in failed]
+            if ok or failed:
+                documents = stored(documents, "documents")
+                store.replace_files(changed, documents, embedded(documents, encoder, batch), encoder.name, at, staged=True)
+                state = store.progress(ok, failed, state["documents_indexed"] + documents.count())
+        times.add("embed_and_persist", watch.seconds)
+        indexed, failures_ = indexed + len(ok), failures_ + len(failed)
     state = store.finish()
-    event(log, "indexed workspace", files=len(ok), failed=len(failed), documents=state["documents_indexed"], **{f"{k}_ms": v for k, v in times.all_ms().items()})
+    whole = store.read("documents")
+    state = store.put_state(state | {"documents_indexed": whole.count() if whole is not None else 0})
+    event(log, "indexed workspace", files=indexed, failed=failures_, documents=state["documents_indexed"], **{f"{k}_ms": v for k, v in times.all_ms().items()})
     return state | {"deferred_source_sets": chosen.deferred_sets, "deferred_files": chosen.deferred_files, "timings_ms": times.all_ms()}
 
 

@@ -12,7 +12,7 @@ from siltstone.functions.encoder import Encoder, HashedEncoder, query_vectors
 from siltstone.operators import search as S
 from siltstone.operators.evaluate import CASE_ARRAYS, summarised, verdicts
 from siltstone.schemas import EVAL_SUITE
-from siltstone.sources.store import Store
+from siltstone.sources.store import Files, Store
 
 
 def search_code(spark: SparkSession, store: Store, query: str, *, top_k: int = 5, encoder: Encoder | None = None, **filters: str | None) -> DataFrame:
@@ -20,14 +20,14 @@ def search_code(spark: SparkSession, store: Store, query: str, *, top_k: int = 5
     return search_many(spark, store, [("q", query)], top_k=top_k, encoder=encoder, **filters).orderBy("rank")
 
 
-def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]], *, top_k: int = 5, encoder: Encoder | None = None, **filters: str | None) -> DataFrame:
+def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]], *, top_k: int = 5, encoder: Encoder | None = None, exact: bool | None = None, **filters: str | None) -> DataFrame:
     """Hits of many (id, text) queries in one plan."""
     documents, vectors = store.read("documents"), store.read("vectors")
     if documents is None:
         raise LookupError("there is no index")
     encoder = encoder or HashedEncoder()
     asked = spark.createDataFrame([(i, q.strip()) for i, q in queries], "query_id STRING, query STRING")
-    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, **filters)
+    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, exact=exact, **filters)
 
 
 def read_code(store: Store, chunk_id: str, *, surrounding: bool = True, limit: int = 2):
@@ -66,19 +66,14 @@ def run_suite(spark: SparkSession, store: Store, path: str, *, repo_root: str, t
     results = verdicts(cases, hits, settings["line_tolerance"]).cache()
     summary = summarised(results).first().asDict()
     manifest = store.manifest() or {}
-    return settings | summary | {"top_k": k, "index_model": manifest.get("model_name") or "unknown", "indexed_at": manifest.get("indexed_at") or "unknown", "git": git_state(repo_root), "fixture_sha256": fixture_hash(spark, path), "results": [r.asDict() for r in results.orderBy("case_id").collect()]}
+    policies = {"search_request_width_policy": "max(user_top_k * 10, 50)", "repository_candidate_limit_policy": "max(search_top_k * 20, 100)", "repository_per_query_limit_policy": "max(search_top_k * 8, 32)"}
+    return settings | summary | policies | {"fixture_path": path, "top_k": k, "index_model": manifest.get("model_name") or "unknown", "indexed_at": manifest.get("indexed_at") or "unknown", "git": git_state(repo_root), "fixture_sha256": fixture_hash(spark, path), "results": [r.asDict() for r in results.orderBy("case_id").collect()]}
 
 
 def fixture_hash(spark: SparkSession, path: str) -> str:
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
 
-def write_artifact(result: dict, path: str) -> None:
-    """Sorted, indented JSON."""
-    import pathlib
-
-    where = pathlib.Path(path)
-    where.parent.mkdir(parents=True, exist_ok=True)
-    where.write_text(json.dumps(result, sort_keys=True, indent=2, default=str) + "\n")
-
-
+def write_artifact(spark: SparkSession, result: dict, path: str) -> None:
+    """Sorted, indented JSON, in any store."""
+    Files(spark).write(path, json.dumps(result, sort_keys=True, indent=2, default=str) + "\n")

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder the session names; local sessions without one get a folder under /tmp."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file:///tmp/siltstone-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """Writes ``frame`` and reads it back: cuts the lineage, and survives the loss of any executor."""
-    spark = frame.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/siltstone-{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch(frame.sparkSession, name)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

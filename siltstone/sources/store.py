@@ -1,8 +1,10 @@
 """Snapshot store of documents and vectors.
 
-Rows are dealt by file path into a fixed number of buckets.  A write puts the touched buckets into a new version and then
-publishes a manifest that names the version of every bucket; readers follow the newest manifest, so they never see half a
-write, and a write that died before publishing leaves nothing visible.  All files go through Spark or Hadoop file systems.
+Rows are dealt by file path into buckets, whose number the manifest holds; it is set when an index is begun, by the number of its files.
+A write puts the touched buckets into a new version and then publishes a manifest that names the version of every bucket; readers follow
+the newest manifest, so they never see half a write, and a write that died before publishing leaves nothing visible.  A
+build writes batch by batch to a staged manifest, which is published when it ends: until then readers keep the old index, and a build that
+died goes on after its last batch.  All files go through Spark or Hadoop file systems.
 """
 
 from __future__ import annotations
@@ -16,7 +18,12 @@ from pyspark.sql import functions as F
 
 from siltstone.schemas import DOCUMENTS, VECTORS
 
+#: Buckets of a new index: at least so many, and one for each FILES_PER_BUCKET files.
 BUCKETS = 64
+FILES_PER_BUCKET = 2000
+#: Tasks that write one bucket, at most.
+WRITERS = 4
+STAGED = "staged.json"
 TABLES = {"documents": DOCUMENTS, "vectors": VECTORS}
 
 
@@ -53,9 +60,26 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if fs.exists(where):
-            fs.delete(where, False)
-        fs.rename(temp, where)
+        # One step: the old text or the new one is there at any time.
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), self.conf)
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
+        options[0] = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+        context.rename(context.makeQualified(temp), context.makeQualified(where), options)
+
+    def create(self, path: str, text: str) -> bool:
+        """Writes a new file; False if there is one already."""
+        where, fs = self._at(path)
+        try:
+            stream = fs.create(where, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" in str(error.java_exception):
+                return False
+            raise
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        return True
 
     def names(self, path: str) -> list[str]:
         where, fs = self._at(path)
@@ -66,8 +90,8 @@ class Files:
         fs.delete(where, True)
 
 
-def bucket(path: str = "file_path") -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+def bucket(n: int, path: str = "file_path") -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(n)).cast("int")
 
 
 class Store:
@@ -84,9 +108,29 @@ class Store:
         text = self.files.read(f"{self.path}/manifests/{version}.json") if version else None
         return json.loads(text) if text else None
 
-    def _publish(self, buckets: dict[str, str], model: str, indexed_at: str) -> int:
+    def _publish(self, manifest: dict) -> int:
         version = self.version() + 1
-        self.files.write(f"{self.path}/manifests/{version}.json", json.dumps({"buckets": buckets, "model_name": model, "indexed_at": indexed_at}))
+        # Two writers can't take the same version: the later one takes the next.
+        while not self.files.create(f"{self.path}/manifests/{version}.json", json.dumps(manifest)):
+            version += 1
+        return version
+
+    def staged(self) -> dict | None:
+        """The manifest of a build that is under way."""
+        text = self.files.read(f"{self.path}/{STAGED}")
+        return json.loads(text) if text else None
+
+    def stage(self, total_files: int, model: str, indexed_at: str) -> None:
+        """Begins a new index beside the published one."""
+        n = max(BUCKETS, -(-total_files // FILES_PER_BUCKET))
+        self.files.write(f"{self.path}/{STAGED}", json.dumps({"buckets": {}, "n_buckets": n, "model_name": model, "indexed_at": indexed_at}))
+
+    def publish_staged(self) -> int | None:
+        manifest = self.staged()
+        if manifest is None:
+            return None
+        version = self._publish(manifest)
+        self.files.remove(f"{self.path}/{STAGED}")
         return version
 
     # --- reading
@@ -94,8 +138,9 @@ class Store:
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         """The table as of a version, the newest by default; None without an index."""
         manifest = self.manifest(version)
-        if manifest is None:
-            return None
+        return None if manifest is None else self._read(table, manifest)
+
+    def _read(self, table: str, manifest: dict) -> DataFrame:
         paths = [f"{self.path}/data/{v}/{table}/bucket={b}" for b, v in manifest["buckets"].items()]
         paths = [p for p in paths if self.files.names(p)]
         return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
@@ -117,36 +162,41 @@ class Store:
 
     # --- writing
 
-    def _write(self, frames: dict[str, DataFrame]) -> str:
+    def _write(self, frames: dict[str, DataFrame], n: int) -> str:
         version = uuid.uuid4().hex
         for table, frame in frames.items():
-            own = frame.withColumn("bucket", bucket())
-            own.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{version}/{table}")
+            own = frame.withColumn("bucket", bucket(n))
+            # A bucket is written by several tasks, so that the number of writers isn't that of the buckets.
+            own.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(WRITERS))).write.partitionBy("bucket").parquet(f"{self.path}/data/{version}/{table}")
         return version
 
     def save(self, documents: DataFrame, vectors: DataFrame, model: str, indexed_at: str) -> int:
         """Replaces everything."""
-        version = self._write({"documents": documents, "vectors": vectors})
-        return self._publish({str(b): version for b in range(BUCKETS)}, model, indexed_at)
-
-    def replace_files(self, changed: DataFrame, documents: DataFrame, vectors: DataFrame, model: str, indexed_at: str) -> int:
-        """Replaces the rows of the files in ``changed`` (file_path), also by nothing.  Only buckets that hold such files are rewritten."""
-        touched = sorted(r[0] for r in changed.select(bucket().alias("b")).distinct().collect())
-        manifest = self.manifest() or {"buckets": {}}
+        n = max(BUCKETS, -(-documents.select("file_path").distinct().count() // FILES_PER_BUCKET))
+        version = self._write({"documents": documents, "vectors": vectors}, n)
+        return self._publish({"buckets": {str(b): version for b in range(n)}, "n_buckets": n, "model_name": model, "indexed_at": indexed_at})
+
+    def replace_files(self, changed: DataFrame, documents: DataFrame, vectors: DataFrame, model: str, indexed_at: str, *, staged: bool = False) -> int | None:
+        """Replaces the rows of the files in ``changed`` (file_path), also by nothing.  Only buckets that hold such files are rewritten.  With
+        ``staged`` in the index that is being built; else in the published one, whose new version is returned."""
+        manifest = (self.staged() if staged else self.manifest()) or {"buckets": {}, "n_buckets": BUCKETS}
+        n = manifest.get("n_buckets", BUCKETS)
+        touched = sorted(r[0] for r in changed.select(bucket(n).alias("b")).distinct().collect())
         frames = {}
         for table, new in (("documents", documents), ("vectors", vectors)):
-            old = self.read(table)
-            if old is not None:
-                kept = old.where(bucket().isin(touched)).join(changed.select("file_path").distinct(), "file_path", "left_anti")
-                new = kept.select(new.columns).unionByName(new)
-            frames[table] = new
-        version = self._write(frames)
-        return self._publish(manifest["buckets"] | {str(b): version for b in touched}, model, indexed_at)
+            held = {b: v for b, v in manifest["buckets"].items() if int(b) in touched}
+            kept = self._read(table, {"buckets": held}).join(changed.select("file_path").distinct(), "file_path", "left_anti")
+            frames[table] = kept.select(new.columns).unionByName(new)
+        version = self._write(frames, n)
+        manifest = {"buckets": manifest["buckets"] | {str(b): version for b in touched}, "n_buckets": n, "model_name": model, "indexed_at": indexed_at}
+        if staged:
+            self.files.write(f"{self.path}/{STAGED}", json.dumps(manifest))
+            return None
+        return self._publish(manifest)
 
     def prune(self) -> None:
-        """Removes data that the newest manifest doesn't name."""
-        manifest = self.manifest()
-        used = set(manifest["buckets"].values()) if manifest else set()
+        """Removes data that neither the newest manifest nor a build under way names."""
+        used = {v for m in (self.manifest(), self.staged()) if m for v in m["buckets"].values()}
         for name in self.files.names(f"{self.path}/data"):
             if name not in used:
                 self.files.remove(f"{self.path}/data/{name}")
@@ -168,11 +218,13 @@ class Store:
         return state
 
     def start(self, repo_root: str, signature: str, model: str, indexed_at: str, total: int) -> dict:
-        """Resumes an unfinished build of the same files and model; else empties the index and begins anew."""
+        """Resumes an unfinished build of the same files and model; else begins a new index beside the old one."""
         old = self.state()
         if old and old["status"] in ("in_progress", "partial") and old["workspace_signature"] == signature and old["model_name"] == model:
+            if self.staged() is None and (manifest := self.manifest()):
+                self.files.write(f"{self.path}/{STAGED}", json.dumps(manifest | {"indexed_at": indexed_at}))
             return self.put_state(old | {"status": "in_progress"})
-        self.reset()
+        self.stage(total, model, indexed_at)
         return self.put_state({"repo_root": repo_root, "status": "in_progress", "workspace_signature": signature, "model_name": model, "indexed_at": indexed_at, "total_files": total, "completed_files": [], "failed_files": {}, "documents_indexed": 0})
 
     def progress(self, completed: list[str], failed: dict[str, str], documents: int) -> dict:
@@ -181,7 +233,9 @@ class Store:
         return self.put_state(state | {"completed_files": sorted({*state["completed_files"], *completed}), "failed_files": failed, "documents_indexed": max(0, documents)})
 
     def finish(self) -> dict:
+        """Publishes what was built."""
         state = self.required()
+        self.publish_staged()
         return self.put_state(state | {"status": "partial" if state["failed_files"] else "completed"})
 
     def required(self) -> dict:

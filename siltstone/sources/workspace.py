@@ -11,11 +11,11 @@ import posixpath
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.scratch import stored
 
+# Fixed values.
 VERSION = 1
 LISTS = ("source_roots", "generated_source_roots", "project_dependencies", "external_jars", "project_artifact_entries", "external_binary_entries", "output_dirs", "compile_classpath_entries", "runtime_classpath_entries")
 
@@ -154,17 +154,16 @@ def owners(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     return files.join(found, files[path] == found["path_"], "left").drop("path_")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(start, node): what each seed (start) reaches over edges (src, dst), itself included.  Edges may form cycles; ends when nothing is new."""
     edges = stored(edges.select("src", "dst").distinct(), "edges")
     reached = front = stored(seeds.select("start", F.col("start").alias("node")).distinct(), "reached")
-    for _ in range(most):
+    while True:
         step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = stored(step.join(reached, ["start", "node"], "left_anti"), "front")
         if not front.head(1):
             return reached
-        reached = reached.unionByName(front)
-    raise ValueError(f"paths longer than {most}")
+        reached = stored(reached.unionByName(front), "reached")
 
 
 def inferred_edges(classpath: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -172,11 +171,6 @@ def inferred_edges(classpath: DataFrame, outputs: DataFrame) -> DataFrame:
     return classpath.join(outputs, "entry").where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
-def nearest_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key by ``order``."""
-    return rows.withColumn("r_", F.row_number().over(W.partitionBy(key).orderBy(order))).where("r_ = 1").drop("r_")
-
-
 def export_command(gradle: str, init_script: str, output: str) -> list[str]:
     """The command that has Gradle write a workspace description."""
     return [gradle, "-I", init_script, "exportWorkspaceModel", f"-Poutput={output}"]

@@ -223,8 +223,10 @@ def test_index_search_read_and_refresh(spark, tree):
     (tree / "suite.json").write_text(json.dumps(suite))
     result = retrieval.run_suite(spark, s, str(tree / "suite.json"), repo_root=root, top_k=0)
     assert result["top_k"] == 5 and result["strong_pass"] == 1 and result["fail"] == 1 and result["score"] == 0.5
-    retrieval.write_artifact(result, str(tree / "out/run.json"))
-    assert json.loads((tree / "out/run.json").read_text())["cases"] == 2
+    retrieval.write_artifact(spark, result, str(tree / "out/run.json"))
+    made = json.loads((tree / "out/run.json").read_text())
+    assert made["cases"] == 2 and made["fixture_path"].endswith("suite.json") and made["repository_candidate_limit_policy"] == "max(search_top_k * 20, 100)"
+    assert [h.chunk_id for h in retrieval.search_many(spark, s, [("q", "cancel order")], exact=False).orderBy("rank").collect()] == [h.chunk_id for h in retrieval.search_many(spark, s, [("q", "cancel order")], exact=True).orderBy("rank").collect()]
 
 
 def test_build_state(spark, tmp_path):
@@ -326,3 +328,59 @@ def test_fingerprints_and_cache(spark, tmp_path):
     assert cache.source([str(tmp_path)], w) is first
     (tmp_path / "B.java").write_text("class B { }")
     assert {r.qualified_name for r in cache.source([str(tmp_path)], w).collect()} == {"A", "B"}
+
+
+def test_a_build_that_dies_goes_on(spark, tree, monkeypatch):
+    """The second of three batches fails: the old index stays in sight, and the next run takes up after the first batch."""
+    w, s, root = Workspace.load(spark, str(tree / "workspace.json")), store.Store(spark, str(tree / "index")), str(tree)
+    for i in range(12):
+        (tree / f"pay/src/More{i}.java").write_text(f"package com.more;\npublic class More{i} {{ int value{i}() {{ return {i}; }} }}\n")
+    s.save(spark.createDataFrame([], store.DOCUMENTS), spark.createDataFrame([], store.VECTORS), "old", "t")
+    real, calls = store.Store.replace_files, []
+
+    def dying(self, *args, **options):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("killed")
+        return real(self, *args, **options)
+
+    monkeypatch.setattr(store.Store, "replace_files", dying)
+    with pytest.raises(RuntimeError, match="killed"):
+        indexing.index_workspace(spark, s, repo_root=root, workspace=w, batch_files=5)
+    first = s.state()["completed_files"]
+    assert 0 < len(first) < 15 and s.status() == {"chunks": 0, "indexed_at": "t", "model_name": "old"}
+    state = indexing.index_workspace(spark, s, repo_root=root, workspace=w, batch_files=5)
+    assert state["status"] == "completed" and len(state["completed_files"]) == 15 and set(first) < set(state["completed_files"])
+    names = {r.name for r in s.read("documents").where("chunk_kind = 'method'").collect()}
+    assert {f"value{i}" for i in range(12)} | {"cancelOrder", "refund"} <= names and s.staged() is None
+    assert s.read("documents").groupBy("chunk_id").count().where("count > 1").count() == 0
+
+
+def test_small_files_are_replaced_in_one_step(spark, tmp_path):
+    f = store.Files(spark)
+    at = str(tmp_path / "x.json")
+    f.write(at, "one")
+    f.write(at, "two")
+    assert f.read(at) == "two" and f.names(str(tmp_path)) and not f.create(at, "three") and f.create(str(tmp_path / "y"), "z")
+
+
+def test_exact_search_against_plain_sums(spark):
+    """Kernel with partial best rows against a plain loop, ties and NaN included."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vecs = [(f"c{i // 3:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(240)] + [("cnan", [float("nan")] * 4), ("c000", [float("nan"), 0.0, 0.0, 0.0])]
+    qs = [(f"q{i // 2}", i % 2, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(8)]
+    v = spark.createDataFrame(vecs, "chunk_id string, vec array<float>").repartition(5)
+    q = spark.createDataFrame(qs, "query_id string, q_row int, vec array<float>")
+    want = {}
+    for query in {x[0] for x in qs}:
+        scores = {}
+        for c in {x[0] for x in vecs}:
+            dots = [[float(np.dot(a, b)) for n, a in vecs if n == c] for qid, _, b in qs if qid == query]
+            best = [max(x for x in row if x == x) for row in dots if any(x == x for x in row)]
+            if best:
+                scores[c] = sum(best)
+        want[query] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:7]
+    got = S.vector_search(v, q, 7).orderBy("query_id", "rank").collect()
+    assert {k: [(r.chunk_id, r.score) for r in got if r.query_id == k] for k in want} == want
