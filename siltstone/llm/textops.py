@@ -9,7 +9,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siltstone.scratch import scratch as scratch
+from siltstone.scratch import stored as stored
+
 CHUNK_BYTES = 1 << 20
 #: Rows in one Arrow batch of texts, at most.  Off-heap buffers grow with it.
 ARROW_ROWS = 1000
@@ -178,23 +180,6 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, k: int) -> tuple[np
     return out, at
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the session names; local sessions without one get a folder under /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file:///tmp/siltstone-scratch-{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Writes ``frame`` to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor."""
-    path = scratch(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def fold_of(column: str = "doc_id", modulus: int = 5):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
