@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
@@ -14,8 +15,11 @@ from siltstone.functions.vectors import sane
 from siltstone.operators import evaluate as E
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
+from siltstone.operators.documents import index_documents
+from siltstone.plans import indexing as I
+from siltstone.schemas import CHUNKS
 from siltstone.sources import store as T
-from siltstone.sources.workspace import closure, inferred_edges, owners
+from siltstone.sources.workspace import Workspace, closure, inferred_edges, owners
 from siltstone.streaming.refresh import debounced
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,22 +127,12 @@ V = "v AS (SELECT vec_id // 5 AS chunk_id, vec_id % 5 AS pos, embedding::DOUBLE[
 MAXSIM = f"{V}, b AS (SELECT query_id, chunk_id, q_row, max(dot) AS best FROM d GROUP BY ALL), m AS (SELECT query_id, chunk_id, sum(best) AS score FROM b GROUP BY ALL)"
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot FROM v a JOIN v b ON b.vec_id % 20 = a.vec_id % 20 AND a.vec_id % 20 = 0")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, count(*) AS n, round(sum(list_dot_product(a.e, b.e)), 4) AS total, round(max(list_dot_product(a.e, b.e)), 6) AS best FROM v a CROSS JOIN v b WHERE a.vec_id % 20 = 0 GROUP BY 1")
 def vector_dot(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
-    return _dots(own, own)
-
-
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e), 6) AS dot FROM v a CROSS JOIN v b WHERE a.vec_id % 20 = 0")
-def vector_dot_all(spark, sf_dir):
+    """Ids divisible by 20 against all vectors: how many each met, the sum of the products and the greatest."""
     own = table(spark, sf_dir, "embeddings")
-    return _dots(own, own.where("vec_id % 20 = 0"))
-
-
-def _dots(vectors, queries):
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_row"), F.col("embedding").alias("vec"))
-    met = S.products(vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec")), asked)
-    return met.select("query_id", F.col("chunk_id").alias("vec_id"), F.round("dot", 6).alias("dot"))
+    asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("q_row"), F.col("embedding").alias("vec"))
+    return S.dot_totals(own.select(F.col("embedding").alias("vec")), asked).select("query_id", "n", F.round("total", 4).alias("total"), F.round("best", 6).alias("best"))
 
 
 @query(f"WITH {MAXSIM} SELECT query_id, chunk_id, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 50")
@@ -205,7 +199,7 @@ def vector_sanitize(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1")
 def group_dedup(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").withColumn("rank", F.struct(-F.col("l_extendedprice"), F.col("l_linenumber")))
-    return own.withColumn("r", F.row_number().over(W.partitionBy("l_orderkey").orderBy("rank"))).where("r = 1").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return S.first_of_groups(own, F.col("l_orderkey"), "rank").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
 @query(
@@ -217,9 +211,24 @@ def neighbor_read(spark, sf_dir):
     return S.neighbours(own, own).select("target_id", "chunk_id", "rank")
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 7")
+@query(
+    f"""WITH d AS (SELECT doc_id::VARCHAR AS id, source, lang, text, n_chars::INT AS line FROM documents), one AS (SELECT * FROM d WHERE id = '7'),
+    n AS (SELECT d.id FROM d JOIN one USING (source) WHERE d.id <> '7' ORDER BY abs(d.line - one.line), d.id LIMIT 2)
+    SELECT id AS chunk_id, 'document' AS kind, 'p.' || lang AS symbol, source AS file_path, CASE WHEN length({FLAT}) > 200 THEN left({FLAT}, 197) || '...' ELSE {FLAT} END AS summary, line AS start_line, 'p' AS package_name, (SELECT string_agg(id, ',') FROM n) AS neighbors FROM one"""
+)
 def point_read(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id = 7").select("doc_id", "lang", "source", "n_chars")
+    """One chunk by its id, with its context and its nearest neighbours."""
+    row = S.read(_documents(spark, sf_dir), "7")
+    return row.select("chunk_id", "kind", "symbol", "file_path", "summary", "start_line", "surrounding_context.package_name", F.array_join(F.transform("neighbors", lambda n: n["chunk_id"]), ",").alias("neighbors"))
+
+
+def _documents(spark, sf_dir):
+    """Documents as chunks: named by language, by source as file, the number of characters as line."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), F.lit("document").alias("chunk_kind"), F.lit("p").alias("package"), F.expr(N.STRINGS).alias("owner_chain"), F.col("lang").alias("name"), none.alias("signature"), F.col("source").alias("file_path"),
+        F.col("text").alias("retrieval_text"), F.col("text").alias("source_text"), F.expr(N.STRINGS).alias("modifiers"), F.col("n_chars").cast("int").alias("start_line"), F.col("n_chars").cast("int").alias("end_line"), F.col("lang").alias("source_set"), none.alias("indexed_at"),
+    )
 
 
 # --- evaluation: items are cases, documents of good quality that share words are hits
@@ -303,14 +312,18 @@ def symbol_merge_distinct(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'explicit_import' WHEN p_size % 5 = 1 THEN 'same_package' WHEN p_size % 5 = 2 THEN 'wildcard_import' WHEN p_size % 5 = 3 THEN 'ambiguous' ELSE 'unresolved' END AS strategy,
-    CASE WHEN p_size % 5 = 0 THEN 'x.y.T0<A>' WHEN p_size % 5 = 1 THEN 'own.T1<A>' WHEN p_size % 5 = 2 THEN 'w.T2<A>' ELSE 'T' || (p_size % 5) || '<A>' END AS best_name FROM part"""
+    """SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'explicit_import' WHEN 1 THEN 'same_package' WHEN 2 THEN 'wildcard_import' WHEN 3 THEN 'ambiguous' WHEN 5 THEN 'local_type' WHEN 6 THEN 'java_lang' WHEN 7 THEN 'empty' WHEN 8 THEN CASE WHEN p_partkey % 2 = 0 THEN 'explicit_import' ELSE 'unresolved' END ELSE 'unresolved' END AS strategy,
+    CASE p_size % 9 WHEN 0 THEN 'x.y.T0<A>' WHEN 1 THEN 'own.T1<A>' WHEN 2 THEN 'w.T2<A>' WHEN 5 THEN 'own.T5<A>' WHEN 6 THEN 'java.lang.T6<A>' WHEN 7 THEN NULL WHEN 8 THEN CASE WHEN p_partkey % 2 = 0 THEN 'late.T8<A>' ELSE 'T8<A>' END ELSE 'T' || (p_size % 9) || '<A>' END AS best_name,
+    CASE WHEN p_size % 9 = 3 THEN 'w.T3<A>,z.T3<A>' ELSE '' END AS candidates FROM part"""
 )
 def resolve_precedence(spark, sf_dir):
-    refs = table(spark, sf_dir, "part").select("p_partkey", F.lit("f").alias("filepath"), F.concat(F.lit("T"), (F.col("p_size") % 5).cast("string"), F.lit("<A>")).alias("type_name"))
-    files = spark.createDataFrame([("f", "package own;", ["import x.y.T0;", "import w.*;", "import z.*;", "import static q.T4;"], [])], "filepath STRING, package STRING, imports ARRAY<STRING>, local_types ARRAY<STRING>")
-    names = spark.createDataFrame([(n,) for n in ("own.T1", "w.T1", "w.T2", "w.T3", "z.T3", "k.T4")], "qualified_name STRING")
-    return R.resolved(refs, R.import_context(files), R.type_index(names)).select("p_partkey", "strategy", "best_name")
+    """Every strategy, in two files that differ in their imports."""
+    name = F.when(F.col("p_size") % 9 != 7, F.concat(F.lit("T"), (F.col("p_size") % 9).cast("string"), F.lit("<A>")))
+    refs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("f"), (F.col("p_partkey") % 2).cast("string")).alias("filepath"), name.alias("type_name"))
+    common = ["import x.y.T0;", "import w.*;", "import z.*;", "import static q.T4;"]
+    files = spark.createDataFrame([("f0", "package own;", [*common, "import early.T8;", "import late.T8;"], ["T5"]), ("f1", "package own;", common, ["T5"])], "filepath STRING, package STRING, imports ARRAY<STRING>, local_types ARRAY<STRING>")
+    names = spark.createDataFrame([(n,) for n in ("own.T1", "w.T1", "w.T2", "w.T3", "z.T3", "k.T4", "own.T5", "java.lang.T6", "k.T8")], "qualified_name STRING")
+    return R.resolved(refs, R.import_context(files), R.type_index(names)).select("p_partkey", "strategy", "best_name", F.array_join("candidates", ",").alias("candidates"))
 
 
 # --- names and texts
@@ -318,8 +331,10 @@ def resolve_precedence(spark, sf_dir):
 
 @query("SELECT n_regionkey, sha1(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS signature FROM nation GROUP BY 1")
 def signature_hash(spark, sf_dir):
-    names = F.array_sort(F.collect_list("n_name"))
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sha1(F.concat(F.array_join(names, "\n"), F.lit("\n")).cast("binary")).alias("signature"))
+    """The signature of each region's names."""
+    names = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("path"))
+    rows = [(r, I.signature(names.where(F.col("n_regionkey") == r))) for r in range(5)]
+    return spark.createDataFrame(rows, "n_regionkey INT, signature STRING")
 
 
 @query("SELECT p_partkey, substr(sha1('/repo/' || p_brand), 1, 12) || ':' || p_type || ':method:p.' || p_name || '(' || p_size || ')' AS chunk_id FROM part")
@@ -328,17 +343,32 @@ def chunk_identity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("chunk_id"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split_regex(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]'), lambda x: length(x)) AS n FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, n, 2 AS pos, n[1] AS size, 1 AS segments, 0::BIGINT AS longest FROM l UNION ALL
+      SELECT doc_id, n, pos + 1, CASE WHEN size + n[pos] + 1 > 4096 THEN n[pos] ELSE size + n[pos] + 1 END, CASE WHEN size + n[pos] + 1 > 4096 THEN segments + 1 ELSE segments END, CASE WHEN size + n[pos] + 1 > 4096 THEN greatest(longest, size) ELSE longest END FROM s WHERE pos <= len(n))
+    SELECT doc_id, segments::INT AS n_segments, greatest(longest, size)::INT AS longest FROM s WHERE pos > len(n)"""
+)
 def segment_lines(spark, sf_dir):
-    """Segments of every whole text; tests hold them against a plain loop."""
-    own = table(spark, sf_dir, "documents").select("doc_id", N.segments(F.col("text")).alias("s"))
+    """Segments of every whole text."""
+    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", N.segments(F.col("text")).alias("s"))
     return own.select("doc_id", F.size("s").alias("n_segments"), F.array_max(F.transform("s", F.length)).alias("longest"))
 
 
-@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS INT) AS position FROM documents WHERE length(trim(text)) >= 20")
+@query(
+    """WITH d AS (SELECT *, regexp_replace(text, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g') AS t FROM documents)
+    SELECT substr(sha1('/r'), 1, 12) || ':' || source || '/' || lang || ':behavior:' || (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) AS chunk_id, '[behavior] p' AS first_line, length(t)::INT AS n FROM d WHERE length(t) >= 20"""
+)
 def position_counter(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").where(F.length(F.trim("text")) >= N.LEAST_CHARS)
-    return own.select("doc_id", (F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id")) - 1).alias("position"))
+    """Documents as behaviours of a file each source and language: positions count those of 20 characters or more."""
+    d = table(spark, sf_dir, "documents")
+    given = {"chunk_ord": F.col("doc_id").cast("int"), "kind": F.lit("behavior"), "filepath": F.concat_ws("/", F.lit("/r"), "source", "lang"), "text": F.col("text")}
+    fields = StructType.fromDDL(CHUNKS).fields
+    rows = d.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields), F.lit("/r").alias("repo_root"), F.lit(None).cast("string").alias("source_set"))
+    # Every file has a chunk of its own, which gives the package.
+    files = rows.withColumns({"kind": F.lit("file"), "package": F.lit("package p;")}).dropDuplicates(["filepath"])
+    out = index_documents(rows.unionByName(files), "now")
+    return out.select("chunk_id", F.regexp_extract("retrieval_text", r"^\[behavior\] \w+", 0).alias("first_line"), F.length("source_text").alias("n"))
 
 
 @query("SELECT p_partkey, '[method] own.' || p_name || chr(10) || p_type || chr(10) || CASE WHEN p_size % 2 = 0 THEN '@A @B' || chr(10) ELSE '' END || p_brand AS retrieval_text FROM part")
@@ -357,7 +387,7 @@ def class_entry_names(spark, sf_dir):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_payload_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", N.payload_value(F.col("props"), "k").alias("k"))
 
 
 @query("SELECT p_partkey, p_name || '|' || p_brand AS packed FROM part")
@@ -365,7 +395,7 @@ def sparse_payload(spark, sf_dir):
     """Payloads drop blanks; reading them back gives the rest."""
     own = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.lit("").alias("blank"), F.expr(N.STRINGS).alias("none"))
     packed = own.withColumn("j", N.payload({"p_name": "string", "p_brand": "string", "blank": "string", "none": "array<string>"}))
-    return packed.select("p_partkey", F.concat_ws("|", F.get_json_object("j", "$.p_name"), F.get_json_object("j", "$.p_brand"), F.get_json_object("j", "$.blank"), F.get_json_object("j", "$.none")).alias("packed"))
+    return packed.select("p_partkey", F.concat_ws("|", *(N.payload_value(F.col("j"), k) for k in ("p_name", "p_brand", "blank", "none"))).alias("packed"))
 
 
 # --- maintenance
@@ -380,18 +410,22 @@ def replace_by_key(spark, sf_dir):
 
 @query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")
 def upsert_latest(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """The first of each user's events by time, newest first."""
+    own = table(spark, sf_dir, "events").withColumn("rank", F.struct(-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")))
+    return S.first_of_groups(own, F.col("user_id"), "rank").select("user_id", "event_id")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def pending_files(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(done, "c_custkey", "left_anti")
+    done = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("path"))
+    return I.pending(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path")), done)
 
 
-@query("SELECT source AS source_set, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN source IN ('src1', 'src2', 'src3') THEN ':' || source || ':main' WHEN source LIKE 'src1%' THEN ':many:gen' END AS source_set, count(*) AS count FROM documents GROUP BY 1")
 def count_by_source_set(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_set")).agg(F.count(F.lit(1)).alias("n"))
+    sets = {f":src{i}:main": {"source_roots": [f"/w/src{i}"]} for i in (1, 2, 3)} | {":many:gen": {"generated_source_roots": [f"/w/src1{i}" for i in range(10)]}}
+    files = table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("/w"), "source", F.col("doc_id").cast("string")).alias("path"))
+    return I.files_by_set(files, Workspace.from_dict({"source_sets": sets}), spark)
 
 
 @query(
@@ -403,16 +437,109 @@ def debounce_sessions(spark, sf_dir):
     return debounced(own, "1 hour", None, "user_id").select("user_id", "first", "last", "n")
 
 
-@query("SELECT p_partkey, 6::BIGINT AS n_chunks, 'own.Part' || p_partkey || '.size()' AS method FROM part")
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'behavior,field,file,method,skeleton,type' WHEN 1 THEN 'file,method,method,skeleton,type' WHEN 2 THEN 'constructor,enum_constant,enum_constant,field,file,method,skeleton,type' ELSE 'constructor,field,file,method,method,skeleton,skeleton,type,type' END AS kinds,
+    CASE p_size % 4 WHEN 0 THEN 'own.Part' || p_partkey || '.size()' WHEN 1 THEN 'own.Part' || p_partkey || '.max(int a, int b)' WHEN 2 THEN 'own.Part' || p_partkey || '.code()' ELSE 'own.Part' || p_partkey || '.Inner.run()' END AS method FROM part"""
+)
 def java_chunks(spark, sf_dir):
-    """A Java file made of each part, parsed: file, type, skeleton, field, method and its lambda."""
+    """A Java file made of each part, of one of four shapes: a class with a lambda, an interface, an enum, a class with an inner one."""
     from siltstone.sources.files import chunks
 
-    source = F.concat(F.lit("package own;\npublic class Part"), F.col("p_partkey").cast("string"), F.lit(" {\n    private int size = "), F.col("p_size").cast("string"), F.lit(";\n    int size() { run(() -> size); return size; }\n}\n"))
+    size = F.col("p_size").cast("string")
+    lines = {
+        0: F.concat(F.lit(" class Part{} {\n    private int size = "), size, F.lit(";\n    int size() { run(() -> size); return size; }\n}\n")),
+        1: F.lit(" interface Part{} {\n    int max(int a, int b);\n    default int both() { return max(1, 2); }\n}\n"),
+        2: F.concat(F.lit(" enum Part{} {\n    ONE(1), TWO("), size, F.lit(");\n    private final int code;\n    Part{}(int code) { this.code = code; }\n    int code() { return code; }\n}\n")),
+        3: F.concat(F.lit(" class Part{} {\n    private String name = \""), F.col("p_name"), F.lit("\";\n    Part{}() { }\n    String name() { return name; }\n    static class Inner {\n        void run() { System.gc(); }\n    }\n}\n")),
+    }
+    text = F.when(F.col("p_size") % 4 == 0, lines[0]).when(F.col("p_size") % 4 == 1, lines[1]).when(F.col("p_size") % 4 == 2, lines[2]).otherwise(lines[3])
+    source = F.concat(F.lit("package own;\npublic"), F.replace(text, F.lit("{}"), F.col("p_partkey").cast("string")))
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), source.cast("binary").alias("content"))
     rows = chunks(files)
-    name = F.max(F.when(F.col("kind") == "method", F.concat(F.lit("own."), F.array_join("owner_chain", "."), F.lit("."), F.col("name"), F.col("parameters"))))
-    return rows.groupBy(F.col("filepath").cast("long").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_chunks"), name.alias("method"))
+    name = F.max(F.when((F.col("kind") == "method") & ~F.col("name").isin("both", "name"), F.concat(F.lit("own."), F.array_join("owner_chain", "."), F.lit("."), F.col("name"), F.col("parameters"))))
+    return rows.groupBy(F.col("filepath").cast("long").alias("p_partkey")).agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), name.alias("method"))
+
+
+# --- single functions on the driver's tables
+
+
+@query("SELECT p_partkey, nullif(trim(regexp_replace(regexp_replace('package ' || replace(p_name, ' ', '.') || ';;', '^package ', ''), ';+$', '')), '') AS package, CASE WHEN contains(p_type, ' ') THEN regexp_replace(replace(p_type, ' ', '.'), '\\.[^.]*$', '') END AS parent, string_split(replace(p_type, ' ', '.'), '.')[-1] AS simple FROM part")
+def package_and_parent(spark, sf_dir):
+    kind = F.translate("p_type", " ", ".")
+    return table(spark, sf_dir, "part").select("p_partkey", N.package_name(F.concat(F.lit("package "), F.translate("p_name", " ", "."), F.lit(";;"))).alias("package"), R.parent(kind).alias("parent"), R.simple(kind).alias("simple"))
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_name AS path FROM part")
+def relative_paths(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", N.relative_path(F.concat_ws("/", F.lit("/repo"), "p_brand", "p_name"), F.lit("/repo")).alias("path"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Owner' ELSE p_name END AS name FROM part")
+def display_names(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 3 == 0, "behavior").when(F.col("p_size") % 3 == 1, "constructor").otherwise("method")
+    name = F.when(F.col("p_size") % 3 != 1, F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", N.display_name(kind, name, L.words(("Outer", "Owner"))).alias("name"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS names, replace(p_type, ' ', ', ') AS clause FROM part")
+def clauses(spark, sf_dir):
+    implements = F.concat(F.lit("implements "), F.replace("p_name", F.lit(" "), F.lit(" , ")))
+    extends = F.concat(F.lit("extends "), F.replace("p_type", F.lit(" "), F.lit(", ")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.split_clause(implements, "implements"), "|").alias("names"), N.strip_clause(extends, "extends").alias("clause"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN trim(CASE WHEN p_size % 2 = 0 THEN 'public static ' ELSE '' END || p_brand || ' ' || p_name || '(int a)' || CASE WHEN p_size % 5 = 0 THEN ' throws E F' ELSE '' END)
+    WHEN p_size % 3 = 1 THEN trim(CASE WHEN p_size % 2 = 0 THEN 'public static ' ELSE '' END || p_name || '(int a)' || CASE WHEN p_size % 5 = 0 THEN ' throws E F' ELSE '' END) END AS signature FROM part"""
+)
+def signatures(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 3 == 0, "method").when(F.col("p_size") % 3 == 1, "constructor").otherwise("field")
+    some = lambda n, *w: F.when(F.col("p_size") % n == 0, L.words(w)).otherwise(F.expr(N.STRINGS))
+    return table(spark, sf_dir, "part").select("p_partkey", N.signature(kind, F.col("p_name"), F.lit("(int a)"), F.col("p_brand"), some(2, "public", "static"), some(5, "E", "F")).alias("signature"))
+
+
+@query("SELECT c_custkey, c_custkey % 7 = 0 AS asks FROM customer")
+def asks_implementation(spark, sf_dir):
+    word = F.when(F.col("c_custkey") % 7 == 0, F.when(F.col("c_custkey") % 2 == 0, "where").otherwise("getBean")).otherwise("list")
+    terms = F.array_distinct(L.tokens(F.concat(F.lit("show "), word, F.lit(" orders"))))
+    return table(spark, sf_dir, "customer").select("c_custkey", L.asks_implementation(F.array_distinct(F.concat(terms, F.array(F.lower(word))))).alias("asks"))
+
+
+@query("SELECT s_suppkey, s_nationkey % 5 = 2 OR s_nationkey = 7 AS hit FROM supplier")
+def symbol_match(spark, sf_dir):
+    symbol = F.when(F.col("s_nationkey") % 5 == 2, "own.Thing.CancelOrder").when(F.col("s_nationkey") == 7, "other.REFUND").when(F.col("s_nationkey") % 5 == 3, "else")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", E.symbol_match(symbol, L.words(("Thing.cancelOrder", "", "refund"))).alias("hit"))
+
+
+@query("SELECT l_orderkey, l_linenumber, abs(l_partkey - 500) <= 25 OR abs(l_partkey - 900) <= 25 AS hit FROM lineitem")
+def line_anchors(spark, sf_dir):
+    hit = E.line_match(F.col("l_partkey").cast("int"), F.lit(None).cast("int"), F.array(F.lit(500), F.lit(900)), F.expr("cast(array() as array<array<int>>)"), F.lit(25))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", hit.alias("hit"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+def listed_rows(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), "c_name", F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").cast("string").alias("repo_root"))
+    return T.listed(own, repo_root="3", kind="BUILDING").select(F.col("chunk_id").alias("c_custkey"), "c_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT (c_nationkey = 3 AND c_mktsegment LIKE 'B%') AND NOT (c_nationkey = 4)")
+def removed_rows(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("repo_root"), F.col("c_mktsegment").alias("chunk_id"))
+    return T.without(T.without_prefix(own, "3", "B"), repo_root="4").select("c_custkey")
+
+
+@query(
+    """SELECT n.n_regionkey::VARCHAR AS source_set, s.s_name AS qualified_name FROM supplier s JOIN nation n ON s.s_nationkey % 5 <= n.n_regionkey WHERE s.s_suppkey % 3 <> 0
+    UNION SELECT DISTINCT n_regionkey::VARCHAR, s_name FROM nation, supplier WHERE s_suppkey % 3 = 0"""
+)
+def visible_symbols(spark, sf_dir):
+    """Symbols by the sets that see their containers; those of the JDK by all."""
+    s = table(spark, sf_dir, "supplier")
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "jdk").when(F.col("s_suppkey") % 3 == 1, "source").otherwise("binary")
+    symbols = s.select(F.col("s_name").alias("qualified_name"), (F.col("s_nationkey") % 5).cast("string").alias("container"), kind.alias("origin_kind"))
+    sees = spark.createDataFrame([(str(a), str(b), k) for a in range(5) for b in range(a + 1) for k in ("source", "binary")], "source_set STRING, container STRING, origin_kind STRING")
+    return R.visible_names(symbols, sees)
 
 
 def entry(spark: SparkSession) -> DataFrame:
