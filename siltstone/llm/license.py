@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.license_digests import DIGESTS
-from siltstone.llm.textops import prepared, stored
+from siltstone.llm.textops import let, prepared, stored
 
 # Licence texts, their usual titles, notices and headers.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -152,16 +152,28 @@ def known_parts() -> list[tuple[str, int, str]]:
     return out
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; '' if nothing is left."""
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "(?md)" + COPYRIGHT_LINE, "")), SIGNS, " ")), F.lit(" "))
+SPEAKS = "|".join(WORDS)
+
+
+def flat(text: Column) -> Column:
+    """Lower-case words, one space apart, without copyright lines."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, "(?md)" + COPYRIGHT_LINE, "")), SIGNS, " "))
+
+
+def equivalent(flat_: Column) -> Column:
+    """A flat text with equivalent spellings made one and without holders' names, if it speaks of licences at all."""
+    out = F.concat(F.lit(" "), flat_, F.lit(" "))
     for a, b in SPELLINGS * 2:
-        flat = F.replace(flat, F.lit(f" {a} "), F.lit(f" {b} "))
-    flat = F.trim(flat)
-    held = flat
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    out = F.trim(out)
     for a, b in HOLDERS:
-        held = F.regexp_replace(held, a, b)
-    return F.when(F.contains(text, F.lit("iable")) | F.contains(text, F.lit("IABLE")) | F.contains(F.lower(text), F.lit("neither")) | F.contains(F.lower(text), F.lit("acknowledg")), held).otherwise(flat)
+        out = F.regexp_replace(out, a, b)
+    return F.when(F.regexp_like(flat_, F.lit(SPEAKS)), out).otherwise(flat_)
+
+
+def canonical(text: Column) -> Column:
+    """The canonical form; '' if nothing is left."""
+    return let(flat(text), equivalent)
 
 
 def digest(text: Column) -> Column:
@@ -191,16 +203,15 @@ def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 (of the canonical whole text), license (of the whole text; null if unknown), notices (licences of its
     paragraphs and lines, sorted, distinct, comma-joined) and n_notices (how many of these matched)."""
     spark = docs.sparkSession
-    words = "|".join(map(re.escape, WORDS))
-    spoken = lambda x: F.regexp_like(F.lower(F.regexp_replace(x, SIGNS, " ")), F.lit(words))
+    spoken = lambda x: F.regexp_like(flat(x), F.lit(SPEAKS))
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<string>)")
-    own = docs.select("doc_id", text.alias("text_"))
+    own = docs.select("doc_id", text.alias("text_")).withColumn("flat_", flat(F.col("text_")))
     lines = F.split("text_", "\n")
     paragraphs = F.split("text_", PARAGRAPHS)
-    units = F.concat(F.filter(lines, spoken), F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n")) & spoken(p))).otherwise(none))
-    digests = F.transform(F.when(spoken(F.col("text_")), units).otherwise(none), digest)
-    rows = stored(own.select(F.monotonically_increasing_id().alias("row_"), "doc_id", digest(F.col("text_")).alias("digest"), digests.alias("units")), "digests")
+    units = F.concat(F.filter(lines, spoken), let(paragraphs, lambda p: F.when(F.size(p) > 1, F.filter(p, lambda x: F.contains(x, F.lit("\n")) & spoken(x))).otherwise(none)))
+    digests = F.when(F.regexp_like("flat_", F.lit(SPEAKS)), F.transform(units, digest)).otherwise(none)
+    rows = stored(own.select(F.monotonically_increasing_id().alias("row_"), "doc_id", F.sha2(equivalent(F.col("flat_")).cast("binary"), 256).alias("digest"), digests.alias("units")), "digests")
     # Both known sides are fixed lists of some hundred rows.
     met = rows.where(F.size("units") > 0).select("row_", F.explode("units").alias("digest")).join(F.broadcast(known_units(spark)), "digest")
     each = met.groupBy("row_", "license", "parts").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("different")).where("different >= parts")
@@ -216,13 +227,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    flat = f"' ' || trim(regexp_replace(lower(regexp_replace({text}, '(?m){COPYRIGHT_LINE}', '', 'g')), '{SIGNS}', ' ', 'g')) || ' '"
+    own = f"trim(regexp_replace(lower(regexp_replace({text}, '(?m){COPYRIGHT_LINE}', '', 'g')), '{SIGNS}', ' ', 'g'))"
+    out = f"' ' || {own} || ' '"
     for a, b in SPELLINGS * 2:
-        flat = f"replace({flat}, ' {a} ', ' {b} ')"
-    held = f"trim({flat})"
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    out = f"trim({out})"
     for a, b in HOLDERS:
-        held = f"regexp_replace({held}, '{a}', '{b}', 'g')"
-    return f"CASE WHEN contains({text}, 'iable') OR contains({text}, 'IABLE') OR contains(lower({text}), 'neither') OR contains(lower({text}), 'acknowledg') THEN {held} ELSE trim({flat}) END"
+        out = f"regexp_replace({out}, '{a}', '{b}', 'g')"
+    return f"CASE WHEN regexp_matches({own}, '{SPEAKS}') THEN {out} ELSE {own} END"
 
 
 def oracle_sql() -> str:

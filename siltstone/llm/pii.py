@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import prepared
+from siltstone.llm.textops import let, prepared
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds of all spans: those of the base, and one that only the generators propose.
@@ -55,11 +55,6 @@ GUARDS = (r"[(\[]at[)\]]", r"\x20(?:dot|DOT)\x20", r":[0-9A-Fa-f]{0,4}:", r"[0-9
 SPAN = "struct<s:int,e:int,m:string,l:string,r:string>"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)``, with the value computed once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def running(values: Column, op, zero: Column) -> Column:
     """op over the values up to each place, of a non-empty array: within blocks of about sqrt(n) values, then over the blocks."""
     kind = zero
@@ -301,13 +296,14 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tup
     best, cut = 0.0, (0, -1.0)
     total = g[rows].sum() ** 2 / (h[rows].sum() + 1)
     for j in range(x.shape[1]):
-        v = x[rows, j]
-        for t in np.unique(v)[1:]:
-            low = v < t
-            a, b = rows[low], rows[~low]
-            gain = g[a].sum() ** 2 / (h[a].sum() + 1) + g[b].sum() ** 2 / (h[b].sum() + 1) - total
-            if gain > best + 1e-9:
-                best, cut = gain, (j, float(t))
+        values, of = np.unique(x[rows, j], return_inverse=True)
+        if len(values) < 2:
+            continue
+        a, b = (np.cumsum(np.bincount(of, v[rows])) for v in (g, h))
+        gain = a[:-1] ** 2 / (b[:-1] + 1) + (a[-1] - a[:-1]) ** 2 / (b[-1] - b[:-1] + 1) - total
+        i = int(gain.argmax())
+        if gain[i] > best + 1e-9:
+            best, cut = float(gain[i]), (j, float(values[i + 1]))
     return best, cut
 
 
@@ -395,7 +391,17 @@ def examples(n: int = 3200, seed: int = 11) -> list[tuple[int, str]]:
     return [(kinds[j := r.randrange(len(good))], good[j]()) if i % 2 else (0, pick(bad)()) for i in range(n)]
 
 
+_LEARNED: dict[float, Model] = {}
+
+
 def learn(spark: SparkSession, precision: float = 0.98) -> Model:
+    """The model of the built examples, learned once per process, as they are always the same."""
+    if precision not in _LEARNED:
+        _LEARNED[precision] = _learned(spark, precision)
+    return _LEARNED[precision]
+
+
+def _learned(spark: SparkSession, precision: float) -> Model:
     """Learns from the built examples, each kind from its own: three quarters grow the trees; the others calibrate the
     probabilities and give the least threshold of at least 0.5 with the wanted precision."""
     rows = examples()

@@ -16,13 +16,15 @@ MARKED = regex.compile(r"[^\p{L}\p{N}]*(?:(?i:copyright)[ \t]*(?:\([cC]\)|©|[0-
 def form(text):
     """The canonical form, line by line and word by word."""
     kept = "\n".join(line for line in text.split("\n") if not MARKED.fullmatch(line))
-    flat = f" {' '.join(regex.findall(r'[\p{L}\p{N}]+', kept.lower()))} "
+    flat = " ".join(regex.findall(r"[\p{L}\p{N}]+", kept.lower()))
+    if not any(w in flat for w in L.WORDS):
+        return flat
+    flat = f" {flat} "
     for a, b in SPELLINGS * 2:
         flat = flat.replace(f" {a} ", f" {b} ")
     flat = flat.strip()
-    if any(w in text.lower() for w in ("liable", "neither", "acknowledg")):
-        for a, b in L.HOLDERS:
-            flat = regex.sub(a, b, flat)
+    for a, b in L.HOLDERS:
+        flat = regex.sub(a, b, flat)
     return flat
 
 
