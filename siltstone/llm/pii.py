@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import random
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -250,11 +249,11 @@ class Tree:
         low, high = x[:, self.left[0]] >= self.left[1], x[:, self.right[0]] >= self.right[1]
         return np.where(side, np.where(high, self.leaves[3], self.leaves[2]), np.where(low, self.leaves[1], self.leaves[0]))
 
-    def column(self, f: Column) -> Column:
-        def branch(cut: tuple[int, float], a, b):
-            return F.when(f[FEATURES[cut[0]]] < F.lit(cut[1]), a).otherwise(b)
+    def sql(self, f: str) -> str:
+        def branch(cut: tuple[int, float], a: object, b: object) -> str:
+            return f"CASE WHEN {f}.{FEATURES[cut[0]]} < {cut[1]!r}D THEN {a} ELSE {b} END"
 
-        leaf = [F.lit(v) for v in self.leaves]
+        leaf = [f"{v!r}D" for v in self.leaves]
         return branch(self.root, branch(self.left, leaf[0], leaf[1]), branch(self.right, leaf[2], leaf[3]))
 
 
@@ -271,9 +270,9 @@ class Forest:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return self.bias + sum((t.values(x) for t in self.trees), np.zeros(len(x)))
 
-    def probability(self, f: Column) -> Column:
-        z = reduce(lambda a, b: a + b, (t.column(f) for t in self.trees), F.lit(self.bias))
-        return 1 / (1 + F.exp(-(z * self.slope + self.shift)))
+    def sql(self, f: str) -> str:
+        z = " + ".join([f"{self.bias!r}D", *(t.sql(f) for t in self.trees)])
+        return f"1 / (1 + exp(-(({z}) * {self.slope!r}D + {self.shift!r}D)))"
 
 
 @dataclass(frozen=True)
@@ -282,11 +281,9 @@ class Model:
 
     forests: tuple[Forest, ...]
 
-    def probability(self, f: Column) -> Column:
-        own = F.when(f["kind"] == 0, self.forests[0].probability(f))
-        for kind, forest in enumerate(self.forests[1:], 1):
-            own = own.when(f["kind"] == kind, forest.probability(f))
-        return own
+    def sql(self, kind: str, f: str) -> str:
+        """The probability of a candidate of a kind with features ``f``."""
+        return f"CASE {kind} {' '.join(f'WHEN {i} THEN {x.sql(f)}' for i, x in enumerate(self.forests))} END"
 
     def threshold(self, kind: Column) -> Column:
         return F.element_at(F.array(*(F.lit(x.threshold) for x in self.forests)), kind + 1)
@@ -307,7 +304,7 @@ def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tup
     return best, cut
 
 
-def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.3) -> tuple[float, list[Tree]]:
+def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 36, rate: float = 0.4) -> tuple[float, list[Tree]]:
     """Newton boosting of the logistic loss by trees of depth two."""
     p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias = float(math.log(p / (1 - p)))
@@ -436,8 +433,8 @@ def detected(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     found = own.select(*names, "text_", *(v.alias(f"base_{k}") for k, v in base_spans(F.col("text_")).items()))
     base = F.concat(*(F.transform(f"base_{k}", triple(i)) for i, k in enumerate(KINDS)))
     wide = found.select(*names, base.alias("base"), proposed(F.col("text_")).alias("more"))
-    chance = lambda c: let(features(c), model.probability)
-    rated = wide.withColumn("more", F.transform("more", lambda c: F.struct(c["kind"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), chance(c).alias("p"))))
+    known = wide.withColumn("more", F.transform("more", lambda c: F.struct(c["kind"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), features(c).alias("f"))))
+    rated = known.withColumn("more", F.expr(f"transform(more, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'p', {model.sql('c.k', 'c.f')}))"))
     taken = rated.withColumn("more", F.filter("more", lambda c: c["p"] >= model.threshold(c["k"])))
     apart = taken.withColumn("more", F.when((F.size("more") > 0) & (F.size("base") > 0), untouched(F.col("more"), F.col("base"))).otherwise(F.col("more")))
     none = F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")
