@@ -11,14 +11,17 @@ from pyspark.sql.types import StructType
 
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
+from siltstone.functions.encoder import HashedEncoder, embedded
 from siltstone.functions.vectors import sane
 from siltstone.operators import evaluate as E
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
-from siltstone.operators.documents import index_documents
+from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
 from siltstone.plans import indexing as I
-from siltstone.schemas import CHUNKS
+from siltstone.schemas import CHUNKS, DOCUMENTS
+from siltstone.scratch import scratch
 from siltstone.sources import store as T
+from siltstone.sources.files import chunks, scan, source_symbols, top_level_types
 from siltstone.sources.workspace import Workspace, closure, inferred_edges, owners
 from siltstone.streaming.refresh import debounced
 
@@ -437,14 +440,8 @@ def debounce_sessions(spark, sf_dir):
     return debounced(own, "1 hour", None, "user_id").select("user_id", "first", "last", "n")
 
 
-@query(
-    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'behavior,field,file,method,skeleton,type' WHEN 1 THEN 'file,method,method,skeleton,type' WHEN 2 THEN 'constructor,enum_constant,enum_constant,field,file,method,skeleton,type' ELSE 'constructor,field,file,method,method,skeleton,skeleton,type,type' END AS kinds,
-    CASE p_size % 4 WHEN 0 THEN 'own.Part' || p_partkey || '.size()' WHEN 1 THEN 'own.Part' || p_partkey || '.max(int a, int b)' WHEN 2 THEN 'own.Part' || p_partkey || '.code()' ELSE 'own.Part' || p_partkey || '.Inner.run()' END AS method FROM part"""
-)
-def java_chunks(spark, sf_dir):
+def _java(spark, sf_dir):
     """A Java file made of each part, of one of four shapes: a class with a lambda, an interface, an enum, a class with an inner one."""
-    from siltstone.sources.files import chunks
-
     size = F.col("p_size").cast("string")
     lines = {
         0: F.concat(F.lit(" class Part{} {\n    private int size = "), size, F.lit(";\n    int size() { run(() -> size); return size; }\n}\n")),
@@ -454,8 +451,15 @@ def java_chunks(spark, sf_dir):
     }
     text = F.when(F.col("p_size") % 4 == 0, lines[0]).when(F.col("p_size") % 4 == 1, lines[1]).when(F.col("p_size") % 4 == 2, lines[2]).otherwise(lines[3])
     source = F.concat(F.lit("package own;\npublic"), F.replace(text, F.lit("{}"), F.col("p_partkey").cast("string")))
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), source.cast("binary").alias("content"))
-    rows = chunks(files)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), source.cast("binary").alias("content"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'behavior,field,file,method,skeleton,type' WHEN 1 THEN 'file,method,method,skeleton,type' WHEN 2 THEN 'constructor,enum_constant,enum_constant,field,file,method,skeleton,type' ELSE 'constructor,field,file,method,method,skeleton,skeleton,type,type' END AS kinds,
+    CASE p_size % 4 WHEN 0 THEN 'own.Part' || p_partkey || '.size()' WHEN 1 THEN 'own.Part' || p_partkey || '.max(int a, int b)' WHEN 2 THEN 'own.Part' || p_partkey || '.code()' ELSE 'own.Part' || p_partkey || '.Inner.run()' END AS method FROM part"""
+)
+def java_chunks(spark, sf_dir):
+    rows = chunks(_java(spark, sf_dir))
     name = F.max(F.when((F.col("kind") == "method") & ~F.col("name").isin("both", "name"), F.concat(F.lit("own."), F.array_join("owner_chain", "."), F.lit("."), F.col("name"), F.col("parameters"))))
     return rows.groupBy(F.col("filepath").cast("long").alias("p_partkey")).agg(F.array_join(F.array_sort(F.collect_list("kind")), ",").alias("kinds"), name.alias("method"))
 
@@ -542,5 +546,188 @@ def visible_symbols(spark, sf_dir):
     return R.visible_names(symbols, sees)
 
 
+# --- Java files: members, names, documents
+
+
+#: What the files of ``_java`` hold, by shape; {} stands for the part's key.
+MEMBERS = """m(shape, kind, name, nested, line, col, modifiers, result, parameters, calls, touched, code) AS (VALUES
+    (0, 'method', 'size', '', 4, 5, '', 'int', '()', 'run', 'size', 'int size() { run(() -> size); return size; }'), (1, 'method', 'max', '', 3, 5, '', 'int', '(int a, int b)', '', '', 'int max(int a, int b);'),
+    (1, 'method', 'both', '', 4, 5, 'default', 'int', '()', 'max', '', 'default int both() { return max(1, 2); }'), (2, 'constructor', 'Part{}', '', 5, 5, '', NULL, '(int code)', '', 'code', 'Part{}(int code) { this.code = code; }'),
+    (2, 'method', 'code', '', 6, 5, '', 'int', '()', '', 'code', 'int code() { return code; }'), (3, 'constructor', 'Part{}', '', 4, 5, '', NULL, '()', '', '', 'Part{}() { }'),
+    (3, 'method', 'name', '', 5, 5, '', 'String', '()', '', 'name', 'String name() { return name; }'), (3, 'method', 'run', '.Inner', 7, 9, '', 'void', '()', 'System.gc', '', 'void run() { System.gc(); }')),
+    w AS (SELECT p_partkey, p_partkey::VARCHAR AS path, 'Part' || p_partkey || nested AS owner, kind, replace(name, '{}', p_partkey::VARCHAR) AS name, line, col, modifiers, result, parameters, calls, touched,
+      replace(code, '{}', p_partkey::VARCHAR) AS code, concat_ws(' ', nullif(modifiers, ''), result, replace(name, '{}', p_partkey::VARCHAR) || parameters) AS sig FROM part JOIN m ON p_size % 4 = shape)"""
+
+
+def _joined(*columns: str) -> list:
+    return [F.array_join(c, " ").alias(c) for c in columns]
+
+
+@query(f"WITH {MEMBERS} SELECT p_partkey, kind, name, replace(owner, '.', ' ') AS owner_chain, line AS start_line, line AS end_line, col AS start_col, col + length(code) AS end_col, modifiers, result AS return_type, parameters, calls, touched AS fields_accessed, code AS text FROM w")
+def java_members(spark, sf_dir):
+    """Methods and constructors, with their places, calls and fields."""
+    rows = chunks(_java(spark, sf_dir)).where("kind in ('method', 'constructor')")
+    return rows.select(
+        F.col("filepath").cast("long").alias("p_partkey"), "kind", "name", "start_line", "end_line", "start_col", F.col("end_col"), "return_type", "parameters", "text", *_joined("owner_chain", "modifiers", "calls", "fields_accessed")
+    )
+
+
+@query(
+    """SELECT p_partkey, kind, name, line AS start_line, modifiers, type AS field_type FROM part JOIN (VALUES (0, 'field', 'size', 3, 'private', 'int'), (2, 'enum_constant', 'ONE', 3, '', NULL), (2, 'enum_constant', 'TWO', 3, '', NULL),
+    (2, 'field', 'code', 4, 'private final', 'int'), (3, 'field', 'name', 3, 'private', 'String')) f(shape, kind, name, line, modifiers, type) ON p_size % 4 = shape"""
+)
+def java_fields(spark, sf_dir):
+    rows = chunks(_java(spark, sf_dir)).where("kind in ('field', 'enum_constant')")
+    return rows.select(F.col("filepath").cast("long").alias("p_partkey"), "kind", "name", "start_line", "field_type", *_joined("modifiers"))
+
+
+@query(
+    """SELECT p_partkey, name, replace(replace(text, '{}', p_partkey::VARCHAR), '~', chr(10)) AS text FROM (
+    SELECT p_partkey, 'Part' || p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'public class Part{}~  private int size = ' || p_size || ';~  int size()' WHEN 1 THEN 'public interface Part{}~  int max(int a, int b)~  default int both()'
+      WHEN 2 THEN 'public enum Part{}~  constants: ONE, TWO~  private final int code;~  Part{}(int code)~  int code()' ELSE 'public class Part{}~  private String name = "' || p_name || '";~  Part{}()~  String name()' END AS text FROM part
+    UNION ALL SELECT p_partkey, 'Inner', 'static class Inner~  // enclosing: Part{}~  void run()' FROM part WHERE p_size % 4 = 3)"""
+)
+def java_skeletons(spark, sf_dir):
+    """The outline of each type."""
+    return chunks(_java(spark, sf_dir)).where("kind = 'skeleton'").select(F.col("filepath").cast("long").alias("p_partkey"), "name", "text")
+
+
+TYPES = "SELECT p_partkey, 'own.Part' || p_partkey AS qualified_name FROM part UNION ALL SELECT p_partkey, 'own.Part' || p_partkey || '.Inner' FROM part WHERE p_size % 4 = 3"
+
+
+@query(f"SELECT qualified_name, ':app:main' AS container, 'source' AS origin_kind, p_partkey::VARCHAR AS filepath FROM ({TYPES})")
+def source_type_symbols(spark, sf_dir):
+    """Qualified names of top-level and member types."""
+    return source_symbols(_java(spark, sf_dir), ":app:main")
+
+
+@query("SELECT 'Part' || p_partkey AS simple_name, 'own.Part' || p_partkey AS candidates FROM part")
+def top_level_index(spark, sf_dir):
+    return top_level_types(_java(spark, sf_dir)).select("simple_name", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query(f"WITH {MEMBERS} SELECT p_partkey, name, CASE WHEN calls = 'System.gc' AND p_partkey % 2 = 0 THEN 'java.lang.System.gc' ELSE calls END AS calls FROM w WHERE kind = 'method'")
+def resolved_calls(spark, sf_dir):
+    """Calls by what their file's source set sees: only one of two sees the class."""
+    rows = chunks(_java(spark, sf_dir)).withColumn("source_set", (F.col("filepath").cast("long") % 2).cast("string"))
+    index = R.type_index(spark.createDataFrame([("0", "java.lang.System")], "source_set STRING, qualified_name STRING"), "source_set")
+    return R.resolved_chunks(rows, index, "source_set").where("kind = 'method'").select(F.col("filepath").cast("long").alias("p_partkey"), "name", *_joined("calls"))
+
+
+@query(
+    f"""WITH {MEMBERS} SELECT substr(sha1('/r'), 1, 12) || ':' || path || ':' || kind || ':own.' || owner || '.' || name || regexp_replace(parameters, '\\s+', '', 'g') AS chunk_id, path AS file_path, sig AS signature, 'own' AS package,
+    '[' || kind || '] own.' || owner || '.' || name || chr(10) || sig || chr(10) || code AS retrieval_text, ':m' AS source_set FROM w WHERE length(code) >= 20"""
+)
+def method_documents(spark, sf_dir):
+    """Documents of methods and constructors, those of fewer than 20 characters left out."""
+    rows = chunks(_java(spark, sf_dir)).withColumns({"filepath": F.concat(F.lit("/r/"), "filepath"), "repo_root": F.lit("/r"), "source_set": F.lit(":m")})
+    out = index_documents(rows, "now").where("chunk_kind in ('method', 'constructor')")
+    return out.select("chunk_id", "file_path", "signature", "package", "retrieval_text", "source_set")
+
+
+@query(
+    f"""WITH {MEMBERS} SELECT p_partkey, name, concat_ws(chr(10), 'package own', 'filepath ' || path, 'source_set :m', 'owner ' || replace(owner, '.', ' '), 'kind ' || kind, 'name ' || name, 'signature ' || sig, 'modifiers ' || nullif(modifiers, ''),
+    'fields_accessed ' || nullif(touched, ''), 'calls ' || nullif(calls, ''), 'resolved_symbols ' || nullif(calls, ''), 'code ' || code) AS retrieval_text FROM w"""
+)
+def labelled_documents(spark, sf_dir):
+    """Retrieval documents: a line for each property, and the symbols referred to."""
+    rows = chunks(_java(spark, sf_dir)).withColumns({"repo_root": F.lit("/r"), "source_set": F.lit(":m")})
+    return retrieval_documents(rows).where("kind in ('method', 'constructor')").select(F.col("filepath").cast("long").alias("p_partkey"), "name", "retrieval_text")
+
+
+@query("SELECT p_brand AS file_path, 'duplicate id: ' || min(p_name) AS error FROM (SELECT p_brand, p_name FROM part GROUP BY ALL HAVING count(*) > 1) GROUP BY 1")
+def clashing_ids(spark, sf_dir):
+    return twice_named(table(spark, sf_dir, "part").select(F.col("p_brand").alias("file_path"), F.col("p_name").alias("chunk_id")))
+
+
+# --- scores, encoders, stores and workspaces over whole tables
+
+
+def _common(column: str) -> str:
+    return f"len(list_distinct(list_intersect(terms, {TOKENS.format(column)})))"
+
+
+@query(
+    f"""WITH a AS (SELECT *, p_name AS query, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN split_part(p_name, ' ', 1) ELSE 'Other' END AS name, list_distinct({TOKENS.format('p_name')}) AS terms FROM part),
+    b AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN name ELSE 'own.' || name END AS symbol, CASE WHEN p_size % 2 = 0 THEN 'void ' || p_name || '()' ELSE 'int ' || split_part(p_name, ' ', 2) || '()' END AS signature,
+      lower(p_type) || '/' || split_part(p_name, ' ', 2) AS path, CASE WHEN p_size % 7 < 3 THEN upper(p_name) || ' ' || p_brand ELSE p_type END AS body FROM a),
+    c AS (SELECT p_partkey, p_size, CASE WHEN lower(query) = lower(name) THEN 1.0 WHEN contains(lower(query), lower(name)) THEN 0.4 ELSE 0 END::DOUBLE AS x1, CASE WHEN contains(lower(query), lower(symbol)) THEN 0.8 ELSE 0 END::DOUBLE AS x2,
+      CASE WHEN contains(lower(signature), lower(query)) THEN 0.6 ELSE 0 END::DOUBLE AS x3, 0.45::DOUBLE * {_common('name')} AS x4, 0.3::DOUBLE * {_common('symbol')} AS x5, 0.2::DOUBLE * least({_common('signature')}, 3) AS x6,
+      0.2::DOUBLE * least({_common('path')}, 3) AS x7, 0.12::DOUBLE * least({_common('body')}, 6) AS x8, CASE WHEN contains(lower(body), lower(query)) THEN 0.6 ELSE 0 END::DOUBLE AS x9 FROM b)
+    SELECT p_partkey, round(p_size / 10 + x1 + x2 + x3 + x4 + x5 + x6 + x7 + x8 + x9, 6) AS score, (1 + (x1 > 0)::INT + (x2 > 0)::INT + (x3 > 0)::INT + (x4 > 0)::INT + (x5 > 0)::INT + (x6 > 0)::INT + (x7 > 0)::INT + (x8 > 0)::INT + (x9 > 0)::INT)::INT AS n_reasons FROM c"""
+)
+def hybrid_boosts(spark, sf_dir):
+    """The boosts of names, symbols, signatures, paths and texts, and how many reasons are stated."""
+    size, own = F.col("p_size"), F.col("p_name")
+    name = F.when(size % 3 == 0, own).when(size % 3 == 1, F.split_part(own, F.lit(" "), F.lit(1))).otherwise("Other")
+    rows = table(spark, sf_dir, "part").withColumn("name", name)
+    second = F.split_part(own, F.lit(" "), F.lit(2))
+    out = L.hybrid(
+        rows, query=own, semantic=size / 10, name=F.col("name"), symbol=F.when(size % 5 == 0, F.col("name")).otherwise(F.concat(F.lit("own."), "name")),
+        signature=F.when(size % 2 == 0, F.concat(F.lit("void "), own, F.lit("()"))).otherwise(F.concat(F.lit("int "), second, F.lit("()"))), path=F.concat_ws("/", F.lower("p_type"), second),
+        text=F.when(size % 7 < 3, F.concat_ws(" ", F.upper(own), "p_brand")).otherwise(F.col("p_type")), kind=F.lit("field"), modifiers=F.expr(N.STRINGS), source=F.lit(""),
+    )
+    return out.select("p_partkey", F.round("score", 6).alias("score"), F.size("why_matched").alias("n_reasons"))
+
+
+@query(f"SELECT doc_id, len(list_distinct(({TOKENS.format('text')})[1:8192])) AS n, 32 AS dims FROM documents WHERE len({TOKENS.format('text')}) > 0")
+def encoded_tokens(spark, sf_dir):
+    """How many vectors each text gets, and of how many numbers."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("f").alias("file_path"), F.col("text").alias("retrieval_text"))
+    out = embedded(rows, HashedEncoder()).groupBy(F.col("chunk_id").cast("long").alias("doc_id"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"))
+
+
+EVAL_CASES = """WITH h AS (SELECT doc_id % 40 AS case_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank, 'p.' || lang AS symbol, source, doc_id % 997 AS a FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+    j AS (SELECT case_id, rank, symbol, case_id % 3 < 2 AND contains(symbol, '.en') AS sym, source = 'src' || (case_id % 20) AS path, abs(a - case_id * 20) <= 25 AND case_id % 3 > 0 AS line FROM h),
+    p AS (SELECT *, CASE case_id % 3 WHEN 0 THEN sym WHEN 1 THEN sym AND line ELSE path AND line END AS hit FROM j),
+    v AS (SELECT item_id AS case_id, min(rank) FILTER (hit) AS rank, min_by(symbol, rank) FILTER (hit) AS symbol, bool_or(sym OR path OR symbol = 'p.fr') AS near FROM benchmark LEFT JOIN p ON p.case_id = item_id GROUP BY item_id)"""
+
+
+@query(f"{EVAL_CASES} SELECT case_id, CASE WHEN rank <= 3 THEN 'strong_pass' WHEN rank IS NOT NULL THEN 'pass' WHEN near THEN 'near_miss' ELSE 'fail' END AS verdict, CAST(rank AS INT) AS rank, symbol FROM v")
+def eval_symbols_and_anchors(spark, sf_dir):
+    """Verdicts by symbols, by symbols and anchors, and by paths and anchors, one kind of case in three each."""
+    cases, hits = _eval(spark, sf_dir)
+    k, none = F.col("case_id") % 3, F.expr(N.STRINGS)
+    ints = "cast(array() as array<int>)"
+    cases = cases.withColumns({
+        "primary_symbols": F.when(k < 2, F.array(F.lit(".EN"))).otherwise(none), "primary_lines": F.when(k > 0, F.array((F.col("case_id") * 20).cast("int"))).otherwise(F.expr(ints)),
+        "primary_line_ranges": F.expr("cast(array() as array<array<int>>)"), "secondary_paths": none, "secondary_symbols": F.array(F.lit("P.fr")),
+    })
+    return E.verdicts(cases, hits.withColumn("symbol", F.concat(F.lit("p."), "symbol"))).select("case_id", "verdict", "rank", "symbol")
+
+
+@query("SELECT doc_id::VARCHAR AS chunk_id, coalesce(source, 'none') AS file_path, CASE WHEN source = 'src3' THEN 'new' ELSE 'old' END AS indexed_at, coalesce(length(text), 0) AS n FROM documents WHERE source IS DISTINCT FROM 'src4'")
+def stored_snapshot(spark, sf_dir):
+    """An index saved whole, then one file replaced and one removed; what readers of the newest manifest see."""
+    own = table(spark, sf_dir, "documents")
+    given = {"chunk_id": F.col("doc_id").cast("string"), "file_path": F.coalesce("source", F.lit("none")), "source_text": F.col("text"), "indexed_at": F.lit("old")}
+    documents = own.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DOCUMENTS).fields))
+    vectors = documents.select("chunk_id", "file_path", F.lit(0).alias("token_pos"), F.array(F.lit(1.0).cast("float")).alias("vec"))
+    store = T.Store(spark, scratch(spark, "store"))
+    store.save(documents, vectors, "model", "old")
+    changed = spark.createDataFrame([("src3",), ("src4",)], "file_path STRING")
+    store.replace_files(changed, documents.where("file_path = 'src3'").withColumn("indexed_at", F.lit("new")), vectors.where("file_path = 'src3'"), "model", "new")
+    return store.read("documents").select("chunk_id", "file_path", "indexed_at", F.coalesce(F.length("source_text"), F.lit(0)).alias("n"))
+
+
+@query(
+    """WITH RECURSIVE c AS (SELECT n_nationkey AS start, n_nationkey AS node FROM nation UNION SELECT start, (node * 7 + 3) % 25 FROM c)
+    SELECT ':n' || start || ':main' AS source_set, ':n' || node || ':main' AS container, 'source' AS origin_kind FROM c UNION SELECT ':n' || start || ':main', '/lib/' || n_regionkey || '.jar', 'binary' FROM c JOIN nation ON n_nationkey = node"""
+)
+def workspace_visibility(spark, sf_dir):
+    """What each source set sees, by its dependencies: sets and binary entries.  A workspace is a small description."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()
+    sets = {f":n{n}:main": {"project_dependencies": [f":n{(n * 7 + 3) % 25}:main"], "external_jars": [f"/lib/{r}.jar"], "source_roots": [f"/w/n{n}"]} for n, r in nations}
+    return Workspace.from_dict({"schema_version": 1, "source_sets": sets}, require_version=True).visibility(spark)
+
+
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name")
+def scanned_files(spark, sf_dir):
+    """Files below two roots, of which one doesn't exist and one is given twice."""
+    found = scan(spark, [sf_dir, f"{sf_dir}/none", sf_dir], "*.parquet", content=False)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return hybrid_search(spark, "/root/testdata/sf0.001")
