@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network.
 
 Every token has a fixed sparse index vector drawn from its hash.  A token's vector is the sum of the index vectors of
-its neighbours over the whole corpus; documents pool (average) the vectors of their tokens.  Two streams are
+its neighbours over the whole corpus; tokens share WORD_BUCKETS such sums by their hashes.  Documents pool (average) the vectors of their tokens.  Two streams are
 pooled: the tokens themselves, and their shapes (case, length, kind), which carry what rare tokens can't.
 The corpus pass adds up blocks of a fixed size; the network learns on the driver from a bounded sample
 of labelled rows; its probabilities are calibrated by a temperature fitted on rows it didn't learn from.
@@ -54,11 +54,10 @@ PLAIN[0x30:0x3A] = 0x30
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and shape of each token (a run of letters, digits, signs or line ends), and each document's first token."""
+    """Hash and shape of each token (a run of letters, digits, signs or line ends), and each document's first token."""
     kind = CLASS[data]
     if not len(kind):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     cut = np.zeros(len(kind) + 1, bool)
     cut[offsets] = True
     cut[1:-1] |= kind[1:] != kind[:-1]
@@ -74,31 +73,35 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     short = np.minimum(size, 15)
     sign = 80 + (h % np.uint64(160)).astype(np.int64)
     shape = np.select([kind == 1, kind == 2, kind == 3], [16 * (capital + 2 * all_capital) + short, 64 + short, sign], 240 + short)
-    return (h % np.uint64(WORD_BUCKETS)).astype(np.int64), shape, np.searchsorted(starts, offsets)
+    return h, shape, np.searchsorted(starts, offsets)
 
 
-def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of n sparse index vectors."""
-    h = mix(np.arange(n * NONZERO, dtype=np.uint64) + np.uint64(seed * 1_000_003)).reshape(n, NONZERO)
+def index_vectors(names: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of the sparse index vector of each name."""
+    h = mix(names.astype(np.uint64)[:, None] * np.uint64(NONZERO) + np.arange(NONZERO, dtype=np.uint64) + np.uint64(seed * 1_000_003))
     return (h % np.uint64(DIMS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
 
 
 STREAMS = ((WORD_BUCKETS, 1), (SHAPES, 2))
 
 
+def rows_of(names: np.ndarray, n: int) -> np.ndarray:
+    return (names % n).astype(np.int64)
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For both streams: the sums of the index vectors of the neighbours of each bucket."""
+    """For both streams: the sums of the index vectors of the neighbours, by the row of each token."""
     *ids, first = tokens(data, offsets)
     doc = owners(first)
     out = []
     for own, (n, seed) in zip(ids, STREAMS):
-        place, sign = index_vectors(n, seed)
-        total = np.zeros(n * DIMS)
+        place, sign = index_vectors(own, seed)
+        row, total = rows_of(own, n), np.zeros(n * DIMS)
         for step in range(1, WINDOW + 1):
             near = np.flatnonzero(doc[step:] == doc[:-step]) if len(doc) > step else np.zeros(0, np.int64)
-            for a, b in ((own[near], own[near + step]), (own[near + step], own[near])):
+            for a, b in ((near, near + step), (near + step, near)):
                 for j in range(NONZERO):
-                    total += np.bincount(a * DIMS + place[b, j], sign[b, j], n * DIMS)
+                    total += np.bincount(row[a] * DIMS + place[b, j], sign[b, j], n * DIMS)
         out.append(total)
     return out
 
@@ -140,7 +143,7 @@ def pooled(vectors: list[np.ndarray], data: np.ndarray, offsets: np.ndarray) ->
     for own, v in zip(ids, vectors):
         mean = np.zeros((len(n), DIMS), np.float32)
         if len(full):
-            mean[full] = np.add.reduceat(v[own], first[:-1][full], axis=0) / n[full, None]
+            mean[full] = np.add.reduceat(v[rows_of(own, len(v))], first[:-1][full], axis=0) / n[full, None]
         parts.append(mean)
     return np.concatenate([*parts, np.log1p(n)[:, None].astype(np.float32)], axis=1)
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -57,3 +58,40 @@ def test_calibration():
     for low in (0.0, 0.25, 0.5, 0.75):
         own = (s >= low) & (s < low + 0.25)
         assert abs(s[own].mean() - y[own].mean()) < 0.07
+
+
+def test_vectors_and_pooling_against_loops(spark):
+    r = random.Random(4)
+    texts = ["", None, "one", "The cat 12 sat!!\n\nThe CAT 99 sat??", "é" * 7 + " x"] + [" ".join(r.choice(["red", "Blue", "77", "--", "\n", "tree"]) for _ in range(r.randint(1, 40))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|\n+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+")
+    sums = [np.zeros((n, quality.DIMS)) for n, _ in quality.STREAMS]
+    own, seen = [], {}
+    for text in texts:
+        data = (text or "").encode()
+        names, shapes, first = quality.tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        parts = split.findall(data)
+        assert len(parts) == len(names) == len(shapes) == first[-1]
+        for part, name in zip(parts, names.tolist()):
+            assert seen.setdefault(re.sub(rb"[0-9]", b"0", part), name) == name
+        own.append([(int(a) % quality.WORD_BUCKETS, int(b)) for a, b in zip(names, shapes)])
+        for (n, seed), total, ids in zip(quality.STREAMS, sums, (names, shapes)):
+            places, signs = quality.index_vectors(ids, seed)
+            for i in range(len(ids)):
+                for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                    if i != j:
+                        for p, s in zip(places[j], signs[j]):
+                            total[int(ids[i]) % n, p] += s
+    assert len(set(seen.values())) == len(seen)
+    got = quality.word_vectors(docs)
+    for total, vectors in zip(sums, got):
+        unit = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1.0)
+        used = np.abs(unit).sum(axis=1) > 0
+        unit[used] -= unit[used].mean(axis=0)
+        assert np.allclose(unit, vectors, atol=1e-6)
+    flat = b"".join((t or "").encode() for t in texts)
+    ends = np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+    pooled = quality.pooled(got, np.frombuffer(flat, np.uint8), ends)
+    for row, ids in zip(pooled, own):
+        want = [np.mean([got[k][t[k]] for t in ids], axis=0) if ids else np.zeros(quality.DIMS) for k in range(2)]
+        assert np.allclose(row, np.concatenate([*want, [np.log1p(len(ids))]]), atol=1e-5)
