@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, langid, license, lm, packing, pii, pipeline, quality, rules, sharding
+from siltstone.llm import decontaminate, jaccard, langid, license, lm, packing, pii, pipeline, quality, rules, sharding, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": packing.query,
         "op9_quality_rules": rules.query,
         "op10_quality_classifier": quality.query,
+        "op11_suffix_dedup": suffixes.query,
         "pipeline": pipeline.run,
     } | {f.__name__: f for f in (language_und, shard_law, lm_base_columns, pii_base_spans, packed_tokens, quality_base_counts)}
 
