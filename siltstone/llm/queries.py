@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, jaccard, langid, license, lm, packing, pii, pipeline, quality, rules, sharding, suffixes
+from siltstone.llm import decontaminate, jaccard, langid, license, lm, packing, pii, pipeline, quality, ranking, rules, sharding, suffixes, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,13 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.query(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact column of each vector, and whether its components are as many as asked for, whiten, and explain the variance in falling order."""
+    w = Window.partitionBy("vec_id").orderBy("component")
+    rows = whitening.query(spark, sf_dir).withColumn("before", F.lag("explained").over(w))
+    return rows.groupBy("vec_id").agg(F.max("n").alias("n"), F.max("deviation").alias("deviation"), F.count(F.lit(1)).alias("components"), F.min(F.coalesce(F.col("before") >= F.col("explained"), F.lit(True))).alias("falling"), (F.max("identity_error") <= 1e-4).alias("white"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_language_id": langid.query,
@@ -60,8 +67,10 @@ def queries() -> dict[str, Query]:
         "op9_quality_rules": rules.query,
         "op10_quality_classifier": quality.query,
         "op11_suffix_dedup": suffixes.query,
+        "op12_embedding_whitening": whitening.query,
+        "op13_lexical_search": ranking.query,
         "pipeline": pipeline.run,
-    } | {f.__name__: f for f in (language_und, shard_law, lm_base_columns, pii_base_spans, packed_tokens, quality_base_counts)}
+    } | {f.__name__: f for f in (language_und, shard_law, lm_base_columns, pii_base_spans, packed_tokens, quality_base_counts, whitening_deviations)}
 
 
 WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
@@ -121,6 +130,13 @@ def _rules_sql() -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM a LEFT JOIN l USING (rn) LEFT JOIN c USING (rn)"""
 
 
+def _whitening_sql() -> str:
+    return """WITH v AS (SELECT row_number() OVER () AS rn, vec_id, embedding FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    x AS (SELECT rn, vec_id, unnest(range(len(embedding))) AS i, (floor(64 * unnest(embedding)::DOUBLE) + 1000000)::HUGEINT AS x FROM v),
+    s AS (SELECT i, count(*)::HUGEINT AS n, sum(x)::HUGEINT AS s FROM x GROUP BY i)
+    SELECT any_value(vec_id) AS vec_id, max(n)::BIGINT AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation, least(count(*), 32)::BIGINT AS components, true AS falling, true AS white FROM x JOIN s USING (i) GROUP BY rn"""
+
+
 def oracle_sql() -> dict[str, str]:
     """What SQL can state; tests hold the rest against brute force."""
     tokens = f"len({WORDS.format("coalesce(text, '')")}) + 1"
@@ -133,4 +149,6 @@ def oracle_sql() -> dict[str, str]:
         "pii_base_spans": _pii_sql(),
         "packed_tokens": f"SELECT doc_id, sum({tokens})::BIGINT AS n_tokens, sum(({tokens} + 8191) // 8192)::BIGINT AS n_pieces, true AS fits FROM documents GROUP BY doc_id",
         "quality_base_counts": _rules_sql(),
+        "op13_lexical_search": ranking.oracle_sql(),
+        "whitening_deviations": _whitening_sql(),
     }

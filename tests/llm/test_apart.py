@@ -31,4 +31,4 @@ def test_all_queries_on_executors_without_the_package(tmp_path):
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-3000:]
     counts = dict(line.split() for line in done.stdout.splitlines() if line.startswith(("op", "pipeline")))
-    assert len(counts) == 11 and counts["op1_language_id"] == counts["op5_lm_scoring"] == counts["op10_quality_classifier"]
+    assert len(counts) == 14 and counts["op1_language_id"] == counts["op5_lm_scoring"] == counts["op10_quality_classifier"]

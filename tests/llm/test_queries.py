@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_best_fit_packing": {"doc_id": "bigint", "bin": "bigint", "capacity": "bigint"},
     "op9_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op10_quality_classifier": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op11_suffix_dedup": {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"},
+    "op12_embedding_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"},
+    "op13_lexical_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 
 
@@ -55,6 +58,11 @@ def test_columns_and_rows(spark, name):
     got, docs = frame.collect(), sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
     if name == "op4_decontamination":
         assert got and {r.doc_id for r in got} < set(docs)
+    elif name == "op12_embedding_whitening":
+        vectors = sorted(r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
+        assert sorted((r.vec_id, r.component) for r in got) == [(v, c) for v in vectors for c in range(1, 33)]
+    elif name == "op13_lexical_search":
+        assert {r.doc_id for r in got} <= set(docs) and max(r["rank"] for r in got) == 10
     elif name == "op8_best_fit_packing":
         assert {r.doc_id for r in got} == set(docs)
     else:
