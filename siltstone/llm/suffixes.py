@@ -211,7 +211,8 @@ def bucket_repeats(gram: np.ndarray, off: np.ndarray, n: np.ndarray, c: np.ndarr
 
 
 def sorted_buckets(blocks: DataFrame, length: int, parts: int) -> DataFrame:
-    """(gram, block, off, n, first, last, hash): runs of repeated windows of a block, and single windows with their hash where the gram may go on in another bucket."""
+    """(gram, block, off, n, first, last, hash, times): runs of repeated windows of a block; and where the gram may go on in another bucket, with their hash,
+    single windows: those that occur once here (times 1), and one each of the different ones that repeat here (times 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
@@ -227,20 +228,24 @@ def sorted_buckets(blocks: DataFrame, length: int, parts: int) -> DataFrame:
         (at, first), (_, after) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         lone = c[at] == 1  # blocks that occur twice are known already
         at, first, last = at[lone], first[lone], after[lone] - 1
-        yield _rows(gram, block, off, n, at, first, last, None)
-        at, i = np.nonzero((np.arange(repeats.shape[1]) < n[:, None]) & cut[:, None])
-        for k in range(0, len(at), 1 << 18):
-            own, w = at[k : k + (1 << 18)], i[k : k + (1 << 18)]
-            yield _rows(gram, block, off, n, own, w, w, hashes(own, w))
-
-    schema = "gram long, block long, off int, n int, first int, last int, hash long"
+        yield _rows(gram, block, off, n, at, first, last, None, 0)
+        window = (np.arange(repeats.shape[1]) < n[:, None]) & cut[:, None]
+        for times, cells in ((1, window & ~repeats), (2, window & repeats)):
+            at, i = np.nonzero(cells)
+            h = hashes(at, i)
+            if times == 2:
+                different = np.unique(np.column_stack([gram[at], off[at] - i, h]), axis=0, return_index=True)[1]
+                at, i, h = at[different], i[different], h[different]
+            yield _rows(gram, block, off, n, at, i, i, h, times)
+
+    schema = "gram long, block long, off int, n int, first int, last int, hash long, times int"
     return blocks.repartitionByRange(parts, "right", "left").mapInArrow(run, schema)
 
 
-def _rows(gram, block, off, n, at, first, last, hashes) -> pa.RecordBatch:
+def _rows(gram, block, off, n, at, first, last, hashes, times) -> pa.RecordBatch:
     columns = [gram[at], block[at], off[at].astype(np.int32), n[at].astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
-    last_column = pa.nulls(len(at), pa.int64()) if hashes is None else pa.array(hashes)
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), last_column], [*BLOCK, "first", "last", "hash"])
+    own = pa.nulls(len(at), pa.int64()) if hashes is None else pa.array(hashes)
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), own, pa.array(np.full(len(at), times, np.int32))], [*BLOCK, "first", "last", "hash", "times"])
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -255,9 +260,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BUCKET_BLOCKS))
     out = stored(sorted_buckets(blocks, length, parts), "sorted-suffixes")
     edges = out.where("hash IS NOT NULL").withColumn("place", F.col("off") - F.col("first"))
-    # Each block with its own windows, once: a block that occurs twice counts for two.
-    met = edges.join(counted.select(*BLOCK, "c"), BLOCK).groupBy("gram", "place", "hash").agg(F.sum("c").alias("c_")).where("c_ > 1")
-    across = edges.join(stored(met, "across-buckets"), ["gram", "place", "hash"], "left_semi").select(*BLOCK, "first", "last")
+    met = edges.groupBy("gram", "place", "hash").agg(F.sum("times").alias("t_")).where("t_ > 1")
+    across = edges.where("times = 1").join(stored(met, "across-buckets"), ["gram", "place", "hash"], "left_semi").select(*BLOCK, "first", "last")
     whole = counted.where("c > 1").select(*BLOCK, F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     runs = stored(out.where("hash IS NULL").select(*BLOCK, "first", "last").unionByName(across).unionByName(whole), "repeated-windows")
     runs = stored(runs.groupBy(*BLOCK).agg(F.collect_set(F.struct("first", "last")).alias("runs")), "runs")
