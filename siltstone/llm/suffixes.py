@@ -8,10 +8,11 @@ equal anchors at equal places, and about one suffix in 150 bytes is enough to fi
 2. Grams that occur once can't repeat.  Equal blocks are counted together (so copies of a text, however many, are one row); where a block
    occurs twice, all its windows repeat.
 3. Blocks of a gram that has different blocks are suffixes to be sorted.  Sampled splitters range-partition them by their leading bytes from
-   the anchor on (then by the bytes before it, backwards; no two keys are equal, so any group can be split).  Each bucket sorts its suffixes
-   by multikey quicksort, and the bytes that neighbours share to the right and to the left tell which windows they share; so does an order by the
+   the anchor on: the gram's bytes, and for grams with more than BUCKET_BLOCKS blocks all bytes from there and then those before, backwards, so that no
+   two keys of such a gram are equal and any number of blocks can be split.  Each bucket sorts its suffixes by multikey quicksort, and the bytes that neighbours share to the right and to the left tell which windows they share; so does an order by the
    bytes to the left.  Windows that both orders leave open are compared by hash.
-4. A gram's blocks may lie on both sides of a splitter: the windows of a bucket's first and last gram are compared across all buckets.
+4. A large gram's blocks lie on both sides of splitters.  A suffix shares no more with those beyond than with the bucket's first or last one; the windows within that are
+   compared across all buckets.
 5. The windows found go back to every text that holds the block, and each text is cut once.
 
 Grams, blocks and texts are told apart by 64-bit hashes (texts by two of them), and windows within a gram by one more.
@@ -93,8 +94,8 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (gram, block, off, n, c, key_a, key_b, lo) -> (gram, block, off, n, c, right, left): the bytes from the anchor on, and those before it backwards."""
-    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct(*BLOCK, "c", "lo")).alias("blocks"))
+    """wanted (gram, block, off, n, c, large, key_a, key_b, lo) -> (gram, block, off, n, c, large, right, left): the bytes from the anchor on, and those before it backwards."""
+    lists = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct(*BLOCK, "c", "large", "lo")).alias("blocks"))
     lists = stored(lists, "wanted-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,12 +109,12 @@ def fetched(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 data = text.as_py().encode()
                 for x in blocks:
                     own, off = data[x["lo"] : x["lo"] + x["n"] - 1 + length], x["off"]
-                    out.append((x["gram"], x["block"], off, x["n"], x["c"], own[off:], own[:off][::-1]))
+                    out.append((x["gram"], x["block"], off, x["n"], x["c"], x["large"], own[off:], own[:off][::-1]))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], [*BLOCK, "c", "right", "left"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], [*BLOCK, "c", "large", "right", "left"])
 
-    return texts.join(lists, KEYS).mapInArrow(run, "gram long, block long, off int, n int, c long, right binary, left binary")
+    return texts.join(lists, KEYS).mapInArrow(run, "gram long, block long, off int, n int, c long, large boolean, right binary, left binary")
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -161,8 +162,8 @@ def _shared(rows: np.ndarray, sizes: np.ndarray, p: np.ndarray, q: np.ndarray) -
 
 
 def bucket_repeats(gram: np.ndarray, off: np.ndarray, n: np.ndarray, c: np.ndarray, right: pa.Array, left: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeats, cut, starts' hashes): for each block and window whether the window occurs twice among these blocks; for each block whether its gram
-    is the first or last in order; and a function that hashes windows (block, window)."""
+    """(repeats, edge, hashes): for each block and window whether the window occurs twice among these blocks, and whether the block before the first
+    in order, or after the last, could hold it; and a function that hashes windows (block, window)."""
     rights, right_size = _matrix(right, length)
     lefts, left_size = _matrix(left, length)
     window = np.arange(int(n.max()))
@@ -206,8 +207,11 @@ def bucket_repeats(gram: np.ndarray, off: np.ndarray, n: np.ndarray, c: np.ndarr
         twice[order[1:]] |= equal
         twice[order[:-1]] |= equal
         repeats[block[twice], i[twice]] = True
-    cut = np.isin(gram, gram[by_right[[0, -1]]])
-    return repeats, cut, hashes
+    reach = np.zeros(len(n), np.int64)
+    for end in by_right[[0, -1]]:
+        own = np.flatnonzero(gram == gram[end])
+        reach[own] = np.maximum(reach[own], _shared(rights, right_size, own, np.full(len(own), end)))
+    return repeats, inside & (window <= (off + reach - length)[:, None]), hashes
 
 
 def sorted_buckets(blocks: DataFrame, length: int, parts: int) -> DataFrame:
@@ -222,14 +226,14 @@ def sorted_buckets(blocks: DataFrame, length: int, parts: int) -> DataFrame:
         names = [rows.column(x).to_numpy() for x in BLOCK]
         keep = np.sort(np.unique(np.column_stack(names), axis=0, return_index=True)[1])
         rows, (gram, block, off, n) = rows.take(pa.array(keep)), (x[keep] for x in names)
-        c = rows.column("c").to_numpy()
-        repeats, cut, hashes = bucket_repeats(gram, off.astype(np.int64), n.astype(np.int64), c, rows.column("right").combine_chunks(), rows.column("left").combine_chunks(), length)
+        c, large = rows.column("c").to_numpy(), rows.column("large").to_numpy(zero_copy_only=False)
+        repeats, edge_windows, hashes = bucket_repeats(gram, off.astype(np.int64), n.astype(np.int64), c, rows.column("right").combine_chunks(), rows.column("left").combine_chunks(), length)
         edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (at, first), (_, after) = np.nonzero(edge == 1), np.nonzero(edge == -1)
         lone = c[at] == 1  # blocks that occur twice are known already
         at, first, last = at[lone], first[lone], after[lone] - 1
         yield _rows(gram, block, off, n, at, first, last, None, 0)
-        window = (np.arange(repeats.shape[1]) < n[:, None]) & cut[:, None]
+        window = edge_windows & large[:, None]
         for times, cells in ((1, window & ~repeats), (2, window & repeats)):
             at, i = np.nonzero(cells)
             h = hashes(at, i)
@@ -239,7 +243,8 @@ def sorted_buckets(blocks: DataFrame, length: int, parts: int) -> DataFrame:
             yield _rows(gram, block, off, n, at, i, i, h, times)
 
     schema = "gram long, block long, off int, n int, first int, last int, hash long, times int"
-    return blocks.repartitionByRange(parts, "right", "left").mapInArrow(run, schema)
+    more = (F.when(F.col("large"), F.col(c)) for c in ("right", "left"))
+    return blocks.repartitionByRange(parts, F.substring("right", 1, gram_length(length)), *more).mapInArrow(run, schema)
 
 
 def _rows(gram, block, off, n, at, first, last, hashes, times) -> pa.RecordBatch:
@@ -255,8 +260,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = stored(found.join(twice, "gram", "left_semi"), "repeated-anchors")
     counted = found.groupBy(*BLOCK).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*KEYS, "lo")).alias("where_"))
     counted = stored(counted.select(*BLOCK, "c", "where_.*"), "blocks")
-    several = stored(counted.groupBy("gram").agg(F.count(F.lit(1)).alias("v_")).where("v_ > 1").select("gram"), "varied-grams")
-    blocks = stored(fetched(texts, counted.join(several, "gram", "left_semi"), length), "suffixes")
+    several = counted.groupBy("gram").agg(F.count(F.lit(1)).alias("v_")).where("v_ > 1").select("gram", (F.col("v_") > BUCKET_BLOCKS).alias("large"))
+    blocks = stored(fetched(texts, counted.join(stored(several, "varied-grams"), "gram"), length), "suffixes")
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // BUCKET_BLOCKS))
     out = stored(sorted_buckets(blocks, length, parts), "sorted-suffixes")
     edges = out.where("hash IS NOT NULL").withColumn("place", F.col("off") - F.col("first"))
