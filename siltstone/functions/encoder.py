@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from siltstone.schemas import VECTORS
+
 QUERY_TOKENS = 32
 DOCUMENT_TOKENS = 8192
 _CAMEL = re.compile("([a-z0-9])([A-Z])")
@@ -116,7 +118,8 @@ def bisected(embed, texts: list[str]) -> list:
 
 
 def embedded(documents: DataFrame, encoder: Encoder, batch: int = 32) -> DataFrame:
-    """documents (chunk_id, file_path, retrieval_text) -> (chunk_id, file_path, token_pos, vec), in batches; the encoder is prepared once per task."""
+    """documents (chunk_id, file_path, retrieval_text) -> (chunk_id, file_path, dims, matrix), in batches; the encoder is prepared once per task.  A text without tokens
+    has an empty matrix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder.prepare()
@@ -125,15 +128,15 @@ def embedded(documents: DataFrame, encoder: Encoder, batch: int = 32) -> DataFra
                 for i in range(0, len(rows), batch):
                     part = rows.iloc[i : i + batch]
                     out = []
-                    for (chunk, path), matrix in zip(part[["chunk_id", "file_path"]].itertuples(index=False), bisected(encoder.documents, part["retrieval_text"].fillna("").tolist())):
-                        if len({len(v) for v in matrix}) > 1:
+                    for (chunk, path), own in zip(part[["chunk_id", "file_path"]].itertuples(index=False), bisected(encoder.documents, part["retrieval_text"].fillna("").tolist())):
+                        if len({len(v) for v in own}) > 1:
                             raise ValueError("vectors of different lengths")
-                        out += [(chunk, path, k, v) for k, v in enumerate(matrix)]
-                    yield pd.DataFrame(out, columns=["chunk_id", "file_path", "token_pos", "vec"])
+                        out.append((chunk, path, len(own[0]) if own else 0, np.asarray(own, np.float32).ravel()))
+                    yield pd.DataFrame(out, columns=["chunk_id", "file_path", "dims", "matrix"])
         finally:
             encoder.close()
 
-    return documents.select("chunk_id", "file_path", "retrieval_text").mapInPandas(run, "chunk_id STRING, file_path STRING, token_pos INT, vec ARRAY<FLOAT>")
+    return documents.select("chunk_id", "file_path", "retrieval_text").mapInPandas(run, VECTORS)
 
 
 def query_vectors(spark, queries: list[tuple[str, str]], encoder: Encoder) -> DataFrame:

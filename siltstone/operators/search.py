@@ -1,10 +1,11 @@
 """Late-interaction vector search, hybrid reranking and neighbour reads.
 
-Queries come in batches: a table (query_id, q_row, vec) of query vectors.  Its size is fixed by the user's queries; it goes to the tasks in
-slices of QUERY_ROWS vectors, one pass over the vectors each, the rows of a query in one slice.
+A chunk is one row (chunk_id, dims, matrix): its vectors, one after the other.  Queries come in batches: a table (query_id, q_row, vec) of query
+vectors.  Its size is fixed by the user's queries; it goes to the tasks in slices of QUERY_ROWS vectors, one pass over the chunks each, the rows of a query
+in one slice.
 
-The exact search brings the vectors of a chunk together, adds up the maxima in the kernel, and each task sends its best rows of each query
-alone.  Beyond LARGE vectors a search goes by the shortlist: no vectors move but those of shortlisted chunks.
+The exact search is map-only: a task multiplies the matrices it reads with the slice and keeps the best chunks of each query; only those are shuffled.
+With an inverted file (``siltstone.operators.lists``) a search reads the lists next to its query vectors, and scores the shortlist exactly.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,10 +27,8 @@ from siltstone.scratch import stored
 
 #: Query vectors in one broadcast.
 QUERY_ROWS = 20_000
-#: Vectors beyond which a search goes by the shortlist, unless it is asked to be exact.
-LARGE = 5_000_000
-#: Shards of a shortlist over vectors that have none.
-SHARDS = 8
+#: Products that are held at once.
+PRODUCTS = 1 << 22
 #: Chunks that a task scores before it keeps the best of them.
 PRUNED_AT = 1 << 14
 
@@ -42,17 +41,17 @@ def matching(documents: DataFrame, *, kind: str | None = None, source_set: str |
     return documents
 
 
-def _passes(queries: DataFrame) -> Iterator[pa.Table]:
-    """The query vectors in slices of about QUERY_ROWS, each small enough to send to every task."""
+def passes(queries: DataFrame) -> Iterator[pa.Table]:
+    """The query vectors in slices of about QUERY_ROWS, each small enough to send to every task, in order of query and row."""
     rows = queries.select("query_id", "q_row", "vec")
     n = max(1, -(-rows.count() // QUERY_ROWS))
     for k in range(n):
         part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k)).toArrow()
         if part.num_rows:
-            yield part.combine_chunks()
+            yield part.sort_by([("query_id", "ascending"), ("q_row", "ascending")]).combine_chunks()
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """The vectors of a list column as rows of doubles; all must be equally long."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.unique(array.value_lengths().to_numpy(zero_copy_only=False)) if len(array) else np.array([0])
@@ -61,161 +60,146 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(array), int(sizes[0]))
 
 
-def _best(vectors: DataFrame, queries: DataFrame, *by: str, most: int | None = None) -> DataFrame:
-    """(by..., query_id, q_row, chunk_id, dot): per batch of vectors, the best product of each chunk with each query row, NaN ones left out; with
-    ``most`` only the first so many vectors per ``by`` and query row count (of equal ones those of greater chunk_id), batch by batch.
-    One matrix product per batch; what comes back is a partial result, to be aggregated further."""
-    kinds = dict(vectors.dtypes) | {f"q_{k}": v for k, v in queries.dtypes}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"query_id {kinds['q_query_id']}", "q_row int", f"chunk_id {kinds['chunk_id']}", "dot double"])
-    names = [*by, "query_id", "q_row", "chunk_id", "dot"]
+def chunk_steps(batches: Iterator[pa.RecordBatch], width: int, dims: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(chunks, their vectors as rows, where each chunk's begin), in steps of at most PRODUCTS products with ``width`` query rows; chunks without vectors are left out."""
+    for whole in batches:
+        whole = whole.filter(pc.greater(pc.list_value_length(whole.column("matrix")), 0))
+        if not whole.num_rows:
+            continue
+        if set(whole.column("dims").unique().to_pylist()) != {dims}:
+            raise ValueError("vectors of different lengths")
+        sizes = whole.column("matrix").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) // dims
+        ends, at = np.cumsum(sizes), 0
+        while at < len(sizes):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + max(1, PRODUCTS // width), "right")))
+            part = whole.slice(at, to - at)
+            vectors = part.column("matrix").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            yield part, vectors, np.concatenate([[0], ends[at : to - 1] - base])
+            at = to
 
-    def searcher(part: pa.Table):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = _matrix(part.column("vec"))
-            step = max(1, (1 << 22) // len(q))
-            for whole in batches:
-                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                    own = _matrix(batch.column("vec"))
-                    if own.shape[1] != q.shape[1]:
-                        raise ValueError("vectors of different lengths")
-                    dots = own @ q.T
-                    dots[np.isnan(dots)] = -np.inf
-                    if most is None:
-                        code = batch.column("chunk_id").dictionary_encode().indices.to_numpy()
-                        order = np.argsort(code, kind="stable")
-                        first = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) > 0]))
-                        best, row = np.maximum.reduceat(dots[order], first, axis=0), order[first]
-                        at, col = np.nonzero(best > -np.inf)
-                        row, value = row[at], best[at, col]
-                    else:
-                        group = batch.column(by[0]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-                        place = np.empty(len(own), np.int64)
-                        place[pyarrow.compute.array_sort_indices(batch.column("chunk_id"), order="descending").to_numpy()] = np.arange(len(own))
-                        keep = []
-                        for g in np.unique(group):
-                            rows = np.flatnonzero(group == g)
-                            for j in range(len(q)):
-                                near = rows[np.lexsort((place[rows], -dots[rows, j]))[:most]]
-                                keep += [(r, j) for r in near.tolist() if dots[r, j] > -np.inf]
-                        row, col = (np.array(x, np.int64) for x in (zip(*keep) if keep else ((), ())))
-                        value = dots[row, col]
-                    rows, cols = pa.array(row), pa.array(col)
-                    data = [*(batch.column(c).take(rows) for c in by), part.column("query_id").take(cols).combine_chunks(), part.column("q_row").take(cols).cast(pa.int32()).combine_chunks(), batch.column("chunk_id").take(rows), pa.array(value)]
-                    yield pa.RecordBatch.from_arrays(data, names)
 
-        return run
-
-    out = [vectors.select(*dict.fromkeys([*by, "chunk_id", "vec"])).mapInArrow(searcher(part), schema) for part in _passes(queries)]
-    if not out:
-        return vectors.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, out)
+def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """All products; NaN ones count as none."""
+    dots = vectors @ q.T
+    dots[np.isnan(dots)] = -np.inf
+    return dots
 
 
 class _Scores:
-    """Scores of whole chunks for all queries of a slice; with ``k`` only the best of each query are kept (of equal ones the least ids)."""
+    """Scores of chunks for all queries of a slice; with ``k`` only the best of each query are kept (of equal ones the least ids)."""
 
     def __init__(self, part: pa.Table, k: int | None):
-        part = part.take(pyarrow.compute.sort_indices(part, [("query_id", "ascending"), ("q_row", "ascending")]))
-        self.q, ids = _matrix(part.column("vec")), part.column("query_id").to_numpy()
+        self.q, ids = matrix(part.column("vec")), part.column("query_id").to_numpy()
         self.first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         self.queries, self.k = part.column("query_id").take(pa.array(self.first)).combine_chunks(), k
-        self.ids: list = []
+        self.ids: list[pa.Array] = []
         self.scores: list[np.ndarray] = []
         self.n = 0
-        self.kept: list[tuple[np.ndarray, list, np.ndarray]] = []
-        self.open: tuple[object, np.ndarray] | None = None
 
-    def add(self, chunk_ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Vectors in order of their chunks; the last chunk may go on in the next batch."""
-        if vectors.shape[1] != self.q.shape[1]:
-            raise ValueError("vectors of different lengths")
-        dots = vectors @ self.q.T
-        dots[np.isnan(dots)] = -np.inf
-        at = np.flatnonzero(np.concatenate([[True], chunk_ids[1:] != chunk_ids[:-1]]))
-        best, names = np.maximum.reduceat(dots, at, axis=0), chunk_ids[at]
-        if self.open is not None:
-            if self.open[0] == names[0]:
-                best[0] = np.maximum(best[0], self.open[1])
-            else:
-                self._whole([self.open[0]], self.open[1][None])
-        self._whole(list(names[:-1]), best[:-1])
-        self.open = names[-1], best[-1]
-
-    def _whole(self, names: list, best: np.ndarray) -> None:
-        if not names:
-            return
+    def add(self, ids: pa.Array, vectors: np.ndarray, starts: np.ndarray) -> None:
+        best = np.maximum.reduceat(products(vectors, self.q), starts, axis=0)
         known = best > -np.inf
         score = np.add.reduceat(np.where(known, best, 0.0), self.first, axis=1)
         score[np.add.reduceat(known, self.first, axis=1, dtype=np.int64) == 0] = -np.inf
-        self.ids += names
+        self.ids.append(ids)
         self.scores.append(score)
-        self.n += len(names)
-        if self.n >= PRUNED_AT:
-            self._prune()
+        self.n += len(ids)
+        if self.k is None or self.n >= PRUNED_AT:
+            yield from self.rows()
 
-    def _prune(self) -> None:
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(query_id, chunk_id, score) of what was added since."""
         if not self.n:
             return
-        score, ids = np.concatenate(self.scores), np.array(self.ids)
-        place = np.unique(ids, return_inverse=True)[1]
-        for j in range(len(self.queries)):
-            rows = np.flatnonzero(score[:, j] > -np.inf)
-            if self.k is not None and len(rows) > self.k:
-                least = np.partition(score[rows, j], len(rows) - self.k)[len(rows) - self.k]
-                rows = rows[score[rows, j] >= least]
-                rows = rows[np.lexsort((place[rows], -score[rows, j]))[: self.k]]
-            self.kept.append((np.full(len(rows), j), [self.ids[r] for r in rows.tolist()], score[rows, j]))
+        score, ids = np.concatenate(self.scores), pa.concat_arrays(self.ids)
         self.ids, self.scores, self.n = [], [], 0
+        able = score > -np.inf
+        if self.k is not None and len(ids) > self.k:
+            able &= score >= np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k]
+        query, row = np.nonzero(able.T)
+        value = score[row, query]
+        if self.k is not None:
+            place = np.empty(len(ids), np.int64)
+            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((place[row], -value, query))
+            query, row, value = query[order], row[order], value[order]
+            begin = np.searchsorted(query, np.arange(len(self.queries)))
+            first = np.arange(len(query)) - begin[query] < self.k
+            query, row, value = query[first], row[first], value[first]
+        for i in range(0, len(row), 1 << 16):
+            s = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(query[s])), ids.take(pa.array(row[s])), pa.array(value[s])], ["query_id", "chunk_id", "score"])
+
 
-    def rows(self) -> tuple[np.ndarray, list, np.ndarray]:
-        if self.open is not None:
-            self._whole([self.open[0]], self.open[1][None])
-        self._prune()
-        return (np.concatenate([x[0] for x in self.kept]), [i for x in self.kept for i in x[1]], np.concatenate([x[2] for x in self.kept])) if self.kept else (np.zeros(0, np.int64), [], np.zeros(0))
+def _scored_schema(chunks: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
 
 
-def maxsim(vectors: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+def _union(parts: list[DataFrame], chunks: DataFrame, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+
+
+def maxsim(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score): the sum over query rows of the best product with the chunk's vectors, NaN ones left out; with ``k`` only the
-    best of each task, which are to be ranked further.  The vectors of a chunk are brought into one task."""
-    kinds = dict(vectors.dtypes) | {f"q_{c}": v for c, v in queries.dtypes}
-    schema = f"query_id {kinds['q_query_id']}, chunk_id {kinds['chunk_id']}, score double"
+    best of each task, which are to be ranked further.  Nothing is shuffled."""
+    schema = _scored_schema(chunks, queries)
 
     def scorer(part: pa.Table):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scores, kind = _Scores(part, k), None
-            step = max(1, (1 << 22) // len(scores.q))
-            for whole in batches:
-                kind = whole.schema.field("chunk_id").type
-                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                    scores.add(batch.column("chunk_id").to_numpy(zero_copy_only=False), _matrix(batch.column("vec")))
-            at, ids, value = scores.rows()
-            for i in range(0, len(at), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([scores.queries.take(pa.array(at[s])), pa.array(ids[s], kind), pa.array(value[s])], ["query_id", "chunk_id", "score"])
+            scores = _Scores(part, k)
+            for batch, vectors, starts in chunk_steps(batches, *scores.q.shape):
+                yield from scores.add(batch.column("chunk_id"), vectors, starts)
+            yield from scores.rows()
 
         return run
 
-    together = vectors.select("chunk_id", "vec").repartition("chunk_id").sortWithinPartitions("chunk_id")
-    out = [together.mapInArrow(scorer(part), schema) for part in _passes(queries)]
-    if not out:
-        return vectors.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, out)
+    return _union([chunks.select("chunk_id", "dims", "matrix").mapInArrow(scorer(part), schema) for part in passes(queries)], chunks, schema)
+
+
+def rescored(chunks: DataFrame, wanted: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) of the pairs wanted (query_id, chunk_id): each chunk meets the queries that want it, and no others."""
+    schema = _scored_schema(chunks, queries)
+    lists = stored(wanted.groupBy("chunk_id").agg(F.collect_set("query_id").alias("asked")), "asked")
+    met = chunks.select("chunk_id", "dims", "matrix").join(lists, "chunk_id")
+
+    def scorer(part: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, ids = matrix(part.column("vec")), part.column("query_id").to_pylist()
+            rows: dict = {}
+            for i, name in enumerate(ids):
+                rows.setdefault(name, []).append(i)
+            for batch, vectors, starts in chunk_steps(batches, *q.shape):
+                out, ends = [], [*starts[1:], len(vectors)]
+                for chunk, asked, s, e in zip(batch.column("chunk_id").to_pylist(), batch.column("asked").to_pylist(), starts, ends, strict=True):
+                    own = [name for name in asked if name in rows]
+                    if own:
+                        best = products(vectors[s:e], q[np.concatenate([rows[name] for name in own])]).max(axis=0)
+                        cuts = np.cumsum([0, *(len(rows[name]) for name in own)])
+                        out += [(name, chunk, float(b[b > -np.inf].sum())) for name, b in zip(own, (best[i:j] for i, j in zip(cuts, cuts[1:])), strict=True) if (b > -np.inf).any()]
+                kinds = (part.schema.field("query_id").type, batch.schema.field("chunk_id").type, pa.float64())
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], ["query_id", "chunk_id", "score"])
+
+        return run
+
+    return _union([met.mapInArrow(scorer(part), schema) for part in passes(queries)], chunks, schema)
 
 
 def dot_totals(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, n, total, best): how many vectors each query row met, the sum of all products and the greatest.  Every vector meets every
-    query row, in blocks; a batch sends one row per query row."""
+    query row, in blocks; a task sends one row per query row."""
     kinds = {f"q_{c}": v for c, v in queries.dtypes}
     schema = f"query_id {kinds['q_query_id']}, n long, total double, best double"
 
     def scorer(part: pa.Table):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = _matrix(part.column("vec"))
+            q = matrix(part.column("vec"))
             n, total, best = 0, np.zeros(len(q)), np.full(len(q), -np.inf)
-            step = max(1, (1 << 22) // len(q))
+            step = max(1, PRODUCTS // len(q))
             for whole in batches:
                 for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                    own = _matrix(batch.column("vec"))
+                    own = matrix(batch.column("vec"))
                     if own.shape[1] != q.shape[1]:
                         raise ValueError("vectors of different lengths")
                     dots = own @ q.T
@@ -225,16 +209,43 @@ def dot_totals(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
         return run
 
-    out = [vectors.select("vec").mapInArrow(scorer(part), schema) for part in _passes(queries)]
-    if not out:
-        return vectors.sparkSession.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, out).groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
+    out = _union([vectors.select("vec").mapInArrow(scorer(part), schema) for part in passes(queries)], vectors, schema)
+    return out.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"))
 
 
-def shortlist(vectors: DataFrame, queries: DataFrame, per_row: int, keep: int) -> DataFrame:
-    """(query_id, chunk_id, total): per shard and query row the ``per_row`` best vectors count; chunks are ranked by the sum over rows and
-    shards of their best.  vectors: (chunk_id, vec, shard).  Each batch sends at most ``per_row`` vectors per shard and query row."""
-    rows = _best(vectors, queries.withColumn("vec", sane(F.col("vec"))), "shard", most=per_row)
+def shortlist(chunks: DataFrame, queries: DataFrame, per_row: int, keep: int) -> DataFrame:
+    """(query_id, chunk_id, total): per shard and query row the ``per_row`` best vectors count (of equal ones those of greater chunk_id); chunks are ranked
+    by the sum over rows and shards of their best.  chunks: with a column shard.  Each step sends at most ``per_row`` vectors per shard and query row."""
+    types = dict(chunks.dtypes)
+    asked = queries.withColumn("vec", sane(F.col("vec")))
+    schema = f"shard {types['shard']}, query_id {dict(queries.dtypes)['query_id']}, q_row int, chunk_id {types['chunk_id']}, dot double"
+
+    def searcher(part: pa.Table):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = matrix(part.column("vec"))
+            for batch, vectors, starts in chunk_steps(batches, *q.shape):
+                dots = products(vectors, q)
+                owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(vectors)]))
+                shard = batch.column("shard").dictionary_encode().indices.to_numpy(zero_copy_only=False)[owner]
+                place = np.empty(len(starts), np.int64)
+                place[pc.array_sort_indices(batch.column("chunk_id"), order="descending").to_numpy()] = np.arange(len(starts))
+                for s in np.unique(shard):
+                    rows = np.flatnonzero(shard == s)
+                    own = dots[rows]
+                    able = own > -np.inf
+                    if len(rows) > per_row:
+                        able &= own >= np.partition(own, len(rows) - per_row, axis=0)[len(rows) - per_row]
+                    col, row = np.nonzero(able.T)
+                    order = np.lexsort((place[owner[rows[row]]], -own[row, col], col))
+                    col, row = col[order], row[order]
+                    first = np.arange(len(col)) - np.searchsorted(col, np.arange(len(q)))[col] < per_row
+                    col, row = col[first], row[first]
+                    chunk, at = pa.array(owner[rows[row]]), pa.array(col)
+                    yield pa.RecordBatch.from_arrays([batch.column("shard").take(chunk), part.column("query_id").take(at).combine_chunks(), part.column("q_row").take(at).cast(pa.int32()).combine_chunks(), batch.column("chunk_id").take(chunk), pa.array(own[row, col])], ["shard", "query_id", "q_row", "chunk_id", "dot"])
+
+        return run
+
+    rows = _union([chunks.select("chunk_id", "dims", "matrix", "shard").mapInArrow(searcher(part), schema) for part in passes(asked)], chunks, schema)
     near = W.partitionBy("query_id", "shard", "q_row").orderBy(F.desc("dot"), F.desc("chunk_id"))
     top = rows.withColumn("r", F.row_number().over(near)).where(F.col("r") <= per_row)
     best = top.groupBy("query_id", "shard", "q_row", "chunk_id").agg(F.max("dot").alias("best"))
@@ -248,17 +259,18 @@ def ranked(rows: DataFrame, score: str, k: int, by: str = "query_id") -> DataFra
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, top_k: int, *, two_stage: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact MaxSim over all vectors; with ``two_stage`` only over the shortlist."""
+def vector_search(chunks: DataFrame, queries: DataFrame, top_k: int, *, candidates: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, rank): exact MaxSim over all chunks; or over the pairs of ``candidates`` (query_id, chunk_id), and the chunks of ``fresh``."""
     if top_k <= 0:
-        return maxsim(vectors, queries).withColumn("rank", F.lit(0)).where(F.lit(False))
-    if two_stage:
-        short = shortlist(vectors, queries, max(8 * top_k, 32), max(20 * top_k, 100))
-        short = stored(short.select("query_id", "chunk_id"), "shortlist")
-        scores = maxsim(vectors.join(short.select("chunk_id").distinct(), "chunk_id", "left_semi"), queries).join(short, ["query_id", "chunk_id"], "left_semi")
-    else:
-        scores = maxsim(vectors, queries, top_k)
-    return ranked(scores, "score", top_k)
+        return maxsim(chunks, queries).withColumn("rank", F.lit(0)).where(F.lit(False))
+    scores = maxsim(chunks, queries, top_k) if candidates is None else rescored(chunks, candidates, queries)
+    return ranked(scores if fresh is None else scores.unionByName(maxsim(fresh, queries, top_k)), "score", top_k)
+
+
+def widths(top_k: int) -> tuple[int, int]:
+    """Of a search for ``top_k`` hits: chunks that are reranked, chunks that a shortlist holds."""
+    wide = max(10 * top_k, 50)
+    return wide, max(20 * wide, 100)
 
 
 def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
@@ -285,15 +297,14 @@ def hits(found: DataFrame, documents: DataFrame, queries: DataFrame, top_k: int)
     )
 
 
-def search(documents: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, *, exact: bool | None = None, **filters) -> DataFrame:
-    """Filter, vector search for max(10 k, 50) candidates, rerank, first k.  The vector search is exact, or goes by the shortlist, as
-    ``exact`` says; by default it is exact up to LARGE vectors."""
+def search(documents: DataFrame, chunks: DataFrame, queries: DataFrame, query_vectors: DataFrame, top_k: int = 5, *, near=None, **filters) -> DataFrame:
+    """Filter, vector search for max(10 k, 50) candidates, rerank, first k.  The vector search is exact over all chunks that pass the filters; with ``near``, a function
+    of (query vectors, how many chunks to keep, allowed chunks or None) that gives (candidates, fresh chunks), over those."""
     own = matching(documents, **filters)
-    left = vectors.join(own.select("chunk_id"), "chunk_id", "left_semi") if any(filters.values()) else vectors
-    two_stage = vectors.count() > LARGE if exact is None else not exact
-    if two_stage and "shard" not in left.columns:
-        left = left.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(SHARDS)).cast("int"))
-    return hits(vector_search(left, query_vectors, max(10 * top_k, 50), two_stage=two_stage), own, queries, top_k)
+    left = chunks.join(own.select("chunk_id"), "chunk_id", "left_semi") if any(filters.values()) else chunks
+    wide, keep = widths(top_k)
+    candidates, fresh = near(query_vectors, keep, own.select("chunk_id") if any(filters.values()) else None) if near else (None, None)
+    return hits(vector_search(left, query_vectors, wide, candidates=candidates, fresh=fresh), own, queries, top_k)
 
 
 def first_of_groups(rows: DataFrame, group: Column, rank: str, limit: int | None = None) -> DataFrame:
@@ -310,11 +321,26 @@ def enclosing_group() -> Column:
 
 
 def neighbours(targets: DataFrame, documents: DataFrame, limit: int = 2) -> DataFrame:
-    """(target_id, rank, chunk_id, ...): the nearest other chunks of the same file by start line, then id; a missing line is 0."""
-    own = targets.select(F.col("chunk_id").alias("target_id"), F.col("file_path"), F.coalesce("start_line", F.lit(0)).alias("at"))
-    met = own.join(documents, "file_path").where(F.col("chunk_id") != F.col("target_id")).withColumn("gap", F.abs(F.coalesce("start_line", F.lit(0)) - F.col("at")))
-    near = W.partitionBy("target_id").orderBy("gap", "chunk_id")
-    return met.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= limit)
+    """(target_id, rank, chunk_id, ...): the nearest other chunks of the same file by start line, then id; a missing line is 0.
+
+    Of one line only the ``limit`` + 1 least ids can be among the nearest, and of the lines before and after a target only the ``limit`` next ones.  So the
+    lines of a file are put in order once, each sees its neighbours there, and a target meets one row."""
+    line = F.coalesce("start_line", F.lit(0))
+    first = W.partitionBy("file_path", "line_").orderBy("chunk_id")
+    heads = documents.select("file_path", line.alias("line_"), "chunk_id").withColumn("r_", F.row_number().over(first)).where(F.col("r_") <= limit + 1)
+    lines = heads.groupBy("file_path", "line_").agg(F.collect_list(F.struct("line_", "chunk_id")).alias("heads_"))
+    own = targets.select(F.col("chunk_id").alias("target_id"), "file_path", line.alias("line_"))
+    # Lines of targets that aren't among the documents have no heads, and take the number of the line before.
+    lines = lines.unionByName(own.select("file_path", "line_").distinct().join(lines, ["file_path", "line_"], "left_anti"), allowMissingColumns=True)
+    before = W.partitionBy("file_path").orderBy("line_").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("number_", F.count("heads_").over(before))
+    around = W.partitionBy("file_path").orderBy("number_").rangeBetween(-limit, limit)
+    near = lines.withColumn("near_", F.flatten(F.collect_list("heads_").over(around))).select("file_path", "line_", "near_")
+    met = own.join(near, ["file_path", "line_"])
+    gaps = F.transform(F.filter("near_", lambda x: x["chunk_id"] != F.col("target_id")), lambda x: F.struct(F.abs(x["line_"] - F.col("line_")).alias("gap"), x["chunk_id"].alias("chunk_id")))
+    best = met.select("target_id", "file_path", F.posexplode(F.slice(F.array_sort(gaps), 1, limit)).alias("p", "n"))
+    rows = best.select("target_id", "file_path", F.col("n.chunk_id").alias("chunk_id"), F.col("n.gap").alias("gap"), (F.col("p") + 1).alias("rank"))
+    return rows.join(documents, ["file_path", "chunk_id"])
 
 
 def read(documents: DataFrame, chunk_id: str, *, surrounding: bool = True, limit: int = 2) -> DataFrame:

@@ -1,11 +1,12 @@
 """Index builds: scan, parse, resolve, document, embed, store.  Pending files go in batches, each a distributed job that ends in a staged
-manifest and a note of its files, so a build that dies goes on after its last batch; the new index is published at the end."""
+manifest, which names the batch's rows and its part of the build log; so a build that dies goes on after its last batch.  The new index is published at the end."""
 
 from __future__ import annotations
 
 import datetime
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,24 +16,44 @@ from siltstone.functions.encoder import Encoder, HashedEncoder, embedded
 from siltstone.observe import Timings, event, logger, measured
 from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
 from siltstone.operators.resolve import merged, resolved_chunks, type_index, visible_names
-from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, source_symbols
-from siltstone.scratch import stored
-from siltstone.sources.store import Store, upserted
+from siltstone.schemas import SYMBOLS
+from siltstone.scratch import scratch, stored
+from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, scan, source_symbols
+from siltstone.sources.store import Files, Store, upserted
 from siltstone.sources.workspace import Workspace, owners
 
-log = logger("indexing")
+log_ = logger("indexing")
 
 
 def now() -> str:
     return datetime.datetime.now(datetime.UTC).replace(microsecond=0).isoformat()
 
 
-def signature(paths: DataFrame) -> str:
-    """sha1 over the paths in order, each with a line end.  The driver streams them; it never holds them all."""
-    digest = hashlib.sha1()
-    for row in paths.select("path").distinct().orderBy("path").toLocalIterator():
-        digest.update(f"{row['path']}\n".encode())
-    return digest.hexdigest()
+#: Paths up to which a signature is the sha1 of the list itself; beyond, it is made in two levels.
+LISTED = 100_000
+DIGESTS = 1024
+
+
+def signatures(paths: DataFrame, *by: str) -> DataFrame:
+    """(by..., signature): the sha1 over the different paths in order, each with a line end.  For groups of at most about LISTED paths."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_set("path")), lambda p: F.concat(p, F.lit("\n"))), "")
+    return paths.groupBy(*by).agg(F.sha1(lines).alias("signature"))
+
+
+def digest(rows: DataFrame, column: str) -> str:
+    """sha256 over the different values of a column, whatever their order, in two levels: the values of each of DIGESTS hash groups in order, then the groups in
+    order.  The driver gets one digest a group."""
+    group = F.pmod(F.xxhash64(column), F.lit(DIGESTS)).alias("g")
+    each = rows.select(group, F.sha2(column, 256).alias("v")).distinct().groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("v")), "\n"), 256).alias("d"))
+    return hashlib.sha256("\n".join(f"{r['g']} {r['d']}" for r in each.orderBy("g").collect()).encode()).hexdigest()
+
+
+def signature(paths: DataFrame, total: int | None = None) -> str:
+    """Of a set of paths: up to LISTED of them as in ``signatures``, else their ``digest``."""
+    own = paths.select("path").distinct()
+    if (own.count() if total is None else total) > LISTED:
+        return digest(own, "path")
+    return signatures(own).first()["signature"]
 
 
 @dataclass(frozen=True)
@@ -71,25 +92,34 @@ def symbols(spark: SparkSession, workspace: Workspace, *, binaries: bool = False
 
 def fingerprint(spark: SparkSession, kind: str, roots: list[str], pattern: str, context: str = "") -> str:
     """sha256 over the kind, the context and (path, time, size) of the matching files.  Their contents aren't read."""
-    from siltstone.sources.files import scan
-
-    digest = hashlib.sha256(json.dumps([kind, context, sorted(roots)]).encode())
-    for r in scan(spark, roots, pattern, content=False).select("path", F.col("modificationTime").cast("string").alias("t"), "length").orderBy("path").toLocalIterator():
-        digest.update(json.dumps([r["path"], r["t"], r["length"]]).encode())
-    return digest.hexdigest()
+    rows = scan(spark, roots, pattern, content=False).select(F.to_json(F.array("path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))).alias("file"))
+    return hashlib.sha256(json.dumps([kind, context, sorted(roots), digest(rows, "file")]).encode()).hexdigest()
 
 
 class SymbolCache:
-    """Symbol tables by the fingerprint of their inputs; the same inputs give the same table."""
+    """Symbol tables by the fingerprint of their inputs; the same inputs give the same table.
+
+    With a ``path`` the tables are kept there, for other sessions too: each is written to a folder of its own, and a marker that names the folder makes it
+    known in one step.  Of two sessions that make the same table at once, the second takes that of the first."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.held = spark, {}
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.held = spark, path, {}
 
     def _get(self, key: str, make) -> DataFrame:
         if key not in self.held:
-            self.held[key] = stored(make(), "symbols")
+            self.held[key] = stored(make(), "symbols") if self.path is None else self._kept(key, make)
         return self.held[key]
 
+    def _kept(self, key: str, make) -> DataFrame:
+        files, marker = Files(self.spark), f"{self.path}/ready/{key}"
+        name = files.read(marker)
+        if name is None:
+            name = uuid.uuid4().hex
+            make().write.parquet(f"{self.path}/tables/{name}")
+            if not files.create(marker, name):
+                name = files.read(marker)
+        return self.spark.read.schema(SYMBOLS).parquet(f"{self.path}/tables/{name}")
+
     def source(self, roots: list[str], workspace: Workspace) -> DataFrame:
         context = repr(sorted(workspace.source_sets.items()))
 
@@ -138,38 +168,43 @@ def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     return files.join(done.select("path"), "path", "left_anti")
 
 
+def _batches(left: DataFrame, spark: SparkSession, batch_files: int) -> list[DataFrame]:
+    """The pending files (path, content) in batches of about ``batch_files``.  More than one are read once, into the shared folder, one part for each batch."""
+    n = -(-left.select("path").count() // batch_files)
+    if n <= 1:
+        return [left] if n else []
+    path = scratch(spark, "pending-files")
+    left.select("path", "content", F.pmod(F.xxhash64("path"), F.lit(n)).cast("int").alias("batch")).write.partitionBy("batch").parquet(path)
+    rows = spark.read.schema("path STRING, content BINARY, batch INT").parquet(path)
+    return [rows.where(F.col("batch") == k).drop("batch") for k in range(n)]
+
+
 def index_workspace(spark: SparkSession, store: Store, *, repo_root: str, workspace: Workspace, encoder: Encoder | None = None, binaries: bool = False, jdk_home: str | None = None, batch: int = 32, batch_files: int = BATCH_FILES) -> dict:
-    """Builds or resumes the index of the main source sets.  Returns the build state, with what was deferred and the timings."""
+    """Builds or resumes the index of the main source sets.  Returns the build state, with what was deferred and the timings.  What became of each file is in the
+    store's build log, to which each batch appends its files in the step that stages its rows."""
     encoder, times, at = encoder or HashedEncoder(), Timings(), now()
     main = workspace.main_only()
     with measured() as watch:
         chosen = selected(spark, workspace)
         total = chosen.files.select("path").distinct().count()
-        state = store.start(repo_root, signature(chosen.files), encoder.name, at, total)
+        store.start(repo_root, signature(chosen.files, total), encoder.name, at, total)
+        batches = _batches(pending(chosen.files, stored(store.done(), "done")), spark, batch_files)
     times.add("select", watch.seconds)
-    done = spark.createDataFrame([(p,) for p in state["completed_files"]], "path STRING")
-    left = pending(chosen.files, done)
-    n = max(1, -(-(total - len(state["completed_files"])) // batch_files))
-    cache, indexed, failures_ = SymbolCache(spark), 0, 0
-    for k in range(n):
-        own = left.where(F.pmod(F.xxhash64("path"), F.lit(n)) == k) if n > 1 else left
+    cache = SymbolCache(spark, f"{store.path}/symbols")
+    for own in batches:
         with measured() as watch:
             documents, failures = build(own, repo_root, main, spark, at, binaries=binaries, jdk_home=jdk_home, cache=cache)
-            failed = {r["path"]: r["error"] for r in failures.collect()}
+            failures = stored(failures.groupBy("path").agg(F.min("error").alias("error")), "failures")
         times.add("parse", watch.seconds)
         with measured() as watch:
             changed = own.select(F.substr("path", F.lit(len(repo_root.rstrip("/")) + 2)).alias("file_path"))
-            ok = [r["path"] for r in own.select("path").toLocalIterator() if r["path"] not in failed]
-            if ok or failed:
-                documents = stored(documents, "documents")
-                store.replace_files(changed, documents, embedded(documents, encoder, batch), encoder.name, at, staged=True)
-                state = store.progress(ok, failed, state["documents_indexed"] + documents.count())
+            documents = stored(documents, "documents")
+            log = own.select("path").join(failures, "path", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
+            store.replace_files(changed, documents, embedded(documents, encoder, batch), encoder.name, at, staged=True, log=log)
         times.add("embed_and_persist", watch.seconds)
-        indexed, failures_ = indexed + len(ok), failures_ + len(failed)
+    store.compact()
     state = store.finish()
-    whole = store.read("documents")
-    state = store.put_state(state | {"documents_indexed": whole.count() if whole is not None else 0})
-    event(log, "indexed workspace", files=indexed, failed=failures_, documents=state["documents_indexed"], **{f"{k}_ms": v for k, v in times.all_ms().items()})
+    event(log_, "indexed workspace", files=state["completed"], failed=state["failed"], documents=state["documents_indexed"], **{f"{k}_ms": v for k, v in times.all_ms().items()})
     return state | {"deferred_source_sets": chosen.deferred_sets, "deferred_files": chosen.deferred_files, "timings_ms": times.all_ms()}
 
 

@@ -12,14 +12,15 @@ from pyspark.sql.types import StructType
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
 from siltstone.functions.encoder import HashedEncoder, embedded
-from siltstone.functions.vectors import sane
+from siltstone.functions.vectors import matrices, sane
 from siltstone.operators import evaluate as E
+from siltstone.operators import lists as IVF
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
 from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
 from siltstone.plans import indexing as I
 from siltstone.schemas import CHUNKS, DOCUMENTS
-from siltstone.scratch import scratch
+from siltstone.scratch import scratch, stored
 from siltstone.sources import store as T
 from siltstone.sources.files import chunks, scan, source_symbols, top_level_types
 from siltstone.sources.workspace import Workspace, closure, inferred_edges, owners
@@ -122,6 +123,11 @@ def _vectors(spark, sf_dir):
     return own.select(F.expr("vec_id div 5").alias("chunk_id"), F.expr("cast(vec_id % 5 as int)").alias("token_pos"), F.col("embedding").alias("vec"), F.col("label").alias("shard"))
 
 
+def _chunks(spark, sf_dir):
+    """The index: one row per chunk, stored; searches only read it."""
+    return stored(matrices(_vectors(spark, sf_dir)), "chunks")
+
+
 def _queries(spark, sf_dir):
     return _vectors(spark, sf_dir).where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("token_pos").alias("q_row"), "vec")
 
@@ -140,7 +146,17 @@ def vector_dot(spark, sf_dir):
 
 @query(f"WITH {MAXSIM} SELECT query_id, chunk_id, round(score, 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 50")
 def maxsim_topk(spark, sf_dir):
-    return S.vector_search(_vectors(spark, sf_dir), _queries(spark, sf_dir), 50).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return S.vector_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(SQL["maxsim_topk"])
+def probed_lists(spark, sf_dir):
+    """The same by an inverted file whose lists are all probed: the shortlist of 200 holds the 50 best."""
+    chunks, path = _chunks(spark, sf_dir), scratch(spark, "lists")
+    own = IVF.centroids(chunks)
+    IVF.write_lists(chunks, own, path)
+    near = IVF.candidates(spark.read.parquet(path), own, _queries(spark, sf_dir), 200, probes=len(own))
+    return S.vector_search(chunks, _queries(spark, sf_dir), 50, candidates=near).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -149,7 +165,7 @@ def maxsim_topk(spark, sf_dir):
     SELECT query_id, chunk_id, round(total, 6) AS total FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY total DESC, chunk_id) <= 20"""
 )
 def ann_shortlist(spark, sf_dir):
-    return S.shortlist(_vectors(spark, sf_dir), _queries(spark, sf_dir), 8, 20).select("query_id", "chunk_id", F.round("total", 6).alias("total"))
+    return S.shortlist(matrices(_vectors(spark, sf_dir), "shard"), _queries(spark, sf_dir), 8, 20).select("query_id", "chunk_id", F.round("total", 6).alias("total"))
 
 
 def _search(spark, sf_dir, **filters):
@@ -162,7 +178,7 @@ def _search(spark, sf_dir, **filters):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     vectors = _vectors(spark, sf_dir)
     query_vectors = vectors.join(asked, F.col("chunk_id") == F.col("query_id"), "left_semi").select(F.col("chunk_id").alias("query_id"), F.col("token_pos").alias("q_row"), "vec")
-    hits = S.search(documents, vectors, asked, query_vectors, 10, **filters)
+    hits = S.search(documents, _chunks(spark, sf_dir), asked, query_vectors, 10, **filters)
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "confidence", "has_more")
 
 
@@ -335,9 +351,7 @@ def resolve_precedence(spark, sf_dir):
 @query("SELECT n_regionkey, sha1(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS signature FROM nation GROUP BY 1")
 def signature_hash(spark, sf_dir):
     """The signature of each region's names."""
-    names = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("path"))
-    rows = [(r, I.signature(names.where(F.col("n_regionkey") == r))) for r in range(5)]
-    return spark.createDataFrame(rows, "n_regionkey INT, signature STRING")
+    return I.signatures(table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("path")), "n_regionkey")
 
 
 @query("SELECT p_partkey, substr(sha1('/repo/' || p_brand), 1, 12) || ':' || p_type || ':method:p.' || p_name || '(' || p_size || ')' AS chunk_id FROM part")
@@ -674,8 +688,8 @@ def hybrid_boosts(spark, sf_dir):
 def encoded_tokens(spark, sf_dir):
     """How many vectors each text gets, and of how many numbers."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("f").alias("file_path"), F.col("text").alias("retrieval_text"))
-    out = embedded(rows, HashedEncoder()).groupBy(F.col("chunk_id").cast("long").alias("doc_id"))
-    return out.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"))
+    out = embedded(rows, HashedEncoder()).where("dims > 0")
+    return out.select(F.col("chunk_id").cast("long").alias("doc_id"), (F.size("matrix") / F.col("dims")).cast("long").alias("n"), "dims")
 
 
 EVAL_CASES = """WITH h AS (SELECT doc_id % 40 AS case_id, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank, 'p.' || lang AS symbol, source, doc_id % 997 AS a FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
@@ -703,7 +717,7 @@ def stored_snapshot(spark, sf_dir):
     own = table(spark, sf_dir, "documents")
     given = {"chunk_id": F.col("doc_id").cast("string"), "file_path": F.coalesce("source", F.lit("none")), "source_text": F.col("text"), "indexed_at": F.lit("old")}
     documents = own.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DOCUMENTS).fields))
-    vectors = documents.select("chunk_id", "file_path", F.lit(0).alias("token_pos"), F.array(F.lit(1.0).cast("float")).alias("vec"))
+    vectors = documents.select("chunk_id", "file_path", F.lit(1).alias("dims"), F.array(F.lit(1.0).cast("float")).alias("matrix"))
     store = T.Store(spark, scratch(spark, "store"))
     store.save(documents, vectors, "model", "old")
     changed = spark.createDataFrame([("src3",), ("src4",)], "file_path STRING")

@@ -15,19 +15,20 @@ from siltstone.schemas import EVAL_SUITE
 from siltstone.sources.store import Files, Store
 
 
-def search_code(spark: SparkSession, store: Store, query: str, *, top_k: int = 5, encoder: Encoder | None = None, **filters: str | None) -> DataFrame:
+def search_code(spark: SparkSession, store: Store, query: str, *, top_k: int = 5, encoder: Encoder | None = None, probes: int | None = None, **filters: str | None) -> DataFrame:
     """Hits of one query, best first."""
-    return search_many(spark, store, [("q", query)], top_k=top_k, encoder=encoder, **filters).orderBy("rank")
+    return search_many(spark, store, [("q", query)], top_k=top_k, encoder=encoder, probes=probes, **filters).orderBy("rank")
 
 
-def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]], *, top_k: int = 5, encoder: Encoder | None = None, exact: bool | None = None, **filters: str | None) -> DataFrame:
-    """Hits of many (id, text) queries in one plan."""
+def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]], *, top_k: int = 5, encoder: Encoder | None = None, probes: int | None = None, **filters: str | None) -> DataFrame:
+    """Hits of many (id, text) queries in one plan: exact, or with ``probes`` by the inverted file, of which each query vector reads so many lists."""
     documents, vectors = store.read("documents"), store.read("vectors")
     if documents is None:
         raise LookupError("there is no index")
     encoder = encoder or HashedEncoder()
     asked = spark.createDataFrame([(i, q.strip()) for i, q in queries], "query_id STRING, query STRING")
-    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, exact=exact, **filters)
+    near = None if probes is None else lambda qv, keep, allowed: store.near(qv, keep, probes, allowed)
+    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, near=near, **filters)
 
 
 def read_code(store: Store, chunk_id: str, *, surrounding: bool = True, limit: int = 2):

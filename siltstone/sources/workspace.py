@@ -155,15 +155,19 @@ def owners(files: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(start, node): what each seed (start) reaches over edges (src, dst), itself included.  Edges may form cycles; ends when nothing is new."""
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
-    reached = front = stored(seeds.select("start", F.col("start").alias("node")).distinct(), "reached")
-    while True:
-        step = front.join(edges, front["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        front = stored(step.join(reached, ["start", "node"], "left_anti"), "front")
-        if not front.head(1):
-            return reached
-        reached = stored(reached.unionByName(front), "reached")
+    """(start, node): what each seed (start) reaches over edges (src, dst), itself included.  Edges may form cycles; ends when nothing is new.
+
+    The relation is squared: each round joins the pairs found last with all known ones, so paths of twice the length are known after it, and the number of rounds is
+    the logarithm of the longest path."""
+    known = front = stored(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    while front.head(1):
+        ahead = front.join(known.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst").select("src", F.col("next").alias("dst"))
+        behind = front.join(known.select("src", F.col("dst").alias("mid")).select(F.col("src").alias("first"), "mid"), front["src"] == F.col("mid")).select(F.col("first").alias("src"), "dst")
+        step = ahead.unionByName(behind).where("src <> dst").distinct()
+        front = stored(step.join(known, ["src", "dst"], "left_anti"), "front")
+        known = stored(known.unionByName(front), "reached")
+    own = seeds.select("start").distinct()
+    return own.select("start", F.col("start").alias("node")).unionByName(own.join(known, own["start"] == known["src"]).select("start", F.col("dst").alias("node")))
 
 
 def inferred_edges(classpath: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Keeping an index fresh from a stream of change events (path, ts, deleted).
 
 Events of one path are gathered by session windows, so a burst of edits is one refresh, and a watermark closes windows and
-drops late ones.  Each micro-batch replaces the rows of its files; replaying a batch writes the same rows again.
+drops late ones.  Each micro-batch replaces the rows of its files, and the new version holds the batch's number: a batch that is replayed after a failure
+changes nothing.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ def debounced(events: DataFrame, gap: str = "2 seconds", late: str | None = "10
     return out.drop("w")
 
 
-def refresh(spark: SparkSession, store: Store, bursts: DataFrame, *, repo_root: str, workspace: Workspace | None = None, encoder: Encoder | None = None) -> int | None:
-    """Applies one batch of bursts: changed files are parsed anew, deleted ones leave the index."""
+def refresh(spark: SparkSession, store: Store, bursts: DataFrame, *, repo_root: str, workspace: Workspace | None = None, encoder: Encoder | None = None, batch: tuple[str, int] | None = None) -> int | None:
+    """Applies one batch of bursts: changed files are parsed anew, deleted ones leave the index.  Returns the new version; None if there is nothing to do, or if the
+    index holds ``batch`` (the stream's name and the batch's number) already."""
+    if batch is not None and store.applied(batch):
+        return None
     last = bursts.groupBy("path").agg(F.max_by("deleted", "last").alias("deleted"))
     rows = last.collect()  # one row per file that was edited in this batch
     if not rows:
@@ -34,14 +38,14 @@ def refresh(spark: SparkSession, store: Store, bursts: DataFrame, *, repo_root:
     there = present(spark, [r["path"] for r in rows if not r["deleted"]])
     documents, _ = build(java_files(spark, there), repo_root, workspace, spark, at)
     changed = spark.createDataFrame([(r["path"][len(repo_root.rstrip("/")) + 1 :],) for r in rows], "file_path STRING")
-    return store.replace_files(changed, documents, embedded(documents, encoder), encoder.name, at)
+    return store.replace_files(changed, documents, embedded(documents, encoder), encoder.name, at, batch=batch)
 
 
 def watch(spark: SparkSession, store: Store, events: DataFrame, checkpoint: str, *, repo_root: str, workspace: Workspace | None = None, encoder: Encoder | None = None, gap: str = "2 seconds", late: str = "10 seconds", once: bool = False):
     """Starts the stream; with ``once`` it takes what is there and ends."""
 
-    def apply(batch: DataFrame, _: int) -> None:
-        refresh(spark, store, batch, repo_root=repo_root, workspace=workspace, encoder=encoder)
+    def apply(batch: DataFrame, number: int) -> None:
+        refresh(spark, store, batch, repo_root=repo_root, workspace=workspace, encoder=encoder, batch=(checkpoint, number))
 
     writer = debounced(events, gap, late).writeStream.outputMode("append").foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,19 +1,24 @@
 import json
+import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
 from siltstone.functions.encoder import HashedEncoder, bisected, embedded
+from siltstone.functions.vectors import matrices
 from siltstone.operators import evaluate as E
+from siltstone.operators import lists
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
 from siltstone.operators.documents import index_documents, retrieval_documents
 from siltstone.plans import indexing, retrieval
+from siltstone.scratch import stored
 from siltstone.sources import files, store
-from siltstone.sources.workspace import Workspace, export_command, owners, split_key, validate
+from siltstone.sources.workspace import Workspace, closure, export_command, owners, split_key, validate
 from siltstone.streaming.refresh import debounced, refresh
 
 
@@ -53,17 +58,60 @@ def test_hybrid_score_by_hand(spark):
     assert rows[0].why_matched[0] == "semantic" and "lookup_terms:lookup, resolve" in rows[0].why_matched and rows[0].symbol == "com.app.BeanLocator.getBean" and rows[0].confidence == "high"
 
 
+def chunk_rows(spark, rows, *keep):
+    """(chunk_id, vec, keep...) rows as chunks."""
+    kinds = "".join(f", {k} INT" for k in keep)
+    own = [(c, i, v, *rest) for i, (c, v, *rest) in enumerate(rows)]
+    return matrices(spark.createDataFrame(own, f"chunk_id STRING, token_pos INT, vec ARRAY<FLOAT>{kinds}").repartition(5), *keep)
+
+
 def test_vector_search_and_shortlist(spark):
     rows = [(f"chunk-{i:03d}", [150.0 - i, 0.0], i % 3) for i in range(150)] + [("nan", [float("nan"), 0.0], 0)]
-    vectors = spark.createDataFrame(rows, "chunk_id STRING, vec ARRAY<FLOAT>, shard INT")
+    chunks = chunk_rows(spark, rows, "shard")
     q = spark.createDataFrame([("q", 0, [1.0, 0.0])], "query_id STRING, q_row INT, vec ARRAY<FLOAT>")
-    for two in (False, True):
-        got = S.vector_search(vectors, q, 2, two_stage=two).orderBy("rank").collect()
+    some = spark.createDataFrame([("q", "chunk-000"), ("q", "chunk-001"), ("q", "chunk-002"), ("other", "chunk-000")], "query_id STRING, chunk_id STRING")
+    for candidates in (None, some):
+        got = S.vector_search(chunks, q, 2, candidates=candidates).orderBy("rank").collect()
         assert [(r.chunk_id, r.score) for r in got] == [("chunk-000", 150.0), ("chunk-001", 149.0)]
-    assert S.vector_search(vectors, q, 0).count() == 0
-    assert S.shortlist(vectors, q, 8, 100).count() == 24
+    assert S.vector_search(chunks, q, 0).count() == 0
+    assert S.shortlist(chunks, q, 8, 100).count() == 24
     with pytest.raises(Exception, match="different lengths"):
-        S.maxsim(vectors.withColumn("vec", F.array(F.lit(1.0).cast("float"))), q).collect()
+        S.maxsim(chunks.withColumns({"matrix": F.array(F.lit(1.0).cast("float")), "dims": F.lit(1)}), q).collect()
+    with pytest.raises(Exception, match="different lengths"):
+        chunk_rows(spark, [("a", [1.0]), ("a", [1.0, 2.0])]).collect()
+
+
+def test_a_search_shuffles_no_vectors(spark):
+    """Chunks are read and multiplied in one stage; what is shuffled are each task's best rows."""
+    chunks = chunk_rows(spark, [(f"c{i}", [float(i), 1.0]) for i in range(50)])
+    stored_chunks = stored(chunks, "chunks")
+    q = spark.createDataFrame([("q", 0, [1.0, 0.0])], "query_id STRING, q_row INT, vec ARRAY<FLOAT>")
+    plan = S.maxsim(stored_chunks, q, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Sort" not in plan
+
+
+def test_inverted_file(spark, tmp_path):
+    """Recall against the exact search with a shortlist of 4 % of the chunks; lists that aren't probed aren't read."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    rows = [(f"c{i // 5:04}", (centres[rng.integers(40)] + 0.6 * rng.normal(size=16)).tolist()) for i in range(5000)]
+    asked = [(f"q{i // 4}", i % 4, (centres[rng.integers(40)] + 0.6 * rng.normal(size=16)).tolist()) for i in range(80)]
+    chunks = stored(chunk_rows(spark, rows), "chunks")
+    q = spark.createDataFrame(asked, "query_id STRING, q_row INT, vec ARRAY<FLOAT>")
+    own, path = lists.centroids(chunks, 64), str(tmp_path / "lists")
+    assert own.shape == (64, 16) and np.allclose(np.linalg.norm(own, axis=1), 1)
+    lists.write_lists(chunks, own, path)
+    table = spark.read.parquet(path)
+    assert table.agg(F.sum(F.size("matrix"))).first()[0] == 5000 * 16
+    best = {(r.query_id, r.chunk_id) for r in S.vector_search(chunks, q, 10).collect()}
+    found = {}
+    for probes in (4, 16, 64):
+        near = lists.candidates(table, own, q, 40, probes)
+        found[probes] = len(best & {(r.query_id, r.chunk_id) for r in S.vector_search(chunks, q, 10, candidates=near).collect()}) / len(best)
+    assert found[4] <= found[16] <= found[64] == 1 and found[16] >= 0.9
+    one = q.where("query_id = 'q0' AND q_row = 0")
+    plan = lists.candidates(table, own, one, 40, 2)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[list#\d+ IN \(\d+,\d+\)\]", plan)
 
 
 def test_group_dedup(spark):
@@ -216,7 +264,7 @@ def test_index_search_read_and_refresh(spark, tree):
     bursts = spark.createDataFrame([(f"{tree}/pay/src/Gateway.java", "2020-01-01", True)], "path STRING, last STRING, deleted BOOLEAN")
     refresh(spark, s, bursts, repo_root=root, workspace=w)
     assert s.read("documents").where("file_path = 'pay/src/Gateway.java'").count() == 0
-    s.prune()
+    s.prune(older_than=0)
     assert s.status()["chunks"] == s.read("documents").count() > 0
 
     suite = {"benchmark_version": "1", "cases": [{"case_id": "a", "query": "cancel order", "primary_symbols": ["OrderService.cancelOrder"]}, {"case_id": "b", "query": "zzz", "primary_paths": ["nowhere"]}]}
@@ -226,26 +274,103 @@ def test_index_search_read_and_refresh(spark, tree):
     retrieval.write_artifact(spark, result, str(tree / "out/run.json"))
     made = json.loads((tree / "out/run.json").read_text())
     assert made["cases"] == 2 and made["fixture_path"].endswith("suite.json") and made["repository_candidate_limit_policy"] == "max(search_top_k * 20, 100)"
-    assert [h.chunk_id for h in retrieval.search_many(spark, s, [("q", "cancel order")], exact=False).orderBy("rank").collect()] == [h.chunk_id for h in retrieval.search_many(spark, s, [("q", "cancel order")], exact=True).orderBy("rank").collect()]
+    with pytest.raises(LookupError, match="inverted file"):
+        retrieval.search_code(spark, s, "cancel order", probes=2)
+    s.index_lists()
+    ids = lambda **how: [h.chunk_id for h in retrieval.search_code(spark, s, "cancel order", **how).collect()]
+    assert ids(probes=1000) == ids() and ids(probes=1000, file_path="orders/src/OrderService.java") == ids(file_path="orders/src/OrderService.java")
+    (tree / "internal/src/Hidden.java").write_text("package q;\npublic class Hidden { void cancelOrderNow() { } }\n")
+    indexing.index_file(spark, s, f"{tree}/internal/src/Hidden.java", repo_root=root, workspace=w)
+    assert ids(probes=1000) == ids() and any("cancelOrderNow" in i for i in ids(probes=1000))  # replaced files are searched beside the lists
+
+
+def log_rows(spark, **status):
+    return spark.createDataFrame([(p, "failed" if e else "completed", e) for p, e in status.items()], "path STRING, status STRING, error STRING")
 
 
-def test_build_state(spark, tmp_path):
+def test_build_state_and_log(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "i"))
     with pytest.raises(store.CorruptState):
         s.finish()
     s.start("/r", "sig", "m", "t", 2)
-    s.progress(["a"], {"b": "broken"}, 3)
+    s.note(log_rows(spark, a=None, b="broken"))
     assert s.finish()["status"] == "partial"
     again = s.start("/r", "sig", "m", "t2", 2)
-    assert again["completed_files"] == ["a"] and again["status"] == "in_progress"
-    s.progress(["b"], {}, -4)
-    assert s.finish() | {} == s.state() and s.state()["status"] == "completed" and s.state()["documents_indexed"] == 0
-    assert s.start("/r", "sig", "m", "t3", 2)["completed_files"] == []
+    assert again["status"] == "in_progress" and [r.path for r in s.done().collect()] == ["a"]
+    s.note(log_rows(spark, b=None))
+    assert sorted((r.path, r.status, r.error, r.attempt) for r in s.log().collect()) == [("a", "completed", None, 1), ("b", "completed", None, 2)]
+    s.compact()
+    assert len(s.staged()["log"]) == 1 and s.log().count() == 2
+    assert s.finish() == s.state() and s.state()["status"] == "completed" and (s.state()["completed"], s.state()["failed"]) == (2, 0)
+    assert "a" not in json.dumps([v for k, v in s.state().items() if k not in ("repo_root", "status", "workspace_signature", "build")])
+    s.start("/r", "sig", "m", "t3", 2)
+    assert s.done().count() == 0
     s.files.write(str(tmp_path / "i/state.json"), "{")
     with pytest.raises(store.CorruptState):
         s.state()
 
 
+def rows_of(spark, **texts):
+    """(documents, vectors, changed) of one chunk per file."""
+    documents = spark.createDataFrame([(p, p, t) for p, t in texts.items()], "chunk_id STRING, file_path STRING, source_text STRING")
+    documents = documents.select(*(F.col(c) if c in documents.columns else F.lit(None).cast(k).alias(c) for c, k in spark.createDataFrame([], store.DOCUMENTS).dtypes))
+    vectors = documents.select("chunk_id", "file_path", F.lit(1).alias("dims"), F.array(F.lit(1.0).cast("float")).alias("matrix"))
+    return documents, vectors, documents.select("file_path")
+
+
+def texts(s):
+    return {r.file_path: r.source_text for r in s.read("documents").collect()}
+
+
+def test_two_writers_lose_no_update(spark, tmp_path, monkeypatch):
+    """One writer reads a version; another publishes before it does.  Both updates stay, also where both touch one bucket."""
+    monkeypatch.setattr(store, "BUCKETS", 2)
+    s = store.Store(spark, str(tmp_path / "i"))
+    s.save(*rows_of(spark, **{k: "old" for k in "abcdefgh"})[:2], "m", "t")
+    real, others, rewritten = store.Store._publish, ["b", "c"], []
+
+    def racing(self, read, manifest):
+        if others:
+            name = others.pop()
+            documents, vectors, changed = rows_of(spark, **{name: "new"})
+            store.Store(spark, self.path).replace_files(changed, documents, vectors, "m", "t")
+        return real(self, read, manifest)
+
+    monkeypatch.setattr(store.Store, "_publish", racing)
+    written = store.Store._write
+    monkeypatch.setattr(store.Store, "_write", lambda self, frames, n: rewritten.append(1) or written(self, frames, n))
+    documents, vectors, changed = rows_of(spark, a="new")
+    s.replace_files(changed, documents, vectors, "m", "t")
+    assert texts(s) == {k: "new" if k in "abc" else "old" for k in "abcdefgh"}
+    assert s.read("vectors").count() == 8 and len(rewritten) <= 6
+
+
+def test_a_build_carries_over_what_was_refreshed(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "i"))
+    s.save(*rows_of(spark, a="old", b="old")[:2], "m", "t")
+    s.start("/r", "sig", "m", "t", 2)
+    documents, vectors, changed = rows_of(spark, a="built", b="built")
+    s.replace_files(changed, documents, vectors, "m", "t", staged=True, log=log_rows(spark, **{"/r/a": None, "/r/b": None}))
+    documents, vectors, changed = rows_of(spark, b="refreshed")
+    assert s.replace_files(changed, documents, vectors, "m", "t", batch=("stream", 4)) == 2
+    assert s.finish()["status"] == "completed" and texts(s) == {"a": "built", "b": "refreshed"} and s.applied(("stream", 4))
+    # Under another model the vectors can't be taken over: the file is to be done again.
+    s.start("/r", "other", "m2", "t", 2)
+    s.replace_files(changed, *rows_of(spark, a="again", b="again")[:2], "m2", "t", staged=True, log=log_rows(spark, **{"/r/a": None, "/r/b": None}))
+    s.replace_files(changed, documents, vectors, "m", "t")
+    assert s.finish()["status"] == "partial" and [r.path for r in s.done().collect()] == ["/r/a"]
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, tree):
+    s, root = store.Store(spark, str(tree / "index")), str(tree)
+    bursts = spark.createDataFrame([(f"{tree}/pay/src/Gateway.java", "2020-01-01", False)], "path STRING, last STRING, deleted BOOLEAN")
+    s.save(spark.createDataFrame([], store.DOCUMENTS), spark.createDataFrame([], store.VECTORS), "m", "t")
+    assert refresh(spark, s, bursts, repo_root=root, batch=("at", 0)) == 2
+    assert refresh(spark, s, bursts, repo_root=root, batch=("at", 0)) is None and s.version() == 2
+    assert refresh(spark, s, bursts, repo_root=root, batch=("elsewhere", 0)) == 3 and refresh(spark, s, bursts, repo_root=root, batch=("at", 1)) == 4
+    assert s.replace_files(bursts.select(F.lit("x").alias("file_path")), *rows_of(spark, x="y")[:2], "m", "t", batch=("at", 1)) is None and "x" not in texts(s)
+
+
 def test_clashing_ids_fail_the_file(spark, tmp_path):
     (tmp_path / "X.java").write_text("class X { void a() { run(new Runnable() { public void run() { go(1); } }); run(new Runnable() { public void run() { go(2); } }); } }")
     docs, failed = indexing.build(files.java_files(spark, [str(tmp_path)]), str(tmp_path), None, spark, "t")
@@ -301,8 +426,8 @@ def test_encoder_and_batches(spark):
         bisected(lambda t: (_ for _ in ()).throw(RuntimeError("other")), ["a", "b"])
     docs = spark.createDataFrame([("c", "f", "getBean bean"), ("d", "f", "")], "chunk_id STRING, file_path STRING, retrieval_text STRING")
     rows = embedded(docs, HashedEncoder(8)).collect()
-    assert [(r.chunk_id, r.token_pos) for r in rows] == [("c", 0), ("c", 1)]
-    assert sum(x * x for x in rows[0].vec) == pytest.approx(1, abs=1e-5)
+    assert [(r.chunk_id, r.dims, len(r.matrix)) for r in rows] == [("c", 8, 16), ("d", 0, 0)]
+    assert sum(x * x for x in rows[0].matrix[:8]) == pytest.approx(1, abs=1e-5)
 
 
 def test_table_forms(spark):
@@ -330,6 +455,57 @@ def test_fingerprints_and_cache(spark, tmp_path):
     assert {r.qualified_name for r in cache.source([str(tmp_path)], w).collect()} == {"A", "B"}
 
 
+def test_another_session_parses_nothing(spark, tmp_path, monkeypatch):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/A.java").write_text("class A { class B { } }")
+    w, root, at = Workspace.from_dict({"source_sets": {":a:main": {"source_roots": [str(tmp_path / "src")]}}}), str(tmp_path / "src"), str(tmp_path / "symbols")
+    first = {r.qualified_name for r in indexing.SymbolCache(spark, at).source([root], w).collect()}
+    monkeypatch.setattr(indexing, "source_symbols", lambda *a: pytest.fail("parsed again"))
+    assert {r.qualified_name for r in indexing.SymbolCache(spark, at).source([root], w).collect()} == first == {"A", "A.B"}
+    (tmp_path / "src/C.java").write_text("class C { }")
+    with pytest.raises(BaseException, match="parsed again"):
+        indexing.SymbolCache(spark, at).source([root], w)
+
+
+def test_signatures(spark, monkeypatch):
+    import hashlib
+
+    paths = spark.createDataFrame([(p,) for p in "cabca"], "path STRING")
+    assert indexing.signature(paths) == hashlib.sha1(b"a\nb\nc\n").hexdigest()
+    many = spark.range(5000).select(F.col("id").cast("string").alias("path"))
+    one = indexing.digest(many.repartition(3), "path")
+    assert one == indexing.digest(many.orderBy(F.rand(1)).repartition(11), "path") != indexing.digest(many.where("id < 4999"), "path")
+    monkeypatch.setattr(indexing, "LISTED", 10)
+    assert indexing.signature(many) == one
+
+
+def test_closure_of_a_long_chain(spark, monkeypatch):
+    from siltstone.sources import workspace
+
+    rounds, real = [], workspace.stored
+    monkeypatch.setattr(workspace, "stored", lambda frame, name: rounds.append(name) or real(frame, name))
+    edges = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).unionByName(spark.createDataFrame([(300, 200), (7, 7)], "src long, dst long"))
+    got = {(r.start, r.node) for r in closure(edges, spark.createDataFrame([(0,), (250,), (900,)], "start long")).collect()}
+    assert got == {(0, n) for n in range(301)} | {(250, n) for n in range(200, 301)} | {(900, 900)} and rounds.count("front") <= 11
+
+
+def test_neighbours_against_all_pairs(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [(f"{pick.choice('ab')}{i:03}", pick.choice(["f", "g"]), pick.choice([None, 0, 1, 1, 5, 9, pick.randint(0, 60)])) for i in range(150)] + [("z1", "h", 3)]
+    docs = spark.createDataFrame(rows, "chunk_id STRING, file_path STRING, start_line INT")
+    targets = docs.unionByName(spark.createDataFrame([("outside", "f", 33), ("nowhere", "none", 1)], docs.schema))
+    for limit in (1, 2, 4):
+        want = {}
+        for t, file, line in [*rows, ("outside", "f", 33)]:
+            want[t] = [c for _, c in sorted((abs((n or 0) - (line or 0)), c) for c, f, n in rows if f == file and c != t)[:limit]]
+        got = {}
+        for r in S.neighbours(targets, docs, limit).orderBy("target_id", "rank").collect():
+            got.setdefault(r.target_id, []).append(r.chunk_id)
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def test_a_build_that_dies_goes_on(spark, tree, monkeypatch):
     """The second of three batches fails: the old index stays in sight, and the next run takes up after the first batch."""
     w, s, root = Workspace.load(spark, str(tree / "workspace.json")), store.Store(spark, str(tree / "index")), str(tree)
@@ -347,10 +523,11 @@ def test_a_build_that_dies_goes_on(spark, tree, monkeypatch):
     monkeypatch.setattr(store.Store, "replace_files", dying)
     with pytest.raises(RuntimeError, match="killed"):
         indexing.index_workspace(spark, s, repo_root=root, workspace=w, batch_files=5)
-    first = s.state()["completed_files"]
+    first = {r.path for r in s.done().collect()}
     assert 0 < len(first) < 15 and s.status() == {"chunks": 0, "indexed_at": "t", "model_name": "old"}
     state = indexing.index_workspace(spark, s, repo_root=root, workspace=w, batch_files=5)
-    assert state["status"] == "completed" and len(state["completed_files"]) == 15 and set(first) < set(state["completed_files"])
+    log = {r.path: r.attempt for r in s.log().collect()}
+    assert state["status"] == "completed" and state["completed"] == len(log) == 15 and first < set(log) and set(log.values()) == {1}
     names = {r.name for r in s.read("documents").where("chunk_kind = 'method'").collect()}
     assert {f"value{i}" for i in range(12)} | {"cancelOrder", "refund"} <= names and s.staged() is None
     assert s.read("documents").groupBy("chunk_id").count().where("count > 1").count() == 0
@@ -366,12 +543,10 @@ def test_small_files_are_replaced_in_one_step(spark, tmp_path):
 
 def test_exact_search_against_plain_sums(spark):
     """Kernel with partial best rows against a plain loop, ties and NaN included."""
-    import numpy as np
-
     rng = np.random.default_rng(4)
     vecs = [(f"c{i // 3:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(240)] + [("cnan", [float("nan")] * 4), ("c000", [float("nan"), 0.0, 0.0, 0.0])]
     qs = [(f"q{i // 2}", i % 2, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(8)]
-    v = spark.createDataFrame(vecs, "chunk_id string, vec array<float>").repartition(5)
+    v = chunk_rows(spark, vecs)
     q = spark.createDataFrame(qs, "query_id string, q_row int, vec array<float>")
     want = {}
     for query in {x[0] for x in qs}:
@@ -382,5 +557,7 @@ def test_exact_search_against_plain_sums(spark):
             if best:
                 scores[c] = sum(best)
         want[query] = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:7]
-    got = S.vector_search(v, q, 7).orderBy("query_id", "rank").collect()
-    assert {k: [(r.chunk_id, r.score) for r in got if r.query_id == k] for k in want} == want
+    every = v.select("chunk_id").crossJoin(q.select("query_id").distinct())
+    for candidates in (None, every):
+        got = S.vector_search(v, q, 7, candidates=candidates).orderBy("query_id", "rank").collect()
+        assert {k: [(r.chunk_id, r.score) for r in got if r.query_id == k] for k in want} == want
