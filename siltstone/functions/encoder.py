@@ -94,6 +94,12 @@ class TrainedEncoder:
         self.model = None
 
 
+def encoder_of(name: str | None = None, device: str | None = None) -> Encoder:
+    """The encoder of that name, which an index keeps: hashed tokens of so many dimensions, the default, or else a trained model."""
+    hashed = re.fullmatch(r"hashed-tokens-(\d+)", name or "hashed-tokens-32")
+    return HashedEncoder(int(hashed[1])) if hashed else TrainedEncoder(name, device)
+
+
 # What the messages of memory errors say.
 MEMORY_MESSAGES = ("out of memory", "oom", "invalid buffer size", "not enough memory", "insufficient memory")
 # End of fixed values.

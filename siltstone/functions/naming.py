@@ -128,3 +128,34 @@ def payload(columns: dict[str, str]) -> Column:
 def payload_value(payload_: Column | str, name: str) -> Column:
     """A value of a payload as text; null where it was left out."""
     return F.get_json_object(payload_, f"$.{name}")
+
+
+# --- values of a JSON payload, whatever their types
+
+
+def _typed(value: Column) -> tuple[Column, Column]:
+    return F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+
+
+def optional_int(value: Column) -> Column:
+    """A variant as a long: whole numbers and truth values as they are, texts as the number they say, anything else as null."""
+    kind, text = _typed(value)
+    number = F.regexp_extract(text, r"^\s*([+-]?\d+)\s*$", 1)
+    return F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(value, "$", "long")).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("long")).when(kind == "STRING", F.nullif(number, F.lit("")).try_cast("long"))
+
+
+def optional_text(value: Column) -> Column:
+    """A variant as text; null stays null."""
+    return _typed(value)[1]
+
+
+def text_list(value: Column) -> Column:
+    """The items of a variant's list as texts; anything else is an empty list."""
+    return F.coalesce(F.try_variant_get(value, "$", "array<string>"), F.expr(STRINGS))
+
+
+def annotation_texts(value: Column) -> Column:
+    """The texts of a variant's list of annotations: of objects their ``text``, if they have one, of other items the item itself."""
+    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    text = lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.nullif(F.try_variant_get(x, "$.text", "string"), F.lit(""))).otherwise(F.try_variant_get(x, "$", "string"))
+    return F.filter(F.transform(items, text), lambda t: t.isNotNull())

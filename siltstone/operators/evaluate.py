@@ -47,3 +47,8 @@ def summarised(results: DataFrame) -> DataFrame:
     score = F.when(F.count(F.lit(1)) > 0, (2 * n["strong_pass"] + n["pass"]) / (2 * F.count(F.lit(1)))).otherwise(F.lit(0.0))
     return results.agg(F.count(F.lit(1)).alias("cases"), *(c.alias(k) for k, c in n.items()), score.alias("score"))
 
+
+
+def version(versions: Column) -> Column:
+    """Aggregate: the one version that all rows share; ``unknown`` without any, ``mixed`` for several."""
+    return F.when(F.count_distinct(versions) == 0, "unknown").when(F.count_distinct(versions) == 1, F.max(versions)).otherwise("mixed")

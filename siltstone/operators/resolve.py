@@ -36,6 +36,21 @@ def ordered(symbols: DataFrame) -> DataFrame:
     return symbols.orderBy("qualified_name", "origin_kind", F.coalesce("container", F.lit("")), F.coalesce("filepath", F.lit("")))
 
 
+def lookup(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """The definitions whose simple name is among ``names`` (simple_name), with that name."""
+    own = symbols.withColumn("simple_name", simple(F.col("qualified_name")))
+    return own.join(names.select("simple_name").distinct(), "simple_name", "left_semi")
+
+
+def qualified_names(symbols: DataFrame, origin_kind: str | None = None, containers: DataFrame | None = None) -> DataFrame:
+    """The different qualified names, of one origin and of the containers (container), where these are given."""
+    if origin_kind is not None:
+        symbols = symbols.where(F.col("origin_kind") == origin_kind)
+    if containers is not None:
+        symbols = symbols.join(containers.select("container").distinct(), "container", "left_semi")
+    return symbols.select("qualified_name").distinct()
+
+
 def visible_names(symbols: DataFrame, visibility: DataFrame) -> DataFrame:
     """(source_set, qualified_name): sources and binaries by visibility (source_set, container, origin_kind), and the JDK for all."""
     seen = symbols.where("origin_kind <> 'jdk'").join(visibility, ["container", "origin_kind"]).select("source_set", "qualified_name")
@@ -85,6 +100,19 @@ def resolved(refs: DataFrame, context: DataFrame, index: DataFrame, *by: str) ->
     return wide.select(*refs.columns, strategy.alias("strategy"), best.alias("best_name"), listed.alias("candidates"))
 
 
+def type_references(chunks: DataFrame, *by: str) -> DataFrame:
+    """(filepath, by..., type_name): the types that a file's chunks name: of results, fields, components and declared names."""
+    none = F.expr(STRINGS)
+    named = F.concat(F.array("return_type", "field_type", "component_type"), F.coalesce(F.transform("symbols", lambda s: s["type"]), none))
+    return chunks.select("filepath", *by, F.explode(F.array_compact(named)).alias("type_name")).where("type_name not in ('', 'void', 'var', 'boolean', 'byte', 'char', 'short', 'int', 'long', 'float', 'double')").distinct()
+
+
+def resolution(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
+    """How each type that the chunks name is resolved: strategy, best name and candidates."""
+    context = import_context(chunks.where("kind = 'file'").select("filepath", "package", "imports", "local_types"))
+    return resolved(type_references(chunks, *by), context, index, *by)
+
+
 def resolved_chunks(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
     """Replaces the heads of calls and the class literals of annotations by qualified names.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.encoder import Encoder, HashedEncoder, embedded
 from siltstone.observe import Timings, event, logger, measured
 from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
-from siltstone.operators.resolve import merged, resolved_chunks, type_index, visible_names
+from siltstone.operators.resolve import merged, resolution, resolved_chunks, type_index, visible_names
 from siltstone.schemas import SYMBOLS
 from siltstone.scratch import scratch, stored
 from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, scan, source_symbols
@@ -149,6 +149,18 @@ def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *
     return resolved_chunks(rows, index, "source_set")
 
 
+def resolution_of(spark: SparkSession, path: str, *, workspace: Workspace | None = None, binaries: bool = False, jdk_home: str | None = None) -> DataFrame:
+    """How the types that one file names are resolved: by what its source set sees, or without a workspace by the JDK alone."""
+    file = spark.read.format("binaryFile").load(path).withColumn("path", plain_path(F.col("path")))
+    rows = chunks(file)
+    if workspace is None:
+        known = jdk_symbols(spark, jdk_home) if jdk_home else spark.createDataFrame([], SYMBOLS)
+        return resolution(rows, type_index(known))
+    owned = owners(file.select("path"), workspace.roots(spark)).select(F.col("path").alias("filepath"), "source_set")
+    names = visible_names(symbols(spark, workspace, binaries=binaries, jdk_home=jdk_home), workspace.visibility(spark))
+    return resolution(rows.join(owned, "filepath", "left"), type_index(names, "source_set"), "source_set")
+
+
 def build(files: DataFrame, repo_root: str, workspace: Workspace | None, spark: SparkSession, indexed_at: str, **options) -> tuple[DataFrame, DataFrame]:
     """(documents, failures (path, error)): files that don't parse or whose ids clash fail whole."""
     rows = parsed(files, workspace, spark, **options).withColumn("repo_root", F.lit(repo_root))

@@ -22,7 +22,7 @@ from siltstone.plans import indexing as I
 from siltstone.schemas import CHUNKS, DOCUMENTS
 from siltstone.scratch import scratch, stored
 from siltstone.sources import store as T
-from siltstone.sources.files import chunks, scan, source_symbols, top_level_types
+from siltstone.sources.files import archive_symbols, chunks, scan, source_symbols, top_level_types
 from siltstone.sources.workspace import Workspace, closure, inferred_edges, owners
 from siltstone.streaming.refresh import debounced
 
@@ -736,11 +736,150 @@ def workspace_visibility(spark, sf_dir):
     return Workspace.from_dict({"schema_version": 1, "source_sets": sets}, require_version=True).visibility(spark)
 
 
-@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) || '.parquet' AS name")
+@query("SELECT p_brand || '.java' AS name, sum(strlen(p_name) + 1)::BIGINT AS bytes FROM part GROUP BY 1")
 def scanned_files(spark, sf_dir):
-    """Files below two roots, of which one doesn't exist and one is given twice."""
-    found = scan(spark, [sf_dir, f"{sf_dir}/none", sf_dir], "*.parquet", content=False)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    """A folder of texts for each brand: the Java files below two roots, of which one doesn't exist and one is given twice, with their sizes."""
+    own = table(spark, sf_dir, "part").select("p_name", F.concat("p_brand", F.lit(".java")).alias("name"))
+    root = scratch(spark, "files")
+    # A folder may have any name; the files in it are what is scanned.
+    own.repartition("name").write.partitionBy("name").option("compression", "none").text(root)
+    found = scan(spark, [root, f"{root}/none", root], "part-*.txt", content=False)
+    folder = F.element_at(F.split("path", "/"), -2)
+    name = F.url_decode(F.regexp_replace(folder, "^name=", ""))
+    return found.groupBy(name.alias("name")).agg(F.sum("length").alias("bytes"))
+
+
+ARCHIVES = """SELECT replace(p_brand, '#', '') AS brand, p_partkey FROM part"""
+
+
+@query(
+    f"""SELECT 'own.' || brand || '.Part' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.Inner' ELSE '' END AS qualified_name, brand || '.jar' AS container, 'binary' AS origin_kind FROM ({ARCHIVES}) WHERE p_partkey % 5 <> 0
+    UNION SELECT 'own.' || brand || '.Part' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '.Inner' ELSE '' END, brand || '.jmod', 'jdk' FROM ({ARCHIVES}) WHERE p_partkey % 5 <> 0 AND p_partkey % 2 = 0"""
+)
+def archive_class_symbols(spark, sf_dir):
+    """An archive and a module for each brand, one class file for each part: classes and member classes, anonymous ones left out; of modules what lies under classes/."""
+    brand, key = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_partkey")
+    inner = F.when(key % 5 == 0, "$1").when(key % 3 == 0, "$Inner").otherwise("")
+    entry = F.concat(F.lit("own/"), brand, F.lit("/Part"), key.cast("string"), inner, F.lit(".class"))
+    own = table(spark, sf_dir, "part").select(brand.alias("brand"), entry.alias("entry"), F.when(key % 2 == 0, "classes/").otherwise("lib/").alias("top"))
+    jars = own.select(F.concat("brand", F.lit(".jar")).alias("path"), "entry").unionByName(own.where("entry like '%Part1%'").select(F.concat("brand", F.lit(".jar")).alias("path"), F.lit("META-INF/MANIFEST.MF").alias("entry")).distinct())
+    modules = own.select(F.concat("brand", F.lit(".jmod")).alias("path"), F.concat("top", "entry").alias("entry"))
+
+    def pack(rows):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            for name in rows["entry"]:
+                archive.writestr(name, b"")
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [out.getvalue()]})
+
+    packed = [archives.groupBy("path").applyInPandas(pack, "path STRING, content BINARY") for archives in (jars, modules)]
+    return archive_symbols(packed[0]).unionByName(archive_symbols(packed[1], "jdk")).select("qualified_name", "container", "origin_kind")
+
+
+@query(
+    """SELECT s_nationkey, CASE WHEN count(DISTINCT v) = 0 THEN 'unknown' WHEN count(DISTINCT v) = 1 THEN max(v) ELSE 'mixed' END AS version
+    FROM (SELECT s_nationkey, CASE WHEN s_nationkey % 3 = 0 THEN NULL WHEN s_nationkey % 3 = 1 THEN 'v1' ELSE 'v' || s_suppkey % 2 END AS v FROM supplier) GROUP BY 1"""
+)
+def run_versions(spark, sf_dir):
+    """The version of a run whose cases have none, one or several."""
+    v = F.when(F.col("s_nationkey") % 3 == 1, "v1").when(F.col("s_nationkey") % 3 == 2, F.concat(F.lit("v"), (F.col("s_suppkey") % 2).cast("string")))
+    return table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(E.version(v).alias("version"))
+
+
+SYMBOL_TABLE = """SELECT 'own.' || replace(p_brand, '#', '') || '.' || replace(p_type, ' ', '') AS qualified_name, p_brand AS container, CASE WHEN p_size % 2 = 0 THEN 'source' ELSE 'binary' END AS origin_kind,
+    CASE WHEN p_size % 2 = 0 THEN 'f' || p_size END AS filepath FROM part"""
+
+
+def _symbol_table(spark, sf_dir):
+    source = F.col("p_size") % 2 == 0
+    return table(spark, sf_dir, "part").select(
+        F.concat_ws(".", F.lit("own"), F.replace("p_brand", F.lit("#"), F.lit("")), F.replace("p_type", F.lit(" "), F.lit(""))).alias("qualified_name"), F.col("p_brand").alias("container"),
+        F.when(source, "source").otherwise("binary").alias("origin_kind"), F.when(source, F.concat(F.lit("f"), F.col("p_size").cast("string"))).alias("filepath"),
+    )
+
+
+@query(f"SELECT DISTINCT * FROM ({SYMBOL_TABLE}) ORDER BY qualified_name, origin_kind, coalesce(container, ''), coalesce(filepath, '')")
+def symbols_in_order(spark, sf_dir):
+    """Each definition once, in the order of the table."""
+    return R.ordered(R.merged(_symbol_table(spark, sf_dir)))
+
+
+@query(f"SELECT DISTINCT string_split(qualified_name, '.')[-1] AS simple_name, qualified_name, container, origin_kind, filepath FROM ({SYMBOL_TABLE}) WHERE string_split(qualified_name, '.')[-1] LIKE '%STEEL'")
+def symbol_lookup(spark, sf_dir):
+    own = R.merged(_symbol_table(spark, sf_dir))
+    names = own.select(R.simple(F.col("qualified_name")).alias("simple_name")).where("simple_name like '%STEEL'")
+    return R.lookup(own, names)
+
+
+@query(f"SELECT DISTINCT qualified_name FROM ({SYMBOL_TABLE}) WHERE origin_kind = 'source' AND container IN (SELECT p_brand FROM part WHERE p_brand LIKE '%1' OR p_brand LIKE '%3')")
+def names_of_containers(spark, sf_dir):
+    some = table(spark, sf_dir, "part").where("p_brand like '%1' or p_brand like '%3'").select(F.col("p_brand").alias("container"))
+    return R.qualified_names(_symbol_table(spark, sf_dir), "source", some)
+
+
+@query(
+    """SELECT event_id, CASE WHEN k % 7 IN (0, 1) THEN k WHEN k % 7 = 2 THEN 1 END AS n, CASE k % 7 WHEN 0 THEN k::VARCHAR WHEN 1 THEN k::VARCHAR WHEN 2 THEN 'true' WHEN 3 THEN 'x' WHEN 4 THEN NULL WHEN 5 THEN '1.5' ELSE '["a",1]' END AS text,
+    CASE WHEN k % 7 = 6 THEN 'a|1' ELSE '' END AS items, CASE k % 3 WHEN 0 THEN '@A|@B(' || k || ')' WHEN 1 THEN '@C' ELSE '' END AS annotations FROM (SELECT event_id, event_id AS k FROM events)"""
+)
+def coerced_values(spark, sf_dir):
+    """Numbers, texts, lists and annotations of payloads whose values are of any type."""
+    k = F.col("event_id").cast("string")
+    value = F.element_at(F.array(k, F.concat(F.lit('"'), k, F.lit('"')), F.lit("true"), F.lit('"x"'), F.lit("null"), F.lit("1.5"), F.lit('["a",1]')), (F.col("event_id") % 7 + 1).cast("int"))
+    notes = F.element_at(F.array(F.concat(F.lit('[{"text":"@A","name":"A"},"@B('), k, F.lit(')",{"name":"none"}]')), F.lit('["@C"]'), F.lit('{"text":"@D"}')), (F.col("event_id") % 3 + 1).cast("int"))
+    own = table(spark, sf_dir, "events").select("event_id", F.parse_json(value).alias("v"), F.parse_json(notes).alias("a"))
+    return own.select("event_id", N.optional_int(F.col("v")).alias("n"), N.optional_text(F.col("v")).alias("text"), F.array_join(N.text_list(F.col("v")), "|").alias("items"), F.array_join(N.annotation_texts(F.col("a")), "|").alias("annotations"))
+
+
+#: A record with comments, annotations, thrown types and a member class; ~ stands for the end of a line, {} for the part's key, <> for its brand.
+NOTED = '~'.join([
+    "package own;", "", "import x.Thing;", "", "// licence {}", "", "/** Part {}. */", '@Tag(value = Thing.class, name = "<>")', "public record Part{}(int a, String b) {", "  // counts", "", "  // all of them", "  /** The total. */", "  @Deprecated", "  @Max({})",
+    "  int total() throws java.io.IOException, BadCount { return a; }", "", "  static class Inner {", "    void run() { }", "  }", "}", "",
+])
+NOTED_SQL = f"c AS (SELECT p_partkey, replace(replace(replace('{NOTED}', '~', chr(10)), '{{}}', p_partkey::VARCHAR), '<>', p_brand) AS code FROM part)"
+
+
+def _noted(spark, sf_dir):
+    code = F.replace(F.replace(F.replace(F.lit(NOTED), F.lit("~"), F.lit("\n")), F.lit("{}"), F.col("p_partkey").cast("string")), F.lit("<>"), F.col("p_brand"))
+    return chunks(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), code.cast("binary").alias("content")))
+
+
+@query(
+    """SELECT p_partkey, 'Part' || p_partkey AS name, '@Tag(value = Thing.class, name = "' || p_brand || '")' AS text, 'Tag' AS annotation, 'name="' || p_brand || '",value=Thing.class' AS attributes FROM part
+    UNION ALL SELECT p_partkey, 'total', '@Deprecated', 'Deprecated', '' FROM part UNION ALL SELECT p_partkey, 'total', '@Max(' || p_partkey || ')', 'Max', 'value=' || p_partkey FROM part"""
+)
+def java_annotations(spark, sf_dir):
+    """Annotations of types and methods: text, name and attributes."""
+    rows = _noted(spark, sf_dir).where("kind in ('skeleton', 'method')").select(F.col("filepath").cast("long").alias("p_partkey"), "name", F.explode("annotations").alias("a"))
+    attributes = F.array_join(F.transform(F.array_sort(F.map_entries("a.attributes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return rows.select("p_partkey", "name", "a.text", F.col("a.name").alias("annotation"), attributes.alias("attributes"))
+
+
+@query(
+    """SELECT p_partkey, 'Part' || p_partkey AS name, 'int a,String b' AS components, '' AS throws, '/** Part ' || p_partkey || '. */' AS comment, '/** Part ' || p_partkey || '. */' AS javadoc FROM part
+    UNION ALL SELECT p_partkey, 'total', '', 'java.io.IOException,BadCount', '// all of them' || chr(10) || '/** The total. */', '/** The total. */' FROM part
+    UNION ALL SELECT p_partkey, 'Inner', '', '', NULL, NULL FROM part UNION ALL SELECT p_partkey, 'run', '', '', NULL, NULL FROM part"""
+)
+def java_comments_and_clauses(spark, sf_dir):
+    """Record components, thrown types, and the comments that stand right above a declaration."""
+    rows = _noted(spark, sf_dir).where("kind in ('skeleton', 'method')")
+    components = F.array_join(F.transform("record_components", lambda c: F.concat_ws(" ", c["type"], c["name"])), ",")
+    return rows.select(F.col("filepath").cast("long").alias("p_partkey"), "name", F.coalesce(components, F.lit("")).alias("components"), F.coalesce(F.array_join("throws", ","), F.lit("")).alias("throws"), F.col("leading_comment").alias("comment"), "javadoc")
+
+
+@query(
+    f"""WITH {NOTED_SQL}, s AS (SELECT p_partkey, p_partkey::VARCHAR AS k, strpos(code, '@Tag') - 1 AS lo, length(code) - 1 AS hi, strpos(code, '@Deprecated') - 1 AS m, strpos(code, 'return a; }}') + 10 AS me, strpos(code, 'static class') - 1 AS i,
+      strpos(code, 'void run') - 1 AS r, length(code) - 3 AS ie FROM c)
+    SELECT p_partkey, 'total' AS name, k || ':method:Part' || k || ':total:' || m || ':' || me AS chunk_id, k || ':skeleton:-:Part' || k || ':' || lo || ':' || hi AS parent_chunk_id FROM s
+    UNION ALL SELECT p_partkey, 'run', k || ':method:Part' || k || '.Inner:run:' || r || ':' || r + 14, k || ':skeleton:Part' || k || ':Inner:' || i || ':' || ie FROM s"""
+)
+def java_parents(spark, sf_dir):
+    """Ids of members by their place, and those of the types that hold them."""
+    return _noted(spark, sf_dir).where("kind = 'method'").select(F.col("filepath").cast("long").alias("p_partkey"), "name", "chunk_id", "parent_chunk_id")
 
 
 def entry(spark: SparkSession) -> DataFrame:

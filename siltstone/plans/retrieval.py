@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.encoder import Encoder, HashedEncoder, query_vectors
 from siltstone.operators import search as S
-from siltstone.operators.evaluate import CASE_ARRAYS, summarised, verdicts
+from siltstone.operators.evaluate import CASE_ARRAYS, summarised, verdicts, version
 from siltstone.schemas import EVAL_SUITE
 from siltstone.sources.store import Files, Store
 
@@ -28,7 +28,8 @@ def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]
     encoder = encoder or HashedEncoder()
     asked = spark.createDataFrame([(i, q.strip()) for i, q in queries], "query_id STRING, query STRING")
     near = None if probes is None else lambda qv, keep, allowed: store.near(qv, keep, probes, allowed)
-    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, near=near, **filters)
+    how = f"{store.model() or encoder.name}/v{store.version()}/{'exact' if probes is None else f'probes-{probes}'}"
+    return S.search(documents, vectors, asked, query_vectors(spark, queries, encoder), top_k, near=near, **filters).withColumn("retrieval_version", F.lit(how))
 
 
 def read_code(store: Store, chunk_id: str, *, surrounding: bool = True, limit: int = 2):
@@ -58,16 +59,16 @@ def git_state(root: str) -> dict[str, str | bool | None]:
     return {"commit": git("rev-parse", "HEAD"), "dirty": None if status is None else bool(status)}
 
 
-def run_suite(spark: SparkSession, store: Store, path: str, *, repo_root: str, top_k: int | None = None, encoder: Encoder | None = None) -> dict:
+def run_suite(spark: SparkSession, store: Store, path: str, *, repo_root: str, top_k: int | None = None, encoder: Encoder | None = None, probes: int | None = None) -> dict:
     """Searches all cases in one plan and judges them.  top_k of None or 0 takes the suite's."""
     settings, cases = load_suite(spark, path)
     k = top_k or settings["top_k"]
     asked = [(r["case_id"], r["query"]) for r in cases.select("case_id", "query").collect()]
-    hits = search_many(spark, store, asked, top_k=k, encoder=encoder).withColumnRenamed("query_id", "case_id").cache()
+    hits = search_many(spark, store, asked, top_k=k, encoder=encoder, probes=probes).withColumnRenamed("query_id", "case_id").cache()
     results = verdicts(cases, hits, settings["line_tolerance"]).cache()
-    summary = summarised(results).first().asDict()
+    summary = summarised(results).first().asDict() | {"retrieval_version": hits.agg(version(F.col("retrieval_version"))).first()[0]}
     manifest = store.manifest() or {}
-    policies = {"search_request_width_policy": "max(user_top_k * 10, 50)", "repository_candidate_limit_policy": "max(search_top_k * 20, 100)", "repository_per_query_limit_policy": "max(search_top_k * 8, 32)"}
+    policies = {"search_request_width_policy": "max(user_top_k * 10, 50)", "repository_candidate_limit_policy": "max(search_top_k * 20, 100)", "probes": probes}
     return settings | summary | policies | {"fixture_path": path, "top_k": k, "index_model": manifest.get("model_name") or "unknown", "indexed_at": manifest.get("indexed_at") or "unknown", "git": git_state(repo_root), "fixture_sha256": fixture_hash(spark, path), "results": [r.asDict() for r in results.orderBy("case_id").collect()]}
 
 

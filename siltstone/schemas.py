@@ -29,6 +29,4 @@ VECTORS = "chunk_id STRING, file_path STRING, dims INT, matrix ARRAY<FLOAT>"
 SYMBOLS = "qualified_name STRING, container STRING, origin_kind STRING, filepath STRING"
 #: What became of each file of a build, one row per attempt.
 BUILD_LOG = "build STRING, path STRING, status STRING, error STRING, attempt INT"
-SOURCE_SET = "STRUCT<source_roots: ARRAY<STRING>, generated_source_roots: ARRAY<STRING>, project_dependencies: ARRAY<STRING>, external_jars: ARRAY<STRING>, project_artifact_entries: ARRAY<STRING>, external_binary_entries: ARRAY<STRING>, output_dirs: ARRAY<STRING>, compile_classpath_entries: ARRAY<STRING>, runtime_classpath_entries: ARRAY<STRING>>"
-WORKSPACE = f"schema_version INT, jdk_home STRING, source_sets MAP<STRING, {SOURCE_SET}>"
 EVAL_SUITE = "benchmark_version STRING, repo_name STRING, repo_commit STRING, model_name STRING, top_k INT, line_tolerance INT, cases ARRAY<STRUCT<case_id: STRING, query: STRING, primary_paths: ARRAY<STRING>, primary_symbols: ARRAY<STRING>, primary_lines: ARRAY<INT>, primary_line_ranges: ARRAY<ARRAY<INT>>, secondary_paths: ARRAY<STRING>, secondary_symbols: ARRAY<STRING>>>"

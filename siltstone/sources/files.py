@@ -100,12 +100,30 @@ def source_symbols(files: DataFrame, container) -> DataFrame:
     return all_.select(qualified.alias("qualified_name"), F.lit(container).alias("container") if isinstance(container, str) else container.alias("container"), F.lit("source").alias("origin_kind"), F.col("filepath")).distinct()
 
 
+#: Class files of an archive that come in one batch.
+ENTRY_ROWS = 10_000
+
+
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 names = [n for n in archive.namelist() if n.endswith(".class")]
-            yield pd.DataFrame({"path": path, "entry": names})
+            for i in range(0, len(names), ENTRY_ROWS):
+                yield pd.DataFrame({"path": path, "entry": names[i : i + ENTRY_ROWS]})
+
+
+def class_entries(archives: DataFrame) -> DataFrame:
+    """(path, entry): the class files of archives (path, content).  Only the directory at an archive's end is read, no entry is unpacked."""
+    return archives.select("path", "content").mapInPandas(_entries, "path STRING, entry STRING")
+
+
+def archive_symbols(archives: DataFrame, origin: str = "binary") -> DataFrame:
+    """Symbols of jars (path, content), or with origin ``jdk`` of modules, of which only what lies under ``classes/`` counts."""
+    entries = class_entries(archives)
+    if origin == "jdk":
+        entries = entries.where(F.startswith("entry", F.lit("classes/"))).withColumn("entry", F.substr("entry", F.lit(len("classes/") + 1)))
+    return _symbols(entries, origin)
 
 
 def _symbols(entries: DataFrame, origin: str) -> DataFrame:
@@ -118,7 +136,7 @@ def binary_symbols(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = spark.createDataFrame([], SYMBOLS)
     jars = [p for p in dict.fromkeys(paths) if p.endswith(".jar")]
     if present(spark, jars):
-        out = out.unionByName(_symbols(scan(spark, jars, "*.jar").select("path", "content").mapInPandas(_entries, "path STRING, entry STRING"), "binary"))
+        out = out.unionByName(archive_symbols(scan(spark, jars, "*.jar")))
     for root in present(spark, [p for p in paths if not p.endswith((".jar", ".zip", ".war"))]):
         own = scan(spark, [root], "*.class", content=False)
         base = root.rstrip("/")
@@ -132,9 +150,7 @@ def jdk_symbols(spark: SparkSession, home: str) -> DataFrame:
     roots = present(spark, [f"{home}/jmods", f"{home}/Contents/Home/jmods"])
     if not roots:
         raise FileNotFoundError(f"no jmods directory under {home}")
-    entries = scan(spark, roots[:1], "*.jmod").select("path", "content").mapInPandas(_entries, "path STRING, entry STRING")
-    inside = entries.where(F.col("entry").startswith("classes/")).withColumn("entry", F.substr("entry", F.lit(len("classes/") + 1)))
-    return _symbols(inside, "jdk")
+    return archive_symbols(scan(spark, roots[:1], "*.jmod"), "jdk")
 
 
 def top_level_types(files: DataFrame) -> DataFrame:

@@ -124,6 +124,16 @@ class Store:
         text = self.files.read(f"{self.path}/manifests/{version}.json") if version else None
         return json.loads(text) if text else None
 
+    def model(self) -> str | None:
+        """The name of the newest version's encoder."""
+        return (self.manifest() or {}).get("model_name")
+
+    def create(self, model: str, indexed_at: str) -> int:
+        """An empty index, if there is none; returns its version, or that of the index that is there."""
+        if (version := self.version()) or self._publish(0, {"buckets": {}, "n_buckets": BUCKETS, "model_name": model, "indexed_at": indexed_at}):
+            return version or 1
+        return self.version()
+
     def _publish(self, read: int, manifest: dict) -> int | None:
         """Publishes the version after the one that was read; None if another writer has taken it."""
         return read + 1 if self.files.create(f"{self.path}/manifests/{read + 1}.json", json.dumps(manifest)) else None

@@ -7,6 +7,7 @@ offered as DataFrames.
 from __future__ import annotations
 
 import json
+import os
 import posixpath
 from dataclasses import dataclass, field
 
@@ -175,6 +176,10 @@ def inferred_edges(classpath: DataFrame, outputs: DataFrame) -> DataFrame:
     return classpath.join(outputs, "entry").where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
-def export_command(gradle: str, init_script: str, output: str) -> list[str]:
-    """The command that has Gradle write a workspace description."""
-    return [gradle, "-I", init_script, "exportWorkspaceModel", f"-Poutput={output}"]
+#: Describes a Gradle build; see the file.
+INIT_SCRIPT = os.path.join(os.path.dirname(os.path.abspath(__file__)), "export_workspace.init.gradle")
+
+
+def export_command(gradle_root: str, output: str) -> list[str]:
+    """The command by which a Gradle build's own wrapper writes its workspace description."""
+    return [os.path.join(gradle_root, "gradlew"), "-I", INIT_SCRIPT, "exportWorkspaceModel", f"-Poutput={output}"]

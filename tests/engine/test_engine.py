@@ -18,7 +18,7 @@ from siltstone.operators.documents import index_documents, retrieval_documents
 from siltstone.plans import indexing, retrieval
 from siltstone.scratch import stored
 from siltstone.sources import files, store
-from siltstone.sources.workspace import Workspace, closure, export_command, owners, split_key, validate
+from siltstone.sources.workspace import LISTS, Workspace, closure, export_command, owners, split_key, validate
 from siltstone.streaming.refresh import debounced, refresh
 
 
@@ -230,7 +230,9 @@ def test_workspace_graph(spark, tree):
         with pytest.raises(ValueError):
             validate(bad)
     validate({"source_sets": {}}, require_version=False)
-    assert export_command("gradle", "i", "o")[-1] == "-Poutput=o"
+    command = export_command("/build", "o")
+    assert command[:2] == ["/build/gradlew", "-I"] and command[3:] == ["exportWorkspaceModel", "-Poutput=o"]
+    assert all(f"{k}:" in open(command[2]).read() for k in ("schema_version", "jdk_home", "source_sets", *LISTS))
 
 
 def test_index_search_read_and_refresh(spark, tree):
@@ -273,7 +275,7 @@ def test_index_search_read_and_refresh(spark, tree):
     assert result["top_k"] == 5 and result["strong_pass"] == 1 and result["fail"] == 1 and result["score"] == 0.5
     retrieval.write_artifact(spark, result, str(tree / "out/run.json"))
     made = json.loads((tree / "out/run.json").read_text())
-    assert made["cases"] == 2 and made["fixture_path"].endswith("suite.json") and made["repository_candidate_limit_policy"] == "max(search_top_k * 20, 100)"
+    assert made["retrieval_version"].startswith("hashed-tokens-32/v") and made["cases"] == 2 and made["fixture_path"].endswith("suite.json") and made["repository_candidate_limit_policy"] == "max(search_top_k * 20, 100)"
     with pytest.raises(LookupError, match="inverted file"):
         retrieval.search_code(spark, s, "cancel order", probes=2)
     s.index_lists()
@@ -288,6 +290,36 @@ def log_rows(spark, **status):
     return spark.createDataFrame([(p, "failed" if e else "completed", e) for p, e in status.items()], "path STRING, status STRING, error STRING")
 
 
+def test_command_line(spark, tree, capsys, monkeypatch):
+    from siltstone import cli
+    from siltstone import session as module
+
+    monkeypatch.setattr(module, "session", lambda *a, **k: spark)
+    at = ["--repo-root", str(tree), "--index", str(tree / "cli-index")]
+    run = lambda *words: (cli.main(list(words)), capsys.readouterr().out)[1]
+    assert json.loads(run("index", "status", *at)) == {"status": "no index"}
+    state = json.loads(run("index", "workspace", *at, "--workspace-json", str(tree / "workspace.json"), "--model", "hashed-tokens-16"))
+    assert state["status"] == "completed" and state["model_name"] == "hashed-tokens-16" and state["completed"] == 3
+    assert json.loads(run("index", "lists", *at))["version"] == 2
+    exact, probed = (json.loads(run("retrieve", "search", *at, "cancel order", "--top-k", "1", "--json", *more)) for more in ([], ["--probes", "500"]))
+    assert exact["symbol"] == "com.orders.OrderService.cancelOrder" and exact["retrieval_version"].endswith("exact")
+    assert probed.pop("retrieval_version").endswith("probes-500") and exact.pop("retrieval_version") and probed == exact
+    monkeypatch.setattr(cli, "subprocess", None)
+    assert "exportWorkspaceModel" in run("workspace", "export", "/build", "out.json", "--print")
+    shown = run("parse", f"{tree}/orders/src/OrderService.java", "--workspace-json", str(tree / "workspace.json"))
+    assert "cancelOrder" in shown and "Gateway -> com.pay.Gateway (explicit_import)" in shown
+    with pytest.raises(SystemExit, match="needs a file"):
+        cli.main(["parse", "--workspace-json", "x"])
+    with pytest.raises(Exception, match="pylate"):
+        cli.main(["index", "workspace", *at, "--workspace-json", str(tree / "workspace.json"), "--model", "some/model", "--device", "cpu"])
+
+
+def test_an_empty_index_is_made_once(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "i"))
+    assert s.create("m", "t") == 1 and s.create("other", "t") == 1
+    assert s.status() == {"chunks": 0, "indexed_at": "t", "model_name": "m"} and s.read("vectors").count() == 0
+
+
 def test_build_state_and_log(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "i"))
     with pytest.raises(store.CorruptState):
@@ -460,6 +492,7 @@ def test_another_session_parses_nothing(spark, tmp_path, monkeypatch):
     (tmp_path / "src/A.java").write_text("class A { class B { } }")
     w, root, at = Workspace.from_dict({"source_sets": {":a:main": {"source_roots": [str(tmp_path / "src")]}}}), str(tmp_path / "src"), str(tmp_path / "symbols")
     first = {r.qualified_name for r in indexing.SymbolCache(spark, at).source([root], w).collect()}
+    assert [r.qualified_name for r in R.ordered(R.merged(*(indexing.SymbolCache(spark, at).source([root], w) for _ in range(2)))).collect()] == ["A", "A.B"]
     monkeypatch.setattr(indexing, "source_symbols", lambda *a: pytest.fail("parsed again"))
     assert {r.qualified_name for r in indexing.SymbolCache(spark, at).source([root], w).collect()} == first == {"A", "A.B"}
     (tmp_path / "src/C.java").write_text("class C { }")
