@@ -105,7 +105,8 @@ class SymbolCache:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.held = spark, path, {}
 
-    def _get(self, key: str, make) -> DataFrame:
+    def table(self, key: str, make) -> DataFrame:
+        """The table of that key, made by ``make`` unless it is known."""
         if key not in self.held:
             self.held[key] = stored(make(), "symbols") if self.path is None else self._kept(key, make)
         return self.held[key]
@@ -128,13 +129,13 @@ class SymbolCache:
             owned = owners(files.select("path"), workspace.roots(self.spark)).select(F.col("path").alias("filepath"), F.col("source_set").alias("container"))
             return source_symbols(files, F.lit(None).cast("string")).drop("container").join(owned, "filepath", "left").select("qualified_name", "container", "origin_kind", "filepath")
 
-        return self._get(fingerprint(self.spark, "source", roots, "*.java", context), make)
+        return self.table(fingerprint(self.spark, "source", roots, "*.java", context), make)
 
     def binary(self, paths: list[str]) -> DataFrame:
-        return self._get(fingerprint(self.spark, "binary", paths, "*.{jar,class}"), lambda: binary_symbols(self.spark, paths))
+        return self.table(fingerprint(self.spark, "binary", paths, "*.{jar,class}"), lambda: binary_symbols(self.spark, paths))
 
     def jdk(self, home: str) -> DataFrame:
-        return self._get(fingerprint(self.spark, "jdk", [f"{home}/jmods"], "*.jmod"), lambda: jdk_symbols(self.spark, home))
+        return self.table(fingerprint(self.spark, "jdk", [f"{home}/jmods"], "*.jmod"), lambda: jdk_symbols(self.spark, home))
 
 
 def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *, binaries: bool = False, jdk_home: str | None = None, cache: SymbolCache | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from siltstone.functions import lexical as L
 from siltstone.functions import naming as N
-from siltstone.functions.encoder import HashedEncoder, embedded
+from siltstone.functions.encoder import HashedEncoder, embedded, query_vectors
 from siltstone.functions.vectors import matrices, sane
 from siltstone.operators import evaluate as E
 from siltstone.operators import lists as IVF
@@ -19,6 +19,7 @@ from siltstone.operators import resolve as R
 from siltstone.operators import search as S
 from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
 from siltstone.plans import indexing as I
+from siltstone.plans.retrieval import load_suite, write_artifact
 from siltstone.schemas import CHUNKS, DOCUMENTS
 from siltstone.scratch import scratch, stored
 from siltstone.sources import store as T
@@ -882,5 +883,163 @@ def java_parents(spark, sf_dir):
     return _noted(spark, sf_dir).where("kind = 'method'").select(F.col("filepath").cast("long").alias("p_partkey"), "name", "chunk_id", "parent_chunk_id")
 
 
+@query("SELECT p_partkey, 'own' AS package, 'import x.Thing;' AS imports FROM part")
+def java_files_context(spark, sf_dir):
+    """Package and imports of each file."""
+    rows = _noted(spark, sf_dir).where("kind = 'file'")
+    return rows.select(F.col("filepath").cast("long").alias("p_partkey"), N.package_name(F.col("package")).alias("package"), F.array_join("imports", "|").alias("imports"))
+
+
+@query(
+    f"""WITH {MEMBERS} SELECT p_partkey, kind, name, concat_ws(chr(10), '// file: ' || path, '// package own;', '// class: ' || owner, '// fields: ' || CASE WHEN contains(owner, '.') THEN NULL ELSE CASE p_size % 4 WHEN 0 THEN 'size' WHEN 2 THEN 'code' WHEN 3 THEN 'name' END END, code) AS text
+    FROM w JOIN part USING (p_partkey)"""
+)
+def java_embed_headers(spark, sf_dir):
+    """The texts to embed: a header of file, package, classes and fields above the code."""
+    rows = chunks(_java(spark, sf_dir)).where("kind in ('method', 'constructor')")
+    return rows.select(F.col("filepath").cast("long").alias("p_partkey"), "kind", "name", F.col("embed_text").alias("text"))
+
+
+INDEXED = """r AS (SELECT p_partkey, p_size % 10 = 0 AS bad, p_size % 4 AS shape FROM part)"""
+
+
+@query(
+    f"""WITH {INDEXED} SELECT 'own/Part' || p_partkey || '.java' AS file_path, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, 1 + (bad AND p_partkey % 2 = 0)::INT AS attempt,
+    CASE WHEN bad THEN 0 ELSE [4, 4, 5, 7][shape + 1] END::BIGINT AS documents FROM r"""
+)
+def built_index(spark, sf_dir):
+    """A whole build of the parts' files into a store, half of the failed ones tried again: what became of each file, and its documents in the published index."""
+    size = F.col("p_size")
+    own = _java(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_partkey", "p_size"), "path")
+    files = own.select(F.concat(F.lit("/r/own/Part"), "path", F.lit(".java")).alias("path"), F.when(size % 10 != 0, F.col("content")).alias("content"), ((size % 10 == 0) & (F.col("p_partkey") % 2 == 0)).alias("again"))
+    store = T.Store(spark, scratch(spark, "store"))
+    store.start("/r", "signature", "hashed-tokens-8", "now", files.count())
+    for batch in (files, files.where("again")):
+        documents, failures = I.build(batch, "/r", None, spark, "now")
+        documents = stored(documents, "documents")
+        log = batch.select("path").join(failures, "path", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
+        changed = batch.select(F.substr("path", F.lit(4)).alias("file_path"))
+        store.replace_files(changed, documents, embedded(documents, HashedEncoder(8)), "hashed-tokens-8", "now", staged=True, log=log)
+    store.finish()
+    found = store.read("documents").groupBy("file_path").agg(F.count(F.lit(1)).alias("documents"))
+    return store.log().select(F.substr("path", F.lit(4)).alias("file_path"), "status", "attempt").join(found, "file_path", "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
+@query("SELECT p_brand AS file_path, count(*) AS n, CASE WHEN p_brand LIKE '%1' THEN 'second' WHEN p_brand LIKE '%2' THEN 'third' ELSE 'first' END AS indexed_at FROM part WHERE p_brand NOT LIKE '%3' GROUP BY p_brand")
+def stored_batches(spark, sf_dir):
+    """An index that two streams refresh: each batch that comes again, or late, changes nothing; some files are left out on reading."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("chunk_id"), F.col("p_brand").alias("file_path"))
+    given = {"chunk_id": F.col("chunk_id"), "file_path": F.col("file_path"), "indexed_at": F.lit("first")}
+    documents = own.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DOCUMENTS).fields))
+    vectors = documents.select("chunk_id", "file_path", F.lit(1).alias("dims"), F.array(F.lit(1.0).cast("float")).alias("matrix"))
+    store = T.Store(spark, scratch(spark, "store"))
+    store.save(documents, vectors, "model", "first")
+
+    def put(end: str, at: str, batch: tuple[str, int]) -> None:
+        some = F.col("file_path").like(f"%{end}")
+        store.replace_files(documents.where(some).select("file_path"), documents.where(some).withColumn("indexed_at", F.lit(at)), vectors.where(some), "model", at, batch=batch)
+
+    put("1", "second", ("a", 0))
+    put("2", "third", ("b", 0))
+    put("1", "never", ("a", 0))
+    put("2", "never", ("b", 0))
+    rest, _ = store.retained()
+    return rest.where("file_path not like '%3'").groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("indexed_at").alias("indexed_at"))
+
+
+@query("SELECT count(*) AS chunks, 'model' AS model_name, (SELECT count(*) FROM part WHERE p_brand <> 'Brand#11') AS others FROM part")
+def index_status(spark, sf_dir):
+    """Number of chunks and model of an index, and how many chunks stay without one file."""
+    own = table(spark, sf_dir, "part")
+    given = {"chunk_id": F.col("p_partkey").cast("string"), "file_path": F.col("p_brand")}
+    documents = own.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(DOCUMENTS).fields))
+    store = T.Store(spark, scratch(spark, "store"))
+    store.save(documents, documents.select("chunk_id", "file_path", F.lit(1).alias("dims"), F.array(F.lit(1.0).cast("float")).alias("matrix")), "model", "now")
+    status = store.status()
+    return store.retained(exclude_file="Brand#11")[1].agg(F.lit(status["chunks"]).cast("long").alias("chunks"), F.lit(status["model_name"]).alias("model_name"), F.count(F.lit(1)).alias("others"))
+
+
+@query(f"WITH {MEMBERS} SELECT p_partkey, kind, name, CASE WHEN p_size % 4 = 0 THEN 'twice' ELSE 'once' END AS given FROM w JOIN part USING (p_partkey)")
+def retrieval_upserts(spark, sf_dir):
+    """The table of retrieval documents after some files were put in, and then all."""
+    files = _java(spark, sf_dir)
+    some = files.join(table(spark, sf_dir, "part").where("p_size % 4 = 0").select(F.col("p_partkey").cast("string").alias("path")), "path", "left_semi")
+    first = stored(I.index_retrieval(None, some, None, spark), "retrieval")
+    rows = I.index_retrieval(first, files, None, spark).where("kind in ('method', 'constructor')").select(F.col("filepath").cast("long").alias("p_partkey"), "kind", "name", "chunk_id")
+    return rows.join(first.select("chunk_id", F.lit("twice").alias("given")), "chunk_id", "left").select("p_partkey", "kind", "name", F.coalesce("given", F.lit("once")).alias("given"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN ':a:main' WHEN 1 THEN ':a:test' END AS source_set, [1, 1, 1, 2][p_size % 4 + 1]::BIGINT AS types FROM part")
+def parsed_in_workspace(spark, sf_dir):
+    """Files parsed within a workspace: the source set of each and its types."""
+    folder = F.element_at(F.array(*map(F.lit, ("/w/a/main", "/w/a/test", "/w/else"))), (F.col("p_size") % 3 + 1).cast("int"))
+    at = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), folder.alias("folder"))
+    files = _java(spark, sf_dir).join(at, "path").select(F.concat_ws("/", "folder", "path").alias("path"), "content")
+    workspace = Workspace.from_dict({"source_sets": {":a:main": {"source_roots": ["/w/a/main"]}, ":a:test": {"source_roots": ["/w/a", "/w/a/test"]}}})
+    rows = I.parsed(files, workspace, spark)
+    return rows.groupBy(F.element_at(F.split("filepath", "/"), -1).cast("long").alias("p_partkey"), "source_set").agg(F.count_if(F.col("kind") == "skeleton").alias("types"))
+
+
+@query("SELECT ':' || n_name || ':main' AS source_set, '/w/' || n_nationkey || CASE WHEN i = 1 THEN '/gen' ELSE '' END AS root, (row_number() OVER (ORDER BY n_name, i) - 1)::INT AS ordinal FROM nation, (SELECT unnest([0, 1]) AS i)")
+def loaded_workspace(spark, sf_dir):
+    """A description written as JSON and read back: the roots of its source sets, generated ones after the others."""
+    n = table(spark, sf_dir, "nation").orderBy("n_name")
+    root = F.concat(F.lit("/w/"), F.col("n_nationkey").cast("string"))
+    one = F.struct(F.array(root).alias("source_roots"), F.array(F.concat(root, F.lit("/gen/"))).alias("generated_source_roots"))
+    sets = n.select(F.concat(F.lit('"'), F.concat(F.lit(":"), "n_name", F.lit(":main")), F.lit('": '), F.to_json(one)).alias("s"), "n_name")
+    text = sets.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", "s"))), lambda x: x["s"]), ", ").alias("s"))
+    path = scratch(spark, "workspace")
+    text.select(F.concat(F.lit('{"schema_version": 1, "jdk_home": null, "source_sets": {'), "s", F.lit("}}"))).coalesce(1).write.text(path)
+    return Workspace.load(spark, path).roots(spark)
+
+
+@query("SELECT item_id::VARCHAR AS case_id, text AS query, 5 AS top_k, 25 AS line_tolerance, CASE WHEN item_id % 2 = 0 THEN 'p' || item_id ELSE '' END AS paths, '' AS symbols, CASE WHEN item_id % 3 = 0 THEN item_id || '-' || item_id + 9 ELSE '' END AS ranges FROM benchmark")
+def loaded_suite(spark, sf_dir):
+    """A suite of cases written as JSON and read back, absent numbers and lists with their defaults."""
+    b, k = table(spark, sf_dir, "benchmark"), F.col("item_id")
+    case = F.struct(k.cast("string").alias("case_id"), F.col("text").alias("query"), F.when(k % 2 == 0, F.array(F.concat(F.lit("p"), k.cast("string")))).alias("primary_paths"), F.when(k % 3 == 0, F.array(F.array(k, k + 9))).alias("primary_line_ranges"))
+    path = scratch(spark, "suite")
+    b.agg(F.collect_list(case).alias("cases")).select(F.to_json(F.struct(F.lit("1").alias("benchmark_version"), "cases"))).coalesce(1).write.text(path)
+    settings, cases = load_suite(spark, path)
+    ranges = F.array_join(F.transform("primary_line_ranges", lambda r: F.concat_ws("-", r[0].cast("string"), r[1].cast("string"))), ",")
+    numbers = (F.lit(settings[k]).alias(k) for k in ("top_k", "line_tolerance"))
+    return cases.select("case_id", "query", *numbers, F.array_join("primary_paths", ",").alias("paths"), F.array_join("primary_symbols", ",").alias("symbols"), ranges.alias("ranges"))
+
+
+@query(f"{JUDGED} SELECT count(*) AS cases, count_if(verdict = 'fail')::BIGINT AS fail, true AS sorted FROM c")
+def written_artifact(spark, sf_dir):
+    """The result of an evaluation, written as sorted JSON and read back."""
+    out = E.summarised(E.verdicts(*_eval(spark, sf_dir))).first().asDict()
+    path = scratch(spark, "artifact") + ".json"
+    write_artifact(spark, {k: int(v) if k != "score" else float(v) for k, v in out.items()}, path)
+    text = spark.read.text(path, wholetext=True)
+    keys = F.regexp_extract_all("value", F.lit(r'"(\w+)":'), 1)
+    return text.select(F.get_json_object("value", "$.cases").cast("long").alias("cases"), F.get_json_object("value", "$.fail").cast("long").alias("fail"), (keys == F.array_sort(keys)).alias("sorted"))
+
+
+@query(f"WITH {V} SELECT query_id, count(*) AS n, min(chunk_id) AS least FROM (SELECT DISTINCT query_id, chunk_id FROM d WHERE chunk_id % 3 <> 0) GROUP BY 1")
+def chunks_without_vectors(spark, sf_dir):
+    """Chunks without vectors never match."""
+    some = _chunks(spark, sf_dir).withColumn("matrix", F.when(F.col("chunk_id") % 3 != 0, F.col("matrix")).otherwise(F.expr("cast(array() as array<float>)")))
+    return S.maxsim(some, _queries(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("least"))
+
+
+@query(f"SELECT item_id::VARCHAR AS query_id, len(list_distinct(({TOKENS.format('text')})[1:32])) AS n, 16 AS dims, true AS unit FROM benchmark WHERE len({TOKENS.format('text')}) > 0")
+def encoded_queries(spark, sf_dir):
+    """How many vectors each query gets; all are of length one."""
+    asked = [(str(r["item_id"]), r["text"]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return query_vectors(spark, asked, HashedEncoder(16)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims"), F.min(F.abs(norm - 1) < 1e-5).alias("unit"))
+
+
+@query(f"SELECT qualified_name, p_partkey::VARCHAR AS filepath FROM ({TYPES})")
+def kept_symbols(spark, sf_dir):
+    """Symbols that one cache wrote and another, of another session, reads."""
+    path = scratch(spark, "kept-symbols")
+    I.SymbolCache(spark, path).table("key", lambda: source_symbols(_java(spark, sf_dir), ":app:main"))
+    again = I.SymbolCache(spark, path).table("key", lambda: source_symbols(_java(spark, sf_dir).limit(0), ":app:main"))
+    return again.select("qualified_name", "filepath")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return hybrid_search(spark, "/root/testdata/sf0.001")
