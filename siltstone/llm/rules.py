@@ -145,13 +145,24 @@ def _covered(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _candidates(x: dict[str, np.ndarray], grid: int = 40) -> list[Condition]:
-    out = []
+def _best(x: dict[str, np.ndarray], bad: np.ndarray, least: int) -> Condition | None:
+    """The condition of greatest information gain that holds for at least ``least`` bad rows: every place between two different values of a
+    feature is tried, and the threshold lies half-way between them."""
+    p0, n0 = int(bad.sum()), int((~bad).sum())
+    best, most = None, 1e-9
     for name, v in x.items():
-        distinct = np.unique(v)
-        for t in np.unique(np.quantile(distinct, np.linspace(0, 1, grid + 1)[1:])):
-            out += [Condition(name, True, float(t)), Condition(name, False, float(t))]
-    return out
+        order = np.argsort(v, kind="stable")
+        own, below = v[order], np.cumsum(bad[order])
+        cut = np.flatnonzero(own[1:] > own[:-1])
+        for above in (True, False):
+            p = (p0 - below[cut]) if above else below[cut]
+            total = (len(v) - 1 - cut) if above else cut + 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p >= max(1, least), p * (np.log2(p / total) - np.log2(p0 / (p0 + n0))), 0.0)
+            if len(gain) and gain.max() > most + 1e-9:
+                i = int(gain.argmax())
+                best, most = Condition(name, above, float((own[cut[i]] + own[cut[i] + 1]) / 2)), float(gain[i])
+    return best
 
 
 def learned(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.7, least: int = 5, longest: int = 4, most: int = 16) -> list[Rule]:
@@ -168,17 +179,7 @@ def learned(x: dict[str, np.ndarray], bad: np.ndarray, *, precision: float = 0.7
             p0, n0 = bad[inside].sum(), (~bad[inside]).sum()
             if p0 == 0 or n0 == 0:
                 break
-            own = {k: v[inside] for k, v in x.items()}
-            best, gain = None, 0.0
-            for c in _candidates(own):
-                hit = c.holds(own)
-                p = int(bad[inside][hit].sum())
-                q = int(hit.sum()) - p
-                if p < least:
-                    continue
-                g = p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0)))
-                if g > gain + 1e-9:
-                    best, gain = c, g
+            best = _best({k: v[inside] for k, v in x.items()}, bad[inside], least)
             if best is None:
                 break
             rule += (best,)
@@ -217,9 +218,9 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = LABELLED_ROWS, **opti
     own = features()
     stats = statistics(known, "label").where(~base_failed())
     numbers = F.struct("label", *(e.alias(k) for k, e in own.items()))
-    rows = stats.groupBy("doc_id").agg(F.min(numbers).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id", ignore_index=True)
-    order = np.argsort(mix(rows["doc_id"].to_numpy(np.int64).astype(np.uint64)), kind="stable")
-    return learned({k: rows[k].to_numpy(float)[order] for k in own}, rows["label"].to_numpy()[order] == 0, **options)
+    # Ids may be of any type: rows are put in order by a hash of theirs, which also deals them to growing and pruning.
+    rows = stats.groupBy("doc_id").agg(F.min(numbers).alias("r")).select(F.xxhash64(F.lit(3), "doc_id").alias("mark_"), "r.*").toPandas().sort_values(["mark_", *own], ignore_index=True)
+    return learned({k: rows[k].to_numpy(float) for k in own}, rows["label"].to_numpy() == 0, **options)
 
 
 def base_failed() -> Column:

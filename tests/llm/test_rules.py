@@ -71,3 +71,18 @@ def test_judged_rows(spark):
     assert all(r.base_failed == (r.doc_id is None or r.doc_id >= 900) for r in rows)
     assert judged(docs.limit(0), []).count() == 0
     assert learn(docs, labels.limit(0)) == []
+
+
+def test_ids_of_any_type_and_thresholds_between_the_classes(spark):
+    """Text ids, a null one and repeated rows among them; a threshold lies half-way between good and bad."""
+    texts = [(" ".join(f"w{i}x{j}{'' if i % 3 else '#'}" for j in range(60)), int(i % 3 > 0)) for i in range(90)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, (t, _) in enumerate(texts)] + [("d0", texts[0][0]), (None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", q) for i, (_, q) in enumerate(texts)] + [(None, 0)], "doc_id string, quality int")
+    (rule,) = learn(docs, labels)
+    assert [str(c) for c in rule] == ["symbols_per_word >= 0.5"]
+    got = {r.doc_id: r.kept for r in judged(docs, [rule]).collect()}
+    assert got == {f"d{i}": q > 0 for i, (_, q) in enumerate(texts)} | {None: False}
+    x = {"a": np.array([0.0] * 50 + [0.4] * 20), "b": np.arange(70.0) % 7}
+    order = np.random.default_rng(1).permutation(70)
+    (rule,) = learned({k: v[order] for k, v in x.items()}, (x["a"] > 0)[order])
+    assert [str(c) for c in rule] == ["a >= 0.2"]
