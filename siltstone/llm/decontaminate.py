@@ -12,7 +12,7 @@ they may reach, and each meets only those, in groups of bounded bytes.
 
 Defined results: null and empty texts match nothing; an item of fewer than q bytes after normalisation matches the documents whose
 whole normalised text it is; repeated documents each get their rows; repeated items each match under their own id (null included);
-of equally close places the first counts; very long texts are searched whole; an empty table on either side gives an empty
+of equally close places the first counts; ids of documents and items may be of any type that can be sorted; very long texts are searched whole; an empty table on either side gives an empty
 result; columns beyond doc_id, text and item_id, text are ignored.
 """
 
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.llm.textops import LOWER, Shared, bitmap, chunks, in_bitmap, prepared, stored, text_buffers
 
@@ -83,14 +84,14 @@ def grams(b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Window:
-    item: int | None
+    item: object
     start: int
     text: bytes
     edits: int
     bound: int
 
 
-def windows_of(item: int | None, text: str | None, edits: float = EDITS) -> list[Window]:
+def windows_of(item: object, text: str | None, edits: float = EDITS) -> list[Window]:
     raw = np.frombuffer((text or "").encode(), np.uint8)
     b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
     if len(b) < Q:
@@ -103,7 +104,7 @@ def windows_of(item: int | None, text: str | None, edits: float = EDITS) -> list
     return out
 
 
-def short_of(item: int | None, text: str | None) -> list[tuple[bytes, int | None]]:
+def short_of(item: object, text: str | None) -> list[tuple[bytes, object]]:
     """The whole normalised text of an item too short for a q-gram."""
     raw = np.frombuffer((text or "").encode(), np.uint8)
     b = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" ")
@@ -113,9 +114,9 @@ def short_of(item: int | None, text: str | None) -> list[tuple[bytes, int | None
 class Index:
     """The q-grams of a slice of windows: sorted, with the windows and places of each."""
 
-    def __init__(self, windows: list[Window], short: list[tuple[bytes, int | None]] = ()):
+    def __init__(self, windows: list[Window], short: list[tuple[bytes, object]] = ()):
         # Items too short for a q-gram are looked up as whole texts.
-        self.whole: dict[bytes, set[int | None]] = {}
+        self.whole: dict[bytes, set] = {}
         for text, item in short:
             self.whole.setdefault(text, set()).add(item)
         self.windows = windows
@@ -215,7 +216,7 @@ def aligned_many(b: np.ndarray, patterns: np.ndarray, low: np.ndarray, width: in
     return live, cost, low + start, low + m + best
 
 
-def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
+def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, object, int, int, int]]:
     """(document, item, edits, start byte, end byte) of every verified window of a chunk, the best band of each."""
     b, at_doc, place = normalised(data, offsets)
     for d in np.flatnonzero(np.diff(at_doc) < Q + 2) if index.whole else ():
@@ -264,12 +265,11 @@ def found(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple
         yield d, index.windows[w].item, edits, int(place[s] - offsets[d]), int(place[e - 1] + 1 - offsets[d])
 
 
-SCHEMA = "item_id long, n_windows long, edits long, char_start long, char_end long"
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+NAMES = ["item_id", "n_windows", "edits", "char_start", "char_end"]
 
 
-def _index(items: list[tuple[int | None, str]], edits: float) -> Index:
-    items = sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+def _index(items: list[tuple[object, str]], edits: float) -> Index:
+    items = sorted(items, key=lambda x: (True, x[1]) if x[0] is None else (False, x[0], x[1]))
     return Index([w for i, t in items for w in windows_of(i, t, edits)], [x for i, t in items for x in short_of(i, t)])
 
 
@@ -280,26 +280,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *keep: str, edits: float
     names = list(dict.fromkeys(["doc_id", *keep]))
     kept = [f"k{i}_" for i in range(len(names))]
     own = docs.select(*(F.col(c).alias(k) for c, k in zip(names, kept)), "text")
-    schema = ", ".join([*(f"{k} {types[c]}" for c, k in zip(names, kept)), SCHEMA])
-    items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    schema = ", ".join([*(f"{k} {types[c]}" for c, k in zip(names, kept)), f"item_id {dict(benchmark.dtypes)['item_id']}", *(f"{c} long" for c in NAMES[1:])])
+    items = benchmark.where(F.length("text") > 0).select("item_id", "text")
+    kind = to_arrow_type(items.schema["item_id"].dataType)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total <= slice_bytes:
         shared = Shared(docs.sparkSession, _index([(r["item_id"], r["text"]) for r in items.collect()], edits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _hits(shared.value, batch, kept)
+                yield _hits(shared.value, batch, kept, kind)
 
         out = own.mapInArrow(run, schema)
     else:
-        out = _routed(own, items, kept, schema, edits, -(-total // slice_bytes), group_bytes)
+        out = _routed(own, items, kept, schema, edits, -(-total // slice_bytes), group_bytes, kind)
     return out.select(*(F.col(k).alias(c) for c, k in zip(names, kept)), *NAMES)
 
 
-def _hits(index: Index, batch: pa.RecordBatch | pa.Table, kept: list[str]) -> pa.RecordBatch:
+def _hits(index: Index, batch: pa.RecordBatch | pa.Table, kept: list[str], kind: pa.DataType) -> pa.RecordBatch:
     """One row per text of the batch and item found in it."""
     data, offsets = text_buffers(batch.column("text"))
-    rows: dict[tuple[int, int | None], list[tuple[int, int, int]]] = {}
+    rows: dict[tuple[int, object], list[tuple[int, int, int]]] = {}
     for i, _, b, o in chunks(data, offsets):
         for d, item, cost, s, e in found(index, b, o):
             rows.setdefault((i + d, item), []).append((cost, s, e))
@@ -311,10 +312,10 @@ def _hits(index: Index, batch: pa.RecordBatch | pa.Table, kept: list[str]) -> pa
             column.append(v)
     at = pa.array(out[0], pa.int64())
     columns = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).take(at) for c in (batch.column(k) for k in kept)]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c in out[1:])], [*kept, *NAMES])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(out[1], kind), *(pa.array(c, pa.int64()) for c in out[2:])], [*kept, *NAMES])
 
 
-def _marks(item: int | None, text: str, edits: float) -> tuple[np.ndarray, int]:
+def _marks(item: object, text: str, edits: float) -> tuple[np.ndarray, int]:
     """The distinct q-grams of an item's windows (of a short item a number for the whole), and the least number of them a match must hold."""
     codes = [(np.unique(grams(np.frombuffer(w.text, np.uint8))), w.edits) for w in windows_of(item, text, edits)]
     codes += [(np.array([_short(b)]), 0) for b, _ in short_of(item, text)]
@@ -328,7 +329,7 @@ def _short(text: bytes) -> np.uint64:
     return np.uint64(int.from_bytes(text, "big"))
 
 
-def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edits: float, n_slices: int, group_bytes: int) -> DataFrame:
+def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edits: float, n_slices: int, group_bytes: int, kind: pa.DataType) -> DataFrame:
     spark = docs.sparkSession
     items = stored(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)).cast("int")), "items")
 
@@ -376,7 +377,7 @@ def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edi
 
     def search(texts: pa.Table, own: pa.Table) -> pa.Table:
         index = _index(list(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), edits)
-        return pa.Table.from_batches([_hits(index, texts, kept)])
+        return pa.Table.from_batches([_hits(index, texts, kept, kind)])
 
     return left.groupBy("slice", "part").cogroup(right.groupBy("slice", "part")).applyInArrow(search, schema)
 

@@ -99,3 +99,13 @@ def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark):
     short = sorted((r.doc_id, r.item_id, r.char_start, r.char_end) for r in contaminated(frame, bench).collect() if r.item_id in (100, 101))
     assert short == [(200, 100, 1, 4), (201, 101, 0, 3)]
     assert contaminated(frame.limit(0), bench, slice_bytes=2000).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    """Text ids, null among them, in one slice and in many."""
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    docs = spark.createDataFrame([("d1", f"see {text} now"), ("d2", "nothing at all here"), (None, text)], "doc_id string, text string")
+    items = spark.createDataFrame([("i1", text), (None, text), ("i2", "other words " * 12)], "item_id string, text string")
+    want = sorted((d, i) for d in ("d1", "None") for i in ("i1", "None"))
+    for slice_bytes in (1 << 20, 90):
+        assert sorted((str(r.doc_id), str(r.item_id)) for r in contaminated(docs, items, slice_bytes=slice_bytes).collect()) == want
