@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,13 +178,14 @@ def decided(bits: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 STATE = "lang_pred string, bits_ double, mass_ double, bytes_ long"
 COLUMNS = [x.split()[0] for x in STATE.split(", ")]
+KEYS = ["key_a", "key_b"]
 
 
-def _priced(docs: DataFrame, model: Model, names: list[str], begun: bool, last: bool) -> DataFrame:
-    """One slice: the shortest code so far (lang_pred, bits_), the weight of all codes against it (mass_) and the text's bytes."""
+def _priced(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
+    """The shortest code (lang_pred, bits_) by one model, the weight of all codes against it (mass_) and the text's bytes, beside the columns ``names``; lang_pred is null for
+    a text without letters."""
     types = dict(docs.dtypes)
-    carried = [*names, *([] if last else ["text"])]
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in carried), STATE])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), STATE])
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,27 +193,34 @@ def _priced(docs: DataFrame, model: Model, names: list[str], begun: bool, last:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             n = len(offsets) - 1
-            lang, bits, mass = batch.column("lang_pred").to_pylist() if begun else [None] * n, np.full(n, np.inf), np.zeros(n)
-            if begun:
-                bits, mass = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("bits_", "mass_"))
+            lang, bits, mass = [None] * n, np.full(n, np.inf), np.zeros(n)
             for i, j, b, o in chunks(data, offsets):
                 size, letters = np.diff(o), has_letter(b, o)
                 if not model.languages or not letters.any():
                     continue
                 all_bits = code_lengths(model, b, o)
                 best, share = decided(all_bits, size)
-                own, w = all_bits[np.arange(j - i), best], weight(size)
-                old_bits, old_mass = bits[i:j].copy(), mass[i:j].copy()
-                low = np.minimum(own, old_bits)
-                for d in np.flatnonzero(letters & (own < old_bits)):
+                for d in np.flatnonzero(letters):
                     lang[i + d] = model.languages[best[d]]
-                with np.errstate(invalid="ignore"):
-                    both = share * np.exp2(-(own - low) * w) + np.where(old_mass > 0, old_mass * np.exp2(-(old_bits - low) * w), 0.0)
-                bits[i:j], mass[i:j] = np.where(letters, low, old_bits), np.where(letters, both, old_mass)
+                bits[i:j], mass[i:j] = np.where(letters, all_bits[np.arange(j - i), best], np.inf), np.where(letters, share, 0.0)
             new = [pa.array(lang, pa.string()), pa.array(bits), pa.array(mass), pa.array(np.diff(offsets))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *new], [*carried, *COLUMNS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, *COLUMNS])
 
-    return docs.select(*dict.fromkeys([*names, "text"]), *(COLUMNS if begun else [])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+
+
+def _best_of_slices(docs: DataFrame, models: list[Model], names: list[str]) -> DataFrame:
+    """As ``_priced``, by several models: each reads the texts and gives one row of numbers for each, under two hashes of the text; equal texts are one. Only these rows are
+    shuffled, no texts are written."""
+    own = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.xxhash64(own).alias("key_a"), F.xxhash64(F.lit(5), own).alias("key_b"), "text")
+    priced = [_priced(texts, model, KEYS).where("lang_pred IS NOT NULL").withColumn("slice_", F.lit(i)) for i, model in enumerate(models)]
+    rows = reduce(DataFrame.unionByName, priced).groupBy(*KEYS, "bytes_").agg(F.array_sort(F.collect_set(F.struct("bits_", "slice_", "lang_pred", "mass_"))).alias("s"))
+    weight_ = F.least(F.lit(1.0), F.lit(float(SCORED_BYTES)) / F.greatest("bytes_", F.lit(1)))
+    mass = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["mass_"] * F.pow(F.lit(2.0), (F.col("s")[0]["bits_"] - x["bits_"]) * weight_))
+    best = stored(rows.select(*KEYS, F.col("s")[0]["lang_pred"].alias("lang_pred"), F.col("s")[0]["bits_"].alias("bits_"), mass.alias("mass_"), "bytes_"), "languages")
+    keyed = docs.select(*names, F.xxhash64(own).alias("key_a"), F.xxhash64(F.lit(5), own).alias("key_b"))
+    return keyed.join(best, KEYS, "left").drop(*KEYS)
 
 
 def identified(docs: DataFrame, models: Model | list[Model], *keep: str) -> DataFrame:
@@ -221,10 +230,7 @@ def identified(docs: DataFrame, models: Model | list[Model], *keep: str) -> Data
     # Columns to keep travel under names of their own, so that none clashes with the state.
     kept = [f"k{i}_" for i in range(len(names))]
     own = docs.select(*(F.col(c).alias(k) for c, k in zip(names, kept)), "text")
-    for i, model in enumerate(models):
-        last = i == len(models) - 1
-        own = _priced(own, model, kept, i > 0, last)
-        own = own if last else stored(own, "languages")
+    own = _priced(own, models[0], kept) if len(models) == 1 else _best_of_slices(own, models, kept)
     size = F.greatest("bytes_", F.lit(1))
     known = F.col("lang_pred").isNotNull()
     score = F.when(known, 1 / F.col("mass_")).otherwise(0.0)
