@@ -86,22 +86,17 @@ def products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     return dots
 
 
-class _Scores:
-    """Scores of chunks for all queries of a slice; with ``k`` only the best of each query are kept (of equal ones the least ids)."""
+class _Best:
+    """The best scores of each query; with ``k`` only so many are kept (of equal ones the least ids)."""
 
-    def __init__(self, part: pa.Table, k: int | None):
-        self.q, ids = matrix(part.column("vec")), part.column("query_id").to_numpy()
-        self.first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        self.queries, self.k = part.column("query_id").take(pa.array(self.first)).combine_chunks(), k
+    def __init__(self, queries: pa.Array, k: int | None):
+        self.queries, self.k = queries, k
         self.ids: list[pa.Array] = []
         self.scores: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, ids: pa.Array, vectors: np.ndarray, starts: np.ndarray) -> None:
-        best = np.maximum.reduceat(products(vectors, self.q), starts, axis=0)
-        known = best > -np.inf
-        score = np.add.reduceat(np.where(known, best, 0.0), self.first, axis=1)
-        score[np.add.reduceat(known, self.first, axis=1, dtype=np.int64) == 0] = -np.inf
+    def add(self, ids: pa.Array, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """score: a row for each id, a column for each query; -inf for none."""
         self.ids.append(ids)
         self.scores.append(score)
         self.n += len(ids)
@@ -118,7 +113,7 @@ class _Scores:
         if self.k is not None and len(ids) > self.k:
             able &= score >= np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k]
         query, row = np.nonzero(able.T)
-        value = score[row, query]
+        value = score[row, query].astype(np.float64)
         if self.k is not None:
             place = np.empty(len(ids), np.int64)
             place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
@@ -132,6 +127,22 @@ class _Scores:
             yield pa.RecordBatch.from_arrays([self.queries.take(pa.array(query[s])), ids.take(pa.array(row[s])), pa.array(value[s])], ["query_id", "chunk_id", "score"])
 
 
+class _Scores(_Best):
+    """Scores of chunks for all queries of a slice."""
+
+    def __init__(self, part: pa.Table, k: int | None):
+        self.q, ids = matrix(part.column("vec")), part.column("query_id").to_numpy()
+        self.first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        super().__init__(part.column("query_id").take(pa.array(self.first)).combine_chunks(), k)
+
+    def scored(self, vectors: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        best = np.maximum.reduceat(products(vectors, self.q), starts, axis=0)
+        known = best > -np.inf
+        score = np.add.reduceat(np.where(known, best, 0.0), self.first, axis=1)
+        score[np.add.reduceat(known, self.first, axis=1, dtype=np.int64) == 0] = -np.inf
+        return score
+
+
 def _scored_schema(chunks: DataFrame, queries: DataFrame) -> str:
     return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
 
@@ -149,7 +160,7 @@ def maxsim(chunks: DataFrame, queries: DataFrame, k: int | None = None) -> DataF
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scores = _Scores(part, k)
             for batch, vectors, starts in chunk_steps(batches, *scores.q.shape):
-                yield from scores.add(batch.column("chunk_id"), vectors, starts)
+                yield from scores.add(batch.column("chunk_id"), scores.scored(vectors, starts))
             yield from scores.rows()
 
         return run
@@ -186,6 +197,50 @@ def rescored(chunks: DataFrame, wanted: DataFrame, queries: DataFrame) -> DataFr
     return _union([met.mapInArrow(scorer(part), schema) for part in passes(queries)], chunks, schema)
 
 
+#: Different terms of the queries in one broadcast, and cells of a block of documents and terms.
+QUERY_TERMS = 1 << 14
+CELLS = 1 << 23
+
+
+def overlaps(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): how many terms a document (chunk_id, terms, each once) shares with a query (query_id, terms); of each task the best k of each query,
+    which are to be ranked further.  Documents and terms of a slice of queries make a table of 0 and 1, which is multiplied with that of terms and queries."""
+    schema = _scored_schema(documents, queries)
+    total = queries.agg(F.sum(F.size("terms"))).first()[0] or 0
+    n = max(1, -(-total // QUERY_TERMS))
+    parts = [queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+    def counter(ids: pa.Array, vocabulary: pa.Array, holds: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = _Best(ids, k)
+            step = max(1, CELLS // max(1, len(vocabulary)))
+            for whole in batches:
+                for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    terms = batch.column("terms")
+                    code = pc.index_in(terms.flatten(), value_set=vocabulary)
+                    known = code.is_valid().to_numpy(zero_copy_only=False)
+                    sizes = np.nan_to_num(terms.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+                    table = np.zeros((len(batch), len(vocabulary)), np.float32)
+                    table[np.repeat(np.arange(len(batch)), sizes)[known], code.drop_null().to_numpy()] = 1
+                    count = table @ holds
+                    count[count == 0] = -np.inf
+                    yield from best.add(batch.column("chunk_id"), count)
+            yield from best.rows()
+
+        return run
+
+    out = []
+    for part in parts:
+        rows = part.select("query_id", F.array_distinct("terms").alias("terms")).where(F.size("terms") > 0).toArrow().combine_chunks()
+        if rows.num_rows:
+            terms = rows.column("terms").combine_chunks()
+            words = terms.flatten().dictionary_encode()
+            holds = np.zeros((len(words.dictionary), rows.num_rows), np.float32)
+            holds[words.indices.to_numpy(), np.repeat(np.arange(rows.num_rows), terms.value_lengths().to_numpy())] = 1
+            out.append(documents.select("chunk_id", "terms").mapInArrow(counter(rows.column("query_id").combine_chunks(), words.dictionary, holds), schema))
+    return _union(out, documents, schema)
+
+
 def dot_totals(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, n, total, best): how many vectors each query row met, the sum of all products and the greatest.  Every vector meets every
     query row, in blocks; a task sends one row per query row."""

@@ -140,8 +140,8 @@ class SymbolCache:
 
 def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *, binaries: bool = False, jdk_home: str | None = None, cache: SymbolCache | None = None) -> DataFrame:
     """Chunks of the files with source_set, calls resolved within what each source set sees."""
-    # Small files are packed into few scan tasks; parsing is dealt out by path.
-    rows = chunks(files.repartition("path"))
+    # Small files are packed into few scan tasks; parsing is dealt out by path, to a number of tasks that isn't lowered for having few bytes.
+    rows = chunks(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
     if workspace is None:
         return rows.withColumn("source_set", F.lit(None).cast("string"))
     owned = owners(files.select("path"), workspace.roots(spark)).select(F.col("path").alias("filepath"), "source_set")

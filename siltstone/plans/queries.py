@@ -22,6 +22,7 @@ from siltstone.plans import indexing as I
 from siltstone.plans.retrieval import load_suite, write_artifact
 from siltstone.schemas import CHUNKS, DOCUMENTS
 from siltstone.scratch import scratch, stored
+from siltstone.session import spread
 from siltstone.sources import store as T
 from siltstone.sources.files import archive_symbols, chunks, scan, source_symbols, top_level_types
 from siltstone.sources.workspace import Workspace, closure, inferred_edges, owners
@@ -49,12 +50,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table with much work for each row, in as many tasks as there are cores at least."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 # --- query terms and scores
 
 
 @query(f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS INT) AS n_tokens, CAST(len(list_distinct({TOKENS.format('text')})) AS INT) AS n_distinct FROM documents")
 def tokenize_terms(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", L.tokens(F.col("text")).alias("t"))
+    own = spread_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", L.tokens(F.col("text")).alias("t"))
     return own.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -78,12 +84,12 @@ def synonym_expand(spark, sf_dir):
     SELECT item_id, doc_id, n_common, round(0.12::DOUBLE * least(n_common, 6), 6) AS score FROM m QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n_common DESC, doc_id) <= 10"""
 )
 def term_overlap_score(spark, sf_dir):
-    """The ten documents that share most terms with each item, by an inverted join."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(L.significant(F.col("text"))).alias("term"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(L.tokens(F.col("text")))).alias("term"))
-    n = d.join(q, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n_common"))
-    best = n.withColumn("r", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("n_common"), "doc_id"))).where("r <= 10")
-    return best.select("item_id", "doc_id", "n_common", F.round(F.lit(0.12) * F.least("n_common", F.lit(6)), 6).alias("score"))
+    """The ten documents that share most terms with each item."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), L.significant(F.col("text")).alias("terms"))
+    d = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("chunk_id"), F.array_distinct(L.tokens(F.col("text"))).alias("terms"))
+    best = S.ranked(S.overlaps(d, q, 10), "score", 10)
+    n = F.col("score").cast("long")
+    return best.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), n.alias("n_common"), F.round(F.lit(0.12) * F.least(n, F.lit(6)), 6).alias("score"))
 
 
 @query(
@@ -466,7 +472,7 @@ def _java(spark, sf_dir):
     }
     text = F.when(F.col("p_size") % 4 == 0, lines[0]).when(F.col("p_size") % 4 == 1, lines[1]).when(F.col("p_size") % 4 == 2, lines[2]).otherwise(lines[3])
     source = F.concat(F.lit("package own;\npublic"), F.replace(text, F.lit("{}"), F.col("p_partkey").cast("string")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), source.cast("binary").alias("content"))
+    return spread_table(spark, sf_dir, "part", "p_partkey", "p_size", "p_name").select(F.col("p_partkey").cast("string").alias("path"), source.cast("binary").alias("content"))
 
 
 @query(
@@ -846,7 +852,7 @@ NOTED_SQL = f"c AS (SELECT p_partkey, replace(replace(replace('{NOTED}', '~', ch
 
 def _noted(spark, sf_dir):
     code = F.replace(F.replace(F.replace(F.lit(NOTED), F.lit("~"), F.lit("\n")), F.lit("{}"), F.col("p_partkey").cast("string")), F.lit("<>"), F.col("p_brand"))
-    return chunks(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), code.cast("binary").alias("content")))
+    return chunks(spread_table(spark, sf_dir, "part", "p_partkey", "p_brand").select(F.col("p_partkey").cast("string").alias("path"), code.cast("binary").alias("content")))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +21,11 @@ def session(name: str = "siltstone", master: str | None = None, **settings: str)
     for key, value in (SETTINGS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The rows of a scan in as many tasks as there are cores, where the files give fewer: a file of one row group is one task, however many cores wait.
+
+    Files of enough splits stay as they are, so at most one split for each core is shuffled."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
