@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.textops import LOWER, Shared, bitmap, chunks, in_bitmap, prepared, stored, text_buffers
+from siltstone.llm.textops import LOWER, Shared, bitmap, chunks, documents, in_bitmap, stored, text_buffers
 
 Q = 8
 WINDOW = 120
@@ -383,4 +383,4 @@ def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edi
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

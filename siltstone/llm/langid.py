@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, Shared, chunks, fold_of, prepared, stored, text_buffers
+from siltstone.llm.textops import LOWER, Shared, chunks, documents, fold_of, stored, text_buffers
 
 ORDER = 4
 #: The classifier learns from at most so many pieces of each language, of so many characters each.
@@ -270,5 +270,5 @@ def learn(docs: DataFrame, pieces: int = PIECES, piece_chars: int = PIECE_CHARS,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir, "lang")
     return identified(docs, learn(docs)).select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "bits_per_byte")

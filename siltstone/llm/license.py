@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.license_digests import DIGESTS
-from siltstone.llm.textops import let, prepared, stored
+from siltstone.llm.textops import documents, let, stored
 
 # Licence texts, their usual titles, notices and headers.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -223,7 +223,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+    return scanned(documents(spark, sf_dir))
 
 
 def _sql_canonical(text: str) -> str:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import let, prepared
+from siltstone.llm.textops import documents, let
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds of all spans: those of the base, and one that only the generators propose.
@@ -474,7 +474,7 @@ def redacted(text: Column, spans: str) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     own = detected(docs, learn(spark))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]

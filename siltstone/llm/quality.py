@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.rules import labelled
-from siltstone.llm.textops import SPACE, Shared, added_up, chunks, fold_of, mix, owners, prepared, spans_hash, text_buffers
+from siltstone.llm.textops import Shared, SPACE, added_up, chunks, documents, fold_of, mix, owners, spans_hash, text_buffers
 
 DIMS = 32
 WORD_BUCKETS = 1 << 13
@@ -236,7 +236,7 @@ def scored(docs: DataFrame, vectors: list[np.ndarray], net: Network) -> DataFram
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     vectors = word_vectors(docs)
     net = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), vectors)
     return scored(docs, vectors, net).select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import LOWER, Shared, chunks, owners, pieces, prepared, spans_hash, stored, text_buffers
+from siltstone.llm.textops import LOWER, Shared, chunks, documents, owners, pieces, spans_hash, stored, text_buffers
 
 K = 10
 #: Bytes of items in one slice, about.
@@ -261,7 +261,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K, *, slice_bytes: int =
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def oracle_sql() -> str:

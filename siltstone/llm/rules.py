@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.textops import MULTIPLIERS, SPACE, chunks, mix, owners, pieces, prepared, spans_hash, text_buffers, words
+from siltstone.llm.textops import MULTIPLIERS, SPACE, chunks, documents, mix, owners, pieces, spans_hash, text_buffers, words
 
 #: Labelled rows that the learner sees: all of them, or about so many chosen by a hash of the id.
 LABELLED_ROWS = 20_000
@@ -247,6 +247,6 @@ def judged(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     rules = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

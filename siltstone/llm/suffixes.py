@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from siltstone.llm.textops import chunks, prepared, spans_hash, stored, text_buffers
+from siltstone.llm.textops import chunks, documents, spans_hash, stored, text_buffers
 
 LENGTH = 400
 #: Windows of one text that are handled at once.
@@ -313,6 +313,5 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, text: str = "text") -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = deduplicated(docs)
+    out = deduplicated(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.scratch import scratch as scratch
 from siltstone.scratch import stored as stored
+from siltstone.session import spread
 
 CHUNK_BYTES = 1 << 20
 #: Rows in one Arrow batch of texts, at most.  Off-heap buffers grow with it.
@@ -115,6 +116,11 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents (doc_id, text, and ``columns``), in as many tasks as there are cores at least.  For registered queries."""
+    return spread(prepared(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *columns))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)``, with the value computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
