@@ -75,23 +75,31 @@ def _plus(a: Column, b: Column) -> Column:
     return a + b
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (s, e, m, l, r): start and end in code points, the match, up to CONTEXT characters before it and one after."""
-    parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-    def spans(p: Column) -> Column:
-        n = F.size(p) - 1
-        ends = running(F.transform(p, lambda x, i: F.char_length(x) - F.when(i > 0, 1).otherwise(0)), _plus, F.lit(0))
-        both = F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), lambda before, own: F.struct(before.alias("before"), own.alias("own")))
 
-        def span(x: Column, start: Column) -> Column:
-            m, rest = F.substring_index(x["own"], CLOSE, 1), F.substring_index(x["own"], CLOSE, -1)
-            left = F.right(F.substring_index(x["before"], CLOSE, -1), F.lit(CONTEXT))
-            return F.struct(start.alias("s"), (start + F.char_length(m)).alias("e"), m.alias("m"), left.alias("l"), F.left(rest, F.lit(1)).alias("r"))
+def _running_sum(v: str) -> str:
+    """``running`` for sums of ints, as SQL; v is a name."""
+    scan = lambda part, take: f"aggregate({part}, named_struct('now', 0, 'out', cast(array() as array<int>)), (a, x) -> named_struct('now', a.now + x, 'out', concat(a.out, array({take}))), a -> a.out)"
+    block = f"cast(ceil(sqrt(size({v}))) as int)"
+    blocks = f"transform(sequence(0, cast(floor((size({v}) - 1) / {block}) as int)), i -> slice({v}, i * {block} + 1, {block}))"
+    sums = f"flatten(zip_with(own, {scan('transform(own, b -> element_at(b, -1))', 'a.now')}, (b, o) -> transform(b, x -> o + x)))"
+    return _let(f"transform({blocks}, b -> {scan('b', 'a.now + x')})", "own", sums)
 
-        return F.zip_with(both, F.slice(ends, F.lit(1), n), span)
 
-    return let(parts, lambda p: F.when(F.size(p) > 1, spans(p)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+def matches(text: str, pattern: str) -> Column:
+    """Array of (s, e, m, l, r): start and end in code points, the match, up to CONTEXT characters before it and one after.
+
+    text: the name of a column.  The expression is SQL, parsed at once: as columns it would be thousands of calls, which took longer than the search."""
+    parts = f"split(regexp_replace({text}, r'{pattern}', '{OPEN}$0{CLOSE}'), '{OPEN}')"
+    lengths = "transform(p, (x, i) -> char_length(x) - CASE WHEN i > 0 THEN 1 ELSE 0 END)"
+    both = "zip_with(slice(p, 1, size(p) - 1), slice(p, 2, size(p) - 1), (f, o) -> named_struct('before', f, 'own', o))"
+    match = f"substring_index(x.own, '{CLOSE}', 1)"
+    left, right = f"right(substring_index(x.before, '{CLOSE}', -1), {CONTEXT})", f"left(substring_index(x.own, '{CLOSE}', -1), 1)"
+    span = f"named_struct('s', t, 'e', t + char_length({match}), 'm', {match}, 'l', {left}, 'r', {right})"
+    spans = f"zip_with({both}, slice({_let(lengths, 'v', _running_sum('v'))}, 1, size(p) - 1), (x, t) -> {span})"
+    return F.expr(_let(parts, "p", f"CASE WHEN size(p) > 1 THEN {spans} ELSE cast(array() as array<{SPAN}>) END"))
 
 
 def _before(values: Column, first: Column) -> Column:
@@ -177,12 +185,18 @@ def marked(text: Column) -> Column:
     return F.when(text.rlike(f"[{OPEN}-{DOT}]"), F.translate(text, OPEN + CLOSE + GAP + DOT, OTHER * 4)).otherwise(text)
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """For each kind, an array of (s, e, m, l, r)."""
-    gaps = F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
-    dots = F.regexp_replace(text, f"(?<=[{HOST}])\\.(?=[{HOST}])", DOT)
-    empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    found = {"email": F.when(F.contains(text, F.lit("@")), matches(dots, EMAIL)), "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), matches(text, IP)), "card": F.when(text.rlike("[0-9]"), matches(gaps, CARD)), "phone": F.when(text.rlike(r"\+[0-9]"), matches(text, PHONE))}
+def searchable(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """The columns ``keep``, and the forms of the text that are searched: text_, gaps_ (separators inside numbers are marks) and dots_ (those inside host names)."""
+    own = rows.select(*keep, marked(F.coalesce(text, F.lit(""))).alias("text_"))
+    gaps = F.regexp_replace("text_", r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
+    dots = F.regexp_replace("text_", f"(?<=[{HOST}])\\.(?=[{HOST}])", DOT)
+    return own.select(*keep, "text_", gaps.alias("gaps_"), dots.alias("dots_"))
+
+
+def base_spans() -> dict[str, Column]:
+    """For each kind, an array of (s, e, m, l, r), from the columns of ``searchable``."""
+    text, empty = F.col("text_"), F.expr(f"cast(array() as array<{SPAN}>)")
+    found = {"email": F.when(F.contains(text, F.lit("@")), matches("dots_", EMAIL)), "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), matches("text_", IP)), "card": F.when(text.rlike("[0-9]"), matches("gaps_", CARD)), "phone": F.when(text.rlike(r"\+[0-9]"), matches("text_", PHONE))}
     return {k: F.coalesce(F.filter(v, _checked(i)), empty) for i, (k, v) in enumerate(found.items())}
 
 
@@ -224,13 +238,12 @@ def _of_kind(kind: int):
     return lambda x: F.struct(F.lit(kind).alias("kind"), *(x[c].alias(c) for c in ("s", "e", "m", "l", "r")))
 
 
-def proposed(text: Column) -> Column:
-    """Array of (kind, s, e, m, l, r) of all generators."""
-    gaps = F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
+def proposed() -> Column:
+    """Array of (kind, s, e, m, l, r) of all generators, from the columns of ``searchable``."""
     empty = F.expr("cast(array() as array<struct<kind:int,s:int,e:int,m:string,l:string,r:string>>)")
     out = []
     for (kind, pattern), guard in zip(GENERATORS, GUARDS):
-        found = F.when(text.rlike(guard), matches(gaps if kind == 2 else text, pattern))
+        found = F.when(F.col("text_").rlike(guard), matches("gaps_" if kind == 2 else "text_", pattern))
         out.append(F.coalesce(F.transform(found, _of_kind(kind)), empty))
     return F.concat(*out)
 
@@ -404,7 +417,7 @@ def _learned(spark: SparkSession, precision: float) -> Model:
     rows = examples()
     listed = F.explode(F.split(F.lit("\n".join(f"{y}{t}" for y, t in rows)), "\n"))
     lines = spark.range(1, numPartitions=1).select(listed.alias("line")).select(F.left("line", F.lit(1)).cast("int").alias("y"), F.expr("substring(line, 2)").alias("text"))
-    cells = lines.select("y", F.explode(proposed(F.col("text"))).alias("c")).select("y", features(F.col("c")).alias("f")).groupBy("y", *(F.col(f"f.{k}").alias(k) for k in FEATURES)).count().collect()
+    cells = searchable(lines, F.col("text"), "y").select("y", F.explode(proposed()).alias("c")).select("y", features(F.col("c")).alias("f")).groupBy("y", *(F.col(f"f.{k}").alias(k) for k in FEATURES)).count().collect()
     cells.sort(key=tuple)
     x = np.array([[c[k] for k in FEATURES] for c in cells for _ in range(c["count"])], dtype=float)
     y = np.array([c["y"] == c["kind"] + 1 for c in cells for _ in range(c["count"])], dtype=float)
@@ -429,10 +442,8 @@ def detected(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     def triple(kind: int):
         return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
 
-    own = docs.select(*names, marked(F.coalesce(F.col("text"), F.lit(""))).alias("text_"))
-    found = own.select(*names, "text_", *(v.alias(f"base_{k}") for k, v in base_spans(F.col("text_")).items()))
-    base = F.concat(*(F.transform(f"base_{k}", triple(i)) for i, k in enumerate(KINDS)))
-    wide = found.select(*names, base.alias("base"), proposed(F.col("text_")).alias("more"))
+    base = F.concat(*(F.transform(v, triple(i)) for i, v in enumerate(base_spans().values())))
+    wide = searchable(docs, F.col("text"), *names).select(*names, base.alias("base"), proposed().alias("more"))
     known = wide.withColumn("more", F.transform("more", lambda c: F.struct(c["kind"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), features(c).alias("f"))))
     rated = known.withColumn("more", F.expr(f"transform(more, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'p', {model.sql('c.k', 'c.f')}))"))
     taken = rated.withColumn("more", F.filter("more", lambda c: c["p"] >= model.threshold(c["k"])))
