@@ -12,7 +12,7 @@ def test_stages_and_registry():
     assert (corpus_pipeline.STAGES, corpus_pipeline.ORACLE_SQL, corpus_pipeline.run) == (cp.STAGES, cp.ORACLE_SQL, cp.run)
     assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "packing"] and cp.ORACLE_SQL is None
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
     entry = importlib.import_module("__spark_entry__")
     assert set(names) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
