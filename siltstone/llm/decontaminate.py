@@ -7,7 +7,7 @@ holds one of them whole, wherever in the item it begins.  A window of L bytes li
 the bound are verified by banded alignment.
 
 A benchmark of up to SLICE_BYTES is broadcast and met in one pass.  A larger one is cut into slices, and the texts still pass by only
-once: a bitmap of all its q-grams tells which documents hold any; these are joined, by q-gram, with the slices whose bound
+once: a bitmap of its q-grams, without the commonest, tells which documents hold any; these are joined, by q-gram, with the slices whose bound
 they may reach, and each meets only those, in groups of bounded bytes.
 
 Defined results: null and empty texts match nothing; an item of fewer than q bytes after normalisation matches the documents whose
@@ -39,6 +39,8 @@ LEAST_PASSAGE = SHORT_WINDOW + SHORT_STEP - 1
 EDITS = 0.08
 #: Bytes of benchmark text in one slice; a benchmark of one slice is broadcast.
 SLICE_BYTES = 1 << 20
+#: The commonest q-grams of a larger benchmark that windows are sought without, where their bound allows it.
+COMMON = 1 << 14
 #: Bits of the bitmap of all q-grams of a larger benchmark; when it fills up, more documents pass on to the exact join.
 BITMAP_BITS = 27
 #: Bytes of documents that meet one slice in one task, about.
@@ -315,13 +317,20 @@ def _hits(index: Index, batch: pa.RecordBatch | pa.Table, kept: list[str], kind:
     return pa.RecordBatch.from_arrays([*columns, pa.array(out[1], kind), *(pa.array(c, pa.int64()) for c in out[2:])], [*kept, *NAMES])
 
 
-def _marks(item: object, text: str, edits: float) -> tuple[np.ndarray, int]:
-    """The distinct q-grams of an item's windows (of a short item a number for the whole), and the least number of them a match must hold."""
-    codes = [(np.unique(grams(np.frombuffer(w.text, np.uint8))), w.edits) for w in windows_of(item, text, edits)]
-    codes += [(np.array([_short(b)]), 0) for b, _ in short_of(item, text)]
-    # Each edit destroys at most Q places, so at most Q different q-grams.
-    least = min((max(1, len(c) - k * Q) for c, k in codes), default=1)
-    return np.unique(np.concatenate([c for c, _ in codes])) if codes else np.zeros(0, np.uint64), least
+def _marks(item: object, text: str, edits: float, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The q-grams by which an item's windows are sought (of a short item a number for the whole), and the least number of them a match must hold.
+
+    Each edit destroys at most Q places, so a match shares all but k Q of a window's different q-grams.  Of those that it must share, half may be left out: a window is sought
+    without its commonest q-grams (``common``: codes, the commonest first), and with a bound that is less by as many.  So a q-gram that is in every text is no key."""
+    rank = {c: i for i, c in enumerate(common.tolist())}
+    codes = []
+    for w in windows_of(item, text, edits):
+        own = np.unique(grams(np.frombuffer(w.text, np.uint8)))
+        shared = max(1, len(own) - w.edits * Q)
+        known = sorted((c for c in own.tolist() if c in rank), key=rank.__getitem__)[: shared // 2]
+        codes.append((np.setdiff1d(own, np.array(known, np.uint64)), max(1, shared - len(known))))
+    codes += [(np.array([_short(b)]), 1) for b, _ in short_of(item, text)]
+    return np.unique(np.concatenate([c for c, _ in codes])) if codes else np.zeros(0, np.uint64), min((n for _, n in codes), default=1)
 
 
 def _short(text: bytes) -> np.uint64:
@@ -333,14 +342,20 @@ def _routed(docs: DataFrame, items: DataFrame, kept: list[str], schema: str, edi
     spark = docs.sparkSession
     items = stored(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)).cast("int")), "items")
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slice_, item, text in zip(*(batch.column(c).to_pylist() for c in ("slice", "item_id", "text"))):
-                codes, least = _marks(item, text, edits)
-                n = len(codes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_, np.int32)), pa.array(codes.view(np.int64)), pa.array(np.full(n, least, np.int32))], ["slice", "code", "least"])
+    def marks(common: Shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for slice_, item, text in zip(*(batch.column(c).to_pylist() for c in ("slice", "item_id", "text"))):
+                    codes, least = _marks(item, text, edits, common.value)
+                    n = len(codes)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, slice_, np.int32)), pa.array(codes.view(np.int64)), pa.array(np.full(n, least, np.int32))], ["slice", "code", "least"])
+
+        return items.mapInArrow(run, "slice int, code long, least int")
 
-    known = stored(items.mapInArrow(marks, "slice int, code long, least int").groupBy("slice", "code").agg(F.min("least").alias("least")), "q-grams")
+    # How many items hold each q-gram; the driver gets COMMON of them.
+    held = marks(Shared(spark, np.zeros(0, np.uint64))).groupBy("code").count().where("count > 1").orderBy(F.desc("count"), "code").limit(COMMON)
+    common = np.array([r["code"] for r in held.collect()], np.int64).view(np.uint64)
+    known = stored(marks(Shared(spark, common)).groupBy("slice", "code").agg(F.min("least").alias("least")), "q-grams")
     least = stored(known.groupBy("slice").agg(F.min("least").alias("least")), "bounds")
     shared = Shared(spark, bitmap(known, "code", BITMAP_BITS))
     types = dict(docs.dtypes)

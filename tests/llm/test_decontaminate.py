@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siltstone.llm.decontaminate import aligned, contaminated, normalised, windows_of
+from siltstone.llm.decontaminate import _marks, aligned, contaminated, grams, normalised, windows_of
 
 R = random.Random(4)
 WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randint(2, 8))) for _ in range(3000)]
@@ -101,6 +101,23 @@ def test_a_large_benchmark_gives_the_rows_of_a_small_one(spark):
     assert contaminated(frame.limit(0), bench, slice_bytes=2000).count() == 0
 
 
+def test_windows_are_sought_without_their_commonest_grams():
+    """Half of what a match must share may be left out: the keys that stay, and the bound, still hold for every text within the edits."""
+    text = "in the middle of the night of the long journey of the seven ships and the crew of the last one of them all"
+    windows = windows_of(1, text)
+    common = np.unique(np.concatenate([grams(np.frombuffer(b" of the ", np.uint8)), grams(np.frombuffer(text[20:60].encode(), np.uint8))]))
+    every, least = _marks(1, text, 0.08, np.zeros(0, np.uint64))
+    some, fewer = _marks(1, text, 0.08, common)
+    assert set(some.tolist()) < set(every.tolist()) and grams(np.frombuffer(b" of the ", np.uint8))[0] not in some and 1 <= fewer < least
+    pick = random.Random(1)
+    for _ in range(200):
+        w = pick.choice(windows)
+        own = list(w.text)
+        for _ in range(w.edits):
+            own[pick.randrange(len(own))] = ord("z")
+        assert len(np.intersect1d(grams(np.array(own, np.uint8)), some)) >= fewer
+
+
 def test_ids_of_any_type(spark):
     """Text ids, null among them, in one slice and in many."""
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
