@@ -27,6 +27,12 @@ def value(spark, column, **cells):
     return frame.select(column.alias("x")).first()["x"]
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    """Small indexes, few files."""
+    monkeypatch.setattr(store, "BUCKETS", 3)
+
+
 # --- terms and scores
 
 
