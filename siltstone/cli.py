@@ -54,7 +54,7 @@ def _arguments() -> argparse.ArgumentParser:
     evaluate.add_argument("--output")
     for p in (search, evaluate):
         p.add_argument("--device")
-        p.add_argument("--probes", type=int, help="search by the inverted file, so many lists for each query vector; by default exactly")
+        p.add_argument("--probes", type=int, help="search by the inverted file, so many lists for each query vector, 0 for as many as were measured; by default exactly")
     for p in (search, read, evaluate):
         p.add_argument("--json", action="store_true")
 

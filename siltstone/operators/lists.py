@@ -3,7 +3,7 @@
 Centroids come from spherical k-means, whose rounds are Spark jobs over a bounded sample of the vectors (SAMPLE for each list); then every vector
 of every chunk goes to its nearest centroid, and the lists are written as partitions of one table.  A query row probes the lists of its nearest
 centroids: the union of all lists that a slice of queries probes is a partition filter, so files of other lists aren't read, and a list meets only the rows that probe
-it.  A chunk's bound for a query row that found none of its vectors is the product with the nearest centroid that wasn't probed.
+it.  How many lists must be probed depends on the vectors, so it is measured when the file is made.  A chunk's bound for a query row that found none of its vectors is the product with the nearest centroid that wasn't probed.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.search import chunk_steps, matrix, passes, products, ranked
+from siltstone.functions.encoder import QUERY_TOKENS
+from siltstone.operators.search import chunk_steps, matrix, passes, products, ranked, vector_search
 from siltstone.scratch import stored
 
 #: Vectors of the sample for each list.
@@ -26,6 +27,8 @@ ROUNDS = 6
 MOST_LISTS = 4096
 #: Lists that a query row probes.
 PROBES = 16
+#: The share of an exact search's best chunks that a calibrated search finds at least.
+RECALL = 0.9
 #: Tasks that write one list, at most.
 WRITERS = 4
 
@@ -136,6 +139,22 @@ def candidates(lists: DataFrame, own: np.ndarray, queries: DataFrame, keep: int,
     return ranked(total, "gain", keep).select("query_id", "chunk_id")
 
 
+def calibrated(chunks: DataFrame, lists: DataFrame, own: np.ndarray, k: int, keep: int, target: float = RECALL, n: int = 32) -> tuple[int, float]:
+    """(probes, recall): the fewest lists, doubled from PROBES on, by which ``n`` chunks, asked as queries, find the share ``target`` of their k best of an exact search."""
+    some = stored(chunks.where(F.size("matrix") > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(n), "calibration")
+    row = F.slice("matrix", F.col("q_row") * F.col("dims") + 1, F.col("dims"))
+    asked = some.select(F.col("chunk_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.least((F.size("matrix") / F.col("dims")).cast("int"), F.lit(QUERY_TOKENS)) - 1)).alias("q_row"), "dims", "matrix")
+    asked = stored(asked.select("query_id", "q_row", row.alias("vec")), "calibration")
+    found = lambda near=None: {(r["query_id"], r["chunk_id"]) for r in vector_search(chunks, asked, k, candidates=near).select("query_id", "chunk_id").collect()}
+    best, probes = found(), PROBES
+    while probes < len(own):
+        recall = len(best & found(candidates(lists, own, asked, keep, probes))) / max(1, len(best))
+        if recall >= target:
+            return probes, recall
+        probes *= 2
+    return len(own), len(best & found(candidates(lists, own, asked, keep, len(own)))) / max(1, len(best))
+
+
 def put_centroids(spark: SparkSession, own: np.ndarray, path: str) -> None:
     spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(own)], "list INT, vec ARRAY<DOUBLE>").coalesce(1).write.parquet(path)
 

@@ -21,7 +21,7 @@ def search_code(spark: SparkSession, store: Store, query: str, *, top_k: int = 5
 
 
 def search_many(spark: SparkSession, store: Store, queries: list[tuple[str, str]], *, top_k: int = 5, encoder: Encoder | None = None, probes: int | None = None, **filters: str | None) -> DataFrame:
-    """Hits of many (id, text) queries in one plan: exact, or with ``probes`` by the inverted file, of which each query vector reads so many lists."""
+    """Hits of many (id, text) queries in one plan: exact, or with ``probes`` by the inverted file, of which each query vector reads so many lists (0: as many as were measured)."""
     documents, vectors = store.read("documents"), store.read("vectors")
     if documents is None:
         raise LookupError("there is no index")

@@ -26,6 +26,8 @@ implements ARRAY<STRING>, `extends` STRING, source_set STRING, retrieval_text ST
 
 #: One row per chunk: its vectors, one after the other, of ``dims`` numbers each.
 VECTORS = "chunk_id STRING, file_path STRING, dims INT, matrix ARRAY<FLOAT>"
+#: The vectors of a chunk that lie in one list of an inverted file.
+LISTS = "chunk_id STRING, bucket INT, dims INT, matrix ARRAY<FLOAT>, list INT"
 SYMBOLS = "qualified_name STRING, container STRING, origin_kind STRING, filepath STRING"
 #: What became of each file of a build, one row per attempt.
 BUILD_LOG = "build STRING, path STRING, status STRING, error STRING, attempt INT"

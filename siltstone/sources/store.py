@@ -25,7 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators import lists
-from siltstone.schemas import BUILD_LOG, DOCUMENTS, VECTORS
+from siltstone.operators.search import widths
+from siltstone.schemas import BUILD_LOG, DOCUMENTS, LISTS, VECTORS
 
 #: Buckets of a new index: at least so many, and one for each FILES_PER_BUCKET files.
 BUCKETS = 64
@@ -278,23 +279,25 @@ class Store:
     # --- inverted file
 
     def index_lists(self, n: int | None = None) -> int | None:
-        """Makes an inverted file of the newest version's vectors and publishes it.  Files that are replaced later are searched beside it, until it is made anew."""
+        """Makes an inverted file of the newest version's vectors, measures how many lists a search must probe for a recall of 0.9, and publishes it.  Files that are replaced later are searched beside it, until it is made anew."""
         manifest = self.manifest()
         if manifest is None:
             return None
         chunks = self._read("vectors", manifest).withColumn("bucket", bucket(manifest["n_buckets"]))
         own, name = lists.centroids(chunks, n), uuid.uuid4().hex
         lists.put_centroids(self.spark, own, f"{self.path}/lists/{name}/centroids")
+        probes, recall = 0, 1.0
         if len(own):
             lists.write_lists(chunks, own, f"{self.path}/lists/{name}/rows", "bucket")
+            probes, recall = lists.calibrated(chunks, self.spark.read.schema(LISTS).parquet(f"{self.path}/lists/{name}/rows"), own, *widths(5))
         while True:
             head = self.version()
-            entry = {"name": name, "n_buckets": manifest["n_buckets"], "buckets": manifest["buckets"], "n": len(own)}
+            entry = {"name": name, "n_buckets": manifest["n_buckets"], "buckets": manifest["buckets"], "n": len(own), "probes": probes, "recall": recall}
             if (published := self._publish(head, self.manifest(head) | {"lists": entry, "changes": None})) is not None:
                 return published
 
-    def near(self, query_vectors: DataFrame, keep: int, probes: int, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """(the ``keep`` best chunks of each query by the inverted file, as (query_id, chunk_id); the chunks of files replaced since it was made), of those ``allowed`` (chunk_id)."""
+    def near(self, query_vectors: DataFrame, keep: int, probes: int = 0, allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """By ``probes`` lists for each query vector (0: as many as were measured when the file was made): (the ``keep`` best chunks of each query by the inverted file, as (query_id, chunk_id); the chunks of files replaced since it was made), of those ``allowed`` (chunk_id)."""
         manifest = self.manifest() or {}
         entry = manifest.get("lists")
         if entry is None:
@@ -302,12 +305,11 @@ class Store:
         same = [b for b, v in manifest["buckets"].items() if entry["n_buckets"] == manifest["n_buckets"] and entry["buckets"].get(b) == v]
         fresh = self._read("vectors", manifest | {"buckets": {b: v for b, v in manifest["buckets"].items() if b not in set(same)}})
         at = f"{self.path}/lists/{entry['name']}"
-        schema = "chunk_id STRING, bucket INT, dims INT, matrix ARRAY<FLOAT>, list INT"
-        rows = self.spark.read.schema(schema).parquet(f"{at}/rows") if entry["n"] else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(LISTS).parquet(f"{at}/rows") if entry["n"] else self.spark.createDataFrame([], LISTS)
         rows = rows.where(F.col("bucket").isin([int(b) for b in same]))
         if allowed is not None:
             rows, fresh = (x.join(allowed, "chunk_id", "left_semi") for x in (rows, fresh))
-        return lists.candidates(rows, lists.get_centroids(self.spark, f"{at}/centroids"), query_vectors, keep, probes), fresh
+        return lists.candidates(rows, lists.get_centroids(self.spark, f"{at}/centroids"), query_vectors, keep, probes or entry["probes"]), fresh
 
     def prune(self, older_than: float = 86_400) -> None:
         """Removes data that neither the newest manifest nor a build under way names, if it is older than so many seconds (a writer may be about to publish it)."""

@@ -115,6 +115,8 @@ def test_inverted_file(spark, tmp_path):
         near = lists.candidates(table, own, q, 40, probes)
         found[probes] = len(best & {(r.query_id, r.chunk_id) for r in S.vector_search(chunks, q, 10, candidates=near).collect()}) / len(best)
     assert found[4] <= found[16] <= found[64] == 1 and found[16] >= 0.9
+    probes, recall = lists.calibrated(chunks, table, own, 10, 40, n=12)
+    assert probes in (16, 32) and recall >= 0.9
     one = q.where("query_id = 'q0' AND q_row = 0")
     plan = lists.candidates(table, own, one, 40, 2)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[list#\d+ IN \(\d+,\d+\)\]", plan)
@@ -286,6 +288,7 @@ def test_index_search_read_and_refresh(spark, tree):
         retrieval.search_code(spark, s, "cancel order", probes=2)
     s.index_lists()
     ids = lambda **how: [h.chunk_id for h in retrieval.search_code(spark, s, "cancel order", **how).collect()]
+    assert s.manifest()["lists"]["recall"] >= 0.9 and len(ids(probes=0)) == 5
     assert ids(probes=1000) == ids() and ids(probes=1000, file_path="orders/src/OrderService.java") == ids(file_path="orders/src/OrderService.java")
     (tree / "internal/src/Hidden.java").write_text("package q;\npublic class Hidden { void cancelOrderNow() { } }\n")
     indexing.index_file(spark, s, f"{tree}/internal/src/Hidden.java", repo_root=root, workspace=w)
