@@ -186,17 +186,18 @@ def marked(text: Column) -> Column:
 
 
 def searchable(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """The columns ``keep``, and the forms of the text that are searched: text_, gaps_ (separators inside numbers are marks) and dots_ (those inside host names)."""
+    """The columns ``keep``, and the forms of the text that are searched: text_, gaps_ (separators inside numbers are marks; null without digits) and dots_ (dots inside host
+    names are; null without an @)."""
     own = rows.select(*keep, marked(F.coalesce(text, F.lit(""))).alias("text_"))
-    gaps = F.regexp_replace("text_", r"(?<=[0-9])[\x20-](?=[0-9])", GAP)
-    dots = F.regexp_replace("text_", f"(?<=[{HOST}])\\.(?=[{HOST}])", DOT)
+    gaps = F.when(F.col("text_").rlike("[0-9]"), F.regexp_replace("text_", r"(?<=[0-9])[\x20-](?=[0-9])", GAP))
+    dots = F.when(F.contains("text_", F.lit("@")), F.regexp_replace("text_", f"(?<=[{HOST}])\\.(?=[{HOST}])", DOT))
     return own.select(*keep, "text_", gaps.alias("gaps_"), dots.alias("dots_"))
 
 
 def base_spans() -> dict[str, Column]:
     """For each kind, an array of (s, e, m, l, r), from the columns of ``searchable``."""
     text, empty = F.col("text_"), F.expr(f"cast(array() as array<{SPAN}>)")
-    found = {"email": F.when(F.contains(text, F.lit("@")), matches("dots_", EMAIL)), "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), matches("text_", IP)), "card": F.when(text.rlike("[0-9]"), matches("gaps_", CARD)), "phone": F.when(text.rlike(r"\+[0-9]"), matches("text_", PHONE))}
+    found = {"email": F.when(F.col("dots_").isNotNull(), matches("dots_", EMAIL)), "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), matches("text_", IP)), "card": F.when(F.col("gaps_").isNotNull(), matches("gaps_", CARD)), "phone": F.when(text.rlike(r"\+[0-9]"), matches("text_", PHONE))}
     return {k: F.coalesce(F.filter(v, _checked(i)), empty) for i, (k, v) in enumerate(found.items())}
 
 
