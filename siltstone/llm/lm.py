@@ -10,7 +10,8 @@ of hashed features:
 * n-gram and skip features of the class in a table of fixed size: the word before, the word two before, and both.  Every task runs
   adaptive gradient steps over its share of the training documents, and the tasks' weights are averaged, for ROUNDS rounds.
 
-The class is a mixture of both sets; the first counts N / (N + TRUST) where the word before occurred N times in training.
+The class is a mixture of both sets; the first counts N / (N + TRUST) where the word before occurred N times in training (255 for more).  Log
+probabilities travel to the blocks as half-precision numbers, so each is off by up to one part in 2,048.
 
 Nothing that grows with the input is broadcast or reaches the driver: texts are dealt into blocks of bounded bytes; each block sends its
 distinct words and pairs to the parts, as sorted numbers, with their counts in its training documents, and gets counts
