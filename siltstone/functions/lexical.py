@@ -25,8 +25,13 @@ SIGNAL_WEIGHT = 0.35
 # End of fixed values.
 
 
+def _quoted(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def words(values) -> Column:
-    return F.array(*(F.lit(v) for v in values)) if values else F.expr("cast(array() as array<string>)")
+    """An array of fixed words, as one parsed expression: a call for each word would take longer than many a query."""
+    return F.expr(f"cast(array({', '.join(map(_quoted, values))}) as array<string>)")
 
 
 def _none() -> Column:
@@ -48,7 +53,7 @@ def significant(query: Column) -> Column:
 
 def expanded(terms: Column, synonyms: dict[str, tuple[str, ...]] = SYNONYMS) -> Column:
     """The terms, then the synonyms of each in order; distinct."""
-    table = F.create_map(*(x for k, v in synonyms.items() for x in (F.lit(k), words(v))))
+    table = F.expr(f"map({', '.join(f'{_quoted(k)}, array({', '.join(map(_quoted, v))})' for k, v in synonyms.items())})")
     more = F.flatten(F.transform(terms, lambda t: F.coalesce(F.element_at(table, t), _none())))
     return F.array_distinct(F.concat(terms, more))
 
