@@ -5,7 +5,7 @@ ANNOTATION = "STRUCT<text: STRING, name: STRING, attributes: MAP<STRING, STRING>
 COMPONENT = "STRUCT<name: STRING, type: STRING>"
 SYMBOL = "STRUCT<name: STRING, type: STRING>"
 
-#: One row per chunk of a source file.  symbols and calls_raw feed the resolution join, which fills calls.
+#: One row per chunk of a source file.  file_package is the package clause of its file; symbols and calls_raw feed the resolution join, which fills calls.
 CHUNKS = f"""
 chunk_ord INT, chunk_id STRING, parent_chunk_id STRING, kind STRING, name STRING, owner_chain ARRAY<STRING>, filepath STRING,
 span {SPAN}, type_span {SPAN}, start_line INT, end_line INT, start_col INT, end_col INT, text STRING, embed_text STRING,
@@ -14,7 +14,7 @@ annotations ARRAY<{ANNOTATION}>, modifiers ARRAY<STRING>, throws ARRAY<STRING>,
 fields_accessed ARRAY<STRING>, field_type STRING, component_type STRING, `extends` STRING, implements STRING, permits STRING,
 type_parameters STRING, is_exception BOOLEAN, fields ARRAY<STRING>, method_signatures ARRAY<STRING>, enum_constants ARRAY<STRING>,
 record_components ARRAY<{COMPONENT}>, package STRING, imports ARRAY<STRING>, module STRING, symbols ARRAY<{SYMBOL}>,
-local_types ARRAY<STRING>, error STRING
+local_types ARRAY<STRING>, error STRING, file_package STRING
 """.replace("\n", " ").strip()
 
 DOCUMENTS = """

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,52 +53,79 @@ def java_files(spark: SparkSession, roots: list[str], *, content: bool = True) -
     return scan(spark, roots, "*.java", content=content)
 
 
-def _names(ddl: str) -> list[str]:
-    """Column names of a DDL, without a session to ask."""
-    while (flat := re.sub(r"<[^<>]*>", "", ddl)) != ddl:
-        ddl = flat
-    return [x.split()[0].strip("`") for x in ddl.split(",")]
+@lru_cache
+def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    return spark.createDataFrame([], ddl).toArrow().schema
 
 
-CHUNK_COLUMNS = _names(CHUNKS)
-
-
-def _chunk_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows: list[list] = []
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[dict]]]:
+    """(path, chunks) of each file.  One bad file must not end the job; it comes back as a chunk."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             try:
                 own = parse(bytes(content), path)
-            except Exception as error:  # one bad file must not end the job; it comes back as a row
+            except Exception as error:
                 own = [{"filepath": path, "kind": "failed", "error": f"{type(error).__name__}: {error}"}]
-            rows += [[r.get(c) for c in CHUNK_COLUMNS] for r in own]
-            if len(rows) >= 4000:
-                yield pd.DataFrame(rows, columns=CHUNK_COLUMNS, dtype=object)
-                rows = []
-    yield pd.DataFrame(rows, columns=CHUNK_COLUMNS, dtype=object)
+            yield path, own
+
+
+#: Rows that go back to Spark in one batch, about.
+BATCH_ROWS = 4000
 
 
 def chunks(files: DataFrame) -> DataFrame:
     """files (path, content) -> chunk rows.  A file whose parse fails gives one row of kind ``failed`` with the error."""
-    return files.select("path", "content").mapInPandas(_chunk_frames, CHUNKS)
+    schema = _arrow_schema(files.sparkSession, CHUNKS)
+
+    def batch(rows: list[dict]) -> pa.RecordBatch:
+        for r in rows:
+            if r.get("annotations"):
+                r["annotations"] = [a | {"attributes": list(a["attributes"].items())} for a in r["annotations"]]
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for _, own in _parsed(batches):
+            package = own[0].get("package")
+            rows += [r | {"file_package": package} for r in own]
+            if len(rows) >= BATCH_ROWS:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
+    return files.select("path", "content").mapInArrow(run, CHUNKS)
+
+
+#: The types of a file, each by the names of its owners and its own.
+FILE_TYPES = "filepath STRING, package STRING, types ARRAY<ARRAY<STRING>>"
+
+
+def file_types(files: DataFrame) -> DataFrame:
+    """(filepath, package, types): one row for each file that parses, with its top-level and member types.  The owners of a member type are types themselves; below a method or an
+    anonymous class, one is not."""
+    schema = _arrow_schema(files.sparkSession, FILE_TYPES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for path, own in _parsed(batches):
+            known = dict.fromkeys((*r["owner_chain"], r["name"]) for r in own if r["kind"] == "skeleton")
+            rows.append((path, own[0].get("package"), [c for c in known if all(c[:i] in known for i in range(1, len(c)))]))
+            if len(rows) >= BATCH_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+
+    package = F.trim(F.regexp_replace(F.regexp_replace("package", "^package ", ""), ";+$", ""))
+    return files.select("path", "content").where("path is not null").mapInArrow(run, FILE_TYPES).withColumn("package", F.nullif(package, F.lit("")))
 
 
 def source_symbols(files: DataFrame, container) -> DataFrame:
     """Qualified names of top-level and member types; container: column of the source set of ``path``."""
-    rows = chunks(files)
-    package = rows.where("kind = 'file'").select("filepath", F.regexp_replace(F.regexp_replace("package", "^package ", ""), ";+$", "").alias("package_"))
-    types = rows.where("kind = 'skeleton'").join(package, "filepath")
-    # The owners of a member type are types themselves; below a method or an anonymous class, one is not.
-    own = types.select("filepath", F.concat("owner_chain", F.array("name")).alias("chain"), "package_")
-    names = own.select("filepath", F.array_join("chain", ".").alias("dotted"), "chain", "package_")
-    owners = names.select("filepath", F.col("dotted").alias("owner"))
-    top = names.where(F.size("chain") == 1)
-    member = names.where(F.size("chain") > 1).withColumn("prefixes", F.transform(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.array_join(F.slice("chain", 1, i), ".")))
-    known = member.select("filepath", "dotted", "package_", F.size("prefixes").alias("depth"), F.explode("prefixes").alias("owner")).join(owners, ["filepath", "owner"], "left_semi")
-    whole = known.groupBy("filepath", "dotted", "package_", "depth").count().where("count = depth").select("filepath", "dotted", "package_")
-    all_ = top.select("filepath", "dotted", "package_").unionByName(whole)
-    qualified = F.when(F.coalesce(F.trim("package_"), F.lit("")) != "", F.concat_ws(".", F.trim("package_"), "dotted")).otherwise(F.col("dotted"))
-    return all_.select(qualified.alias("qualified_name"), F.lit(container).alias("container") if isinstance(container, str) else container.alias("container"), F.lit("source").alias("origin_kind"), F.col("filepath")).distinct()
+    rows = file_types(files).select("filepath", "package", F.explode("types").alias("chain"))
+    qualified = F.concat_ws(".", "package", F.array_join("chain", "."))
+    return rows.select(qualified.alias("qualified_name"), F.lit(container).alias("container") if isinstance(container, str) else container.alias("container"), F.lit("source").alias("origin_kind"), F.col("filepath")).distinct()
 
 
 #: Class files of an archive that come in one batch.
@@ -157,7 +185,5 @@ def top_level_types(files: DataFrame) -> DataFrame:
     """Type index of the top-level types only."""
     from siltstone.operators.resolve import type_index
 
-    rows = chunks(files)
-    package = rows.where("kind = 'file'").select("filepath", F.trim(F.regexp_replace(F.regexp_replace("package", "^package ", ""), ";+$", "")).alias("package_"))
-    top = rows.where((F.col("kind") == "skeleton") & (F.size("owner_chain") == 0)).join(package, "filepath")
-    return type_index(top.select(F.concat_ws(".", F.nullif("package_", F.lit("")), "name").alias("qualified_name")))
+    top = file_types(files).select("package", F.explode("types").alias("chain")).where(F.size("chain") == 1)
+    return type_index(top.select(F.concat_ws(".", "package", F.col("chain")[0]).alias("qualified_name")))

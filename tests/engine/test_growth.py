@@ -32,6 +32,14 @@ def java(spark):
     return spark.createDataFrame(own, "path STRING, content BINARY")
 
 
+def test_symbols_parse_each_file_once(java):
+    rows = files.source_symbols(java, ":m")
+    assert sorted((r.filepath, r.qualified_name, r.container) for r in rows.collect()) == [("a", "p.q.A", ":m"), ("a", "p.q.A.B", ":m"), ("a", "p.q.A.B.C", ":m"), ("b", "D", ":m")]
+    assert parses(rows) == 1
+    top = files.top_level_types(java)
+    assert sorted(map(tuple, top.collect())) == [("A", ["p.q.A"]), ("D", ["D"])] and parses(top) == 1
+
+
 def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     classpath = [(s, f"e{e}") for s in range(12) for e in range(8) if (s * 5 + e * 3) % 4 < 2] + [(1, None), (None, "e1"), (2, "jar"), (2, "e1"), (2, "e1")]
     outputs = [(d, f"e{e}") for d in range(12) for e in range(8) if (d + e * e) % 3 == 0] + [(3, None), (None, "e2"), (5, "e1"), (5, "e1")]
