@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -37,18 +38,29 @@ class Encoder(Protocol):
     def close(self) -> None: ...
 
 
+#: Vectors of tokens that a process keeps: drawing one takes longer than all else that is done with it, and few tokens make most of any text.
+KEPT_VECTORS = 1 << 16
+
+
+@lru_cache(KEPT_VECTORS)
+def _drawn(token: str, dims: int) -> np.ndarray:
+    seed = int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big")
+    v = np.random.Generator(np.random.PCG64(seed)).standard_normal(dims)
+    own = (v / np.linalg.norm(v)).astype(np.float32)
+    own.setflags(write=False)
+    return own
+
+
 class HashedEncoder:
     def __init__(self, dims: int = 32):
         self.dims, self.name = dims, f"hashed-tokens-{dims}"
 
     def vector(self, token: str) -> list[float]:
-        seed = int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big")
-        v = np.random.default_rng(seed).normal(size=self.dims)
-        return (v / np.linalg.norm(v)).astype(np.float32).tolist()
+        return _drawn(token, self.dims).tolist()
 
-    def _rows(self, text: str, most: int) -> list[list[float]]:
+    def _rows(self, text: str, most: int) -> list[np.ndarray]:
         tokens = [t for t in _SPLIT.split(_CAMEL.sub(r"\1 \2", text or "").lower()) if t]
-        return [self.vector(t) for t in dict.fromkeys(tokens[:most])]
+        return [_drawn(t, self.dims) for t in dict.fromkeys(tokens[:most])]
 
     def documents(self, texts: list[str]) -> list[list[list[float]]]:
         return [self._rows(t, DOCUMENT_TOKENS) for t in texts]

@@ -48,3 +48,13 @@ def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     above = re.split(r"\w+Join", plan(got))[0]
     assert "Aggregate" not in above
+
+
+def test_vectors_of_tokens_are_drawn_once():
+    own = encoder.HashedEncoder(8)
+    before = encoder._drawn.cache_info().misses
+    own.documents(["once more once", "more once"] * 20)
+    assert encoder._drawn.cache_info().misses - before <= 2
+    for token in ("once", "ä", "x" * 50):
+        v = np.random.default_rng(int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big")).normal(size=8)
+        assert own.vector(token) == (v / np.linalg.norm(v)).astype(np.float32).tolist()
