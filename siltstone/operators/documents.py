@@ -12,7 +12,9 @@ TEXTS = "annotations"
 
 
 def with_package(chunks: DataFrame) -> DataFrame:
-    """Adds the package name of each chunk's file, by its ``file`` chunk."""
+    """Adds the package name of each chunk's file, which the parser has put on the chunk; else by its ``file`` chunk."""
+    if "file_package" in chunks.columns:
+        return chunks.withColumn("package", N.package_name(F.col("file_package"))).drop("file_package")
     of_file = chunks.where("kind = 'file'").select("filepath", N.package_name(F.col("package")).alias("package_"))
     return chunks.drop("package").join(of_file.groupBy("filepath").agg(F.first("package_").alias("package")), "filepath", "left")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.naming import package_name
+from siltstone.scratch import stored
 
 STRINGS = "cast(array() as array<string>)"
 
@@ -117,8 +118,10 @@ def resolved_chunks(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
     """Replaces the heads of calls and the class literals of annotations by qualified names.
 
     A head is looked up among the declared names of its scope, then among types.  All names of a file are resolved once, in one join.
+    The chunks are stored first, since three steps read them and each would parse the files.  What has a row for each file isn't broadcast.
     """
-    context = import_context(chunks.where("kind = 'file'").select("filepath", "package", "imports", "local_types"))
+    chunks = stored(chunks, "chunks")
+    context = import_context(chunks.where("kind = 'file'").select("filepath", "package", "imports", "local_types")).hint("merge")
     # The type that a head stands for: its declared type in this scope, or the head itself; heads without a dot stay.
     head = lambda c: F.substring_index(c, ".", 1)
     stands = lambda c: F.coalesce(F.try_element_at(F.filter("symbols", lambda s: s["name"] == head(c)), F.lit(-1))["type"], head(c))
@@ -128,7 +131,7 @@ def resolved_chunks(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
     refs = chunks.select("filepath", *by, F.explode(F.array_distinct(F.concat(of_calls, literals))).alias("type_name")).distinct()
     names = resolved(refs, context, index, *by).where("strategy not in ('unresolved', 'ambiguous', 'empty')")
     table = names.groupBy("filepath").agg(F.map_from_entries(F.collect_set(F.struct("type_name", "best_name"))).alias("names_"))
-    wide = chunks.join(table, "filepath", "left").withColumn("names_", F.coalesce("names_", F.expr("cast(map() as map<string,string>)")))
+    wide = chunks.join(table.hint("merge"), "filepath", "left").withColumn("names_", F.coalesce("names_", F.expr("cast(map() as map<string,string>)")))
     tail = lambda c: F.substring_index(c, ".", -1)
     declared = lambda c: F.try_element_at(F.filter("symbols", lambda s: s["name"] == head(c)), F.lit(-1)).isNotNull()
     call = lambda c: F.when(dotted(c) & (F.element_at("names_", stands(c)).isNotNull() | F.coalesce(declared(c), F.lit(False))), F.concat_ws(".", F.coalesce(F.element_at("names_", stands(c)), stands(c)), tail(c))).otherwise(c)

@@ -40,6 +40,23 @@ def test_symbols_parse_each_file_once(java):
     assert sorted(map(tuple, top.collect())) == [("A", ["p.q.A"]), ("D", ["D"])] and parses(top) == 1
 
 
+def test_documents_parse_each_file_once(java):
+    rows = files.chunks(java).withColumns({"repo_root": F.lit("/r"), "source_set": F.lit(":m")})
+    for made in (index_documents(rows, "now"), retrieval_documents(rows)):
+        assert parses(made) == 1
+    assert {r.package_name for r in retrieval_documents(rows).where("filepath = 'a'").collect()} == {"p.q"}
+    # Chunks made otherwise have the package on the ``file`` chunk alone.
+    by_file = with_package(rows.drop("file_package")).select("filepath", "chunk_ord", "package")
+    assert sorted(map(str, by_file.collect())) == sorted(map(str, with_package(rows).select("filepath", "chunk_ord", "package").collect()))
+
+
+def test_resolution_parses_each_file_once(spark, java):
+    index = R.type_index(spark.createDataFrame([("java.lang.System",)], "qualified_name STRING"))
+    rows = R.resolved_chunks(files.chunks(java), index)
+    assert parses(rows) == 0  # the chunks are stored before
+    assert [r.calls for r in rows.where("name = 'm'").collect()] == [["java.lang.System.gc"]]
+
+
 def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     classpath = [(s, f"e{e}") for s in range(12) for e in range(8) if (s * 5 + e * 3) % 4 < 2] + [(1, None), (None, "e1"), (2, "jar"), (2, "e1"), (2, "e1")]
     outputs = [(d, f"e{e}") for d in range(12) for e in range(8) if (d + e * e) % 3 == 0] + [(3, None), (None, "e2"), (5, "e1"), (5, "e1")]
