@@ -238,4 +238,5 @@ def index_retrieval(table: DataFrame | None, files: DataFrame, workspace: Worksp
     """The retrieval-document table with the files' documents put in by id."""
     rows = parsed(files, workspace, spark).where("kind <> 'failed'").withColumn("repo_root", F.lit(repo_root).cast("string"))
     new = retrieval_documents(rows)
-    return new if table is None else upserted(table, new, "chunk_id")
+    # Its keys are read, then its rows: stored, so that the files are parsed once.
+    return new if table is None else upserted(table, stored(new, "retrieval"), "chunk_id")

@@ -694,7 +694,7 @@ def hybrid_boosts(spark, sf_dir):
 @query(f"SELECT doc_id, len(list_distinct(({TOKENS.format('text')})[1:8192])) AS n, 32 AS dims FROM documents WHERE len({TOKENS.format('text')}) > 0")
 def encoded_tokens(spark, sf_dir):
     """How many vectors each text gets, and of how many numbers."""
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("f").alias("file_path"), F.col("text").alias("retrieval_text"))
+    rows = spread_table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit("f").alias("file_path"), F.col("text").alias("retrieval_text"))
     out = embedded(rows, HashedEncoder()).where("dims > 0")
     return out.select(F.col("chunk_id").cast("long").alias("doc_id"), (F.size("matrix") / F.col("dims")).cast("long").alias("n"), "dims")
 
@@ -916,7 +916,7 @@ INDEXED = """r AS (SELECT p_partkey, p_size % 10 = 0 AS bad, p_size % 4 AS shape
 def built_index(spark, sf_dir):
     """A whole build of the parts' files into a store, half of the failed ones tried again: what became of each file, and its documents in the published index."""
     size = F.col("p_size")
-    own = _java(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_partkey", "p_size"), "path")
+    own = _java(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_partkey", "p_size").hint("merge"), "path")
     files = own.select(F.concat(F.lit("/r/own/Part"), "path", F.lit(".java")).alias("path"), F.when(size % 10 != 0, F.col("content")).alias("content"), ((size % 10 == 0) & (F.col("p_partkey") % 2 == 0)).alias("again"))
     store = T.Store(spark, scratch(spark, "store"))
     store.start("/r", "signature", "hashed-tokens-8", "now", files.count())
@@ -969,10 +969,10 @@ def index_status(spark, sf_dir):
 def retrieval_upserts(spark, sf_dir):
     """The table of retrieval documents after some files were put in, and then all."""
     files = _java(spark, sf_dir)
-    some = files.join(table(spark, sf_dir, "part").where("p_size % 4 = 0").select(F.col("p_partkey").cast("string").alias("path")), "path", "left_semi")
+    some = files.join(table(spark, sf_dir, "part").where("p_size % 4 = 0").select(F.col("p_partkey").cast("string").alias("path")).hint("merge"), "path", "left_semi")
     first = stored(I.index_retrieval(None, some, None, spark), "retrieval")
     rows = I.index_retrieval(first, files, None, spark).where("kind in ('method', 'constructor')").select(F.col("filepath").cast("long").alias("p_partkey"), "kind", "name", "chunk_id")
-    return rows.join(first.select("chunk_id", F.lit("twice").alias("given")), "chunk_id", "left").select("p_partkey", "kind", "name", F.coalesce("given", F.lit("once")).alias("given"))
+    return rows.join(first.select("chunk_id", F.lit("twice").alias("given")).hint("merge"), "chunk_id", "left").select("p_partkey", "kind", "name", F.coalesce("given", F.lit("once")).alias("given"))
 
 
 @query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN ':a:main' WHEN 1 THEN ':a:test' END AS source_set, [1, 1, 1, 2][p_size % 4 + 1]::BIGINT AS types FROM part")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import lists
 from siltstone.operators.search import widths
 from siltstone.schemas import BUILD_LOG, DOCUMENTS, LISTS, VECTORS
+from siltstone.scratch import stored
 
 #: Buckets of a new index: at least so many, and one for each FILES_PER_BUCKET files.
 BUCKETS = 64
@@ -405,9 +406,16 @@ class Store:
 # --- table forms of the same operations
 
 
+#: Keys that are sent to every task, at most; more are sorted and merged.
+SENT_KEYS = 100_000
+
+
 def upserted(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` with other keys."""
-    return old.join(new.select(*key).distinct(), list(key), "left_anti").select(old.columns).unionByName(new.select(old.columns))
+    keys = stored(new.select(*key).distinct(), "keys")
+    # Sizes guessed from files of few bytes a row let a broadcast grow with the input.
+    keys = keys.hint("broadcast" if keys.count() <= SENT_KEYS else "merge")
+    return old.join(keys, list(key), "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 
 def without(rows: DataFrame, **equal: str) -> DataFrame:

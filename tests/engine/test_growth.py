@@ -57,6 +57,17 @@ def test_resolution_parses_each_file_once(spark, java):
     assert [r.calls for r in rows.where("name = 'm'").collect()] == [["java.lang.System.gc"]]
 
 
+def test_upserts_parse_once_and_broadcast_few_keys(spark, java, monkeypatch):
+    first = stored(indexing.index_retrieval(None, java.where("path = 'a'"), None, spark), "first")
+    few = indexing.index_retrieval(first, java, None, spark)
+    assert parses(few) == 0
+    want = sorted(r.chunk_id for r in few.collect())
+    assert len(set(want)) == len(want) == indexing.index_retrieval(None, java, None, spark).count()
+    monkeypatch.setattr(store, "SENT_KEYS", 0)
+    many = indexing.index_retrieval(first, java, None, spark)
+    assert "Broadcast" not in plan(many) and sorted(r.chunk_id for r in many.collect()) == want
+
+
 def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     classpath = [(s, f"e{e}") for s in range(12) for e in range(8) if (s * 5 + e * 3) % 4 < 2] + [(1, None), (None, "e1"), (2, "jar"), (2, "e1"), (2, "e1")]
     outputs = [(d, f"e{e}") for d in range(12) for e in range(8) if (d + e * e) % 3 == 0] + [(3, None), (None, "e2"), (5, "e1"), (5, "e1")]
