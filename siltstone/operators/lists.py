@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.encoder import QUERY_TOKENS
-from siltstone.operators.search import chunk_steps, matrix, passes, products, ranked, vector_search
+from siltstone.operators.search import _Scores, chunk_steps, matrix, passes, products, ranked, vector_search
 from siltstone.scratch import stored
 
 #: Vectors of the sample for each list.
@@ -29,6 +29,8 @@ MOST_LISTS = 4096
 PROBES = 16
 #: The share of an exact search's best chunks that a calibrated search finds at least.
 RECALL = 0.9
+#: Bytes of a gain that is shuffled, about.
+GAIN_BYTES = 32
 #: Tasks that write one list, at most.
 WRITERS = 4
 
@@ -99,8 +101,18 @@ def write_lists(chunks: DataFrame, own: np.ndarray, path: str, *keep: str) -> No
     rows.repartition("list", F.pmod(F.xxhash64("chunk_id"), F.lit(WRITERS))).write.partitionBy("list").parquet(path)
 
 
+def gathered(lists: DataFrame) -> DataFrame:
+    """(chunk_id, dims, lists, matrix): the vectors of each chunk in one row, and the list of each."""
+    rows = lists.groupBy("chunk_id", "dims").agg(F.collect_list(F.struct("list", "matrix")).alias("v_"))
+    of_each = F.transform("v_", lambda x: F.array_repeat(x["list"], (F.size(x["matrix"]) / F.col("dims")).cast("int")))
+    return rows.select("chunk_id", "dims", F.flatten(of_each).alias("lists"), F.flatten(F.transform("v_", lambda x: x["matrix"])).alias("matrix"))
+
+
 def candidates(lists: DataFrame, own: np.ndarray, queries: DataFrame, keep: int, probes: int = PROBES) -> DataFrame:
-    """(query_id, chunk_id): the ``keep`` chunks of each query with the greatest bounds.  lists: what ``write_lists`` wrote, filtered or not."""
+    """(query_id, chunk_id): the ``keep`` chunks of each query with the greatest bounds.  lists: what ``write_lists`` wrote, filtered or not.
+
+    A chunk's vectors lie in several lists, so something must travel before its bound is known: a gain for each query row that meets it in a list, or, where so many query rows
+    probe a list that these would be more bytes than its vectors, the vectors, once for all queries; then a task keeps the best bounds of each query."""
     schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(lists.dtypes)['chunk_id']}, q_row int, gain double"
 
     def searcher(part: pa.Table, q: np.ndarray, probed: np.ndarray, missing: np.ndarray):
@@ -120,7 +132,22 @@ def candidates(lists: DataFrame, own: np.ndarray, queries: DataFrame, keep: int,
 
         return run
 
-    parts = []
+    def bounder(part: pa.Table, probed: np.ndarray | None, missing: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = _Scores(part, keep)
+            q = np.nan_to_num(scores.q)
+            for batch, vectors, starts in chunk_steps(batches, *q.shape):
+                gain = products(vectors, q) - missing
+                if probed is not None:
+                    gain[~probed[:, batch.column("lists").flatten().to_numpy()].T] = -np.inf
+                total = np.add.reduceat(np.maximum(np.maximum.reduceat(gain, starts, axis=0), 0), scores.first, axis=1)
+                total[total <= 0] = -np.inf
+                yield from scores.add(batch.column("chunk_id"), total)
+            yield from scores.rows()
+
+        return run
+
+    parts, many, totals = [], [], []
     for part in passes(queries) if len(own) else ():
         q = np.nan_to_num(matrix(part.column("vec")))
         near = q @ own.T
@@ -130,13 +157,22 @@ def candidates(lists: DataFrame, own: np.ndarray, queries: DataFrame, keep: int,
         rest = np.where(probed, -np.inf, near)
         # Below the nearest centroid that isn't probed a product says no more than that there is none.
         missing = np.where(probed.all(axis=1), -1e9, rest.max(axis=1))
-        wanted = lists.where(F.col("list").isin(np.flatnonzero(probed.any(axis=0)).tolist()))
+        touched = np.flatnonzero(probed.any(axis=0))
+        if probed.sum() * GAIN_BYTES > len(touched) * (4 * q.shape[1] + GAIN_BYTES):
+            many.append((part, None if probed.all() else probed, missing, touched))
+            continue
+        wanted = lists.where(F.col("list").isin(touched.tolist()))
         parts.append(wanted.select("list", "chunk_id", "dims", "matrix").mapInArrow(searcher(part, q, probed, missing), schema))
-    if not parts:
+    if parts:
+        best = reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id", "q_row").agg(F.max("gain").alias("gain"))
+        totals.append(best.groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("gain")))
+    if many:
+        wanted = lists.where(F.col("list").isin(reduce(np.union1d, (m[3] for m in many)).tolist()))
+        whole = stored(gathered(wanted), "gathered")
+        totals += [whole.mapInArrow(bounder(*m[:3]), schema.replace("q_row int, gain", "score")).withColumnRenamed("score", "gain") for m in many]
+    if not totals:
         return lists.sparkSession.createDataFrame([], schema).select("query_id", "chunk_id")
-    best = reduce(DataFrame.unionByName, parts).groupBy("query_id", "chunk_id", "q_row").agg(F.max("gain").alias("gain"))
-    total = best.groupBy("query_id", "chunk_id").agg(F.sum("gain").alias("gain"))
-    return ranked(total, "gain", keep).select("query_id", "chunk_id")
+    return ranked(reduce(DataFrame.unionByName, totals), "gain", keep).select("query_id", "chunk_id")
 
 
 def calibrated(chunks: DataFrame, lists: DataFrame, own: np.ndarray, k: int, keep: int, target: float = RECALL, n: int = 32) -> tuple[int, float]:

@@ -86,3 +86,29 @@ def test_vectors_of_tokens_are_drawn_once():
     for token in ("once", "ä", "x" * 50):
         v = np.random.default_rng(int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "big")).normal(size=8)
         assert own.vector(token) == (v / np.linalg.norm(v)).astype(np.float32).tolist()
+
+
+@pytest.mark.parametrize("probes", [3, 24])
+def test_many_queries_shuffle_vectors_and_not_gains(spark, tmp_path, probes, monkeypatch):
+    """The same candidates whether gains or vectors travel; with many query rows for each list it is the vectors."""
+    draw = np.random.default_rng(5)
+    rows = [(c, i, [float(x) for x in draw.normal(size=4)]) for c in range(200) for i in range(1 + c % 4)]
+    chunks = stored(lists_of(spark, rows), "chunks")
+    asked = spark.createDataFrame([(c, i, v) for c, i, v in rows if c % 4 == 0], "query_id INT, q_row INT, vec ARRAY<FLOAT>")
+    own, path = lists.centroids(chunks, 24), str(tmp_path / "lists")
+    lists.write_lists(chunks, own, path)
+    table, found = spark.read.parquet(path), []
+    for cost in (32, 0):
+        monkeypatch.setattr(lists, "GAIN_BYTES", cost)
+        near = lists.candidates(table, own, asked, 20, probes)
+        assert ("q_row" in plan(near)) == (cost == 0)
+        found.append(sorted(map(tuple, near.collect())))
+    assert found[0] == found[1] and len(found[0]) == 50 * 20
+    if probes == 24:
+        assert found[0] == sorted((r.query_id, r.chunk_id) for r in S.vector_search(chunks, asked, 20).collect())
+
+
+def lists_of(spark, rows):
+    from siltstone.functions.vectors import matrices
+
+    return matrices(spark.createDataFrame(rows, "chunk_id INT, token_pos INT, vec ARRAY<FLOAT>"))
