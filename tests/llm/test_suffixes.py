@@ -98,3 +98,17 @@ def test_windows_that_neither_neighbour_shows():
     seen = Counter((i, w[i : i + width]) for w in whole for i in range(windows))
     around = [i for i in range(windows) if i <= 5 and i + width >= 11]
     assert all(repeats[b, i] == (seen[i, whole[b][i : i + width]] > 1) for b in range(5) for i in around)
+
+
+def test_passages_of_over_fifty_words_at_the_contract_length(spark, tmp_path):
+    """The query's own 400 bytes: one byte less is kept however many words it has, also where only a space differs; n_removed tells them apart, n_bytes is the text's size."""
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    rest = lambda k: " ".join(word() for _ in range(k))
+    exact, short, spaced = (rest(58)[:n] for n in (400, 399, 400))
+    assert all(len(p.split()) > 50 for p in (exact, short, spaced))
+    texts = [f"{rest(80)} {a}{p}{b} {rest(90)}" for p, q in ((exact, exact), (short, short), (spaced, spaced.replace(" ", "\n", 30))) for a, p, b in (("X", p, "Y"), ("V", q, "W"))] + [rest(200), "é" * 199]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in suffixes.query(spark, str(tmp_path)).collect()}
+    assert [rows[i].n_removed for i in range(len(texts))] == [400, 400, 0, 0, 0, 0, 0, 0]
+    assert [tuple(rows[i])[1:] for i in range(len(texts))] == brute(texts, 400)
