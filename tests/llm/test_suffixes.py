@@ -112,3 +112,20 @@ def test_passages_of_over_fifty_words_at_the_contract_length(spark, tmp_path):
     rows = {r.doc_id: r for r in suffixes.query(spark, str(tmp_path)).collect()}
     assert [rows[i].n_removed for i in range(len(texts))] == [400, 400, 0, 0, 0, 0, 0, 0]
     assert [tuple(rows[i])[1:] for i in range(len(texts))] == brute(texts, 400)
+
+
+def test_zero_bytes_at_the_ends_of_blocks(spark):
+    """A block that ends where others go on with bytes of 0 stands before these in order, not among them; and so to the left."""
+    middle, width = "GGGGGGxyz", 10
+    for blocks in ([("a", middle + "\0"), ("b", middle), ("c", middle + "\0")], [("\0xyz", "GGGGGGa"), ("xyz", "GGGGGGb"), ("\0xyz", "GGGGGGc")]):
+        left, right = (pa.array(side, pa.binary()) for side in zip(*((a[::-1].encode(), b.encode()) for a, b in blocks)))
+        off, n = (np.array(x) for x in zip(*((len(a), len(a + b) - width + 1) for a, b in blocks)))
+        repeats, _, _ = bucket_repeats(np.full(3, 9), off, n, np.full(3, 1), right, left, width)
+        seen = Counter((off[b] - i, (blocks[b][0] + blocks[b][1])[i : i + width]) for b in range(3) for i in range(n[b]))
+        assert seen.most_common(1)[0][1] == 2
+        assert all(repeats[b, i] == (seen[off[b] - i, (blocks[b][0] + blocks[b][1])[i : i + width]] > 1) for b in range(3) for i in range(n[b]))
+    pick = random.Random(1008)
+    text = lambda n: "".join(pick.choice("\0a") for _ in range(n))
+    pool = [text(pick.randint(4, 32)) for _ in range(8)]
+    texts = [text(pick.randint(0, 6)) + pick.choice(pool)[pick.randint(0, 4) :] + pick.choice(["", "\0\0"]) for _ in range(60)]
+    assert result(spark, texts, 8) == brute(texts, 8)
