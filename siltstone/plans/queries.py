@@ -387,10 +387,10 @@ def position_counter(spark, sf_dir):
     """Documents as behaviours of a file each source and language: positions count those of 20 characters or more."""
     d = table(spark, sf_dir, "documents")
     given = {"chunk_ord": F.col("doc_id").cast("int"), "kind": F.lit("behavior"), "filepath": F.concat_ws("/", F.lit("/r"), "source", "lang"), "text": F.col("text")}
-    fields = StructType.fromDDL(CHUNKS).fields
+    # Every file has a chunk of its own, which gives the package: no file_package, whose nulls would say that there is none.
+    fields = [f for f in StructType.fromDDL(CHUNKS).fields if f.name != "file_package"]
     rows = d.select(*(given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields), F.lit("/r").alias("repo_root"), F.lit(None).cast("string").alias("source_set"))
-    # Every file has a chunk of its own, which gives the package.
-    files = rows.withColumns({"kind": F.lit("file"), "package": F.lit("package p;")}).dropDuplicates(["filepath"])
+    files = rows.dropDuplicates(["filepath"]).withColumns({"kind": F.lit("file"), "package": F.lit("package p;")})
     out = index_documents(rows.unionByName(files), "now")
     return out.select("chunk_id", F.regexp_extract("retrieval_text", r"^\[behavior\] \w+", 0).alias("first_line"), F.length("source_text").alias("n"))
 

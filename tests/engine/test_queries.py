@@ -61,3 +61,16 @@ def test_every_query_vector_meets_every_vector(spark):
     ids = [r.vec_id for r in queries.table(spark, SF, "embeddings").select("vec_id").collect()]
     got = sorted((r.query_id, r.n) for r in queries.vector_dot(spark, SF).collect())
     assert got == sorted((q, len(ids)) for q in ids if q % 20 == 0)
+
+
+def test_positions_in_files_with_odd_texts(spark, tmp_path):
+    """The package comes from the ``file`` chunk, and texts that are too short, blank or null take no position."""
+    texts = ["x" * 20, "x" * 19, None, "", " \t\r\n\x0b" + "y" * 20 + "\x0b\f ", " " * 30, "z" * 5000, "é" * 19 + "\U0001f600", "two\nlines of { text }\n"]
+    own = [(i, t, lang, source) for i, (t, lang, source) in enumerate((t, lang, source) for t in texts * 3 for lang in ("de", "en") for source in ("a", "b"))]
+    spark.createDataFrame([*own, (len(own), "short", "fr", "a")], "doc_id LONG, text STRING, lang STRING, source STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    frame, con = queries.position_counter(spark, str(tmp_path)), duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(queries.SQL["position_counter"])
+    got = rows(frame.columns, frame.collect())
+    assert got == rows(want.columns, want.fetchall())
+    assert len(got) == 60 and {r.first_line for r in frame.collect()} == {"[behavior] p"}
