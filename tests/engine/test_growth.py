@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +42,41 @@ def test_symbols_parse_each_file_once(java):
     assert sorted(map(tuple, top.collect())) == [("A", ["p.q.A"]), ("D", ["D"])] and parses(top) == 1
 
 
+def test_names_of_columns_are_asked_once_for_many_rows(spark, monkeypatch):
+    """The names are those of the schema: what a row costs doesn't hold asking a field of the schema for its name."""
+    asked = []
+
+    class Field:
+        def __init__(self, own):
+            self.own, self.type = own, own.type
+
+        @property
+        def name(self):
+            asked.append(self.own.name)
+            return self.own.name
+
+    schema = [Field(f) for f in files._arrow_schema(spark, files.CHUNKS)]
+    monkeypatch.setattr(files, "_arrow_schema", lambda *_: schema)
+    made = lambda arrays, schema: pa.RecordBatch.from_arrays(arrays, names=[f.own.name for f in schema])
+    monkeypatch.setattr(files, "pa", SimpleNamespace(array=pa.array, RecordBatch=SimpleNamespace(from_arrays=made)))
+    frame = SimpleNamespace(sparkSession=spark, select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    given = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(50)], "content": [b"package p;\nclass A { void m() { } }"] * 50})
+    rows = [r for out in files.chunks(frame)(iter([given])) for r in out.to_pylist()]
+    assert len(rows) == 200 and {r["file_package"] for r in rows} == {"package p;"}
+    assert sorted(asked) == sorted(f.own.name for f in schema)
+
+
+def test_chunks_of_odd_files(spark):
+    own = [("a", b"package p;\n@Tag(x = 1, y = 2) class A { }"), ("a", b"package p;\n@Tag(x = 1, y = 2) class A { }"), (None, b"class N { }"), ("null", None), ("empty", b""), ("odd", b"\xff } class")]
+    rows = files.chunks(spark.createDataFrame(own, "path STRING, content BINARY")).collect()
+    of = lambda path: [(r.kind, r.name, r.file_package) for r in rows if r.filepath == path]
+    assert of("a") == [("file", None, "package p;"), ("type", "A", "package p;"), ("skeleton", "A", "package p;")] * 2
+    assert [r.annotations[0].attributes for r in rows if r.filepath == "a" and r.kind != "file"] == [{"x": "1", "y": "2"}] * 4
+    assert of(None) == [("file", None, None), ("type", "N", None), ("skeleton", "N", None)] and of("empty") == [("file", None, None)]
+    assert of("null") == [("failed", None, None)] and [r.error for r in rows if r.filepath == "null"] == ["TypeError: cannot convert 'NoneType' object to bytes"]
+    assert of("odd")[0] == ("file", None, None) and {k for k, _, _ in of("odd")} == {"file", "parse_error"}
+
+
 def test_documents_parse_each_file_once(java):
     rows = files.chunks(java).withColumns({"repo_root": F.lit("/r"), "source_set": F.lit(":m")})
     for made in (index_documents(rows, "now"), retrieval_documents(rows)):
