retrieval_upserts: the parser's step sends Spark only the columns that the documents are made of

Symptom: Putting files into the table of retrieval documents took 1758 CPU seconds per input GB, 1162 of them in Python and 484 in the JVM.
Evidence: The slowest stage parses the files and sends 43 columns of each chunk from Python to Spark; retrieval_documents reads 23 of them, and Spark can't drop columns of a Python step. The text to embed, the spans, the symbols and the outlines were built as Arrow arrays, sent and turned into rows, only to be dropped.
Fix: chunks() and parsed() take the columns that are read; index_retrieval names those of retrieval_documents, and with a workspace those that calls are resolved by come too. Without them all columns are made as before.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 2422 -> 1859 s, shuffle 0.58 -> 0.58 GB, spill 0.00 -> 0.00 GB, read 0.43 -> 0.43 GB, longest task 37 -> 29 s, most memory of a task 118 -> 118 MB; at 6 GB of input CPU 11576 -> 7407 s, shuffle 3.06 -> 3.06 GB, spill 0.00 -> 0.00 GB, read 2.39 -> 2.39 GB, longest task 152 -> 125 s, most memory of a task 369 -> 369 MB; with hot keys, at 1 GB of input CPU 2509 -> 1738 s, shuffle 0.58 -> 0.58 GB, spill 0.00 -> 0.00 GB, read 0.43 -> 0.43 GB, longest task 43 -> 32 s, most memory of a task 118 -> 118 MB.

@@ -54,6 +54,13 @@ def twice_named(documents: DataFrame) -> DataFrame:
     return twice.groupBy("file_path").agg(F.concat(F.lit("duplicate id: "), F.min("chunk_id")).alias("error"))
 
 
+#: What ``retrieval_documents`` reads of the parsed chunks.
+RETRIEVAL_FROM = (
+    "chunk_id", "parent_chunk_id", "filepath", "file_package", "kind", "name", "owner_chain", "return_type", "parameters", "field_type", "component_type", "extends", "implements", "permits", "modifiers", "annotations", "throws", "calls",
+    "fields_accessed", "javadoc", "start_line", "end_line", "text",
+)
+
+
 def retrieval_documents(chunks: DataFrame) -> DataFrame:
     """Every chunk but ``file``, with a text of labelled lines and the symbols that it refers to.  Clause keywords stay in ``extends``."""
     empty = F.expr(N.STRINGS)

@@ -114,6 +114,10 @@ def resolution(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
     return resolved(type_references(chunks, *by), context, index, *by)
 
 
+#: What ``resolved_chunks`` reads of the chunks.
+RESOLVED_FROM = ("filepath", "kind", "package", "imports", "local_types", "symbols", "calls", "annotations")
+
+
 def resolved_chunks(chunks: DataFrame, index: DataFrame, *by: str) -> DataFrame:
     """Replaces the heads of calls and the class literals of annotations by qualified names.
 

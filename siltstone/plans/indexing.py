@@ -7,6 +7,7 @@ import datetime
 import hashlib
 import json
 import uuid
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.encoder import Encoder, HashedEncoder, embedded
 from siltstone.observe import Timings, event, logger, measured
-from siltstone.operators.documents import index_documents, retrieval_documents, twice_named
-from siltstone.operators.resolve import merged, resolution, resolved_chunks, type_index, visible_names
+from siltstone.operators.documents import RETRIEVAL_FROM, index_documents, retrieval_documents, twice_named
+from siltstone.operators.resolve import RESOLVED_FROM, merged, resolution, resolved_chunks, type_index, visible_names
 from siltstone.schemas import SYMBOLS
 from siltstone.scratch import scratch, stored
 from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, scan, source_symbols
@@ -138,10 +139,12 @@ class SymbolCache:
         return self.table(fingerprint(self.spark, "jdk", [f"{home}/jmods"], "*.jmod"), lambda: jdk_symbols(self.spark, home))
 
 
-def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *, binaries: bool = False, jdk_home: str | None = None, cache: SymbolCache | None = None) -> DataFrame:
-    """Chunks of the files with source_set, calls resolved within what each source set sees."""
+def parsed(files: DataFrame, workspace: Workspace | None, spark: SparkSession, *, columns: Collection[str] | None = None, binaries: bool = False, jdk_home: str | None = None, cache: SymbolCache | None = None) -> DataFrame:
+    """Chunks of the files with source_set, calls resolved within what each source set sees.  With ``columns`` these are made, and those that calls are resolved by."""
+    if columns is not None and workspace is not None:
+        columns = {*columns, *RESOLVED_FROM}
     # Small files are packed into few scan tasks; parsing is dealt out by path, to a number of tasks that isn't lowered for having few bytes.
-    rows = chunks(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"))
+    rows = chunks(files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path"), columns)
     if workspace is None:
         return rows.withColumn("source_set", F.lit(None).cast("string"))
     owned = owners(files.select("path"), workspace.roots(spark)).select(F.col("path").alias("filepath"), "source_set")
@@ -236,7 +239,7 @@ def index_file(spark: SparkSession, store: Store, path: str, *, repo_root: str,
 
 def index_retrieval(table: DataFrame | None, files: DataFrame, workspace: Workspace | None, spark: SparkSession, repo_root: str | None = None) -> DataFrame:
     """The retrieval-document table with the files' documents put in by id."""
-    rows = parsed(files, workspace, spark).where("kind <> 'failed'").withColumn("repo_root", F.lit(repo_root).cast("string"))
+    rows = parsed(files, workspace, spark, columns=RETRIEVAL_FROM).where("kind <> 'failed'").withColumn("repo_root", F.lit(repo_root).cast("string"))
     new = retrieval_documents(rows)
     # Its keys are read, then its rows: stored, so that the files are parsed once.
     return new if table is None else upserted(table, stored(new, "retrieval"), "chunk_id")

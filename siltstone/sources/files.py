@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.functions.naming import class_name
 from siltstone.java.chunker import parse
@@ -73,9 +74,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, lis
 BATCH_ROWS = 4000
 
 
-def chunks(files: DataFrame) -> DataFrame:
-    """files (path, content) -> chunk rows.  A file whose parse fails gives one row of kind ``failed`` with the error."""
-    schema = _arrow_schema(files.sparkSession, CHUNKS)
+def chunks(files: DataFrame, columns: Collection[str] | None = None) -> DataFrame:
+    """files (path, content) -> chunk rows.  A file whose parse fails gives one row of kind ``failed`` with the error.
+
+    With ``columns`` only these are made: Spark can't see which columns of a Python step are read later, so it would be sent all of them."""
+    schema, kinds = _arrow_schema(files.sparkSession, CHUNKS), CHUNKS
+    if columns is not None:
+        schema = pa.schema([f for f in schema if f.name in columns])
+        kinds = StructType([f for f in StructType.fromDDL(CHUNKS) if f.name in columns])
     # Names are taken once: a field makes its name anew each time it is asked.
     fields = [(f.name, f.type) for f in schema]
 
@@ -98,7 +104,7 @@ def chunks(files: DataFrame) -> DataFrame:
         if rows:
             yield batch(rows)
 
-    return files.select("path", "content").mapInArrow(run, CHUNKS)
+    return files.select("path", "content").mapInArrow(run, kinds)
 
 
 #: The types of a file, each by the names of its owners and its own.

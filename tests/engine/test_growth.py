@@ -13,7 +13,7 @@ from siltstone.functions import encoder
 from siltstone.operators import lists
 from siltstone.operators import resolve as R
 from siltstone.operators import search as S
-from siltstone.operators.documents import index_documents, retrieval_documents, with_package
+from siltstone.operators.documents import RETRIEVAL_FROM, index_documents, retrieval_documents, with_package
 from siltstone.plans import indexing
 from siltstone.scratch import stored
 from siltstone.sources import files, store
@@ -105,6 +105,17 @@ def test_upserts_parse_once_and_broadcast_few_keys(spark, java, monkeypatch):
     assert "Broadcast" not in plan(many) and sorted(r.chunk_id for r in many.collect()) == want
 
 
+def test_retrieval_documents_are_sent_only_the_columns_they_read(spark, java):
+    """The Python step gives the columns that the documents are made of, no more; the documents are those of whole chunks."""
+    odd = java.unionByName(java.where("path = 'a'")).unionByName(spark.createDataFrame([(None, b"@T(x = 1) enum E { A; int f() { return 1; } }"), ("r", b"record R(int a) implements I, J { }")], java.schema))
+    made = indexing.index_retrieval(None, odd, None, spark)
+    sent = re.search(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", plan(made))[1]
+    assert {c.split("#")[0].strip() for c in sent.split(",")} == set(RETRIEVAL_FROM)
+    whole = files.chunks(odd).where("kind <> 'failed'").withColumns({"source_set": F.lit(None).cast("string"), "repo_root": F.lit(None).cast("string")})
+    want = retrieval_documents(whole)
+    assert made.schema == want.schema and sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
+
+
 def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     classpath = [(s, f"e{e}") for s in range(12) for e in range(8) if (s * 5 + e * 3) % 4 < 2] + [(1, None), (None, "e1"), (2, "jar"), (2, "e1"), (2, "e1")]
     outputs = [(d, f"e{e}") for d in range(12) for e in range(8) if (d + e * e) % 3 == 0] + [(3, None), (None, "e2"), (5, "e1"), (5, "e1")]
