built_index: documents of a build are made once, vectors come back in larger batches

Symptom: Building an index took 4724 CPU seconds per input GB, 2648 of them in the JVM, 1844 in Python and 144 in GC (small input).
Evidence: Documents were made three times from the stored chunks, each with its regular expressions, shuffle and window: for the clashing ids of the rows, for those of the log, and for the rows. The chunks were stored with 45 columns, of which 25 were read again. 90,516 texts were embedded through a pandas frame for every 32 of them (stage of 10 s, 1 of them in the JVM).
Fix: build() stores the documents and the clashing files, and joins the latter as a broadcast only up to SENT_KEYS of them, as upserted() does; its callers no longer store the documents again. The parser's step gives the columns that documents are made of. embedded() gives Arrow batches of about a million numbers, without pandas.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 5615 -> 2373 s, shuffle 7.13 -> 2.76 GB, spill 0.00 -> 0.00 GB, read 2.42 -> 1.53 GB, longest task 123 -> 26 s, most memory of a task 319 -> 319 MB; at 6 GB of input CPU 27462 -> 8930 s, shuffle 41.08 -> 16.33 GB, spill 0.00 -> 0.00 GB, read 13.59 -> 9.39 GB, longest task 421 -> 99 s, most memory of a task 604 -> 503 MB; with hot keys, at 1 GB of input CPU 5482 -> 1851 s, shuffle 7.04 -> 2.73 GB, spill 0.00 -> 0.00 GB, read 2.40 -> 1.52 GB, longest task 119 -> 25 s, most memory of a task 319 -> 319 MB.

@@ -15,7 +15,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siltstone.schemas import VECTORS
@@ -135,26 +135,43 @@ def bisected(embed, texts: list[str]) -> list:
     return out
 
 
+#: Numbers that a task gathers before it gives the rows back, and those of one text more.  A few texts at a time would cost more to hand over than to embed.
+GATHERED_NUMBERS = 1 << 20
+
+
 def embedded(documents: DataFrame, encoder: Encoder, batch: int = 32) -> DataFrame:
     """documents (chunk_id, file_path, retrieval_text) -> (chunk_id, file_path, dims, matrix), in batches; the encoder is prepared once per task.  A text without tokens
     has an empty matrix."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(keys: pa.RecordBatch, matrices: list) -> pa.RecordBatch:
+        """The keys with their matrices, whose vectors come one after the other."""
+        dims = [len(own[0]) if own else 0 for own in matrices]
+        ends = np.cumsum([0, *(len(own) * d for own, d in zip(matrices, dims))], dtype=np.int32)
+        flat = [v for own in matrices for v in own]
+        numbers = np.concatenate(flat).astype(np.float32, copy=False) if flat else np.empty(0, np.float32)
+        return pa.RecordBatch.from_arrays([*keys.columns, pa.array(dims, pa.int32()), pa.ListArray.from_arrays(ends, numbers)], names=[*keys.schema.names, "dims", "matrix"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.prepare()
         try:
             for rows in batches:
-                for i in range(0, len(rows), batch):
-                    part = rows.iloc[i : i + batch]
-                    out = []
-                    for (chunk, path), own in zip(part[["chunk_id", "file_path"]].itertuples(index=False), bisected(encoder.documents, part["retrieval_text"].fillna("").tolist())):
-                        if len({len(v) for v in own}) > 1:
+                keys, texts = rows.select(["chunk_id", "file_path"]), rows.column("retrieval_text")
+                begin, held, numbers = 0, [], 0
+                for i in range(0, len(texts), batch):
+                    for own in bisected(encoder.documents, [t or "" for t in texts.slice(i, batch).to_pylist()]):
+                        if len(set(map(len, own))) > 1:
                             raise ValueError("vectors of different lengths")
-                        out.append((chunk, path, len(own[0]) if own else 0, np.asarray(own, np.float32).ravel()))
-                    yield pd.DataFrame(out, columns=["chunk_id", "file_path", "dims", "matrix"])
+                        held.append(own)
+                        numbers += len(own) * len(own[0]) if own else 0
+                        if numbers >= GATHERED_NUMBERS:
+                            yield vectors(keys.slice(begin, len(held)), held)
+                            begin, held, numbers = begin + len(held), [], 0
+                if held:
+                    yield vectors(keys.slice(begin, len(held)), held)
         finally:
             encoder.close()
 
-    return documents.select("chunk_id", "file_path", "retrieval_text").mapInPandas(run, VECTORS)
+    return documents.select("chunk_id", "file_path", "retrieval_text").mapInArrow(run, VECTORS)
 
 
 def query_vectors(spark, queries: list[tuple[str, str]], encoder: Encoder) -> DataFrame:

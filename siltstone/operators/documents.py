@@ -19,6 +19,13 @@ def with_package(chunks: DataFrame) -> DataFrame:
     return chunks.drop("package").join(of_file.groupBy("filepath").agg(F.first("package_").alias("package")), "filepath", "left")
 
 
+#: What ``index_documents`` reads of the parsed chunks.
+INDEXED_FROM = (
+    "chunk_ord", "filepath", "file_package", "kind", "name", "owner_chain", "text", "start_line", "end_line", "start_col", "end_col", "return_type", "parameters", "field_type", "component_type", "annotations", "modifiers", "throws", "calls",
+    "fields_accessed", "extends", "implements",
+)
+
+
 def index_documents(chunks: DataFrame, indexed_at: str) -> DataFrame:
     """chunks with repo_root and source_set columns -> one row per document.
 

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.encoder import Encoder, HashedEncoder, embedded
 from siltstone.observe import Timings, event, logger, measured
-from siltstone.operators.documents import RETRIEVAL_FROM, index_documents, retrieval_documents, twice_named
+from siltstone.operators.documents import INDEXED_FROM, RETRIEVAL_FROM, index_documents, retrieval_documents, twice_named
 from siltstone.operators.resolve import RESOLVED_FROM, merged, resolution, resolved_chunks, type_index, visible_names
 from siltstone.schemas import SYMBOLS
 from siltstone.scratch import scratch, stored
 from siltstone.sources.files import binary_symbols, chunks, java_files, jdk_symbols, plain_path, present, scan, source_symbols
-from siltstone.sources.store import Files, Store, upserted
+from siltstone.sources.store import Files, Store, sent_if_few, upserted
 from siltstone.sources.workspace import Workspace, owners
 
 log_ = logger("indexing")
@@ -166,13 +166,15 @@ def resolution_of(spark: SparkSession, path: str, *, workspace: Workspace | None
 
 
 def build(files: DataFrame, repo_root: str, workspace: Workspace | None, spark: SparkSession, indexed_at: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(documents, failures (path, error)): files that don't parse or whose ids clash fail whole."""
-    rows = parsed(files, workspace, spark, **options).withColumn("repo_root", F.lit(repo_root))
+    """(documents, failures (path, error)): files that don't parse or whose ids clash fail whole.  The documents are stored, since their ids are read, then their texts
+    and then their rows."""
+    columns = (*INDEXED_FROM, "error")
+    rows = parsed(files, workspace, spark, columns=columns, **options).select(*columns, "source_set", F.lit(repo_root).alias("repo_root"))
     rows = stored(rows, "chunks")
-    documents = index_documents(rows.where("kind <> 'failed'"), indexed_at)
-    clash = twice_named(documents)
+    documents = stored(index_documents(rows.where("kind <> 'failed'"), indexed_at), "documents")
+    clash = stored(twice_named(documents), "clashes")
     failed = rows.where("kind = 'failed'").select(F.col("filepath").alias("path"), "error").unionByName(clash.select(F.concat_ws("/", F.lit(repo_root), "file_path").alias("path"), "error"))
-    return documents.join(clash.select("file_path"), "file_path", "left_anti").select(documents.columns), failed
+    return documents.join(sent_if_few(clash.select("file_path")), "file_path", "left_anti").select(documents.columns), failed
 
 
 #: Files in one batch of a build, about.
@@ -214,7 +216,6 @@ def index_workspace(spark: SparkSession, store: Store, *, repo_root: str, worksp
         times.add("parse", watch.seconds)
         with measured() as watch:
             changed = own.select(F.substr("path", F.lit(len(repo_root.rstrip("/")) + 2)).alias("file_path"))
-            documents = stored(documents, "documents")
             log = own.select("path").join(failures, "path", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
             store.replace_files(changed, documents, embedded(documents, encoder, batch), encoder.name, at, staged=True, log=log)
         times.add("embed_and_persist", watch.seconds)

@@ -922,7 +922,6 @@ def built_index(spark, sf_dir):
     store.start("/r", "signature", "hashed-tokens-8", "now", files.count())
     for batch in (files, files.where("again")):
         documents, failures = I.build(batch, "/r", None, spark, "now")
-        documents = stored(documents, "documents")
         log = batch.select("path").join(failures, "path", "left").withColumn("status", F.when(F.col("error").isNull(), "completed").otherwise("failed"))
         changed = batch.select(F.substr("path", F.lit(4)).alias("file_path"))
         store.replace_files(changed, documents, embedded(documents, HashedEncoder(8)), "hashed-tokens-8", "now", staged=True, log=log)

@@ -410,11 +410,14 @@ class Store:
 SENT_KEYS = 100_000
 
 
+def sent_if_few(keys: DataFrame) -> DataFrame:
+    """Stored keys for the right side of a join.  Sizes guessed from files of few bytes a row let a broadcast grow with the input, so they are counted."""
+    return keys.hint("broadcast" if keys.count() <= SENT_KEYS else "merge")
+
+
 def upserted(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` with other keys."""
-    keys = stored(new.select(*key).distinct(), "keys")
-    # Sizes guessed from files of few bytes a row let a broadcast grow with the input.
-    keys = keys.hint("broadcast" if keys.count() <= SENT_KEYS else "merge")
+    keys = sent_if_few(stored(new.select(*key).distinct(), "keys"))
     return old.join(keys, list(key), "left_anti").select(old.columns).unionByName(new.select(old.columns))
 
 

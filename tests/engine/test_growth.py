@@ -116,6 +116,40 @@ def test_retrieval_documents_are_sent_only_the_columns_they_read(spark, java):
     assert made.schema == want.schema and sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
 
 
+def test_a_build_makes_documents_and_ids_once(spark, java, monkeypatch):
+    """What a build returns reads stored rows: documents aren't made again for their ids, their texts and their rows, nor the clashes for the log."""
+    own = [(f"/r/{p}", c) for p, c in java.collect()] + [("/r/x", b"class X { void run() { int value; go(value); } }"), (None, b"class Nowhere { int value; }")]
+    given = spark.createDataFrame(own, java.schema)
+    for most in (0, store.SENT_KEYS):
+        monkeypatch.setattr(store, "SENT_KEYS", most)
+        documents, failed = indexing.build(given, "/r", None, spark, "now")
+        assert not re.search("Window|MapIn|Aggregate", plan(documents) + plan(failed)) and ("Broadcast" in plan(documents)) == (most > 0)
+        assert sorted((r.path, r.error[:13]) for r in failed.collect()) == [("/r/a", "duplicate id:"), ("/r/c", "TypeError: ca")]
+        rows = index_documents(files.chunks(given).where("kind <> 'failed'").withColumns({"source_set": F.lit(None).cast("string"), "repo_root": F.lit("/r")}), "now").where("file_path <> 'a'")
+        assert documents.dtypes == rows.dtypes and sorted(map(str, documents.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_vectors_come_in_few_batches(spark, monkeypatch):
+    """Short texts come back together, long ones as soon as there are enough numbers; null and empty texts have empty matrices."""
+    frame = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
+    texts = [None, "", *(f"word{i} again word{i}" for i in range(318))]
+    given = pa.RecordBatch.from_pydict({"chunk_id": [*(f"c{i}" for i in range(319)), None], "file_path": ["f"] * 320, "retrieval_text": texts})
+    made = list(encoder.embedded(frame, encoder.HashedEncoder(8))(iter([given, given.slice(0, 0)])))
+    assert [m.num_rows for m in made] == [320]
+    own = encoder.HashedEncoder(8)
+    want = [[x for v in own._rows(t, encoder.DOCUMENT_TOKENS) for x in v.tolist()] for t in texts]
+    assert made[0].column("matrix").to_pylist() == want and made[0].column("dims").to_pylist() == [0, 0] + [8] * 318
+    assert made[0].column("chunk_id").to_pylist() == given.column("chunk_id").to_pylist()
+    monkeypatch.setattr(encoder, "GATHERED_NUMBERS", 100)
+    parts = list(encoder.embedded(frame, own)(iter([given])))
+    assert max(m.num_rows for m in parts) <= 9 and [x for m in parts for x in m.column("matrix").to_pylist()] == want
+    uneven = SimpleNamespace(prepare=lambda: None, close=lambda: None, documents=lambda t: [[[1.0], [1.0, 2.0]] for _ in t])
+    with pytest.raises(ValueError, match="different lengths"):
+        list(encoder.embedded(frame, uneven)(iter([given])))
+    rows = encoder.embedded(spark.createDataFrame([("a", None, "one two"), ("a", "f", None)], "chunk_id STRING, file_path STRING, retrieval_text STRING"), own).collect()
+    assert sorted((r.chunk_id, r.file_path, r.dims, len(r.matrix)) for r in rows if r.file_path) == [("a", "f", 0, 0)] and [len(r.matrix) for r in rows if not r.file_path] == [16]
+
+
 def test_pairs_of_several_entries_are_told_apart_without_holding_them(spark):
     classpath = [(s, f"e{e}") for s in range(12) for e in range(8) if (s * 5 + e * 3) % 4 < 2] + [(1, None), (None, "e1"), (2, "jar"), (2, "e1"), (2, "e1")]
     outputs = [(d, f"e{e}") for d in range(12) for e in range(8) if (d + e * e) % 3 == 0] + [(3, None), (None, "e2"), (5, "e1"), (5, "e1")]
