@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siltstone.functions import encoder
 from siltstone.operators import lists
@@ -129,6 +130,36 @@ def test_a_build_makes_documents_and_ids_once(spark, java, monkeypatch):
         assert documents.dtypes == rows.dtypes and sorted(map(str, documents.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_files_without_rows_rewrite_no_bucket(spark, tmp_path, monkeypatch):
+    """Files that have no rows and get none leave every bucket where it is; a file that loses its rows takes only its bucket along; a null path stays."""
+    monkeypatch.setattr(store, "BUCKETS", 8)
+    s = store.Store(spark, str(tmp_path / "i"))
+
+    def rows(*paths):
+        given = spark.createDataFrame([(f"c{p}", p) for p in paths], "chunk_id STRING, file_path STRING")
+        documents = given.select(*(F.col(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(store.DOCUMENTS)))
+        return documents, documents.select("chunk_id", "file_path", F.lit(1).alias("dims"), F.array(F.lit(1.0).cast("float")).alias("matrix"))
+
+    s.save(*rows(*"abcdefgh", "a", None), "m", "t")
+    before, writes, real = s.manifest(), [], store.Store._write
+    monkeypatch.setattr(store.Store, "_write", lambda self, frames, n: writes.append(1) or real(self, frames, n))
+    changed = lambda *paths: spark.createDataFrame([(p,) for p in paths], "file_path STRING")
+    none = [t.limit(0) for t in rows("a")]
+    s.replace_files(changed(*"pqrstuvwxyz", "p", None), *none, "m", "u")
+    assert not writes and s.manifest()["buckets"] == before["buckets"] and s.manifest()["indexed_at"] == "u" and s.read("documents").count() == s.read("vectors").count() == 10
+    s.replace_files(changed("a", *"pqrstuvwxyz", None), *none, "m", "v")
+    after = s.manifest()["buckets"]
+    assert len(writes) == 1 and sum(after[b] != before["buckets"][b] for b in after) == 1
+    assert sorted(str(r.file_path) for r in s.read("documents").collect()) == ["None", *"bcdefgh"] and s.read("vectors").count() == 8
+    # Only in the index being built, which is empty yet: nothing to read, nothing in it.
+    s.start("/r", "sig", "m", "t", 3)
+    s.replace_files(changed("a"), *none, "m", "t", staged=True)
+    s.replace_files(changed("a", "b"), *rows("b"), "m", "t", staged=True)
+    s.replace_files(changed("a"), *none, "m", "t", staged=True)
+    s.finish()
+    assert [r.file_path for r in s.read("documents").collect()] == ["b"]
+
+
 def test_vectors_come_in_few_batches(spark, monkeypatch):
     """Short texts come back together, long ones as soon as there are enough numbers; null and empty texts have empty matrices."""
     frame = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, _: run))
